@@ -110,15 +110,29 @@ def calendar_grid(spark: SparkSession, start: str, end: str) -> DataFrame:
     )
 
 
-def slot_hours(days: Column, width: int = 1000) -> Column:
+SLOT_STEPS = (1, 2, 3, 6, 12, 24)
+
+
+def _slot_target(width: int) -> int:
+    return max(24, min(72, width // 24))
+
+
+def fixed_slot_hours(days: int, width: int = 1000) -> int:
     """Hours per time slot: one for a single day, whole days beyond two weeks.
 
     Between, the smallest divisor of a day whose slots fit the drawing width.
     """
-    target = max(24, min(72, width // 24))
+    if days == 1:
+        return 1
+    fitting = [step for step in SLOT_STEPS if days * 24 / step <= _slot_target(width)]
+    return fitting[0] if 0 < days <= 14 and fitting else 24
+
+
+def slot_hours(days: Column, width: int = 1000) -> Column:
+    """The same for a number of days taken from the data."""
     hours = F.when(days == 1, F.lit(1))
-    for step in (1, 2, 3, 6, 12, 24):
-        hours = hours.when(days.between(1, 14) & (days * 24 / step <= target), F.lit(step))
+    for step in SLOT_STEPS:
+        hours = hours.when(days.between(1, 14) & (days * 24 / step <= _slot_target(width)), F.lit(step))
     return hours.otherwise(F.lit(24))
 
 

@@ -42,8 +42,9 @@ def effective_requests(requests: DataFrame, window_s: int = 600) -> DataFrame:
         .groupBy(*tokens, "app_type", "cache_creation_tokens", model.alias("_model"), bin_of.alias("_bin"))
         .agg(F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
     )
-    # Only token keys that a session row also has can cover one.
-    proxies = proxies.join(copies.select(*tokens).distinct(), tokens, "left_semi")
+    # Only token keys that a session row has in the same or a neighbouring bin matter.
+    around = F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("_bin")
+    proxies = proxies.join(copies.select(*tokens, around).distinct(), [*tokens, "_bin"], "left_semi")
     apps = F.when(
         F.col("app_type") == "claude-desktop", F.array(F.lit("claude-desktop"), F.lit("claude"))
     ).otherwise(F.array("app_type"))

@@ -35,7 +35,7 @@ def response_stats(
     rows = responses.select(
         *keys,
         rate.alias("_tps"),
-        (U.finite_positive(F.col("first_token_ms")) / 1000).alias("_latency"),
+        U.finite_positive(F.col("first_token_ms")).alias("_latency"),
         native.alias("_native"),
     )
 
@@ -59,7 +59,7 @@ def response_stats(
         *described("_latency", "latency"),
     )
     if approximate:
-        return grouped
+        return _in_seconds(grouped)
     for column, name in (("_tps", "tps"), ("_latency", "latency")):
         points = exact_percentiles(rows, keys, column, {f"{name}_median": 0.5, f"{name}_p95": 0.95})
         if keys:
@@ -69,7 +69,12 @@ def response_stats(
             grouped = grouped.withColumns(
                 {c: points.select(c).scalar() for c in (f"{name}_median", f"{name}_p95")}
             )
-    return grouped
+    return _in_seconds(grouped)
+
+
+def _in_seconds(stats: DataFrame) -> DataFrame:
+    names = ("latency_avg", "latency_max", "latency_median", "latency_p95")
+    return stats.withColumns({n: F.col(n) / 1000 for n in names})
 
 
 def response_groups(responses: DataFrame, dimension: str, include_native: bool = True) -> DataFrame:
@@ -93,5 +98,5 @@ def speed_windows(
         if first is not None:
             held = held & (F.col("date") >= first)
         inside.append(F.when(held, F.lit(length)))
-    member = F.filter(F.array(*inside), lambda d: d.isNotNull())
+    member = F.array_compact(F.array(*inside))
     return response_stats(responses.withColumn("window_days", F.explode(member)), ["window_days"], include_native)

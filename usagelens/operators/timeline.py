@@ -2,55 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions import usage as U
-from usagelens.functions.dates import parse_day, slot_hours, slot_label
+from usagelens.functions.dates import fixed_slot_hours, parse_day, slot_hours, slot_label
 
 IDENTITY = ("host", "app", "session_key")
 
 
-def resolution(rows: DataFrame, start: str | None = None, end: str | None = None, width: int = 1000) -> DataFrame:
-    """One row: first day, last day, days and hours per slot."""
+@dataclass(frozen=True)
+class Resolution:
+    """The calendar of a chart: ``row`` has first and last day, days and hours per slot.
+
+    Given bounds are literals in every expression; bounds taken from the data
+    come in through one scalar subquery each.
+    """
+
+    row: DataFrame
+    fixed: tuple[int, int] | None = None
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Add ``_days`` and ``_hours``."""
+        if self.fixed:
+            days, hours = (F.lit(n) for n in self.fixed)
+        else:
+            days, hours = self.row.select("days").scalar(), self.row.select("hours").scalar()
+        return df.withColumns({"_days": days, "_hours": hours})
+
+    @property
+    def whole_days(self) -> bool | None:
+        """Whether slots are whole days; None when only the data can tell."""
+        return self.fixed[1] == 24 if self.fixed else None
+
+
+def resolution(rows: DataFrame, start: str | None = None, end: str | None = None, width: int = 1000) -> Resolution:
+    """Slots for a date range; a missing bound is the first or last day in ``rows``."""
+    if start and end:
+        first, last = parse_day(start), parse_day(end)
+        days = (last - first).days + 1
+        hours = fixed_slot_hours(days, width)
+        row = rows.sparkSession.range(1).select(
+            F.lit(first).alias("first"), F.lit(last).alias("last"), F.lit(days).alias("days"), F.lit(hours).alias("hours")
+        )
+        return Resolution(row, (days, hours))
     bounds = rows.agg(F.min("date").alias("first"), F.max("date").alias("last"))
     first = F.lit(parse_day(start)) if start else F.col("first")
     last = F.lit(parse_day(end)) if end else F.col("last")
     days = F.datediff(last, first) + 1
-    return bounds.select(
-        first.alias("first"), last.alias("last"), days.alias("days"), slot_hours(days, width).alias("hours")
-    )
+    row = bounds.select(first.alias("first"), last.alias("last"), days.alias("days"), slot_hours(days, width).alias("hours"))
+    return Resolution(row)
 
 
-def slots(bounds: DataFrame) -> DataFrame:
+def slots(bounds: Resolution) -> DataFrame:
     """Every slot of a resolution in order, numbered from 0."""
-    days = bounds.where("first <= last").select(
+    days = bounds.row.where("first <= last").select(
         "hours", "days", "first", F.explode(F.sequence("first", "last")).alias("date")
     )
-    starts = days.select(
-        "*", F.explode(F.when(F.col("hours") < 24, F.sequence(F.lit(0), F.lit(23), F.col("hours"))).otherwise(F.array(F.lit(0)))).alias("start")
-    )
-    per_day = F.when(F.col("hours") < 24, F.floor(F.lit(24) / F.col("hours"))).otherwise(F.lit(1))
-    number = F.datediff("date", "first") * per_day + F.floor(F.col("start") / F.col("hours"))
+    intraday = F.col("hours") < 24
+    starts = F.when(intraday, F.sequence(F.lit(0), F.lit(23), F.col("hours"))).otherwise(F.array(F.lit(0)))
+    cells = days.withColumn("start", F.explode(starts))
+    number = F.datediff("date", "first") * (F.lit(24) / F.col("hours")) + F.floor(F.col("start") / F.col("hours"))
     label = slot_label(F.col("date"), F.col("start").cast("string"), F.col("hours"), F.col("days"))
-    return starts.select(number.cast("int").alias("slot_index"), label.alias("slot"))
+    return cells.select(number.cast("int").alias("slot_index"), label.alias("slot"))
 
 
-def _slot(bounds: DataFrame, hour: Column) -> Column:
-    return slot_label(F.col("date"), hour, bounds.select("hours").scalar(), bounds.select("days").scalar())
-
-
-def time_buckets(hourly: DataFrame, bounds: DataFrame) -> DataFrame:
+def time_buckets(hourly: DataFrame, bounds: Resolution) -> DataFrame:
     """Tokens and cost per slot and model, with intraday slots without usage as zero rows.
 
     A zero row has a null model. Usage without an hour gets its own slot, last.
     """
+    label = slot_label(F.col("date"), F.col("hour"), F.col("_hours"), F.col("_days"))
     used = (
-        hourly.withColumn("slot", _slot(bounds, F.col("hour")))
-        .groupBy("slot", "model")
+        bounds.attach(hourly)
+        .groupBy(label.alias("slot"), "model")
         .agg(F.sum("total_tokens").alias("tokens"), F.sum("cost_usd").alias("cost_usd"))
     )
-    intraday = slots(bounds.where("hours < 24"))
+    if bounds.whole_days:
+        return used
+    intraday = slots(replace(bounds, row=bounds.row.where("hours < 24")))
     idle = intraday.join(used.select("slot").distinct(), "slot", "left_anti").select(
         "slot", F.lit(None).cast("string").alias("model"), F.lit(0).cast("bigint").alias("tokens"),
         F.lit(0).cast("decimal(38,18)").alias("cost_usd"),
@@ -69,41 +101,34 @@ def stack_segments(buckets: DataFrame) -> DataFrame:
     )
 
 
-def session_matrix(sessions: DataFrame, bounds: DataFrame) -> DataFrame:
+def session_matrix(sessions: DataFrame, bounds: Resolution) -> DataFrame:
     """Tokens per session and slot, in long form.
 
     With intraday slots the hour map gives the tokens; what it does not explain
     goes to the unknown slot.
     """
-    hours, days = bounds.select("hours").scalar(), bounds.select("days").scalar()
+    rows = bounds.attach(sessions)
     known = F.aggregate(
-        F.map_values(F.coalesce("hours", F.create_map().cast("map<string,bigint>"))),
-        F.lit(0).cast("bigint"),
-        lambda total, n: total + n,
+        F.map_values("hours"), F.lit(0).cast("bigint"), lambda total, n: total + n
     )
     rest = F.col("total_tokens") - known
-    cells = F.concat(
-        F.transform(F.map_entries("hours"), lambda e: F.struct(e["key"].alias("hour"), e["value"].alias("tokens"))),
-        F.when(rest > 0, F.array(F.struct(F.lit(U.UNKNOWN_HOUR).alias("hour"), rest.alias("tokens")))).otherwise(
-            F.array().cast("array<struct<hour:string,tokens:bigint>>")
-        ),
-    )
-    whole = F.array(F.struct(F.lit("00").alias("hour"), F.col("total_tokens").alias("tokens")))
-    long = sessions.select(
-        *IDENTITY, "date", F.explode(F.when(hours < 24, cells).otherwise(whole)).alias("cell")
-    )
-    return (
-        long.withColumn("slot", slot_label(F.col("date"), F.col("cell.hour"), hours, days))
-        .groupBy(*IDENTITY, "slot")
-        .agg(F.sum("cell.tokens").alias("tokens"))
-    )
+    unknown = F.struct(F.lit(U.UNKNOWN_HOUR).alias("key"), rest.alias("value"))
+    cells = F.concat(F.map_entries("hours"), F.when(rest > 0, F.array(unknown)).otherwise(F.slice(F.array(unknown), 1, 0)))
+    whole = F.array(F.struct(F.lit("00").alias("key"), F.col("total_tokens").alias("value")))
+    if bounds.whole_days is None:
+        cells = F.when(F.col("_hours") < 24, cells).otherwise(whole)
+    elif bounds.whole_days:
+        cells = whole
+    long = rows.select(*IDENTITY, "date", "_hours", "_days", F.explode(cells).alias("cell"))
+    label = slot_label(F.col("date"), F.col("cell.key"), F.col("_hours"), F.col("_days"))
+    return long.groupBy(*IDENTITY, label.alias("slot")).agg(F.sum("cell.value").alias("tokens"))
 
 
 def heat_scale(matrix: DataFrame, value: str = "tokens") -> DataFrame:
     """Position of each value between the grid's smallest and largest; half when flat."""
-    lowest = matrix.agg(F.min(value)).scalar()
-    highest = matrix.agg(F.max(value)).scalar()
-    return matrix.withColumn("heat", heat(F.col(value), lowest, highest))
+    ends = matrix.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("ends"))
+    scaled = matrix.withColumn("_ends", ends.scalar())
+    return scaled.withColumn("heat", heat(F.col(value), F.col("_ends.low"), F.col("_ends.high"))).drop("_ends")
 
 
 def heat(value: Column, lowest: Column, highest: Column) -> Column:
@@ -111,7 +136,7 @@ def heat(value: Column, lowest: Column, highest: Column) -> Column:
     return F.when(highest == lowest, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
-def temporal_runs(matrix: DataFrame, bounds: DataFrame) -> DataFrame:
+def temporal_runs(matrix: DataFrame, bounds: Resolution) -> DataFrame:
     """Unbroken runs of recorded slots per session; the unknown slot is its own run.
 
     A session has at most one row per calendar slot here, so its window is small.
@@ -134,7 +159,7 @@ def temporal_runs(matrix: DataFrame, bounds: DataFrame) -> DataFrame:
     return runs.unionByName(unknown)
 
 
-def line_breaks(buckets: DataFrame, bounds: DataFrame) -> DataFrame:
+def line_breaks(buckets: DataFrame, bounds: Resolution) -> DataFrame:
     """Cost per slot and whether the line restarts because the slot before is not adjacent."""
     cost = buckets.groupBy("slot").agg(F.sum("cost_usd").alias("cost_usd"))
     numbered = cost.join(slots(bounds), "slot", "left")

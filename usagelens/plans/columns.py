@@ -10,19 +10,18 @@ def cents(name: str = "cost_usd") -> Column:
     return F.round(F.col(name) * 100).cast("bigint").alias("cost_cents")
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double; sums of doubles depend on their order in the last bits."""
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def flat(df: DataFrame) -> DataFrame:
-    """Money as whole cents, doubles rounded, string arrays joined."""
+    """Money as whole cents, doubles rounded, string arrays joined.
+
+    Latencies are whole milliseconds underneath and can end in a half digit, so
+    they keep more places.
+    """
     out = []
     for name, kind in df.dtypes:
         if name == "cost_usd":
             out.append(cents())
         elif kind == "double":
-            out.append(F.round(name, 6).alias(name))
+            out.append(F.round(name, 9 if name.startswith("latency") else 6).alias(name))
         elif kind == "array<string>":
             out.append(F.array_join(name, ",").alias(name))
         else:

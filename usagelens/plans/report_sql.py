@@ -204,9 +204,10 @@ def _stats(keys: str, source: str = "responses", native: bool = True) -> str:
         CAST(count(*) FILTER (WHERE duration_source = 'native_log' AND t IS NOT NULL) AS BIGINT) AS native,
         CAST(count(t) AS BIGINT) AS tps_count, round(avg(t), 6) AS tps_avg, round(max(t), 6) AS tps_max,
         round(quantile_cont(t, 0.5), 6) AS tps_median, round(quantile_cont(t, 0.95), 6) AS tps_p95,
-        CAST(count(f) AS BIGINT) AS latency_count, round(avg(f), 6) AS latency_avg, round(max(f), 6) AS latency_max,
-        round(quantile_cont(f, 0.5), 6) AS latency_median, round(quantile_cont(f, 0.95), 6) AS latency_p95
-        FROM (SELECT *, {tps} AS t, first_token_ms / 1000 AS f FROM {source}){tail}"""
+        CAST(count(f) AS BIGINT) AS latency_count, round(avg(f) / 1000, 9) AS latency_avg,
+        round(max(f) / 1000, 9) AS latency_max, round(quantile_cont(f, 0.5) / 1000, 9) AS latency_median,
+        round(quantile_cont(f, 0.95) / 1000, 9) AS latency_p95
+        FROM (SELECT *, {tps} AS t, first_token_ms AS f FROM {source}){tail}"""
     )
 
 
@@ -473,13 +474,13 @@ ORACLES = {
     ),
     "source_audit": usage(
         """SELECT host, 'UTC' AS host_timezone, raw_requests, raw_requests - kept AS proxy_session_duplicates,
-        kept - u AS cross_host_duplicates, timed_requests, zero_token_requests, latest_request, rollup_rows,
+        kept - coalesce(u, 0) AS cross_host_duplicates, coalesce(timed_requests, 0) AS timed_requests, zero_token_requests, latest_request, rollup_rows,
         rollup_first, rollup_last
         FROM (SELECT host, CAST(count(*) AS BIGINT) AS raw_requests, max(created_at) AS latest_request,
           CAST(count(*) FILTER (WHERE input_tokens = 0 AND output_tokens = 0 AND cache_read_tokens = 0
             AND cache_creation_tokens = 0) AS BIGINT) AS zero_token_requests FROM requests GROUP BY ALL)
         JOIN (SELECT host, CAST(count(*) AS BIGINT) AS kept FROM effective GROUP BY ALL) USING (host)
-        JOIN (SELECT host, CAST(count(*) AS BIGINT) AS u, CAST(count(recorded_tps) AS BIGINT) AS timed_requests
+        LEFT JOIN (SELECT host, CAST(count(*) AS BIGINT) AS u, CAST(count(recorded_tps) AS BIGINT) AS timed_requests
               FROM rated GROUP BY ALL) USING (host)
         JOIN (SELECT host, CAST(count(*) AS BIGINT) AS rollup_rows, min(date) AS rollup_first, max(date) AS rollup_last
               FROM rollups GROUP BY ALL) USING (host)"""

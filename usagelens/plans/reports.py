@@ -19,6 +19,10 @@ DAY = ("1998-03-04", "1998-03-04")
 FORTNIGHT = ("1998-03-02", "1998-03-15")
 
 
+def _sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return Usage(spark, sf, projects=True).sessions
+
+
 def daily_usage(spark: SparkSession, sf: str) -> DataFrame:
     return flat(Usage(spark, sf).daily)
 
@@ -92,13 +96,12 @@ def model_search(spark: SparkSession, sf: str) -> DataFrame:
 def preset_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals for every date preset, ending on the last day with usage."""
     daily = Usage(spark, sf).daily
-    anchor = daily.agg(F.max("date")).scalar()
-    names = []
+    anchored = daily.withColumn("anchor", daily.agg(F.max("date")).scalar())
+    held = []
     for preset in dates.PRESETS:
-        first, last = dates.preset_bounds(preset, anchor)
-        names.append(F.when((F.col("date") >= first) & (F.col("date") <= last), F.lit(preset)))
-    held = F.filter(F.array(*names), lambda n: n.isNotNull())
-    return flat(reports.totals_by(daily.withColumn("preset", F.explode(held)), "preset"))
+        first, last = dates.preset_bounds(preset, F.col("anchor"))
+        held.append(F.when((F.col("date") >= first) & (F.col("date") <= last), F.lit(preset)))
+    return flat(reports.totals_by(anchored.withColumn("preset", F.explode(F.array_compact(F.array(*held)))), "preset"))
 
 
 def response_fact(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,28 +133,28 @@ def speed_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def session_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(Usage(spark, sf).sessions.drop("hours"))
+    return flat(_sessions(spark, sf).drop("hours"))
 
 
 def session_hours(spark: SparkSession, sf: str) -> DataFrame:
-    rows = Usage(spark, sf).sessions
+    rows = _sessions(spark, sf)
     return rows.select(*facts.SESSION_KEYS, F.explode("hours").alias("hour", "tokens"))
 
 
 def session_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(sessions.summarize_sessions(sessions.with_native_tps(Usage(spark, sf).sessions)))
+    return flat(sessions.summarize_sessions(sessions.with_native_tps(_sessions(spark, sf))))
 
 
 def session_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(sessions.session_by(Usage(spark, sf).sessions, "model"))
+    return flat(sessions.session_by(_sessions(spark, sf), "model"))
 
 
 def session_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(sessions.session_by(Usage(spark, sf).sessions, "date"))
+    return flat(sessions.session_by(_sessions(spark, sf), "date"))
 
 
 def component_share(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(sessions.component_share(Usage(spark, sf).sessions))
+    return flat(sessions.component_share(_sessions(spark, sf)))
 
 
 def _review(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +163,7 @@ def _review(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     The given lines have no empty requests, so those with model 0 and quantity 1
     stand for them.
     """
-    plan = Usage(spark, sf)
+    plan = Usage(spark, sf, projects=True)
     empty = (F.col("model") == "model-0") & (F.col("output_tokens") == 7)
     emptied = plan.effective.withColumns(
         {
@@ -198,11 +201,11 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def project_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(sessions.summarize_projects(sessions.with_native_tps(Usage(spark, sf).sessions)))
+    return flat(sessions.summarize_projects(sessions.with_native_tps(_sessions(spark, sf))))
 
 
 def project_detail(spark: SparkSession, sf: str) -> DataFrame:
-    rows = Usage(spark, sf).sessions.where("project_key <> ''")
+    rows = _sessions(spark, sf).where("project_key <> ''")
     return flat(sessions.grouped_detail(rows, ["project_key"], ["date", "model", "session_key"]))
 
 
@@ -212,7 +215,7 @@ def project_identity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_projects(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sessions.top_projects(Usage(spark, sf).sessions)
+    rows = sessions.top_projects(_sessions(spark, sf))
     return rows.select("project_name", "project_key", "total_tokens", "requests")
 
 
@@ -238,7 +241,7 @@ def line_breaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matrix(span: tuple[str, str] | None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = Usage(spark, sf).sessions
+        rows = _sessions(spark, sf)
         if span:
             rows = reports.in_range(rows, *span)
         return flat(timeline.heat_scale(timeline.session_matrix(rows, timeline.resolution(rows, *(span or ())))))
@@ -247,7 +250,7 @@ def _matrix(span: tuple[str, str] | None):
 
 
 def temporal_runs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = reports.in_range(Usage(spark, sf).sessions, *FORTNIGHT)
+    rows = reports.in_range(_sessions(spark, sf), *FORTNIGHT)
     bounds = timeline.resolution(rows, *FORTNIGHT)
     return timeline.temporal_runs(timeline.session_matrix(rows, bounds), bounds)
 
@@ -267,7 +270,7 @@ def table_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_sort(spark: SparkSession, sf: str) -> DataFrame:
     """Second page of session titles in natural order."""
-    rows = sessions.summarize_sessions(Usage(spark, sf).sessions).select("host", "app", "session_key", "title")
+    rows = sessions.summarize_sessions(_sessions(spark, sf)).select("host", "app", "session_key", "title")
     return sorting.page(sorting.sort_table(rows, "title", "ascending", ["session_key", "host", "app"]), 1, 50)
 
 

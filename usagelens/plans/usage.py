@@ -22,6 +22,7 @@ class Usage:
     spark: SparkSession
     sf_dir: str
     timezone: str = "UTC"
+    projects: bool = False
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -29,7 +30,7 @@ class Usage:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return adapters.enriched_requests(self.spark, self.sf_dir)
+        return adapters.enriched_requests(self.spark, self.sf_dir, self.projects)
 
     @cached_property
     def rollups(self) -> DataFrame:

@@ -87,25 +87,37 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("variant", "cost_cents", "pk")
 
 
-def enriched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger with session key, title, project and session provider attached."""
-    number = F.substring("session_id", 2, 10).cast("bigint")
+def _session_number():
+    return F.substring("session_id", 2, 10).cast("bigint")
+
+
+def session_directory():
+    """The working directory of a session: two spellings of a shared folder, a plain one or none."""
+    number = _session_number()
     folder = F.concat(F.lit("P"), number % 12)
-    cwd = (
+    return (
         F.when(number % 3 == 0, F.concat(F.lit("/Users/u"), number % 5, F.lit("/Dropbox/"), folder))
         .when(number % 3 == 1, F.concat(F.lit("D:\\Dropbox\\"), folder))
         .when(number % 6 == 2, F.concat(F.lit("/home/u/work/"), folder))
     )
-    rows = with_project(requests(spark, sf_dir).withColumn("cwd", cwd), "cwd")
-    return rows.withColumns(
+
+
+def enriched_requests(spark: SparkSession, sf_dir: str, projects: bool = True) -> DataFrame:
+    """The ledger with session provider and, if asked for, session key, title and project."""
+    number = _session_number()
+    in_log = (F.col("data_source") == "codex_session") & (number % 4 != 0)
+    rows = requests(spark, sf_dir).drop("k")
+    rows = rows.withColumn("session_provider", F.when(in_log, F.concat(F.lit("prov-"), number % 7)))
+    if not projects:
+        return rows
+    rows = rows.withColumns(
         {
+            "cwd": session_directory(),
             "session_key": U.session_key(F.col("session_id")),
             "session_title": F.when(number % 2 == 0, F.concat(F.lit("Title "), number)),
-            "session_provider": F.when(
-                (F.col("data_source") == "codex_session") & (number % 4 != 0), F.concat(F.lit("prov-"), number % 7)
-            ),
         }
-    ).drop("cwd", "k")
+    )
+    return with_project(rows, "cwd").drop("cwd")
 
 
 def rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +209,9 @@ def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "concat('s', o_orderkey % 500) AS session_id",
         "IF(o_orderkey % 500 % 4 = 0, NULL, concat('prov-', o_orderkey % 500 % 7)) AS model_provider",
-        "concat('/srv/P', o_orderkey % 500 % 12) AS cwd",
+        "CASE WHEN o_orderkey % 500 % 5 = 0 THEN NULL"
+        " WHEN o_orderkey % 500 % 5 < 3 THEN concat('/Users/v/Dropbox/P', o_orderkey % 500 % 12)"
+        " ELSE concat('/srv/P', o_orderkey % 500 % 12) END AS cwd",
     )
 
 
@@ -260,7 +274,7 @@ def telemetry_events(events: DataFrame) -> DataFrame:
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log events of kind A from conversation turns: user is input, assistant output.
 
-    Every assistant turn is followed by a usage record one second later.
+    Every assistant turn is followed by a token count one second later.
     """
     turns = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").selectExpr(
         "concat('conv', conv_id) AS session_id",
@@ -273,7 +287,7 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id",
         "explode(IF(role = 'user', array(named_struct('ordinal', turn * 2, 'second', second, 'event', 'input', 'tokens', NULL)),"
         " array(named_struct('ordinal', turn * 2, 'second', second, 'event', 'output', 'tokens', NULL),"
-        " named_struct('ordinal', turn * 2 + 1, 'second', second + 1, 'event', 'usage', 'tokens', CAST(chars AS BIGINT))))) AS e",
+        " named_struct('ordinal', turn * 2 + 1, 'second', second + 1, 'event', 'count', 'tokens', CAST(chars AS BIGINT))))) AS e",
     ).selectExpr(
         "session_id",
         "e.ordinal AS ordinal",
@@ -282,7 +296,22 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(NULL AS STRING) AS call_id",
         "CAST(NULL AS STRING) AS model",
         "CAST(NULL AS STRING) AS response_id",
-        "IF(e.event = 'usage', 7L, NULL) AS input_tokens",
+        "IF(e.event = 'count', 7L, NULL) AS input_tokens",
         "e.tokens AS output_tokens",
-        "IF(e.event = 'usage', 0L, NULL) AS cached_input_tokens",
+        "IF(e.event = 'count', 0L, NULL) AS cached_input_tokens",
+    )
+
+
+def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of the same turns, as a session log would record them."""
+    counted = conversation_events(spark, sf_dir).where("event = 'count'")
+    return counted.selectExpr(
+        "concat('q-', session_id, '-', ordinal) AS request_id",
+        "'codex' AS app_type",
+        "session_id",
+        "CAST(stamp AS BIGINT) AS created_at",
+        "input_tokens",
+        "output_tokens",
+        "cached_input_tokens AS cache_read_tokens",
+        "IF(ordinal % 4 = 1, 'proxy', 'codex_session') AS data_source",
     )
