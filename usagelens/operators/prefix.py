@@ -33,6 +33,26 @@ def running_sums(
     return summed.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
 
 
+def previous_within(
+    df: DataFrame, keys: list[str], time: str, order: list[str], fields: list[str], reach_s: float, chunk_s: float = 3600
+) -> DataFrame:
+    """Add ``previous``, the row before in the group if it is at most ``reach_s`` older.
+
+    Groups are cut into chunks of time. Only rows within reach of a chunk's end
+    can be someone's previous in the next one, so those few are carried over.
+    """
+    chunk = F.floor(F.col(time) / chunk_s)
+    own = F.struct(chunk.alias("chunk"), F.lit(False).alias("carried"))
+    carry = F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("carried"))
+    late = F.col(time) >= (chunk + 1) * chunk_s - reach_s
+    placed = df.withColumn("_place", F.explode(F.when(late, F.array(own, carry)).otherwise(F.array(own))))
+    along = Window.partitionBy(*keys, "_place.chunk").orderBy(time, *order)
+    before = F.lag(F.struct(F.col(time).alias("_time"), *fields)).over(along)
+    found = placed.withColumn("previous", before).where("NOT _place.carried").drop("_place")
+    near = F.col(time) - F.col("previous._time") <= reach_s
+    return found.withColumn("previous", F.when(near, F.col("previous")))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles of a positive column per group.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.plans import enrichment, enrichment_sql, report_sql, reports
+from usagelens.plans import enrichment, enrichment_sql, report_sql, reports, telemetry, telemetry_sql
 
-QUERIES = {**reports.QUERIES, **enrichment.QUERIES}
-ORACLES = {**report_sql.ORACLES, **enrichment_sql.ORACLES}
+QUERIES = {**reports.QUERIES, **enrichment.QUERIES, **telemetry.QUERIES}
+ORACLES = {**report_sql.ORACLES, **enrichment_sql.ORACLES, **telemetry_sql.ORACLES}

@@ -315,3 +315,87 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cached_input_tokens AS cache_read_tokens",
         "IF(ordinal % 4 = 1, 'proxy', 'codex_session') AS data_source",
     )
+
+
+def otlp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a log packet: session on the resource, model on the scope.
+
+    Views and purchases are response boundaries, clicks are requests with a
+    duration (every tenth failed), sign-ups other records, and errors have a
+    count that is no number.
+    """
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type", "value", "unix_millis(CAST(ts AS TIMESTAMP)) div 600 AS ms"
+    )
+
+    def attribute(key: str, s: str = "NULL", i: str = "NULL", b: str = "NULL") -> str:
+        value = f"'stringValue', CAST({s} AS STRING), 'intValue', CAST({i} AS STRING)"
+        value += f", 'doubleValue', CAST(NULL AS DOUBLE), 'boolValue', CAST({b} AS BOOLEAN)"
+        return f"named_struct('key', '{key}', 'value', named_struct({value}))"
+
+    session = attribute("conversation.id", s="concat('u', user_id)")
+    outer_model = attribute("model", s="'m-outer'")
+    resource = f"IF(user_id % 13 = 0, array({outer_model}), array({session}))"
+    scope = "array(" + attribute("model", s="concat('m', user_id % 9)") + ")"
+    kind = (
+        "CASE event_type WHEN 'view' THEN 'response.created' WHEN 'purchase' THEN 'response.completed'"
+        " WHEN 'error' THEN 'response.completed' ELSE 'tool' END"
+    )
+    name = (
+        "CASE WHEN event_type = 'click' THEN 'codex.websocket_request' WHEN user_id % 2 = 0 THEN 'codex.sse_event'"
+        " ELSE 'callsite' END"
+    )
+    count = "IF(event_type = 'error', '-1', CAST(CAST(round(value * 10) AS BIGINT) AS STRING))"
+    parts = [
+        attribute("event.kind", s=kind),
+        attribute("event.name", s=name),
+        attribute("output_token_count", i=count),
+        attribute("duration_ms", i="event_id % 900"),
+        attribute("success", b="event_id % 10 <> 3"),
+    ]
+    record = f"array({', '.join(parts)})"
+    return events.selectExpr(
+        "ms / 1000D + event_id % 8 AS received_at",
+        f"array(named_struct('resource', named_struct('attributes', {resource}), 'scopeLogs',"
+        f" array(named_struct('scope', named_struct('attributes', {scope}), 'logRecords',"
+        f" array(named_struct('timeUnixNano', CAST(ms * 1000000 AS STRING), 'attributes', {record})))))) AS resourceLogs",
+    )
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate readings of three meters from the event table."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('m', user_id % 3) AS series",
+        "event_id AS reading_id",
+        "(unix_millis(CAST(ts AS TIMESTAMP)) div 600) / 1000D AS wall",
+        "(unix_millis(CAST(ts AS TIMESTAMP)) div 600) / 1000D + IF(event_id % 97 = 0, 5, 0) AS monotonic",
+        "value AS total_tps",
+        "IF(event_type = 'error', NULL, value / (1 + user_id % 4)) AS average_tps",
+        "IF(event_type = 'signup', 'partial', 'complete') AS status",
+    )
+
+
+def response_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response samples as three sources report them, some copied and some in conflict."""
+    events = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')").selectExpr(
+        "event_id", "user_id", "value", "unix_millis(CAST(ts AS TIMESTAMP)) div 600 AS ms"
+    )
+    copies = F.when(F.col("event_id") % 6 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).when(
+        F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))
+    ).otherwise(F.array(F.lit(0)))
+    return events.withColumn("copy", F.explode(copies)).selectExpr(
+        "concat('src', (user_id + copy) % 3) AS source",
+        "CAST((user_id + copy) % 3 AS INT) AS source_order",
+        "concat('e', event_id) AS event_key",
+        "IF(user_id % 17 = 0 OR copy = 2, NULL, concat('s', user_id % 60)) AS session_key",
+        "IF(user_id % 2 = 0, 'codex', 'claude') AS runtime",
+        "concat('prov-', user_id % 4) AS provider",
+        "concat('model-', copy) AS model",
+        "CAST(round(value * 10) AS BIGINT) + 5 + IF(copy = 1 AND event_id % 5 = 0, 1, 0) AS output_tokens",
+        "ms / 1000D - 1 - event_id % 9 AS `start`",
+        "ms / 1000D AS `end`",
+        "CASE WHEN user_id % 2 = 0 AND user_id % 60 < 20 AND event_id % 4 = 0 THEN 'codex_otel'"
+        " WHEN copy = 1 THEN 'proxy_elapsed' ELSE 'native_log' END AS basis",
+        "ms / 1000D + 0.25D AS sampled_at",
+        "ms / 1000D + 0.5D + copy AS received_at",
+    )
