@@ -78,7 +78,8 @@ def pair_in_order(events: DataFrame, chunk_s: int = 3600) -> DataFrame:
 
 def _judged(groups: DataFrame) -> DataFrame:
     done = F.col("c").isNotNull()
-    timed = F.col("_single") & (F.col("c.stamp") > F.col("s.stamp"))
+    elapsed = F.col("c.stamp") - F.col("s.stamp")
+    timed = F.col("_single") & (elapsed > 0) & (elapsed <= MAX_AGE_S)
     same = F.col("s.session_key").eqNullSafe(F.col("c.session_key"))
     status = (
         F.when(~done & F.col("_single"), "awaiting_usage")

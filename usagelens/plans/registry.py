@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from usagelens.plans import enrichment, enrichment_sql, report_sql, reports, telemetry, telemetry_sql
+from usagelens.plans import (
+    enrichment, enrichment_sql, history, history_sql, report_sql, reports, streams, telemetry,
+    telemetry_sql,
+)
 
-QUERIES = {**reports.QUERIES, **enrichment.QUERIES, **telemetry.QUERIES}
-ORACLES = {**report_sql.ORACLES, **enrichment_sql.ORACLES, **telemetry_sql.ORACLES}
+QUERIES = {**reports.QUERIES, **enrichment.QUERIES, **telemetry.QUERIES, **history.QUERIES, **streams.QUERIES}
+ORACLES = {**report_sql.ORACLES, **enrichment_sql.ORACLES, **telemetry_sql.ORACLES, **history_sql.ORACLES, **streams.ORACLES}

@@ -35,7 +35,7 @@ paired AS (
   SELECT session_key, response_key, provider, model, output_tokens,
     CASE WHEN status IN ('measured', 'late') THEN s END AS start, coalesce(c, s) AS "end", status
   FROM (SELECT *, CASE WHEN c IS NULL AND starts = 1 THEN 'awaiting_usage' WHEN c IS NULL THEN 'missing_timing'
-    WHEN output_tokens = 0 THEN 'empty' WHEN starts <> 1 OR c <= s THEN 'missing_timing'
+    WHEN output_tokens = 0 THEN 'empty' WHEN starts <> 1 OR c <= s OR c - s > 1800 THEN 'missing_timing'
     WHEN c < received_at - 5 THEN 'late' ELSE 'measured' END AS status FROM groups)),
 samples AS (
   SELECT 'src' || ((user_id + copy) % 3) AS source, (user_id + copy) % 3 AS source_order, 'e' || event_id AS event_key,

@@ -324,7 +324,11 @@ def otlp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     duration (every tenth failed), sign-ups other records, and errors have a
     count that is no number.
     """
-    events = table(spark, sf_dir, "events").selectExpr(
+    return packets_of(table(spark, sf_dir, "events"))
+
+
+def packets_of(table_events: DataFrame) -> DataFrame:
+    events = table_events.selectExpr(
         "event_id", "user_id", "event_type", "value", "unix_millis(CAST(ts AS TIMESTAMP)) div 600 AS ms"
     )
 
@@ -377,7 +381,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def response_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response samples as three sources report them, some copied and some in conflict."""
-    events = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')").selectExpr(
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
+    events = events.where("event_type IN ('purchase', 'click')").selectExpr(
         "event_id", "user_id", "value", "unix_millis(CAST(ts AS TIMESTAMP)) div 600 AS ms"
     )
     copies = F.when(F.col("event_id") % 6 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).when(
@@ -399,3 +407,12 @@ def response_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ms / 1000D + 0.25D AS sampled_at",
         "ms / 1000D + 0.5D + copy AS received_at",
     )
+
+
+def minute_tokens(spark: SparkSession, sf_dir: str, step_s: int = 60) -> DataFrame:
+    """Completed output per meter and time step."""
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr(
+        "concat('m', user_id % 3) AS series",
+        f"(unix_millis(CAST(ts AS TIMESTAMP)) div 600) div {1000 * step_s} * {step_s} AS slot",
+        "CAST(round(value * 10) AS BIGINT) AS tokens",
+    ).groupBy("series", "slot").agg(F.sum("tokens").alias("tokens"))

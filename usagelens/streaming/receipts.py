@@ -1,0 +1,63 @@
+"""Counting newly reported output in a stream, with signed corrections."""
+
+from __future__ import annotations
+
+import json
+import math
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+
+# Fixed value: seconds a response can still be corrected after its last report.
+KEEP_S = 600
+DELTAS = "event_key string, session_key string, second bigint, delta bigint, reason string"
+
+
+def new_response() -> dict[str, Any]:
+    return {"tokens": 0, "reports": {}, "arrivals": [], "excluded": False}
+
+
+def disagree(reports: dict[str, list]) -> bool:
+    """Whether the last reports of the sources name different counts, runtimes or sessions."""
+    facts = {(tokens, runtime) for tokens, runtime, _ in reports.values()}
+    sessions = {session for _, _, session in reports.values() if session}
+    return len(facts) > 1 or len(sessions) > 1
+
+
+def count_report(state: dict[str, Any], report: dict[str, Any]) -> Iterator[dict]:
+    """Apply one cumulative report; corrections carry the second they correct."""
+    state["reports"][report["source"]] = [report["output_tokens"], report["runtime"], report["session_key"]]
+    added = max(0, report["output_tokens"] - state["tokens"])
+    state["tokens"] += added
+    if added:
+        second = math.floor(report["received_at"])
+        state["arrivals"].append([second, added])
+        if not state["excluded"]:
+            yield {"second": second, "delta": added, "reason": "received"}
+    conflict = disagree(state["reports"])
+    if conflict != state["excluded"]:
+        state["excluded"] = conflict
+        sign, reason = (-1, "retracted") if conflict else (1, "restored")
+        for second, tokens in state["arrivals"]:
+            yield {"second": second, "delta": sign * tokens, "reason": reason}
+
+
+def count_response(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+    """One micro-batch of one response's copies; state is its counts as JSON text."""
+    from usagelens.streaming.follow import keep_until
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    held = json.loads(state.get[0]) if state.exists else new_response()
+    reports = [r for batch in batches for r in batch.to_dict("records")]
+    rows = []
+    for report in sorted(reports, key=lambda r: (r["received_at"], r["source"])):
+        session = None if pd.isna(report["session_key"]) else report["session_key"]
+        plain = {**report, "session_key": session, "output_tokens": int(report["output_tokens"])}
+        rows += [{"event_key": key[0], "session_key": session, **d} for d in count_report(held, plain)]
+    keep_until(state, json.dumps(held), max(r["received_at"] for r in reports), KEEP_S)
+    yield pd.DataFrame(rows, columns=["event_key", "session_key", "second", "delta", "reason"]).astype(
+        {"second": "int64", "delta": "int64"}
+    )
