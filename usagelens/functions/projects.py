@@ -16,7 +16,8 @@ ROOT_LABELS = {
     "icloud-drive": "iCloud Drive",
     "box": "Box",
 }
-DRIVE = r"^[A-Za-z]:"
+# A Windows drive letter, or the host and share of a network path.
+DRIVE = r"^([A-Za-z]:|[\\/]{2}[^\\/]+[\\/][^\\/]+)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,9 +60,12 @@ def project_identity(path: Column) -> Column:
     made of the provider and the path below its root. Other folders keep their
     full path, without regard to case on Windows.
     """
-    windows = path.rlike(DRIVE)
-    body = F.when(windows, F.regexp_replace(F.substring(path, 3, 1 << 30), r"\\", "/")).otherwise(path)
-    root = F.when(windows, F.concat(F.substring(path, 1, 2), F.lit("\\"))).otherwise(F.lit("/"))
+    drive = F.regexp_extract(path, DRIVE, 1)
+    windows = drive != ""
+    rest = F.regexp_replace(F.substring(path, F.length(drive) + 1, F.length(path)), r"\\", "/")
+    share = (F.length(drive) > 2) & (rest == "")
+    body = F.when(share, F.lit("/")).when(windows, rest).otherwise(path)
+    root = F.when(windows, F.concat(drive, F.lit("\\"))).otherwise(F.lit("/"))
     folders = F.filter(F.split(body, "/"), lambda part: (part != "") & (part != "."))
 
     def located(parts: Column) -> Column:
@@ -100,8 +104,8 @@ def _place(parts: Column, windows: Column) -> Column:
 def _identity(parts: Column, place: Column, windows: Column) -> Column:
     folders = F.slice(parts, 2, F.size(parts))
     provider, below = place["provider"], place["below"]
-    drive = F.when(windows, F.substring(F.get(parts, F.lit(0)), 1, 2)).otherwise(F.lit(""))
-    plain = F.concat(drive, F.lit("/"), F.array_join(folders, "/"))
+    root = F.when(windows, F.regexp_replace(F.get(parts, F.lit(0)), r"\\", "/")).otherwise(F.lit("/"))
+    plain = F.concat(root, F.array_join(folders, "/"))
     plain = F.when(windows, F.lower(plain)).otherwise(plain)
     shared = F.concat(F.lit('["'), provider, F.lit('",'), F.to_json(below), F.lit("]"))
     root_label = F.element_at(F.create_map(*[F.lit(x) for pair in ROOT_LABELS.items() for x in pair]), provider)
