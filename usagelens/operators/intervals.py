@@ -110,8 +110,8 @@ def response_intervals(events: DataFrame, live: bool = False, chunk: int = CHUNK
     rows = rows.withColumn("_start", F.first("_boundary", ignorenulls=True).over(segment))
     valid = F.col("_closes") & (F.col("_end") > F.col("_start"))
     rows = rows.withColumns({"_from": F.when(valid, F.col("_start")), "_to": F.when(valid, F.col("_end"))})
-    # A mirror reports its record's interval when both name the same usage and second.
-    use = F.struct(F.floor("stamp").alias("s"), "input_tokens", "output_tokens", F.coalesce("cached_input_tokens", F.lit(0)))
+    # A mirror reports its record's interval when both name the same usage.
+    use = _same_usage()
     recorded = F.last(F.when(F.col("event") == "usage", F.struct(use.alias("use"), "_from", "_to")), ignorenulls=True).over(before)
     rows = rows.withColumns({"_use": use, "_record": recorded})
     agrees = F.col("_record.use").eqNullSafe(F.col("_use"))

@@ -35,11 +35,14 @@ def read_records(spark: SparkSession, *paths: str, schema: str, pattern: str = "
     any other stops the job."""
     lines = read_lines(spark, *paths, pattern=pattern).where(F.trim("value") != "")
     ends = lines.groupBy(F.col("file").alias("_file")).agg(F.max("ordinal").alias("_last"))
-    bad = F.try_parse_json("value").isNull()
-    judged = lines.withColumn("_bad", bad).join(ends, F.col("file") == F.col("_file"), "left")
-    whole = judged.where(
-        U.require(~F.col("_bad") | (F.col("ordinal") == F.col("_last")), F.concat(F.lit("Malformed record in "), F.col("file")))
-    ).where("NOT _bad")
+    judged = lines.join(ends, F.col("file") == F.col("_file"), "left")
+    # One expression, so that no filter can drop a bad line before it is judged.
+    keep = (
+        F.when(F.try_parse_json("value").isNotNull(), F.lit(True))
+        .when(F.col("ordinal") == F.col("_last"), F.lit(False))
+        .otherwise(U.fail(F.concat(F.lit("Malformed record in "), F.col("file"))))
+    )
+    whole = judged.where(keep)
     return whole.select("file", "ordinal", F.from_json("value", schema).alias("r"))
 
 
