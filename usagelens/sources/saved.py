@@ -15,6 +15,7 @@ def read_export(spark: SparkSession, path: str, name: str) -> DataFrame:
     if name == "session_daily_usage":
         schema = schemas.SESSION_DAILY.replace("hours map<string,bigint>", "hours string")
         rows = spark.read.csv(f"{path}/{name}", schema=schema, header=True)
+        rows = rows.fillna("", ["project_key", "project_name", "session_title"])
         return rows.withColumn("hours", F.from_json(F.coalesce("hours", F.lit("{}")), "map<string,bigint>"))
     known = {
         "daily_usage": schemas.DAILY,
@@ -22,7 +23,9 @@ def read_export(spark: SparkSession, path: str, name: str) -> DataFrame:
         "response_speed": schemas.RESPONSES,
         "request_tps": schemas.REQUEST_TPS,
     }
-    return spark.read.csv(f"{path}/{name}", schema=known[name], header=True)
+    rows = spark.read.csv(f"{path}/{name}", schema=known[name], header=True)
+    # CSV does not tell an empty label from a missing one.
+    return rows.fillna("", ["duration_source"]) if name == "response_speed" else rows
 
 
 def read_archive(spark: SparkSession, path: str, identities: DataFrame | None = None) -> DataFrame:

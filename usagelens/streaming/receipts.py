@@ -55,7 +55,10 @@ def count_response(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> I
     rows = []
     for report in sorted(reports, key=lambda r: (r["received_at"], r["source"])):
         session = None if pd.isna(report["session_key"]) else report["session_key"]
-        plain = {**report, "session_key": session, "output_tokens": int(report["output_tokens"])}
+        plain = {
+            "source": report["source"], "runtime": report["runtime"], "session_key": session,
+            "output_tokens": int(report["output_tokens"]), "received_at": float(report["received_at"]),
+        }
         rows += [{"event_key": key[0], "session_key": session, **d} for d in count_report(held, plain)]
     keep_until(state, json.dumps(held), max(r["received_at"] for r in reports), KEEP_S)
     yield pd.DataFrame(rows, columns=["event_key", "session_key", "second", "delta", "reason"]).astype(
