@@ -64,8 +64,11 @@ def model_label(model: Column) -> Column:
 def app_label(app_type: Column) -> Column:
     """One label for both Claude apps; others in title case, each letter run alone."""
     runs = F.regexp_extract_all(F.lower(app_type), F.lit("([a-z]+|[^a-z]+)"), F.lit(1))
-    return F.when(app_type.isin(*CLAUDE_APPS), F.lit("Claude Code")).otherwise(
-        F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
+    titled = F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
+    return (
+        F.when(app_type.isin(*CLAUDE_APPS), F.lit("Claude Code"))
+        .when(app_type.rlike("^[a-z]+$"), F.initcap(app_type))
+        .otherwise(titled)
     )
 
 
@@ -85,6 +88,22 @@ def wall_clock(epoch_s: Column, timezone: str) -> Column:
     return utc if timezone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(timezone), utc)
 
 
+def local_date(epoch_s: Column, timezone: str) -> Column:
+    """Local day of an epoch second; plain arithmetic where the zone is UTC."""
+    if timezone == "UTC":
+        return F.date_from_unix_date(F.floor(epoch_s / 86400).cast("int"))
+    return wall_clock(epoch_s, timezone).cast("date")
+
+
+def local_hour(epoch_s: Column, timezone: str) -> Column:
+    """Local hour as two digits."""
+    if timezone == "UTC":
+        hour = F.floor(F.pmod(epoch_s, F.lit(86400)) / 3600)
+    else:
+        hour = F.hour(wall_clock(epoch_s, timezone))
+    return F.lpad(hour.cast("string"), 2, "0")
+
+
 def response_duration() -> Column:
     """Recorded elapsed time: duration first, then latency; null when neither is usable."""
     return F.coalesce(finite_positive(F.col("duration_ms")), finite_positive(F.col("latency_ms")))

@@ -32,22 +32,18 @@ def request_rows(unique: DataFrame, providers: DataFrame, timezone: str = "UTC")
     """Unique requests with labels, local date and hour in the analysis zone, and totals."""
     if "session_provider" not in unique.columns:
         unique = unique.withColumn("session_provider", F.lit(None).cast("string"))
-    clock = U.wall_clock(F.col("created_at"), timezone)
+    created = F.col("created_at")
     rows = attach_provider_names(unique, providers).withColumns(
         {
             **_labels(),
-            "local_datetime": clock,
+            "local_datetime": U.wall_clock(created, timezone),
+            "date": U.local_date(created, timezone),
+            "hour": U.local_hour(created, timezone),
             "requests": F.lit(1).cast("bigint"),
             "grain": F.lit("request"),
         }
     )
-    return rows.withColumns(
-        {
-            "date": F.col("local_datetime").cast("date"),
-            "hour": F.lpad(F.hour("local_datetime").cast("string"), 2, "0"),
-            "total_tokens": U.total_tokens(),
-        }
-    )
+    return rows.withColumn("total_tokens", U.total_tokens())
 
 
 def rollup_rows(rollups: DataFrame, providers: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def status_counts(requests: DataFrame) -> DataFrame:
 
 def covered_dates(requests: DataFrame, rollups: DataFrame, timezone: str = "UTC") -> DataFrame:
     """Days each host reported on, before any removal."""
-    asked = requests.select("host", U.wall_clock(F.col("created_at"), timezone).cast("date").alias("date"))
+    asked = requests.select("host", U.local_date(F.col("created_at"), timezone).alias("date"))
     return asked.unionByName(rollups.select("host", "date")).distinct()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from usagelens.functions import usage as U
 from usagelens.functions.projects import with_project
+from usagelens.operators.enrich import spread_nulls
 from usagelens.schemas import MONEY
 
 
@@ -110,14 +111,14 @@ def enriched_requests(spark: SparkSession, sf_dir: str, projects: bool = True) -
     rows = rows.withColumn("session_provider", F.when(in_log, F.concat(F.lit("prov-"), number % 7)))
     if not projects:
         return rows
-    rows = rows.withColumns(
-        {
-            "cwd": session_directory(),
-            "session_key": U.session_key(F.col("session_id")),
-            "session_title": F.when(number % 2 == 0, F.concat(F.lit("Title "), number)),
-        }
+    # Evidence per session first, as saved logs would give it; rows meet it by session id.
+    sessions = table(spark, sf_dir, "orders").selectExpr("concat('s', o_orderkey % 500) AS session_id").distinct()
+    sessions = with_project(sessions.withColumn("cwd", session_directory()), "cwd").withColumn(
+        "session_title", F.when(number % 2 == 0, F.concat(F.lit("Title "), number))
     )
-    return with_project(rows, "cwd").drop("cwd")
+    keyed = rows.withColumn("_key", spread_nulls(F.col("session_id"), F.col("request_id")))
+    joined = keyed.join(sessions.drop("cwd").withColumnRenamed("session_id", "_key"), "_key", "left").drop("_key")
+    return joined.withColumn("session_key", U.session_key(F.col("session_id")))
 
 
 def rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
