@@ -42,6 +42,9 @@ def effective_requests(requests: DataFrame, window_s: int = 600) -> DataFrame:
         .groupBy(*tokens, "app_type", "cache_creation_tokens", model.alias("_model"), bin_of.alias("_bin"))
         .agg(F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
     )
+    # The bin read off the aggregate keeps the join below from moving under it,
+    # so copies of a hot key are combined before any shuffle.
+    proxies = proxies.withColumn("_bin", F.floor(F.col("_first") / window_s))
     # Only token keys that a session row has in the same or a neighbouring bin matter.
     around = F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("_bin")
     proxies = proxies.join(copies.select(*tokens, around).distinct(), [*tokens, "_bin"], "left_semi")
@@ -61,12 +64,11 @@ def effective_requests(requests: DataFrame, window_s: int = 600) -> DataFrame:
         F.max(F.when(F.col("_near.offset") == 1, F.col("_last"))).alias("_before"),
         F.min(F.when(F.col("_near.offset") == -1, F.col("_first"))).alias("_after"),
     ]
-    known = (
-        spread.withColumn("_model", F.explode(F.array(F.col("_model"), F.lit(ANY))))
-        .groupBy(*places, "_model")
-        .agg(*reach)
-    )
-    unnamed = spread.where(F.col("_model") == "unknown").groupBy(*places).agg(*reach)
+    # Both covers share one aggregation of the proxies: a filter on an exploded
+    # column stays above it.
+    named = spread.withColumn("_model", F.explode(F.array(F.col("_model"), F.lit(ANY))))
+    known = named.groupBy(*places, "_model").agg(*reach)
+    unnamed = named.where(F.col("_model") == "unknown").groupBy(*places).agg(*reach)
 
     no_writes = (F.col("cache_creation_tokens") == 0) & (F.col("data_source") != "session_log")
     keyed = copies.withColumns(
