@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions import usage as U
-from usagelens.operators.prefix import running_sums
+from usagelens.operators.prefix import previous_value, running_sums
 
 CHUNK = 100_000
 CALL_EVENTS = ("call", "result")
@@ -131,11 +131,10 @@ def counted_intervals(intervals: DataFrame) -> DataFrame:
     return intervals.where("event = 'count'")
 
 
-def drop_repeats(events: DataFrame, total: Column, order: list[Column], keys: list[str]) -> DataFrame:
+def drop_repeats(events: DataFrame, total: Column, order: str, keys: list[str], chunk: int = CHUNK) -> DataFrame:
     """Drop counter events whose cumulative total equals the one before in the group."""
-    previous = F.lag(total).over(Window.partitionBy(*keys).orderBy(*order))
-    kept = events.withColumn("_repeat", F.coalesce(total == previous, F.lit(False))).where("NOT _repeat")
-    return kept.drop("_repeat")
+    found = previous_value(events, keys, F.floor(F.col(order) / chunk), [order], total, "_previous")
+    return found.where(~F.coalesce(total == F.col("_previous"), F.lit(False))).drop("_previous")
 
 
 def message_intervals(events: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -33,6 +33,20 @@ def running_sums(
     return summed.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
 
 
+def previous_value(df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add the value of the row before in the group; the last value of a chunk is carried to the next."""
+    cut = df.withColumns({"_chunk": chunk, "_value": value})
+    lasts = cut.groupBy(*keys, "_chunk").agg(F.max_by("_value", F.struct(*order)).alias("_last"))
+    carried = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    offsets = lasts.select(*keys, "_chunk", carried.alias("_carried"))
+    along = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    first = F.row_number().over(along) == 1
+    joined = cut.join(offsets, [*keys, "_chunk"])
+    return joined.withColumn(
+        name, F.when(first, F.col("_carried")).otherwise(F.lag("_value").over(along))
+    ).drop("_chunk", "_value", "_carried")
+
+
 def previous_within(
     df: DataFrame, keys: list[str], time: str, order: list[str], fields: list[str], reach_s: float, chunk_s: float = 3600
 ) -> DataFrame:

@@ -121,7 +121,7 @@ def log_a_events(records: DataFrame, live: bool = False) -> DataFrame:
 def _without_repeated_totals(events: DataFrame) -> DataFrame:
     """Drop counts whose cumulative total repeats the count before."""
     counted = events.where((F.col("event") == "count") & F.col("total").isNotNull())
-    fresh = intervals.drop_repeats(counted, F.col("total"), [F.col("ordinal")], ["session_id"])
+    fresh = intervals.drop_repeats(counted, F.col("total"), "ordinal", ["session_id"])
     others = events.where(~((F.col("event") == "count") & F.col("total").isNotNull()))
     return others.unionByName(fresh)
 
