@@ -146,7 +146,9 @@ def message_intervals(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     first line's input boundary and the largest token count.
     """
     order = [F.col("ordinal"), F.col("part")]
-    same_call = Window.partitionBy("session_id", "call_id", F.col("event").isin(*CALL_EVENTS)).orderBy(*order)
+    # Events without a call need no previous one; their part of the key only spreads them.
+    place = F.when(F.col("event").isin(*CALL_EVENTS), F.lit(-1)).otherwise(F.floor(F.col("ordinal") / chunk))
+    same_call = Window.partitionBy("session_id", "call_id", place).orderBy(*order)
     previous = F.lag("event").over(same_call)
     opens = (F.col("event") == "call") & ~F.coalesce(previous == "call", F.lit(False))
     closes = (F.col("event") == "result") & F.coalesce(previous == "call", F.lit(False))
@@ -168,12 +170,12 @@ def message_intervals(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     lines = rows.withColumn("_boundary", boundary).where(
         (F.col("event") == "output") & U.usable_identity(F.col("message_id")).isNotNull()
     )
-    place = F.struct(*order)
+    position = F.struct(*order)
     messages = lines.groupBy("session_id", "message_id").agg(
         F.min(F.struct("ordinal", "part", "_boundary")).alias("_first"),
         F.max(F.when(F.col("output_tokens") > 0, F.struct("output_tokens", "stamp"))).alias("_best"),
-        F.max_by("model", place).alias("model"),
-        F.max_by("provider", place).alias("provider"),
+        F.max_by("model", position).alias("model"),
+        F.max_by("provider", position).alias("provider"),
     )
     start, end = F.col("_first._boundary"), F.col("_best.stamp")
     timed = start < end
