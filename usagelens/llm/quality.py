@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Most labelled rows used in a fit; they come to the driver, 8 bytes a statistic.
 MOST_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, LEAST_ROWS = 60, 3, 32, 0.2, 8
+TREES, DEPTH, BINS, RATE, LEAST_ROWS = 40, 3, 32, 0.2, 8
 #: Strength of the lasso, as a share of the smallest that keeps no rule.
 LASSO = 0.003
-STEPS = 400
+STEPS = 300
 #: Score from which a document is taken as good.
 GOOD = 0.3
 
@@ -158,7 +158,7 @@ def _lasso(a: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     base = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     start = np.log(base / (1 - base))
     penalty = LASSO * np.abs(b.T @ (y - base)).max() / n
-    rate = 4 * n / max(np.linalg.norm(b, 2) ** 2, n)
+    rate = 4 * n / max(float(np.linalg.eigvalsh(b.T @ b)[-1]), n)
     w = old = np.zeros(b.shape[1])
     c = old_c = start
     for t in range(1, STEPS + 1):
