@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.llm import bpe, chat, licenses, quality, token_files
+from usagelens.llm import bpe, chat, decontaminate, fingerprints, licenses, quality, simhash, token_files
 from usagelens.llm.common import table
 from usagelens.session import materialize, new_path
 
@@ -29,11 +29,23 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), path, new_path(spark, "tokens"), END_ID)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
@@ -48,7 +60,10 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
+    "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
+    "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
 
