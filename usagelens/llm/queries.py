@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.llm import bpe, chat, decontaminate, fingerprints, licenses, quality, simhash, token_files
+from usagelens.llm import bpe, chat, decontaminate, fingerprints, licenses, quality, simhash, substring_dedup, token_files
 from usagelens.llm.common import table
 from usagelens.session import materialize, new_path
 
@@ -15,6 +15,10 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +61,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
@@ -68,6 +73,22 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: {'i': i, 'h': sha256(array_to_string(w[i:i + 19], ' '))})) AS x
+  FROM words WHERE len(w) >= 20
+),
+later AS (SELECT doc_id, x.i AS i, row_number() OVER (PARTITION BY x.h ORDER BY doc_id, x.i) > 1 AS again FROM windows),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later WHERE again),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM placed ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""",
     "op10_chat_format": """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
