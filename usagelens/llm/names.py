@@ -158,7 +158,7 @@ class Names:
         self.inverse[order] = np.cumsum(new) - 1
         place = (self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         self.buckets, self.starts = np.unique(place.astype(np.int64), return_index=True)
-        self.stops = np.append(self.starts[1:], len(at))
+        self.stops = np.append(self.starts[1:], [len(at)] * bool(len(at)))
 
     def filter_rows(self, chunk: int, kind: int = FILTER) -> Iterator[tuple]:
         for b, i, j in zip(self.buckets.tolist(), self.starts, self.stops, strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.llm import bpe, chat, decontaminate, fingerprints, licenses, quality, simhash, substring_dedup, token_files
+from usagelens.llm import bpe, chat, decontaminate, fingerprints, licenses, quality, simhash, substring_dedup, suffix_dedup, token_files
 from usagelens.llm.common import table
 from usagelens.session import materialize, new_path
 
@@ -42,6 +42,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
@@ -88,6 +93,27 @@ kept AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
+""",
+    "op7_suffix_dedup": r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, unnest(list_transform(range(0, (length(h) // 2) - 399), lambda i: {'i': i, 'k': md5(substr(h, 2 * i + 1, 800))})) AS x
+  FROM docs WHERE length(h) >= 800
+),
+repeated AS (SELECT doc_id, x.i AS i FROM windows QUALIFY count(*) OVER (PARTITION BY x.k) > 1),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS fresh FROM repeated),
+runs AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, b AS a FROM spans UNION ALL SELECT doc_id, 0 FROM docs),
+gaps AS (
+  SELECT e.doc_id, e.a, substr(h, 2 * e.a + 1, 2 * (coalesce(min(s.a), length(h) // 2) - e.a)) AS piece
+  FROM edges e JOIN docs USING (doc_id) LEFT JOIN spans s ON s.doc_id = e.doc_id AND s.a >= e.a GROUP BY e.doc_id, e.a, h
+),
+kept AS (SELECT doc_id, unhex(string_agg(piece, '' ORDER BY a)) AS text FROM gaps GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(kept.text) AS kept_sha256
+FROM docs JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """,
     "op10_chat_format": """
 WITH rows AS (
