@@ -3,7 +3,9 @@
 Merges are found with a segment tree over the ranks of adjacent pairs: its root
 holds the lowest rank and, among equal ranks, the leftmost place. A merge changes
 three leaves, each in time logarithmic in the word's length, until the root says
-that no mergeable pair is left. Long words without spaces therefore stay cheap.
+that no mergeable pair is left. Short words of a batch are merged side by side,
+one tree a row of a numpy array; long words have a tree of their own and stay
+cheap however long they are.
 
 Texts are first split as the vocabulary file says: special tokens, then the
 byte-level pattern. A worker remembers a bounded number of words.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,15 @@ from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
 from usagelens.llm import pieces
-from usagelens.llm.common import per_batch
 
-#: Above every rank.
+#: Above every key of a tree.
 NONE = 1 << 62
+#: Longest word, in bytes, that shares an array with others.
+SHORT = 64
+#: Texts that are encoded together.
+TOGETHER = 128
+#: One word of Latin letters and what punctuation follows: two words of the byte-level pattern at most.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -73,65 +81,148 @@ class Vocabulary:
         if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["model"]["type"] != "BPE":
             raise ValueError("The file does not hold a byte-level BPE")
         ids = spec["model"]["vocab"]
-        self.letters = byte_letters()
-        values = {letter: byte for byte, letter in self.letters.items()}
-        self.byte_ids = [ids.get(self.letters[b]) for b in range(256)]
-        self.merges = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        letters = byte_letters()
+        values = {letter: byte for byte, letter in letters.items()}
+        self.byte_ids = np.array([ids[letters[b]] for b in range(256)], np.int64)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.size = max(ids.values()) + 1
+        pairs = np.array([ids[a] * self.size + ids[b] for a, b in merges], np.int64)
+        self.merged = np.array([ids[a + b] for a, b in merges], np.int64)
+        self.pair_rank = np.argsort(pairs, kind="stable")
+        self.pairs = pairs[self.pair_rank]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: bytes(values[c] for c in token) for token, i in ids.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         before = spec["pre_tokenizer"]
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=before["add_prefix_space"], use_regex=before["use_regex"])
-        self.words = pieces.Remembered(lambda letters: tuple(self.merge([self.letter_ids[c] for c in letters])))
-        self.letter_ids = {letter: ids[letter] for letter in self.letters.values() if letter in ids}
-        self.parts = pieces.Remembered(self._part)
-
-    def merge(self, symbols: list[int]) -> list[int]:
-        """The ids left when no adjacent pair can merge any more."""
+        self.plain = before["use_regex"] and not before["add_prefix_space"]
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+        """Tree keys of pairs: rank and place, or NONE for pairs without a merge."""
+        pair = left * self.size + right
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        return np.where((self.pairs[at] == pair) & (left >= 0) & (right >= 0), self.pair_rank[at] * width + place, NONE)
+
+    def merge_long(self, symbols: list[int]) -> list[int]:
+        """The ids left when no adjacent pair can merge, with one tree."""
         n = len(symbols)
         if n < 2:
             return symbols
-        merges = self.merges
+        found = np.array(symbols, np.int64)
+        tree = PairTree(self.keys(found[:-1], found[1:], np.arange(n - 1), n).tolist())
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
 
         def key(i: int, j: int) -> int:
-            found = merges.get((symbols[i], symbols[j]))
-            return NONE if found is None else found[0] * n + i
+            return int(self.keys(np.array([symbols[i]]), np.array([symbols[j]]), np.array([i]), n)[0])
 
-        tree = PairTree([key(i, i + 1) for i in range(n - 1)])
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while (top := tree.root) != NONE:
-            i = top % n
+            rank, i = divmod(top, n)
             j = after[i]
-            symbols[i], symbols[j] = merges[symbols[i], symbols[j]][1], -1
+            symbols[i], symbols[j] = int(self.merged[rank]), -1
             k = after[i] = after[j]
             if j < n - 1:
                 tree.update(j, NONE)
             if k < n:
                 before[k] = i
-                tree.update(i, key(i, k))
-            else:
-                tree.update(i, NONE)
+            tree.update(i, key(i, k) if k < n else NONE)
             if before[i] >= 0:
                 tree.update(before[i], key(before[i], i))
         return [s for s in symbols if s >= 0]
 
-    def _part(self, part: str) -> bytes:
-        words = self.words
-        ids = [i for word, _ in self.splitter.pre_tokenize_str(part) for i in words[word]]
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part, special in pieces.special_split(text, list(self.special)):
-            if special:
-                out.append(np.uint32(self.special[part]).astype("<u4").tobytes())
+    def merge_short(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids of words of at most ``width`` bytes, each with its tree, side by side."""
+        count = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, count)
+        # One column more than places: where the last symbol's successor would be.
+        symbols = np.full((count, width + 1), -1, np.int64)
+        inside = np.arange(width + 1) < sizes[:, None]
+        symbols[inside] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        place = np.arange(width)
+        tree = np.full((count, 2 * width), NONE, np.int64)
+        tree[:, width:] = self.keys(symbols[:, :-1], symbols[:, 1:], np.broadcast_to(place, (count, width)), width)
+        for low in (1 << k for k in reversed(range(width.bit_length() - 1))):
+            tree[:, low : 2 * low] = tree[:, 2 * low : 4 * low].reshape(count, low, 2).min(axis=2)
+        after = np.broadcast_to(np.arange(1, width + 2), (count, width + 1)).copy()
+        np.minimum(after, width, out=after)
+        before = np.broadcast_to(np.arange(-1, width), (count, width + 1)).copy()
+        flat, sym, nxt, prv = tree.ravel(), symbols.ravel(), after.ravel(), before.ravel()
+        levels = width.bit_length() - 1
+
+        def update(row: np.ndarray, leaf: np.ndarray, key: np.ndarray) -> None:
+            node, base = leaf + width, row * (2 * width)
+            flat[base + node] = key
+            for _ in range(levels):
+                node >>= 1
+                child = base + 2 * node
+                flat[base + node] = np.minimum(flat[child], flat[child + 1])
+
+        rows = np.flatnonzero(tree[:, 1] < NONE)
+        while len(rows):
+            rank, i = np.divmod(flat[rows * (2 * width) + 1], width)
+            base = rows * (width + 1)
+            j = nxt[base + i]
+            k = nxt[base + j]
+            sym[base + i], sym[base + j] = self.merged[rank], -1
+            nxt[base + i] = k
+            prv[base + k] = i
+            p = prv[base + i]
+            update(rows, j, np.full(len(rows), NONE))
+            update(rows, i, self.keys(sym[base + i], sym[base + k], i, width))
+            has = p >= 0
+            update(rows[has], p[has], self.keys(sym[(base + p)[has]], sym[(base + i)[has]], p[has], width))
+            rows = rows[flat[rows * (2 * width) + 1] < NONE]
+        left = symbols >= 0
+        ids, stops = symbols[left].astype("<u4").tobytes(), 4 * np.cumsum(left.sum(axis=1))
+        return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+    def _learn_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words; the short ones are remembered."""
+        classes: dict[int, list[str]] = {}
+        found = {}
+        for word in words:
+            n = len(word.encode())
+            if n > SHORT:
+                symbols = self.byte_ids[np.frombuffer(word.encode(), np.uint8)].tolist()
+                found[word] = np.array(self.merge_long(symbols), "<u4").tobytes()
             else:
-                out.extend(map(self.parts.__getitem__, pieces.parts(part)))
-        return b"".join(out)
+                classes.setdefault(max(2, 1 << (n - 1).bit_length()), []).append(word)
+        if len(self.words) + len(words) > pieces.REMEMBERED:
+            self.words.clear()
+        for width, same in classes.items():
+            found |= zip(same, self.merge_short([w.encode() for w in same], width), strict=True)
+            self.words.update((w, found[w]) for w in same)
+        return found
+
+    def _split(self, part: str) -> list[str]:
+        """Words of the byte-level pattern."""
+        if self.plain and (plain := _PLAIN.fullmatch(part)):
+            word, rest = plain.groups()
+            return [word, rest] if rest else [word]
+        return [part[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(part)]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        special = list(self.special)
+        cut = [[(s, True) if marked else (p, False) for s, marked in pieces.special_split(t, special) for p in ([s] if marked else pieces.parts(s))] for t in texts] if any(s in t for t in texts for s in special) else None
+        plain = [pieces.parts(t) for t in texts] if cut is None else [[p for p, marked in c if not marked] for c in cut]
+        if len(self.parts) > pieces.REMEMBERED:
+            self.parts.clear()
+        known, words = self.parts, self.words
+        new = {p: self._split(p) for p in set().union(*plain).difference(known)}
+        missing = {w for ws in new.values() for w in ws if w not in words}
+        held = {w: words[w] for ws in new.values() for w in ws if w in words} | self._learn_words(missing) if new else {}
+        large = {}
+        for part, ws in new.items():
+            (known if len(part) <= pieces.LONGEST else large)[part] = b"".join([held[w] for w in ws])
+        if large:
+            known = known | large
+        if cut is None:
+            return [b"".join(map(known.__getitem__, parts)) for parts in plain]
+        marks = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
+        return [b"".join([marks[p] if marked else known[p] for p, marked in c]) for c in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -144,41 +235,54 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) of each whole text."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         v = vocabulary(path)
-        ids = [v.encode(t.as_py() or "") for t in batch.column("text")]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for batch in _slices(batches):
+            ids = v.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(per_batch(run), "doc_id long, ids binary")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the text they stand for."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         v = vocabulary(path)
-        decoded = [v.decode(i.as_py()) for i in batch.column("ids")]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.string())], ["doc_id", "ids", "text"]
-        )
+        for batch in _slices(batches):
+            text = [v.decode(i) for i in batch.column("ids").to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("ids"), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(per_batch(run), "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """Numbers of ids and digests, per document."""
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the text decoded from them.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("ids").to_pylist()
-        columns = [
-            batch.column("doc_id"),
-            pa.array([len(i) // 4 for i in ids], pa.int64()),
-            pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-            pa.array([hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column("text")]),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    Encodes and decodes in one pass, so that ids need not travel between workers.
+    """
 
-    return decoded.mapInArrow(per_batch(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches):
+        v = vocabulary(path)
+        for batch in _slices(batches):
+            ids = v.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(i) // 4 for i in ids], pa.int64()),
+                pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                pa.array([hashlib.sha256(v.decode(i).encode()).hexdigest() for i in ids], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)

@@ -8,8 +8,6 @@ the other, are the ids of the whole. Parts repeat a lot and are remembered.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 #: Parts remembered by one worker at most; beyond that it starts afresh.
 REMEMBERED = 300_000
 #: Longer parts are not remembered.
@@ -28,22 +26,6 @@ def parts(text: str) -> list[str]:
     return out
 
 
-class Remembered(dict):
-    """part -> result of ``make``, of a bounded number of short parts."""
-
-    def __init__(self, make: Callable[[str], object]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, part: str):
-        result = self.make(part)
-        if len(part) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = result
-        return result
-
-
 def special_split(text: str, special: list[str]) -> list[tuple[str, bool]]:
     """(part, whether it is a special token's string), leftmost and longest first."""
     if not any(s in text for s in special):
