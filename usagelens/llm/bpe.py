@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,6 @@ NONE = 1 << 62
 SHORT = 64
 #: Texts that are encoded together.
 TOGETHER = 128
-#: One word of Latin letters and what punctuation follows: two words of the byte-level pattern at most.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -96,8 +93,7 @@ class Vocabulary:
         before = spec["pre_tokenizer"]
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=before["add_prefix_space"], use_regex=before["use_regex"])
         self.plain = before["use_regex"] and not before["add_prefix_space"]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = pieces.Memory(), pieces.Memory()
 
     def keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
         """Tree keys of pairs: rank and place, or NONE for pairs without a merge."""
@@ -179,50 +175,46 @@ class Vocabulary:
         return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
     def _learn_words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; the short ones are remembered."""
+        """Remembers the ids of short words and returns those of the others."""
         classes: dict[int, list[str]] = {}
-        found = {}
+        long = {}
         for word in words:
             n = len(word.encode())
             if n > SHORT:
                 symbols = self.byte_ids[np.frombuffer(word.encode(), np.uint8)].tolist()
-                found[word] = np.array(self.merge_long(symbols), "<u4").tobytes()
+                long[word] = np.array(self.merge_long(symbols), "<u4").tobytes()
             else:
                 classes.setdefault(max(2, 1 << (n - 1).bit_length()), []).append(word)
-        if len(self.words) + len(words) > pieces.REMEMBERED:
-            self.words.clear()
         for width, same in classes.items():
-            found |= zip(same, self.merge_short([w.encode() for w in same], width), strict=True)
-            self.words.update((w, found[w]) for w in same)
-        return found
-
-    def _split(self, part: str) -> list[str]:
-        """Words of the byte-level pattern."""
-        if self.plain and (plain := _PLAIN.fullmatch(part)):
-            word, rest = plain.groups()
-            return [word, rest] if rest else [word]
+            self.words.young.update(zip(same, self.merge_short([w.encode() for w in same], width), strict=True))
+        return long
+
+    def _split(self, key: str) -> list[str]:
+        """Words of the byte-level pattern in the part of a key."""
+        if self.plain and (word := pieces.word_of(key)):
+            return [" " + word, key[len(word) :]] if len(key) > len(word) else [" " + word]
+        part = pieces.part(key)
         return [part[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(part)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         special = list(self.special)
-        cut = [[(s, True) if marked else (p, False) for s, marked in pieces.special_split(t, special) for p in ([s] if marked else pieces.parts(s))] for t in texts] if any(s in t for t in texts for s in special) else None
-        plain = [pieces.parts(t) for t in texts] if cut is None else [[p for p, marked in c if not marked] for c in cut]
-        if len(self.parts) > pieces.REMEMBERED:
-            self.parts.clear()
-        known, words = self.parts, self.words
-        new = {p: self._split(p) for p in set().union(*plain).difference(known)}
-        missing = {w for ws in new.values() for w in ws if w not in words}
-        held = {w: words[w] for ws in new.values() for w in ws if w in words} | self._learn_words(missing) if new else {}
-        large = {}
-        for part, ws in new.items():
-            (known if len(part) <= pieces.LONGEST else large)[part] = b"".join([held[w] for w in ws])
-        if large:
-            known = known | large
-        if cut is None:
-            return [b"".join(map(known.__getitem__, parts)) for parts in plain]
-        marks = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-        return [b"".join([marks[p] if marked else known[p] for p, marked in c]) for c in cut]
+        cut = [
+            pieces.keys(t) if not any(s in t for s in special)
+            else [k for s, marked in pieces.special_split(t, special) for k in ([pieces.FIRST + s] if marked else pieces.keys(s))]
+            for t in texts
+        ]
+        return self.parts.looked_up(cut, self._learn_parts)
+
+    def _learn_parts(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of parts by key."""
+        split = {k: self._split(k) for k in new if pieces.part(k) not in self.special}
+        missing = self.words.unknown({w for words in split.values() for w in words})
+        long = self._learn_words(missing)
+        held = self.words.young | long if long else self.words.young
+        out = {k: b"".join([held[w] for w in words]) for k, words in split.items()}
+        out.update((k, np.array([self.special[pieces.part(k)]], "<u4").tobytes()) for k in new if k not in split)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

@@ -8,24 +8,106 @@ the other, are the ids of the whole. Parts repeat a lot and are remembered.
 
 from __future__ import annotations
 
-#: Parts remembered by one worker at most; beyond that it starts afresh.
-REMEMBERED = 300_000
+import re
+from collections.abc import Callable
+
+#: Parts that one generation of a worker's memory holds, about; there are two.
+REMEMBERED = 700_000
 #: Longer parts are not remembered.
 LONGEST = 64
 
 
-def parts(text: str) -> list[str]:
-    """The text cut at safe places; joined they give the text again."""
+#: Starts the key of a part without a leading space; no valid text holds it.
+FIRST = "\ud800"
+_BREAK = FIRST + "\n"
+_BLANKS = re.compile(r"\s\s")
+
+
+def keys(text: str) -> list[str]:
+    """The text cut at safe places: keys of its parts.
+
+    A key is the part without its leading space, or ``FIRST`` and the part where it
+    has none. Without white space side by side, every space and line break is safe.
+    """
+    if _BLANKS.search(text) is None:
+        out: list[str] = []
+        for number, line in enumerate(text.split("\n")):
+            if number:
+                out.append(_BREAK)
+            first, *rest = line.split(" ")
+            if first:
+                out.append(FIRST + first)
+            out += rest
+        return out
     first, *rest = text.split(" ")
-    out = [first] if first else []
+    out = [FIRST + first] if first else []
     for piece in rest:
         if out and (not piece or piece[0].isspace()):
             out[-1] += " " + piece
         else:
-            out.append(" " + piece)
+            out.append(piece)
     return out
 
 
+def part(key: str) -> str:
+    """The part of a key; all parts of a text, joined, give the text again."""
+    return key[1:] if key.startswith(FIRST) else " " + key
+
+
+#: Punctuation that the byte-level pattern always cuts from a word before it.
+_ENDINGS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def word_of(key: str) -> str:
+    """The word of a key that is one word of Latin letters and an ending; else nothing."""
+    word = key.rstrip(_ENDINGS)
+    return word if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)) else ""
+
+
+class Memory:
+    """part -> its ids, of a bounded number of parts: those used of late.
+
+    Parts in use are in ``young``. When that is full it becomes ``old``, and a part
+    of the old generation comes back with its next use.
+    """
+
+    def __init__(self, size: int = REMEMBERED) -> None:
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, parts: set[str]) -> set[str]:
+        """The parts that are not remembered; the others are in ``young`` from here on."""
+        self.turn()
+        missing, old = parts.difference(self.young), self.old
+        back = {p: old[p] for p in missing if p in old}
+        self.young.update(back)
+        return missing.difference(back)
+
+    def turn(self) -> None:
+        """Starts a new generation when the young one is full."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def looked_up(self, cut: list[list[str]], learn: Callable[[set[str]], dict[str, bytes]]) -> list[bytes]:
+        """The ids of each list of parts; ``learn`` finds those that are not remembered."""
+        self.turn()
+        get = self.young.get
+        found = [list(map(get, parts)) for parts in cut]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        missing = {parts[i] for parts, gap in zip(cut, gaps, strict=True) for i in gap}
+        old = self.old
+        back = {p: old[p] for p in missing if p in old}
+        new = learn(missing.difference(back)) if len(back) < len(missing) else {}
+        now = back | new
+        for parts, f, gap in zip(cut, found, gaps, strict=True):
+            for i in gap:
+                f[i] = now[parts[i]]
+        self.young.update([(p, ids) for p, ids in now.items() if len(p) <= LONGEST])
+        return [b"".join(f) for f in found]
+
+
 def special_split(text: str, special: list[str]) -> list[tuple[str, bool]]:
     """(part, whether it is a special token's string), leftmost and longest first."""
     if not any(s in text for s in special):

@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ from usagelens.llm.common import NO_ID, id_back, keyed
 
 #: Ids of a block, about.
 BLOCK = 1 << 16
-#: Documents that are encoded together.
-TOGETHER = 256
+#: Documents, and words, that are encoded together.
+TOGETHER, JOINED = 512, 200
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -69,21 +70,54 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
+        pattern = self.library.pre_tokenizer
+        # Only where the pattern splits a word from punctuation may they be encoded apart.
+        self.apart = [w for w, _ in pattern.pre_tokenize_str(" a,")] == ["\u0120a", ","] if pattern else False
+        self.parts, self.words = pieces.Memory(), pieces.Memory(pieces.REMEMBERED // 2)
+        self.rests: dict[str, bytes] = {}
+        self.leads = np.zeros(self.size, bool)
+        self.leads[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, each behind a space, many in a string: a token with a space starts each."""
+        lines = [" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        found = [array(self.code, e.ids) for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
+        if not found:
+            return {}
+        ids = np.concatenate([np.frombuffer(f, self.kind) for f in found])
+        cuts = (np.flatnonzero(self.leads[ids]) * ids.itemsize).tolist()
+        raw = ids.tobytes()
+        return dict(zip(words, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        found = self.library.encode_batch_fast(new, add_special_tokens=False)
+        return {p: array(self.code, e.ids).tobytes() for p, e in zip(new, found, strict=True)}
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [[p for s, special in pieces.special_split(t, self.special) for p in ([s] if special else pieces.parts(s))] for t in texts]
-        if len(self.known) > pieces.REMEMBERED:
-            self.known.clear()
-        known, large = self.known, {}
-        new = list({p for parts in cut for p in parts if p not in known})
-        for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (known if len(part) <= pieces.LONGEST else large)[part] = np.array(found.ids, "<u4").tobytes()
-        if large:
-            known = known | large
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        """Ids of each text as little-endian unsigned integers of ``kind``."""
+        special = self.special
+        cut = [
+            pieces.keys(t) if not any(s in t for s in special)
+            else [k for s, marked in pieces.special_split(t, special) for k in ([pieces.FIRST + s] if marked else pieces.keys(s))]
+            for t in texts
+        ]
+        return self.parts.looked_up(cut, self._learn_parts)
+
+    def _learn_parts(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of parts by key: of their words and endings where the pattern cuts them apart."""
+        split = {k: w for k in new if (w := pieces.word_of(k))} if self.apart else {}
+        missing = self.words.unknown(set(split.values()))
+        self.words.young |= self._learn_words([*missing])
+        held, rests = self.words.young, self.rests
+        if len(rests) > pieces.REMEMBERED // 8:
+            rests.clear()
+        rests |= self._learn([*{k[len(w) :] for k, w in split.items()}.difference(rests)])
+        learned = self._learn([*{pieces.part(k) for k in new if k not in split}])
+        out = {k: held[w] + rests[k[len(w) :]] for k, w in split.items()}
+        out.update([(k, learned[pieces.part(k)]) for k in new if k not in split])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -105,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         bits = max(1, max(e.size - 1, end_id).bit_length())
-        end = np.uint32(end_id).tobytes()
+        end = np.array([end_id], e.kind).tobytes()
         shard = TaskContext.get().partitionId()
         block, first = 0, 0
         ids: list[int] = []
@@ -122,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
                 for i, found in zip(part.column("_id").to_pylist(), e.batch(part.column("text").to_pylist()), strict=True):
-                    numbers = np.frombuffer(found + end, "<u4")
+                    numbers = np.frombuffer(found + end, e.kind)
                     ids.append(i)
                     counts.append(len(numbers))
                     packed.append(pack(numbers, bits))
