@@ -23,24 +23,21 @@ row per pair of ids. Empty tables: no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm.common import NO_ID, id_back, keyed
+from usagelens.llm.names import Rolling
+from usagelens.llm.words import bounds, row_slices
 
 WINDOW, COVER, SHORTEST = 8, 12, 4
 #: Words of a window that must be no placeholders.
 LITERAL = 0.5
 #: The bit table has 2 ** FILTER bits, 2 MB.
 FILTER = 24
-#: Documents that are looked at together.
-TOGETHER = 64
 #: Units and number words that become placeholders, fixed values.
 UNITS = frozenset(
     b"mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres mg g kg gram grams kilogram kilograms ounce ounces "
@@ -49,99 +46,92 @@ UNITS = frozenset(
 )
 NUMBER_WORDS = frozenset(b"two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
-_NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
-_NAME = re.compile(rb"[A-Z][a-z]+(?:[-'][A-Za-z]+)*")
-_EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
-_IS_NUMBER, _IS_UNIT, _IS_NAME, _ENDS = 1, 2, 4, 8
-#: Words remembered by one worker at most.
-_REMEMBERED = 600_000
 
 
-class _Lexicon(dict):
-    """word -> place of its hash and kind."""
+def _bytes(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes = np.zeros(1 << 16, np.uint64)
-        self.kinds = np.zeros(1 << 16, np.uint8)
 
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
-        core = word.strip(_EDGE) or word
-        low = core.lower()
-        kind = _IS_NUMBER if _NUMBER.fullmatch(core) or low in NUMBER_WORDS else 0
-        kind |= _IS_UNIT if low in UNITS else 0
-        kind |= _IS_NAME if _NAME.fullmatch(core) else 0
-        kind |= _ENDS if word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":") else 0
-        self.hashes[at], self.kinds[at] = xxhash.xxh64_intdigest(low, 7), kind
-        self[word] = at
-        return at
+_DIGITS, _SMALL, _LARGE = (_bytes(bytes(range(ord(a), ord(b) + 1))) for a, b in ("09", "az", "AZ"))
+#: Bytes that a word's core may start and end with; those of numbers; ends of sentences and what may follow them.
+_CORE = _DIGITS | _SMALL | _LARGE | _bytes(bytes(range(128, 256)))
+_IN_NUMBER, _ENDS, _CLOSING = _DIGITS | _bytes(b".,:/"), _bytes(b".!?:"), _bytes(b"\"')]")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[_LARGE] += 32
 
 
-@functools.lru_cache(maxsize=1)
-def _lexicon() -> list[_Lexicon]:
-    return [_Lexicon()]
+def _hash(word: bytes) -> np.uint64:
+    """The hash that the word has inside texts."""
+    return Rolling(np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1))(np.array([0]), np.array([len(word)]))[0]
 
 
-#: Hashes that stand for the placeholders, and the factor of window hashes.
-_SLOTS = {kind: np.uint64(xxhash.xxh64_intdigest(name)) for kind, name in ((_IS_NUMBER, b"<number>"), (_IS_UNIT, b"<unit>"), (_IS_NAME, b"<name>"))}
-_FACTOR = 0x9E3779B97F4A7C15 | 1
+_UNITS, _NUMBERS = (np.sort(np.array([_hash(w) for w in words], np.uint64)) for words in (UNITS, NUMBER_WORDS))
+#: Hashes that stand for numbers, units and names.
+_SLOTS = [_hash(name) for name in (b"<number>", b"<unit>", b"<name>")]
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags stand before each place, and at the end."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
 
 
 class Canonical:
     """Texts as canonical words, one after the other."""
 
     def __init__(self, raws: list[bytes]):
-        held = _lexicon()
-        if len(held[0]) > _REMEMBERED:
-            held[0] = _Lexicon()
-        lexicon = held[0]
-        self.words = [raw.split() for raw in raws]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(raws))
+        data, starts, stops, self.sizes = bounds(raws)
         self.stops = np.cumsum(self.sizes)
-        at = np.fromiter((lexicon[w] for ws in self.words for w in ws), np.int64, int(self.stops[-1]) if len(raws) else 0)
-        kinds, self.hashes = lexicon.kinds[at], lexicon.hashes[at]
-        first = np.zeros(len(at), bool)
+        core = _CORE[data]
+        places, count = np.flatnonzero(core), _before(core)
+        has = count[stops] > count[starts]
+        # A word without letters and digits is its own core.
+        self.start, self.stop = starts.copy(), stops.copy()
+        self.start[has] = places[count[starts[has]]]
+        self.stop[has] = places[count[stops[has]] - 1] + 1
+        self.low = _LOWER[data]
+        self.hashes = Rolling(self.low.astype(np.uint64) + np.uint64(1))(self.start, self.stop)
+        size = self.stop - self.start
+        numeric, small = _before(_IN_NUMBER[data]), _before(_SMALL[data])
+        head = data[self.start]
+        number = _DIGITS[head] & (numeric[self.stop] - numeric[self.start] == size)
+        number |= _among(self.hashes, _NUMBERS)
+        ends = _ENDS[data[stops - 1]] | (_CLOSING[data[stops - 1]] & (stops - starts > 1) & _ENDS[data[stops - 2]])
+        first = np.zeros(len(starts), bool)
         first[(self.stops - self.sizes)[self.sizes > 0]] = True
-        before = np.concatenate([[0], kinds[:-1]]).astype(np.uint8)
-        before[first] = _ENDS
-        number = (kinds & _IS_NUMBER) > 0
-        unit = ((kinds & _IS_UNIT) > 0) & ((before & _IS_NUMBER) > 0) & ~number
-        name = ((kinds & _IS_NAME) > 0) & ((before & _ENDS) == 0) & ~number & ~unit
-        for kind, mask in ((_IS_NUMBER, number), (_IS_UNIT, unit), (_IS_NAME, name)):
-            self.hashes[mask] = _SLOTS[kind]
+        behind = lambda flags: np.concatenate([[False], flags[:-1]])[: len(flags)]
+        opens = first | behind(ends)
+        unit = _among(self.hashes, _UNITS) & behind(number) & ~first & ~number
+        name = _LARGE[head] & (size > 1) & (small[self.stop] - small[self.start] == size - 1) & ~opens & ~number & ~unit
+        for value, mask in zip(_SLOTS, (number, unit, name), strict=True):
+            self.hashes[mask] = value
         self.slot = number | unit | name
+        self.rolling = Rolling(self.hashes)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place in it, hash) of each window with enough literal words."""
         n = len(self.hashes) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.full(n, size, np.uint64)
-        for k in range(size):
-            total *= np.uint64(_FACTOR)
-            total += self.hashes[k : k + n]
-        total ^= total >> np.uint64(31)
-        total *= np.uint64(0xD6E8FEB86659FD93)
-        total ^= total >> np.uint64(32)
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
+        found = self.rolling.windows(size)
+        slots = _before(self.slot)
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[:n]
         fits = np.arange(n) + size <= self.stops[owner]
         fits &= slots[size : size + n] - slots[:n] <= size * (1 - LITERAL)
         at = np.flatnonzero(fits)
-        return owner[at], at - (self.stops - self.sizes)[owner[at]], total[at]
+        return owner[at], at - (self.stops - self.sizes)[owner[at]], found[at]
 
     def slots_of(self, text: int, place: int, size: int) -> list[str]:
         """The values of the window's placeholders, in order."""
-        start = int(self.stops[text] - self.sizes[text]) + place
-        return [
-            (self.words[text][place + k].strip(_EDGE) or self.words[text][place + k]).decode("utf-8", "replace").lower()
-            for k in range(size)
-            if self.slot[start + k]
-        ]
+        at = int(self.stops[text] - self.sizes[text]) + place
+        return [self.low[self.start[k] : self.stop[k]].tobytes().decode("utf-8", "replace") for k in range(at, at + size) if self.slot[k]]
 
 
 ROWS = pa.schema([
@@ -153,9 +143,8 @@ ROWS_DDL = "_id long, _row long, place long, size int, hash long, slots array<st
 
 def _rows(batch: pa.RecordBatch, sizes: list[int], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Windows of a batch; for documents those that the bit table passes, for items the one size that fits."""
-    for start in range(0, batch.num_rows, TOGETHER):
-        part = batch.slice(start, TOGETHER)
-        text = Canonical([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+    for part, raws in row_slices(batch):
+        text = Canonical(raws)
         ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_row"))
         for size in sizes:
             owner, place, found = text.windows(size)
@@ -193,13 +182,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ROWS_DDL)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, cover: int = COVER) -> DataFrame:
-    """doc_id, item_id and how much of the item the document holds, per contaminated pair.
-
-    ``exact_words`` counts covered words in windows that repeat the item's values,
-    ``template_words`` all covered words; ``reparameterised`` marks pairs that only
-    the placeholders found.
-    """
+def _found(docs: DataFrame, items: DataFrame, cover: int) -> DataFrame:
+    """One row per document row and item row that leaked into it; ids as ``keyed`` has them."""
     spark = docs.sparkSession
     mine = item_windows(items)
     bits = spark.sparkContext.broadcast(_bit_table(mine))
@@ -232,8 +216,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, cover: int = COVER) -> DataFra
     found = words.groupBy("_id", "_row", "_item", "_item_row", "_item_words").agg(
         F.count("*").alias("template_words"), F.count_if("_same").alias("exact_words")
     )
-    found = found.where(F.col("template_words") >= F.least(F.lit(cover), F.col("_item_words")))
-    best = found.groupBy("_id", "_item").agg(
+    return found.where(F.col("template_words") >= F.least(F.lit(cover), F.col("_item_words")))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, cover: int = COVER) -> DataFrame:
+    """doc_id, item_id and how much of the item the document holds, per contaminated pair.
+
+    ``exact_words`` counts covered words in windows that repeat the item's values,
+    ``template_words`` all covered words; ``reparameterised`` marks pairs that only
+    the placeholders found.
+    """
+    best = _found(docs, items, cover).groupBy("_id", "_item").agg(
         F.max("exact_words").alias("exact_words"), F.max("template_words").alias("template_words"),
         F.max(F.col("template_words") / F.col("_item_words")).alias("coverage"),
         F.min(F.col("exact_words") < F.least(F.lit(cover), F.col("_item_words"))).alias("reparameterised"),
@@ -244,6 +237,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, cover: int = COVER) -> DataFra
 
 def drop_leaks(docs: DataFrame, items: DataFrame, cover: int = COVER) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark item."""
-    leaked = find_leaks(docs, items, cover).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_leaked")).distinct()
-    same = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == leaked["_leaked"]
-    return docs.join(leaked, same, "left_anti")
+    leaked = _found(docs, items, cover).select("_id", "_row").distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.select(
+        F.struct("*").alias("_all"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_row")
+    )
+    return marked.join(leaked, ["_id", "_row"], "left_anti").select("_all.*")

@@ -17,7 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from usagelens.llm.common import NO_ID
 
@@ -83,19 +84,20 @@ class Rolling:
 # --- chunks -----------------------------------------------------------------
 
 
-def dealt(docs: DataFrame, chunks: int) -> DataFrame:
+def dealt(docs: DataFrame, chunks: int, carry: Column | None = None) -> DataFrame:
     """chunk, doc_id, _order, _row and text; rows that share an id share a chunk.
 
     ``_order`` is doc_id; rows without one come after all others, by hash of text,
-    and are spread over all chunks.
+    and are spread over all chunks. ``carry`` goes along as ``_carry``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    along = [] if carry is None else [carry.alias("_carry")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *along)
     rows = rows.withColumn("_row", F.xxhash64("text"))
     late = F.lit(NO_ID - (1 << 62)) + F.shiftrightunsigned("_row", 2)
     rows = rows.withColumn("_order", F.coalesce("doc_id", late))
     chunk = F.pmod(F.xxhash64("_order", F.lit(7)), F.lit(chunks)).cast("int")
-    return rows.select(chunk.alias("chunk"), "doc_id", "_order", "_row", "text")
+    return rows.select(chunk.alias("chunk"), "doc_id", "_order", "_row", "text", *(["_carry"] if along else []))
 
 
 def sizes(docs: DataFrame) -> tuple[int, int, int]:
@@ -113,13 +115,16 @@ class Chunk:
     doc_ids: list
     order: np.ndarray
     raws: list[bytes]
+    carried: pa.ChunkedArray | None
 
     @staticmethod
     def of(table: pa.Table) -> Chunk:
-        table = table.sort_by([("_order", "ascending"), ("_row", "ascending")])
+        # Sorts places only: Arrow's own sort does not take structs along.
+        table = table.take(np.lexsort((table.column("_row").to_numpy(), table.column("_order").to_numpy())))
         raws = table.column("text").cast(pa.binary()).to_pylist()
         order = table.column("_order").to_numpy()
-        return Chunk(table.column("chunk")[0].as_py(), table.column("doc_id").to_pylist(), order, raws)
+        carried = table.column("_carry") if "_carry" in table.column_names else None
+        return Chunk(table.column("chunk")[0].as_py(), table.column("doc_id").to_pylist(), order, raws, carried)
 
 
 def message(rows: list[tuple]) -> pa.Table:
@@ -256,7 +261,7 @@ def replies(table: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def passed(rows: DataFrame, answers: DataFrame | None, over: Callable[[pa.Table, dict], pa.Table], ddl: str) -> DataFrame:
+def passed(rows: DataFrame, answers: DataFrame | None, over: Callable[[pa.Table, dict], pa.Table], ddl: str | StructType) -> DataFrame:
     """One pass of ``over`` over every chunk with the answers it got, if any were asked before."""
     if answers is None:
         return rows.groupBy("chunk").applyInArrow(lambda table: over(table, {}), ddl)

@@ -28,32 +28,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm import names
 from usagelens.llm.names import OWN, Chunk, Names, Rolling, mix
+from usagelens.llm.words import bounds, slices
 
 LENGTH, START = 20, 5
-#: Bytes that are hashed together.
-SLICE = 1 << 20
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def hash_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and how many words each text has."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    at = 0
-    while at < len(raws):
-        stop, size = at, 0
-        while stop < len(raws) and (stop == at or size + len(raws[stop]) < SLICE):
-            size += len(raws[stop]) + 1
-            stop += 1
-        data = np.frombuffer(b"\n".join(raws[at:stop]) + b"\n", np.uint8)
-        space = _SPACE[data]
-        edge = np.diff(space.view(np.int8), prepend=np.int8(1))
-        starts, stops = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    for at, stop in slices(raws):
+        data, starts, stops, count = bounds(raws[at:stop])
         hashes.append(Rolling(data.astype(np.uint64) + np.uint64(1))(starts, stops))
-        ends = np.cumsum([len(r) + 1 for r in raws[at:stop]])
-        counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
-        at = stop
+        counts.append(count)
     return np.concatenate(hashes), np.concatenate(counts)
 
 
