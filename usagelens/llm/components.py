@@ -33,7 +33,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component: the smallest node reachable, of every node in a link (columns u, v)."""
+    """node, component: the smallest node reachable, of every linked node (u, v) but the smallest ones themselves."""
     now = materialize(links.where("u != v").select("u", "v").distinct(), "links")
     state = None
     while True:

@@ -211,3 +211,11 @@ def score(docs: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
     scored = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     scored = scored.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= good).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
+    """The documents, all columns, that score at least ``good``."""
+    packed = docs.select(F.struct("*").alias("_all"), "text")
+    # Generated, not projected: a filter on a projection would work the statistics out once a rule.
+    scored = with_statistics(packed, ["_all"]).select("_all", F.inline(F.array(F.struct(model.score().alias("_score")))))
+    return scored.where(F.col("_score") >= good).select("_all.*")

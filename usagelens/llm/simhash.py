@@ -23,23 +23,28 @@ table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from usagelens.llm.common import id_back, keyed, per_batch, raw_texts
+from usagelens.llm.common import NO_ID, id_back, keyed, per_batch, raw_texts
 from usagelens.llm.components import components
+from usagelens.llm.names import Rolling
+from usagelens.llm.words import bounds
 from usagelens.session import materialize
 
 BITS, SEED = 64, 42
 #: Fingerprints of one key beyond which it is dealt by further bits.
-HOT = 4096
+HOT, SAMPLED = 4096, 16
 #: Fingerprints that are compared side by side, and of which blocks are left together.
 LANES = 1 << 12
+#: Nearest rows that a row is linked to where links are candidates.
+NEAREST = 3
 
 
 def simhash(raw: bytes, width: int) -> int:
@@ -141,105 +146,138 @@ class _Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def close_pairs(values: np.ndarray, keys: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (places) that span what is connected within each run of equal keys."""
+def close_pairs(values: np.ndarray, keys: np.ndarray, radius: int, stars: bool = False) -> list[tuple[int, int]]:
+    """Links (places) that span what is connected within each run of equal keys.
+
+    With ``stars``, links to the middle and to the nearest instead.
+    """
     n = len(values)
     new = np.ones(n, bool)
     new[1:] = keys[1:] != keys[:-1]
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, n))
     union = _Union(n)
+    met: list[tuple[np.ndarray, np.ndarray]] = []
     room = np.repeat(starts + sizes, sizes) - np.arange(n)
     # Short runs: all of them at once, each row with the row `shift` places on.
-    small = np.repeat(sizes <= 64, sizes)
-    at = np.flatnonzero(small & (room > 1))
+    at = np.flatnonzero(np.repeat(sizes <= 64, sizes) & (room > 1))
     shift = 1
     while len(at):
         for part in (at[k : k + 64 * LANES] for k in range(0, len(at), 64 * LANES)):
-            hit = _lanes(_within(_planes(values[part] ^ values[part + shift]), None, radius), len(part))
-            for i in part[hit].tolist():
+            hit = part[_lanes(_within(_planes(values[part] ^ values[part + shift]), None, radius), len(part))]
+            for i in hit.tolist():
                 union.join(i, i + shift)
+            met += [(hit, hit + shift), (hit + shift, hit)]
         shift += 1
         at = at[room[at] > shift]
-    # Long runs: each row against blocks of rows that follow.
+    # Long runs: each row against blocks of rows.
     full = np.uint64(2**64 - 1)
     for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         for low in range(start, start + size, LANES):
             block = values[low : min(low + LANES, start + size)]
             planes = _planes(block)
-            for i in range(start, low + len(block)):
+            for i in range(start, start + size if stars else low + len(block)):
                 flips = np.where(values[i] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1), full, np.uint64(0))
-                hit = _lanes(_within(planes, flips, radius), len(block))
-                for j in (low + np.flatnonzero(hit)).tolist():
-                    if j > i:
-                        union.join(i, j)
-    return [(root, i) for i in range(n) if (root := union.find(i)) != i]
+                hit = low + np.flatnonzero(_lanes(_within(planes, flips, radius), len(block)))
+                for j in hit[hit > i].tolist():
+                    union.join(i, j)
+                if stars:
+                    hit = hit[hit != i]
+                    hit = hit[np.argsort(np.bitwise_count(values[hit] ^ values[i]), kind="stable")[:NEAREST]]
+                    met.append((np.full(len(hit), i), hit))
+    if not stars:
+        return [(root, i) for i in range(n) if (root := union.find(i)) != i]
+    if not met:
+        return []
+    a, b = (np.concatenate(side) for side in zip(*met, strict=True))
+    order = np.lexsort((b, np.bitwise_count(values[a] ^ values[b]), a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.diff(a, prepend=-1))
+    near = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < NEAREST
+    out = set(zip(a[near].tolist(), b[near].tolist(), strict=True))
+    groups: dict[int, list[int]] = {}
+    for i in np.unique(a).tolist():
+        groups.setdefault(union.find(i), []).append(i)
+    for members in groups.values():
+        mine = values[members]
+        ones = np.unpackbits(mine.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        middle = np.packbits(2 * ones > len(mine), bitorder="little").view(np.uint64)[0]
+        centre = members[int(np.argmin(np.bitwise_count(mine ^ middle)))]
+        out |= {(centre, i) for i in members if i != centre}
+    return sorted({(min(p), max(p)) for p in out})
 
 
 # --- dealing ----------------------------------------------------------------
 
 
-def _block_bounds(first: int, last: int, blocks: int) -> list[tuple[int, int]]:
-    """Bits first..last-1 cut into blocks: (lowest bit, number of bits)."""
-    cuts = [first + (last - first) * k // blocks for k in range(blocks + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _field(low: int, size: int) -> Column:
-    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << size) - 1))
-
-
-def _keys(radius: int) -> list[tuple[Column, list[tuple[int, int]]]]:
-    """Every pair of blocks as one number, and the blocks that stay open."""
-    blocks = _block_bounds(0, BITS, radius + 2)
-    out = []
-    for a, b in combinations(range(len(blocks)), 2):
-        value = _field(*blocks[a]) * F.lit(1 << blocks[b][1]) + _field(*blocks[b])
-        out.append((value, [x for k, x in enumerate(blocks) if k not in (a, b)]))
+def _bits_of(values: np.ndarray, places: list[int]) -> np.ndarray:
+    """The bits at some places as one number; neighbouring places are taken together."""
+    out = np.zeros(len(values), np.uint64)
+    cuts = [k for k in range(1, len(places)) if places[k] != places[k - 1] + 1]
+    for a, b in zip([0, *cuts], [*cuts, len(places)], strict=True):
+        field = values >> np.uint64(places[a]) & np.uint64((1 << (b - a)) - 1)
+        out = out << np.uint64(b - a) | field
     return out
 
 
-def _split(rest: list[tuple[int, int]], parts: int) -> list[list[tuple[int, int]]]:
-    """The bits of ``rest`` dealt to ``parts`` groups of nearly equal size."""
-    bits = [b for low, size in rest for b in range(low, low + size)]
-    cuts = [len(bits) * k // parts for k in range(parts + 1)]
-    return [[(b, 1) for b in bits[x:y]] for x, y in zip(cuts, cuts[1:], strict=False)]
+def _groups(places: list[int], count: int) -> list[list[int]]:
+    """Places cut into groups of nearly equal size."""
+    cuts = [len(places) * k // count for k in range(count + 1)]
+    return [places[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _number(fields: list[tuple[int, int]]) -> Column:
-    """The bits of several fields as one number; neighbouring bits are taken together."""
-    joined: list[list[int]] = []
-    for low, size in fields:
-        if joined and joined[-1][0] + joined[-1][1] == low:
-            joined[-1][1] += size
-        else:
-            joined.append([low, size])
-    out = F.lit(0).cast("long")
-    for low, size in joined:
-        out = out * F.lit(1 << size) + _field(low, size)
+def _kinds(blocks: int, agree: int) -> list[tuple[list[int], list[int]]]:
+    """(bits of the key, bits that stay open) for every choice of ``agree`` of the blocks."""
+    cut = _groups(list(range(BITS)), blocks)
+    out = []
+    for chosen in combinations(range(blocks), agree):
+        out.append(([b for k in chosen for b in cut[k]], [b for k in range(blocks) if k not in chosen for b in cut[k]]))
     return out
 
 
 LINKS_DDL = "u long, v long"
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Links u, v of rows (rep, fp) with distinct fingerprints, spanning all that are close."""
-    if radius + 2 > BITS or (radius + 2) * 8 > BITS:
-        raise ValueError("The radius leaves keys of too few bits")
-    kinds = _keys(radius)
-    dealt = distinct.select("rep", "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, (v, _) in enumerate(kinds)])).alias("_k"))
-    dealt = dealt.select("rep", "fp", "_k.kind", "_k.key")
-    sizes = dealt.groupBy("kind", "key").count()
-    hot = sizes.where(F.col("count") > HOT).select("kind", "key", F.lit(True).alias("hot"))
-    marked = dealt.join(sizes.where("count > 1").drop("count"), ["kind", "key"], "left_semi").join(hot, ["kind", "key"], "left")
-    further = None
-    for k, (_, rest) in enumerate(kinds):
-        subs = F.array(*[F.struct(F.lit(p + 1).alias("part"), _number(f).alias("sub")) for p, f in enumerate(_split(rest, radius + 1))])
-        further = F.when(F.col("kind") == k, subs) if further is None else further.when(F.col("kind") == k, subs)
-    whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("sub")))
-    spread = marked.select("rep", "fp", "kind", "key", F.explode(F.when(F.col("hot"), further).otherwise(whole)).alias("_s"))
-    groups = spread.select("rep", "fp", "kind", "key", "_s.part", "_s.sub")
+def links(distinct: DataFrame, radius: int = 2, blocks: int | None = None, agree: int = 2, stars: bool = False) -> DataFrame:
+    """Links u, v of rows (rep, fp), spanning all that are close and meet under a key.
+
+    Keys are choices of ``agree`` of ``blocks`` blocks, ``radius + agree`` blocks
+    unless given; all pairs that differ in ``blocks - agree`` bits meet. With
+    ``stars``, links are candidates for a check of their own: each row's links to the
+    row in the middle of what it hangs together with, and to its ``NEAREST`` rows.
+    """
+    blocks = radius + agree if blocks is None else blocks
+    if blocks * 4 > BITS or blocks < agree:
+        raise ValueError("Keys of this radius would have too few bits")
+    kinds = _kinds(blocks, agree)
+    further = [_groups(rest, blocks - agree + 1) for _, rest in kinds]
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rep, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "fp"))
+        keys = np.concatenate([_bits_of(fp.view(np.uint64), own) for own, _ in kinds]).view(np.int64)
+        kind = np.repeat(np.arange(len(kinds), dtype=np.int32), len(rep))
+        columns = [np.tile(rep, len(kinds)), np.tile(fp, len(kinds)), kind, keys]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "fp", "kind", "key"])
+
+    def deal_further(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rep, fp, kind, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "fp", "kind", "key"))
+        parts = []
+        for k in np.unique(kind).tolist():
+            at = np.flatnonzero(kind == k)
+            for part, places in enumerate(further[k]):
+                sub = _bits_of(fp[at].view(np.uint64), places).view(np.int64)
+                parts.append((rep[at], fp[at], kind[at], key[at], np.full(len(at), part + 1, np.int32), sub))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "fp", "kind", "key", "part", "sub"])
+
+    dealt = distinct.select("rep", "fp").mapInArrow(per_batch(deal), "rep long, fp long, kind int, key long")
+    # Which keys are hot is read off one row in SAMPLED; that steers work, not results.
+    some = distinct.where(F.pmod(F.xxhash64("rep", "fp"), F.lit(SAMPLED)) == 0).select("rep", "fp")
+    counts = some.mapInArrow(per_batch(deal), "rep long, fp long, kind int, key long").groupBy("kind", "key").count()
+    hot = materialize(counts.where(F.col("count") > HOT // SAMPLED).select("kind", "key"), "simhash_hot")
+    cool = dealt.join(hot, ["kind", "key"], "left_anti").select("rep", "fp", "kind", "key", F.lit(0).alias("part"), F.lit(0).cast("long").alias("sub"))
+    spread = dealt.join(hot, ["kind", "key"], "left_semi").select("rep", "fp", "kind", "key")
+    groups = cool.union(spread.mapInArrow(per_batch(deal_further), "rep long, fp long, kind int, key long, part int, sub long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rep", "fp", "kind", "key", "part", "sub"]
@@ -249,7 +287,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
             rep, fp = columns[0], columns[1].view(np.uint64)
             new = np.ones(len(rep), bool)
             new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[2:]])
-            found = close_pairs(fp, np.cumsum(new), radius)
+            found = close_pairs(fp, np.cumsum(new), radius, stars)
             if not found:
                 return None
             u, v = (rep[list(side)] for side in zip(*found, strict=True))
@@ -287,3 +325,93 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return found.join(named, "fp").select(
         id_back(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component_id").alias("component_id")
     )
+
+
+# --- near copies ------------------------------------------------------------
+
+#: Words of fewer bytes are in every text and say little about which it is.
+LONG_WORD = 4
+#: Candidates differ in at most ``FAR`` bits and agree in ``AGREE`` of ``BLOCKS`` blocks: all up to 7 bits, most beyond.
+FAR, BLOCKS, AGREE = 12, 10, 3
+
+
+def word_simhash(raw: bytes) -> int:
+    """The fingerprint of the distinct longer words of a text, or of all its words."""
+    words = {w.strip(b".,;:!?\"'()[]") for w in raw.lower().split()}
+    words = {w for w in words if len(w) >= LONG_WORD} or words
+    if not words:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(words), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_set(raw: bytes, width: int) -> bytes:
+    """Sorted 32-bit hashes of the distinct shingles of lower-cased words."""
+    data, starts, stops, _ = bounds([raw.lower()])
+    if not len(starts):
+        return b""
+    words = Rolling(data.astype(np.uint64) + np.uint64(1))(starts, stops)
+    n = max(1, len(words) - width + 1)
+    at = np.arange(n)
+    found = Rolling(words)(at, np.minimum(at + width, len(words)))
+    return np.unique((found >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def _alike(a: bytes, b: bytes) -> float:
+    """The share of common shingles."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) and not len(y):
+        return 1.0
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common)
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The documents, all columns, one of each group of near copies.
+
+    Candidates come from fingerprints of longer words, which few edits move little;
+    a link is a pair whose word shingles agree to ``similarity`` (common ones among
+    all). Of a group of linked documents the one with the smallest doc_id stays;
+    rows without doc_id come after all others. Rows that share a doc_id stay or go
+    together.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID - (1 << 62)) + F.shiftrightunsigned(F.xxhash64(text), 2))
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raws = raw_texts(batch)
+        found = np.fromiter(map(word_simhash, raws), np.uint64, len(raws))
+        digests = pa.array([hashlib.md5(r, usedforsecurity=False).digest() for r in raws], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("_order"), pa.array(found.view(np.int64)), digests], ["_order", "fp", "digest"])
+
+    rows = docs.select(order.alias("_order"), text.alias("text"))
+    found = materialize(rows.mapInArrow(per_batch(prints), "_order long, fp long, digest binary"), "copies")
+    # Exact copies are one node, the smallest.
+    nodes = found.groupBy("digest").agg(F.min("_order").alias("rep"), F.min("fp").alias("fp"))
+    exact = found.join(nodes.select("digest", "rep"), "digest").select("_order", "rep").distinct()
+    exact, nodes = materialize(exact, "copies_exact"), materialize(nodes.select("rep", "fp").distinct(), "copies_nodes")
+    pairs = materialize(links(nodes, FAR, BLOCKS, AGREE, stars=True).where("u != v").distinct(), "copies_pairs")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = pa.array([shingle_set(r, width) for r in raw_texts(batch)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("_order"), held], ["_order", "set"])
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("_order")).distinct()
+    shingles = rows.join(wanted, "_order", "left_semi").mapInArrow(per_batch(sets), "_order long, set binary")
+    shingles = materialize(shingles.dropDuplicates(["_order"]), "copies_shingles")
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        alike = [_alike(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        keep = pa.array(np.array(alike, np.float64) >= similarity)
+        return pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
+
+    both = pairs.join(shingles.select(F.col("_order").alias("u"), F.col("set").alias("a")), "u")
+    both = both.join(shingles.select(F.col("_order").alias("v"), F.col("set").alias("b")), "v")
+    member = components(both.select("u", "v", "a", "b").mapInArrow(per_batch(judge), LINKS_DDL))
+    # Goes: an exact copy of a smaller document, or a member of a group that is not its smallest.
+    gone = exact.where("_order != rep").select("_order").union(member.select(F.col("node").alias("_order"))).distinct()
+    marked = docs.select(F.struct("*").alias("_all"), order.alias("_order"))
+    return marked.join(gone, "_order", "left_anti").select("_all.*")

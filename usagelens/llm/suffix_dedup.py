@@ -34,7 +34,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from usagelens.llm import names
 from usagelens.llm.names import EXACT, FILTER, OWN, Chunk, Names, Rolling, mix
@@ -238,7 +239,8 @@ def _suffix_answer(payloads: list[bytes], length: int, gram: int) -> list[bytes]
 class Pass:
     """What every pass over a chunk works out anew from its texts."""
 
-    def __init__(self, table: pa.Table, length: int, gram: int, buckets: int, ranges: Ranges):
+    def __init__(self, table: pa.Table, length: int, gram: int, buckets: int, ranges: Ranges, whole: bool):
+        self.whole = whole
         self.chunk = Chunk.of(table)
         self.length, self.gram, self.buckets, self.ranges = length, gram, buckets, ranges
         self.s = segments(self.chunk.raws, length, gram)
@@ -335,37 +337,61 @@ class Pass:
         rows = []
         for doc_id, raw, steps in zip(self.chunk.doc_ids, self.chunk.raws, covered, strict=True):
             gone = np.cumsum(steps)[:-1] > 0
+            if self.whole and gone.any():
+                gone = _whole_characters(raw, gone)
             spans = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=np.int8(0)) > 0))
             kept = raw if not spans else np.frombuffer(raw, np.uint8)[~gone].tobytes()
             rows.append((doc_id, len(raw), len(raw) - len(kept), spans, kept))
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), KEPT, strict=True)], schema=KEPT)
+        out = pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), KEPT, strict=True)], schema=KEPT)
+        return out if self.chunk.carried is None else out.append_column("_carry", self.chunk.carried)
+
+
+def _whole_characters(raw: bytes, gone: np.ndarray) -> np.ndarray:
+    """Leaves out characters that would go in part."""
+    starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(np.append(starts, len(raw))))
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of every document."""
+def _removed(docs: DataFrame, length: int, gram: int, whole: bool = False, carry: Column | None = None) -> DataFrame:
     if not 0 < gram <= length:
         raise ValueError("A gram must fit into a window")
     count, chunks, buckets = names.sizes(docs)
     ranges = Ranges(sample_splitters(docs, count, buckets, length, gram), buckets)
-    rows = names.dealt(docs, chunks)
+    rows = names.dealt(docs, chunks, carry)
 
-    def over(step: str, empty: pa.Schema):
+    def over(step: str):
         def run(table: pa.Table, got: dict) -> pa.Table:
             if not table.num_rows:
-                return empty.empty_table()
-            p = Pass(table, length, gram, buckets, ranges)
+                return (KEPT if step == "cut" else names.SCHEMA).empty_table()
+            p = Pass(table, length, gram, buckets, ranges, whole)
             return getattr(p, step)(got) if got else getattr(p, step)()
 
         return run
 
-    answers = names.ask(names.passed(rows, None, over("ask_names", names.SCHEMA), names.DDL))
-    sent = names.passed(rows, answers, over("ask_suffixes", names.SCHEMA), names.DDL)
+    answers = names.ask(names.passed(rows, None, over("ask_names"), names.DDL))
+    sent = names.passed(rows, answers, over("ask_suffixes"), names.DDL)
     answers = names.ask(sent, {SUFFIX: lambda payloads: _suffix_answer(payloads, length, gram)})
-    return names.passed(rows, answers, over("cut", KEPT), KEPT_DDL)
+    schema = StructType.fromDDL(KEPT_DDL)
+    if carry is not None:
+        schema = schema.add(rows.schema["_carry"])
+    return names.passed(rows, answers, over("cut"), schema)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of every document."""
+    return _removed(docs, length, gram)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents, all columns, with what remains as their text; a character that would go in part stays."""
+    others = [F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(docs.columns) if c != "text"]
+    cut = _removed(docs, length, gram, True, F.struct(F.col("text").isNull().alias("null"), *others))
+    text = F.when(~F.col("_carry.null"), F.col("kept").cast("string"))
+    return cut.select(*((text if c == "text" else F.col(f"_carry.f{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def digest(kept: DataFrame) -> DataFrame:
