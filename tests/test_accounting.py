@@ -12,13 +12,13 @@ from usagelens.operators import dedupe, facts, reports
 def test_fresh_input(spark):
     df = R.requests(
         spark, {}, {"input_token_semantics": 1}, {"input_token_semantics": 2}, {"app_type": "claude"},
-        {"input_tokens": 500}, {"input_token_semantics": None},
+        {"input_tokens": 300}, {"input_token_semantics": None},
     )
-    assert [r[0] for r in df.select(U.fresh_input()).collect()] == [400, 300, 1000, 1000, 500, 400]
+    assert [r[0] for r in df.select(U.fresh_input()).collect()] == [440, 370, 870, 870, 300, 440]
 
 
 def test_unknown_semantics_fail(spark):
-    with pytest.raises(PySparkException, match="Unsupported input_token_semantics: 7"):
+    with pytest.raises(PySparkException, match="Unknown meaning of input tokens: 7"):
         R.requests(spark, {"input_token_semantics": 7}).select(U.fresh_input()).collect()
 
 
@@ -26,10 +26,10 @@ def test_unknown_semantics_fail(spark):
     "proxy,copy,kept",
     [
         ({}, {}, 1),
-        ({}, {"created_at": 1600}, 1),
-        ({}, {"created_at": 1601}, 2),
-        ({}, {"created_at": 400}, 1),
-        ({}, {"created_at": 399}, 2),
+        ({}, {"created_at": 5800}, 1),
+        ({}, {"created_at": 5801}, 2),
+        ({}, {"created_at": 4600}, 1),
+        ({}, {"created_at": 4599}, 2),
         ({"status_code": 500}, {}, 2),
         ({"data_source": None}, {}, 1),
         ({"app_type": "claude-desktop"}, {"app_type": "claude", "data_source": "session_log"}, 1),
@@ -41,7 +41,7 @@ def test_unknown_semantics_fail(spark):
         ({"model": "other"}, {}, 2),
         ({"model": "unknown"}, {}, 1),
         ({"model": "other"}, {"model": None}, 1),
-        ({}, {"output_tokens": 21}, 2),
+        ({}, {"output_tokens": 32}, 2),
         ({"host": "two"}, {}, 2),
     ],
 )
@@ -92,8 +92,14 @@ def test_first_host_keeps_a_copied_request(spark):
 
 
 def test_conflicting_copies_fail(spark):
-    df = R.requests(spark, {}, {"host": "two", "host_order": 1, "output_tokens": 21})
-    with pytest.raises(PySparkException, match="Conflicting cross-host request ID"):
+    df = R.requests(spark, {}, {"host": "two", "host_order": 1, "output_tokens": 32})
+    with pytest.raises(PySparkException, match="Hosts disagree about request"):
+        dedupe.unique_requests(df).collect()
+
+
+def test_a_null_in_one_copy_is_a_conflict(spark):
+    df = R.requests(spark, {"cache_read_tokens": None, "cache_creation_tokens": 430}, {"host": "two", "host_order": 1, "cache_read_tokens": 430, "cache_creation_tokens": None})
+    with pytest.raises(PySparkException, match="Hosts disagree about request"):
         dedupe.unique_requests(df).collect()
 
 
@@ -106,7 +112,7 @@ def test_two_hosts_with_one_request_and_rollup(spark):
     total = reports.grand_total(facts.daily_usage(rows)).first()
     assert unique.count() == 1
     assert dedupe.rollup_overlap(rolled).count() == 1
-    assert (total.requests, total.tokens) == (7, 3360)
+    assert (total.requests, total.tokens) == (9, 3 * 971)
 
 
 def test_labels_and_local_time(spark):
@@ -172,4 +178,4 @@ def test_totals_agree_across_grains(spark):
     assert total == reports.grand_total(hourly).first()
     assert sorted(facts.daily_from_hourly(hourly).collect()) == sorted(daily.collect())
     per_hour = facts.session_daily(rows).select(F.explode("hours").alias("h", "t")).agg(F.sum("t")).first()[0]
-    assert per_hour + 3 * 0 + 1120 == total.tokens
+    assert per_hour + 971 == total.tokens

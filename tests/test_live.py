@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from usagelens import schemas
+from usagelens.functions import usage as U
 from usagelens.operators import live, pairing, quality
 from usagelens.sources import otlp
-from usagelens.streaming import pairing as rules
-from usagelens.streaming.receipts import count_report, new_response
+from usagelens.streaming import follow, jobs
 
 SAMPLE = [p.split()[0].strip("`") for p in schemas.SAMPLES.split(", ")]
 DEFAULT = dict(source="a", source_order=0, event_key="e", session_key="s", runtime="codex", provider="p", model="m",
@@ -84,15 +84,54 @@ def test_receipt_bins(spark):
     assert got == {10: (0, True, False), 11: (5, True, False), 15: (7, False, True), 20: (0, True, False)}
 
 
-def test_stream_receipts_retract_and_restore():
-    state, net = new_response(), {}
-    steps = [("a", 100, 200.2), ("b", 100, 200.3), ("a", 150, 201.2), ("b", 150, 202.2)]
-    reasons = []
-    for source, tokens, at in steps:
-        for d in count_report(state, {"source": source, "output_tokens": tokens, "runtime": "codex", "session_key": "s", "received_at": at}):
-            net[d["second"]] = net.get(d["second"], 0) + d["delta"]
-            reasons.append(d["reason"])
-    assert net == {200: 100, 201: 50} and "retracted" in reasons and "restored" in reasons
+def landed(spark, folder, *rows):
+    """One file a row, in order of arrival."""
+    for n, row in enumerate(rows):
+        samples(spark, row).coalesce(1).write.mode("append").parquet(str(folder / "all"))
+    return str(folder / "all")
+
+
+ARRIVALS = [
+    {"event_key": "a", "received_at": 500.0, "end": 499.0, "start": 498.0, "sampled_at": 500.0},
+    {"event_key": "b", "received_at": 900.0, "end": 899.0, "start": 898.0, "sampled_at": 900.0},
+    {"event_key": "c", "received_at": 901.0, "end": 420.0, "start": 419.0, "sampled_at": 901.0},  # long over when it arrives
+    {"event_key": "a", "received_at": 902.0, "end": 499.0, "start": 498.0, "sampled_at": 902.0},  # a repeat
+    {"event_key": "d", "received_at": 90.5, "end": 90.0, "start": 89.0, "sampled_at": 90.5},  # an older file that lands last
+]
+
+
+@pytest.mark.parametrize("files", [1, 2, 1000])
+def test_streams_do_not_depend_on_batches(spark, tmp_path, files):
+    path = landed(spark, tmp_path, *ARRIVALS)
+    stream = follow.follow_files(spark, path, schemas.SAMPLES, max_files=files)
+    journal = follow.run_available(stream, "arrivals")
+    assert journal.where("batch >= 0").select("batch").distinct().count() == {1: 5, 2: 3, 1000: 1}[files]
+    rated, late = jobs.rates(journal)
+    # Each sample in time is spread over the window in full: three of 100 tokens.
+    assert rated.agg(F.sum("tps")).first()[0] == pytest.approx(3 * 100 / 1)
+    assert [tuple(r) for r in late.collect()] == [("codex", 1, 100)]
+    assert {r.second: r.output_tokens for r in jobs.receipts(journal).collect()} == {500: 100, 900: 100, 901: 100, 90: 100}
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    path = landed(spark, tmp_path, *ARRIVALS[:2])
+    journal, progress = str(tmp_path / "journal"), str(tmp_path / "progress")
+    for rows, expected in (((), 2), ((), 2), (ARRIVALS[2:], 5)):
+        landed(spark, tmp_path, *rows)
+        stream = follow.follow_files(spark, path, schemas.SAMPLES)
+        follow.append_available(stream, journal, progress)
+        assert follow.read_journal(spark, journal, stream).count() == expected
+
+
+def test_an_empty_folder_is_an_empty_journal(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert follow.run_available(follow.follow_files(spark, str(tmp_path / "none"), schemas.SAMPLES), "none").count() == 0
+
+
+def test_first_arrivals_ignore_batches(spark):
+    rows = [("k", 5.0, 1, 7), ("k", 4.0, 2, 3), ("k", 4.0, 1, 0), ("l", 1.0, 1, 0)]
+    journal = spark.createDataFrame(rows, "key string, at double, value int, batch int")
+    assert sorted(map(tuple, follow.first_arrivals(journal, ["key"], "at").collect())) == [("k", 4.0, 1), ("l", 1.0, 1)]
 
 
 def test_source_status(spark):
@@ -124,65 +163,73 @@ def outcomes(spark, *rows):
     return sorted((r.status, r.start, r.end, r.output_tokens) for r in got)
 
 
-def test_pair_with_repeats(spark):
-    rows = [("s", "r", "c", 1, None), ("s", "r", "c", 1, None), ("s", "r", "d", 6, 300), ("s", "r", "d", 6, 300)]
-    assert outcomes(spark, *rows) == [("measured", 1.0, 6.0, 300)]
+def test_repeated_exports_are_one(spark):
+    rows = [("s", "r", "c", 40, None)] * 2 + [("s", "r", "d", 52, 90)] * 3
+    assert outcomes(spark, *rows) == [("measured", 40.0, 52.0, 90)]
+
+
+HALF_HOUR = 1800
 
 
 @pytest.mark.parametrize(
     "rows,expected",
     [
-        ([("s", None, "c", 1, None), ("s", None, "d", 6, 5)], [("measured", 1.0, 6.0, 5)]),
-        ([("s", None, "c", 1, None), ("s", None, "c", 2, None), ("s", None, "d", 6, 5)], [("missing_timing", None, 6.0, 5)]),
-        ([("s", None, "q", 1, None), ("s", None, "c", 2, None), ("s", None, "d", 6, 5)], [("measured", 1.0, 6.0, 5)]),
-        ([("s", None, "d", 6, 5)], [("missing_timing", None, 6.0, 5)]),
-        ([("s", None, "c", 1, None), ("s", None, "d", 6, None)], [("awaiting_usage", None, 6.0, None)]),
-        ([("s", None, "c", 1, None), ("s", None, "d", 6, 0)], [("empty", None, 6.0, 0)]),
-        ([("s", None, "c", 1, None)], [("awaiting_usage", None, 1.0, None)]),
-        ([("s", None, "c", 1, None), ("s", None, "d", 6, 5, 12)], [("late", 1.0, 6.0, 5)]),
-        ([("s", None, "c", 1, None), ("s", None, "d", 1900, 5)], [("missing_timing", None, 1900.0, 5)]),
-        ([("s", "a", "c", 1, None), ("s", "b", "c", 2, None), ("s", "a", "d", 6, 5), ("s", "b", "d", 7, 6)],
-         [("measured", 1.0, 6.0, 5), ("measured", 2.0, 7.0, 6)]),
-        ([("s", None, "q", 1, None), ("s", "a", "c", 2, None), ("s", "a", "d", 6, 5)], [("measured", 1.0, 6.0, 5)]),
-        ([("s", None, "c", 1, None), ("s", "a", "d", 6, 5)], [("measured", 1.0, 6.0, 5)]),
-        ([(None, None, "c", 1, None)], [("ambiguous_identity", None, 1.0, None)]),
+        # Without ids: a start and the end behind it.
+        ([("s", None, "c", 20, None), ("s", None, "d", 33, 8)], [("measured", 20.0, 33.0, 8)]),
+        # Two open starts cannot be told apart, unless the first is the request.
+        ([("s", None, "c", 20, None), ("s", None, "c", 22, None), ("s", None, "d", 33, 8)], [("missing_timing", None, 33.0, 8)]),
+        ([("s", None, "q", 20, None), ("s", None, "c", 22, None), ("s", None, "d", 33, 8)], [("measured", 20.0, 33.0, 8)]),
+        ([("s", None, "c", 20, None), ("s", None, "c", 20, None), ("s", None, "d", 33, 8)], [("measured", 20.0, 33.0, 8)]),
+        # An end alone, without a count, without output; a start alone.
+        ([("s", None, "d", 33, 8)], [("missing_timing", None, 33.0, 8)]),
+        ([("s", None, "c", 20, None), ("s", None, "d", 33, None)], [("awaiting_usage", None, 33.0, None)]),
+        ([("s", None, "c", 20, None), ("s", None, "d", 33, 0)], [("empty", None, 33.0, 0)]),
+        ([("s", None, "c", 20, None)], [("awaiting_usage", None, 20.0, None)]),
+        # An end that arrives late.
+        ([("s", None, "c", 20, None), ("s", None, "d", 33, 8, 41)], [("late", 20.0, 33.0, 8)]),
+        # A start is forgotten after half an hour; what follows pairs without it.
+        ([("s", None, "c", 20, None), ("s", None, "d", 21 + HALF_HOUR, 8)], [("awaiting_usage", None, 20.0, None), ("missing_timing", None, 21.0 + HALF_HOUR, 8)]),
+        ([("s", None, "c", 500, None), ("s", None, "c", 4000, None), ("s", None, "d", 4004, 8)],
+         [("awaiting_usage", None, 500.0, None), ("measured", 4000.0, 4004.0, 8)]),
+        # Ids keep overlapping responses apart, across sessions, too.
+        ([("s", "x", "c", 20, None), ("s", "y", "c", 21, None), ("s", "x", "d", 33, 8), ("s", "y", "d", 35, 9)],
+         [("measured", 20.0, 33.0, 8), ("measured", 21.0, 35.0, 9)]),
+        ([(None, "x", "c", 20, None), ("s", "x", "d", 33, 8)], [("ambiguous_identity", None, 33.0, 8)]),
+        # One side without an id pairs in the session; two different ids never pair.
+        ([("s", None, "q", 20, None), ("s", "x", "d", 33, 8)], [("measured", 20.0, 33.0, 8)]),
+        ([("s", "x", "c", 20, None), ("s", None, "d", 33, 8)], [("measured", 20.0, 33.0, 8)]),
+        ([("s", "x", "c", 20, None), ("s", "y", "d", 33, 8)], [("awaiting_usage", None, 20.0, None), ("missing_timing", None, 33.0, 8)]),
+        # Nothing names an event.
+        ([(None, None, "c", 20, None)], [("ambiguous_identity", None, 20.0, None)]),
     ],
 )
 def test_pairing_rules(spark, rows, expected):
-    assert outcomes(spark, *rows) == expected
+    got = [(status, start, end, tokens) for status, start, end, tokens in outcomes_by_end(spark, *rows)]
+    assert got == expected
+
+
+def outcomes_by_end(spark, *rows):
+    got = pairing.pair_responses(events(spark, *rows)).collect()
+    return sorted(((r.status, r.start, r.end, r.output_tokens) for r in got), key=lambda o: o[2])
 
 
-def test_windows_agree_with_sequential_rules(spark):
+def test_pairs_do_not_depend_on_chunks(spark):
     import random
 
-    random.seed(2)
+    random.seed(8)
     rows = []
     for session in "uvw":
-        for _ in range(60):
+        for _ in range(70):
             kind = random.choice("ccdq")
-            stamp = random.randrange(0, 4000) / 2
-            rows.append((session, None, kind, stamp, random.choice([None, 0, 4]) if kind == "d" else None, stamp + random.choice([1, 9])))
+            at = random.randrange(0, 30_000) / 2
+            rows.append((session, None, kind, at, random.choice([None, 0, 4]) if kind == "d" else None, at + random.choice([1, 9])))
     df = events(spark, *rows)
-    expected = []
-    for session in "uvw":
-        mine = [r.asDict() for r in df.where(F.col("session_key") == session).collect()]
-        state = rules.fresh_state()
-        mine.sort(key=lambda e: (e["stamp"], e["kind"] != rules.CREATED))
-        for event in mine:
-            expected += list(rules.step(state, [event], event["received_at"]))
-        expected += rules.unfinished(state)
-    ends = lambda items: sorted((r["session_key"], r["end"], r["status"], r["start"] or 0) for r in items if r["output_tokens"] is not None)
-    got = [r.asDict() for r in pairing.pair_responses(df, chunk_s=100).collect()]
-    assert ends(got) == ends(expected)
-
-
-def test_late_start_completes_an_orphan():
-    state = rules.fresh_state()
-    base = {"session_key": "s", "response_key": None, "provider": "p", "model": "m", "start_origin": "response", "received_at": 7.0}
-    done = {**base, "kind": "response.completed", "stamp": 6.0, "output_tokens": 5}
-    begun = {**base, "kind": "response.created", "stamp": 1.0, "output_tokens": None}
-    assert [r["status"] for r in rules.step(state, [done], 7.0)] == ["missing_timing"]
-    assert [(r["status"], r["start"]) for r in rules.step(state, [begun], 8.0)] == [("measured", 1.0)]
+    whole = sorted(map(str, pairing.pair_responses(df, chunk_s=100_000).collect()))
+    assert whole == sorted(map(str, pairing.pair_responses(df, chunk_s=100).collect()))
+    # Every end and every start that no end took is there once.
+    ends = {(r.session_key, r.stamp, r.output_tokens) for r in df.where("kind = 'response.completed'").collect()}
+    got = pairing.pair_responses(df).collect()
+    assert {(r.session_key, r.end, r.output_tokens) for r in got if (r.session_key, r.end, r.output_tokens) in ends} == ends
 
 
 def attribute(key, **value):
@@ -231,14 +278,48 @@ def test_quarantine(spark):
         quality.strict(df.limit(2), quality.sample_rules(), "sample").collect()
 
 
-def test_proxy_fills_what_the_log_lacks(spark):
+NATIVE = "event_key string, session_key string, runtime string, provider string, model string, output_tokens long, start double, end double, basis string"
+PROXY = NATIVE.replace("session_key string, ", "") + ", request_id string, session_id string"
+
+
+def test_a_proxy_row_adds_what_the_log_lacks(spark):
     native = spark.createDataFrame(
-        [("a", "s", "claude", "Provider unreported", "m", 5, 1.0, 2.0, "native_log"), ("b", "s", "claude", "own", "m", 5, None, 9.0, "native_log")],
-        "event_key string, session_key string, runtime string, provider string, model string, output_tokens long, start double, end double, basis string")
+        [("timed", "k", "claude", "Provider unreported", "m", 9, 11.0, 14.0, "native_log"), ("untimed", "k", "claude", "own", "m", 9, None, 30.0, "native_log")], NATIVE)
     proxy = spark.createDataFrame(
-        [("a", "claude", "Acme", "m", 5, 0.5, 2.5, "proxy_elapsed"), ("b", "claude", "Acme", "m", 5, 8.0, 9.0, "proxy_elapsed"),
-         ("c", "codex", "Acme", "m", 5, 8.0, 9.0, "proxy_elapsed"), ("d", "gemini", "Acme", "m", 5, None, 9.0, "proxy_elapsed")],
-        "event_key string, runtime string, provider string, model string, output_tokens long, start double, end double, basis string")
+        [("timed", "claude", "Initech", "m", 9, 10.0, 15.0, "proxy_elapsed", "1", None), ("untimed", "claude", "Initech", "m", 9, 26.0, 30.0, "proxy_elapsed", "2", None),
+         ("alone", "gemini", "Initech", "m", 9, None, 40.0, "proxy_elapsed", "3", None), ("logged elsewhere", "codex", "Initech", "m", 9, 1.0, 2.0, "proxy_elapsed", "4", None)],
+        PROXY)
     got = {r.event_key: (r.provider, r.start, r.basis, r.status) for r in live.link_proxy(native, proxy).collect()}
-    assert got == {"a": ("Acme", 1.0, "native_log", "measured"), "b": ("own", 8.0, "proxy_elapsed", "measured"),
-                   "d": ("Acme", None, "proxy_elapsed", "missing_timing")}
+    assert got == {"timed": ("Initech", 11.0, "native_log", "measured"), "untimed": ("own", 26.0, "proxy_elapsed", "measured"),
+                   "alone": ("Initech", None, "proxy_elapsed", "missing_timing")}
+
+
+def test_a_proxy_session_counts_only_if_known_or_marked(spark):
+    opaque = lambda *parts: spark.range(1).select(U.opaque_identity(*map(F.lit, parts))).first()[0]
+    native = spark.createDataFrame([("n", opaque("claude", "known"), "claude", "p", "m", 9, 1.0, 2.0, "native_log")], NATIVE)
+    cases = {"a": ("claude", "known"), "b": ("claude", "guess"), "c": ("grokbuild", "grokbuild_abcdefghijkl"), "d": ("grokbuild", "grokbuild_short"),
+             "e": ("claude", "e"), "f": ("claude", None)}
+    proxy = spark.createDataFrame([(k, runtime, "p", "m", 9, 1.0, 2.0, "proxy_elapsed", k, session) for k, (runtime, session) in cases.items()], PROXY)
+    got = {r.event_key: r.session_key for r in live.link_proxy(native, proxy).collect() if r.event_key != "n"}
+    assert got == {"a": opaque("claude", "known"), "b": None, "c": opaque("grokbuild", "abcdefghijkl"), "d": None, "e": None, "f": None}
+
+
+def test_activity_needs_a_reading_from_log_or_telemetry(spark):
+    trace = spark.createDataFrame([(k, 95.0) for k in "abcde"] + [("old", -50.0)], "session_key string, stamp double")
+    read = samples(spark, {"session_key": "a", "end": 96.0}, {"session_key": "b", "end": 96.0, "basis": "proxy_elapsed"},
+                   {"session_key": "c", "end": 96.0, "runtime": "claude"}, {"session_key": "d", "end": 90.0})
+    telemetry = spark.createDataFrame([("e", 97.0)], "session_key string, stamp double")
+    assert sorted(r.session_key for r in live.activity_gaps(trace, read, 98.0, telemetry).collect()) == ["b", "c", "d"]
+
+
+def test_issues_keep_the_order_they_were_seen_in(spark):
+    rows = [("m", "zebra", 1), ("m", "apple", 2), ("m", "zebra", 3), ("n", "x", 0)]
+    df = spark.createDataFrame(rows, "source string, issue string, seen int")
+    assert {r.source: r.issues for r in live.ordered_issues(df, ["source"], "seen").collect()} == {"m": ["zebra", "apple"], "n": ["x"]}
+
+
+def test_every_session_has_a_place_in_its_second(spark):
+    df = spark.createDataFrame([(s, "codex", f"c{i}", f"c{i}", float(i % 4)) for s in (1, 2) for i in range(30)],
+                               "second long, runtime string, contributor string, session_key string, tps double")
+    got = live.ranked_sessions(df).collect()
+    assert len(got) == 60 and {(r.second, r.place) for r in got} == {(s, p) for s in (1, 2) for p in range(1, 31)}

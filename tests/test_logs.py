@@ -8,37 +8,47 @@ from usagelens import schemas
 from usagelens.operators import enrich, intervals
 from usagelens.sources import logs
 
-SID = "11111111-2222-3333-4444-555555555555"
-BASE = 1_790_000_000
-USE = {"input_tokens": 100, "cached_input_tokens": 80, "output_tokens": 60}
+SID = "0f0e0d0c-1a2b-4c3d-8e9f-a0b1c2d3e4f5"
+BASE = 1_760_400_000
+SPENT = {"input_tokens": 210, "cached_input_tokens": 50, "output_tokens": 33}
 
 
-def event(second, kind, **payload):
-    stamp = dt.datetime.fromtimestamp(BASE + second, dt.timezone.utc).isoformat()
-    return {"timestamp": stamp, "type": kind, "payload": payload}
+def record(at, kind, **payload):
+    """One log line ``at`` seconds after the session began."""
+    return {"timestamp": dt.datetime.fromtimestamp(BASE + at, dt.timezone.utc).isoformat(), "type": kind, "payload": payload}
 
 
-def item(second, **payload):
-    return event(second, "response_item", **payload)
+def asked(at):
+    return record(at, "response_item", type="message", role="user")
 
 
-def count(second, use=USE, **extra):
-    return event(second, "event_msg", type="token_count", info={"last_token_usage": use, **extra})
+def said(at):
+    return record(at, "response_item", type="message", role="assistant")
 
 
-def response(start, end, counted, call=False, native=True):
-    out = [item(start, type="message", role="user")]
-    out.append(item(end, type="function_call", call_id="tool") if call else item(end, type="message", role="assistant"))
-    if native:
-        out.append(event(end + 0.1, "token_usage_record", usage=USE))
-    if call:
-        out.append(item(counted - 0.1, type="function_call_output", call_id="tool"))
-    return [*out, count(counted)]
+def tool_called(at, call):
+    return record(at, "response_item", type="function_call", call_id=call)
+
+
+def tool_answered(at, call):
+    return record(at, "response_item", type="function_call_output", call_id=call)
+
+
+def metered(at, spent=SPENT, **more):
+    return record(at, "token_usage_record", usage=spent, **more)
+
+
+def counted(at, spent=SPENT, **more):
+    return record(at, "event_msg", type="token_count", info={"last_token_usage": spent, **more})
+
+
+def turn(at, what):
+    return record(at, "event_msg", type=what)
 
 
 def write_log(folder, records, sid=SID, tail=""):
     folder.mkdir(parents=True, exist_ok=True)
-    lines = [json.dumps(r) for r in [event(0, "session_meta", id=sid, cwd="/w/P", model_provider="acme"), *records]]
+    lines = [json.dumps(r) for r in [record(0, "session_meta", id=sid, cwd="/w/P", model_provider="acme"), *records]]
     (folder / f"rollout-{sid}.jsonl").write_text("\n".join(lines) + "\n" + tail)
     return str(folder)
 
@@ -49,16 +59,24 @@ def durations(spark, path, live=False):
     return intervals.counted_intervals(rows).orderBy("ordinal")
 
 
-def test_tool_waits_and_idle_days_are_left_out(spark, tmp_path):
-    records = response(1, 4, 100, call=True)
-    records += [item(102, type="message", role="assistant"), event(102.1, "token_usage_record", usage=USE), count(103),
-                event(104, "event_msg", type="task_complete"), *response(86401, 86403, 86404)]
+def test_waiting_for_a_tool_is_no_response_time(spark, tmp_path):
+    # Asked at 20, a tool called at 27.5, answered at 300, the rest said at 304: 7.5 s and 4 s of responses.
+    records = [asked(20), tool_called(27.5, "grep"), metered(27.6), tool_answered(300, "grep"), counted(300.1), said(304), metered(304.2), counted(305)]
+    got = [r.duration_ms for r in durations(spark, write_log(tmp_path / "a", records)).collect()]
+    assert got == [pytest.approx(7500), pytest.approx(4000)]
+
+
+def test_a_pause_between_turns_is_no_response_time(spark, tmp_path):
+    records = [asked(5), said(6.25), counted(6.5), turn(7, "task_complete"), asked(40_000), said(40_009), counted(40_010)]
     got = [r.duration_ms for r in durations(spark, write_log(tmp_path / "a", records)).collect()]
-    assert got == [pytest.approx(3000), pytest.approx(2100, abs=1), pytest.approx(2000)]
+    assert got == [pytest.approx(1250), pytest.approx(9000)]
 
 
 def ledger(spark, *seconds, **extra):
-    rows = [(str(i), SID, BASE + s, 100, extra.get("output", 60), 80, "codex_session") for i, s in enumerate(seconds)]
+    rows = [
+        (str(i), SID, BASE + s, SPENT["input_tokens"], extra.get("output", SPENT["output_tokens"]), SPENT["cached_input_tokens"], "codex_session")
+        for i, s in enumerate(seconds)
+    ]
     return spark.createDataFrame(
         rows, "request_id string, session_id string, created_at long, input_tokens long, output_tokens long,"
         " cache_read_tokens long, data_source string")
@@ -69,87 +87,108 @@ def matched(spark, path, rows):
     return [r.native_response_ms for r in timed.orderBy("request_id").collect()]
 
 
-def test_only_unique_signatures_match(spark, tmp_path):
-    records = [*response(1, 4, 5, native=False), *response(6, 7, 8), count(8.5), count(12)]
-    path = write_log(tmp_path / "a", records)
-    assert matched(spark, path, ledger(spark, 5, 8, 12, 99)) == [pytest.approx(3000), None, None, None]
+def test_a_ledger_row_needs_the_second_and_the_counts_of_one_report(spark, tmp_path):
+    path = write_log(tmp_path / "a", [asked(30), said(36), counted(37)])
+    assert matched(spark, path, ledger(spark, 37)) == [pytest.approx(6000)]
+    assert matched(spark, path, ledger(spark, 38)) == [None]
+    assert matched(spark, path, ledger(spark, 37, output=34)) == [None]
+    assert matched(spark, path, ledger(spark, 37, 37)) == [None, None]
 
 
-def test_no_nearest_match(spark, tmp_path):
-    path = write_log(tmp_path / "a", response(1, 4, 5))
-    assert matched(spark, path, ledger(spark, 6)) == [None]
-    assert matched(spark, path, ledger(spark, 5, output=61)) == [None]
-    assert matched(spark, path, ledger(spark, 5, 5)) == [None, None]
+def test_two_reports_of_one_second_match_nothing(spark, tmp_path):
+    path = write_log(tmp_path / "a", [asked(30), said(36), counted(37), counted(37.4), asked(50), said(52), counted(55)])
+    assert matched(spark, path, ledger(spark, 37, 55)) == [None, pytest.approx(2000)]
 
 
-def test_aborted_turn_gives_no_interval(spark, tmp_path):
-    records = [item(10, type="message", role="user"), event(11, "event_msg", type="turn_aborted"), count(12)]
-    assert [r.duration_ms for r in durations(spark, write_log(tmp_path / "a", records)).collect()] == [None]
+def test_an_aborted_turn_has_no_interval(spark, tmp_path):
+    path = write_log(tmp_path / "a", [asked(3), turn(8, "turn_aborted"), counted(9)])
+    assert [r.duration_ms for r in durations(spark, path).collect()] == [None]
 
 
-def test_torn_tail_is_dropped_and_bad_lines_fail(spark, tmp_path):
-    path = write_log(tmp_path / "a", response(1, 4, 5), tail='{"timestamp": "2026')
+def test_only_a_line_without_its_end_may_be_broken(spark, tmp_path):
+    path = write_log(tmp_path / "a", [asked(3), said(4), counted(5)], tail='{"timestamp": "20')
     assert durations(spark, path).count() == 1
-    bad = tmp_path / "b"
-    write_log(bad, [])
-    (bad / f"x-{SID}.jsonl").write_text('{"a":1}\n{oops\n{"a":2}\n')
-    with pytest.raises(PySparkException, match="Malformed record"):
-        logs.read_records(spark, str(bad), schema=schemas.LOG_A).collect()
-
-
-def brute_force(events):
-    """The state machine over one session's events, for comparison."""
-    last = start = end = pending = None
-    calls, out = set(), []
-
-    def measured():
-        return (end - start) * 1000 if start is not None and end is not None and end > start else None
-
-    for e in events:
-        kind, stamp = e["event"], e["stamp"]
-        if kind in ("reset", "start"):
-            last = start = end = pending = None
-            calls.clear()
-        elif kind in ("input", "result"):
-            if kind == "result":
-                calls.discard(e["call_id"])
-            last = stamp if not calls else None
-        elif kind in ("output", "call"):
-            if start is None:
-                start = last if not calls else None
-            end = stamp
-            if kind == "call":
-                calls.add(e["call_id"])
+    for name, text in (("inside", '{"a":1}\n{oops\n{"a":2}\n'), ("last", '{"a":1}\n{oops\n')):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / f"x-{SID}.jsonl").write_text(text)
+        with pytest.raises(PySparkException, match="Line is no JSON"):
+            logs.read_records(spark, str(folder), schema=schemas.LOG_A).collect()
+
+
+OPENERS, OUTPUTS, CUTS = ("input", "result"), ("output", "call"), ("reset", "start")
+
+
+def expected_intervals(events):
+    """(ordinal, duration) of each count, from what a response is.
+
+    A response runs from the last opener before one of its outputs to its last
+    output. It is closed by a usage record, or by a count that no usage record
+    announced. An opener serves if no tool was open at it and at the output, and if
+    no response was closed since that ended after it.
+    """
+    kinds, stamps = [e["event"] for e in events], [e["stamp"] for e in events]
+    where = lambda names, a, b: [i for i in range(a, b) if kinds[i] in names]
+
+    def cut_before(k):
+        return max(where(CUTS, 0, k), default=-1) + 1
+
+    def marker(k):
+        return max(where(("usage", "count", *CUTS), 0, k), default=None)
+
+    def closes(k):
+        return kinds[k] == "usage" or (kinds[k] == "count" and not (marker(k) is not None and kinds[marker(k)] == "usage"))
+
+    def open_calls(k):
+        """Tools that were called and not answered after events up to k."""
+        held = set()
+        for call in {events[i]["call_id"] for i in where(("call", "result"), cut_before(k), k + 1)}:
+            last = max(i for i in where(("call", "result"), cut_before(k), k + 1) if events[i]["call_id"] == call)
+            held |= {call} if kinds[last] == "call" else set()
+        return held
+
+    def outputs(k):
+        """Outputs of the response that closing k ends."""
+        begin = max([cut_before(k), *(c + 1 for c in range(cut_before(k), k) if closes(c))])
+        return where(OUTPUTS, begin, k)
+
+    def opener(o):
+        before = where(OPENERS, cut_before(o), o)
+        if not before or open_calls(before[-1]) or open_calls(o - 1):
+            return None
+        used = [c for c in range(before[-1] + 1, o) if closes(c)]
+        if any(not outputs(c) or stamps[before[-1]] <= stamps[outputs(c)[-1]] for c in used):
+            return None
+        return stamps[before[-1]]
+
+    def duration(k):
+        out = outputs(k)
+        begun = next((opener(o) for o in out if opener(o) is not None), None)
+        return (stamps[out[-1]] - begun) * 1000 if begun is not None and stamps[out[-1]] > begun else None
+
+    found = []
+    for k in where(("count",), 0, len(events)):
+        m = marker(k)
+        if m is not None and kinds[m] == "usage":
+            found.append((events[k]["ordinal"], duration(m) if events[m]["tokens"] == events[k]["tokens"] else None))
         else:
-            if kind == "count" and pending is not None:
-                use, duration = pending
-                out.append((e["ordinal"], duration if use == e["tokens"] else None))
-                pending = None
-                continue
-            duration = measured()
-            if end is None or last is None or last <= end:
-                last = None
-            start = end = None
-            if kind == "usage":
-                pending = (e["tokens"], duration)
-            else:
-                out.append((e["ordinal"], duration))
-    return out
-
-
-def test_intervals_against_state_machine(spark):
+            found.append((events[k]["ordinal"], duration(k)))
+    return found
+
+
+def test_intervals_against_the_definition(spark):
     import random
 
-    random.seed(11)
+    random.seed(29)
     rows, expected = [], {}
-    for s in range(12):
-        stamp, events = 1000.0, []
-        for ordinal in range(1, 150):
+    for s in range(14):
+        stamp, events = 70.0, []
+        for ordinal in range(1, 110):
             stamp += random.choice([0.0, 0.25, 1.0, 2.0])
             kind = random.choices(["reset", "start", "input", "result", "output", "call", "usage", "count"], [1, 1, 5, 4, 6, 4, 3, 4])[0]
             call = random.choice("xyz") if kind in ("result", "call") else None
             events.append({"ordinal": ordinal, "stamp": stamp, "event": kind, "call_id": call, "tokens": random.choice([5, 6])})
-        expected.update({(f"s{s}", o): d for o, d in brute_force(events)})
+        expected.update({(f"s{s}", o): d for o, d in expected_intervals(events)})
         rows += [(f"s{s}", e["ordinal"], e["stamp"], e["event"], e["call_id"], None, None,
                   1, e["tokens"] if e["event"] in ("usage", "count") else None, 0) for e in events]
     df = spark.createDataFrame(
@@ -160,44 +199,39 @@ def test_intervals_against_state_machine(spark):
 
 
 def test_live_samples_of_kind_a(spark, tmp_path):
-    records = [event(1, "turn_context", model="m-1"), event(2, "event_msg", type="task_started"),
-               item(4, type="message", role="assistant"),
-               event(4.5, "token_usage_record", usage=USE, response_id="resp", thread_id=SID),
-               count(5, total_token_usage={"total_tokens": 9}), count(6, total_token_usage={"total_tokens": 9}),
-               event(7, "token_usage_record", usage=USE, thread_id="someone-else")]
-    records = logs.read_records(spark, write_log(tmp_path / "a", records), schema=schemas.LOG_A)
-    got = logs.native_samples_a(logs.log_a_events(records, live=True)).collect()
-    assert len(got) == 1
-    one = got[0]
-    assert (one.model, one.provider, one.output_tokens, one.status) == ("m-1", "acme", 60, "measured")
-    assert (one.start - BASE, one.end - BASE) == (pytest.approx(2), pytest.approx(4))
+    lines = [record(10, "turn_context", model="m-7"), turn(12, "task_started"), said(19),
+             metered(19.5, response_id="r-1", thread_id=SID), counted(21, total_token_usage={"total_tokens": 70}),
+             counted(22, total_token_usage={"total_tokens": 70}), metered(30, thread_id="another")]
+    records = logs.read_records(spark, write_log(tmp_path / "a", lines), schema=schemas.LOG_A)
+    (one,) = logs.native_samples_a(logs.log_a_events(records, live=True)).collect()
+    assert (one.model, one.provider, one.output_tokens, one.status) == ("m-7", "acme", SPENT["output_tokens"], "measured")
+    assert (one.start - BASE, one.end - BASE) == (pytest.approx(12), pytest.approx(19))
 
 
-def line(second, side, mid=None, blocks=(), tokens=None, **extra):
-    stamp = dt.datetime.fromtimestamp(BASE + second, dt.timezone.utc).isoformat()
-    message = {"content": list(blocks), "id": mid, "model": "c-1", **({"usage": {"output_tokens": tokens}} if tokens else {})}
-    return {"type": side, "timestamp": stamp, "sessionId": "S", "message": message, **extra}
+def chat_line(at, side, message_id=None, blocks=(), tokens=None):
+    stamp = dt.datetime.fromtimestamp(BASE + at, dt.timezone.utc).isoformat()
+    message = {"content": list(blocks), "id": message_id, "model": "c-1", **({"usage": {"output_tokens": tokens}} if tokens else {})}
+    return {"type": side, "timestamp": stamp, "sessionId": "talk", "message": message}
 
 
 def test_live_samples_of_kind_b(spark, tmp_path):
-    use = {"type": "tool_use", "id": "t"}
-    done = {"type": "tool_result", "tool_use_id": "t"}
-    lines = [line(1, "user"), line(3, "assistant", "m1", tokens=10), line(4, "assistant", "m1", [use], tokens=20),
-             line(50, "user", blocks=[done]), line(52, "assistant", "m2", tokens=7), line(60, "assistant", "m3", tokens=5),
-             {"type": "custom-title", "sessionId": "S", "customTitle": "Mine"}]
+    # A question, an answer that grows and calls a tool, the tool's result, its answer, and one that nobody asked for.
+    lines = [chat_line(100, "user"), chat_line(104, "assistant", "x1", tokens=3), chat_line(111, "assistant", "x1", [{"type": "tool_use", "id": "call"}], tokens=44),
+             chat_line(500, "user", blocks=[{"type": "tool_result", "tool_use_id": "call"}]), chat_line(508, "assistant", "x2", tokens=9),
+             chat_line(900, "assistant", "x3", tokens=2), {"type": "custom-title", "sessionId": "talk", "customTitle": "Budget"}]
     folder = tmp_path / "c"
     folder.mkdir()
-    (folder / "S.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    (folder / "talk.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
     records = logs.read_records(spark, str(folder), schema=schemas.LOG_B)
     rows = logs.native_samples_b(logs.log_b_events(records)).orderBy("end").collect()
-    assert [(r.output_tokens, r.status) for r in rows] == [(20, "measured"), (7, "measured"), (5, "missing_timing")]
-    assert [(round(r.start - BASE), round(r.end - BASE)) for r in rows[:2]] == [(1, 4), (50, 52)]
-    assert logs.custom_titles(records).collect()[0].title == "Mine"
-    assert {r.message_id for r in logs.assistant_messages(records).collect()} == {"m1", "m2", "m3"}
+    assert [(r.output_tokens, r.status) for r in rows] == [(44, "measured"), (9, "measured"), (2, "missing_timing")]
+    assert [(round(r.start - BASE), round(r.end - BASE)) for r in rows[:2]] == [(100, 111), (500, 508)]
+    assert [r.title for r in logs.custom_titles(records).collect()] == ["Budget"]
+    assert {r.message_id for r in logs.assistant_messages(records).collect()} == {"x1", "x2", "x3"}
 
 
 def test_header_scan(spark, tmp_path):
-    records = logs.read_records(spark, write_log(tmp_path / "a", response(1, 4, 5)), schema=schemas.LOG_A)
+    records = logs.read_records(spark, write_log(tmp_path / "a", [asked(1), said(2), counted(3)]), schema=schemas.LOG_A)
     header = logs.session_headers(records).collect()
     assert [(h.session_id, h.model_provider, h.cwd) for h in header] == [(SID, "acme", "/w/P")]
     wanted = spark.createDataFrame([("nobody",)], "session_id string")

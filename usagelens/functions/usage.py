@@ -46,7 +46,7 @@ def fresh_input() -> Column:
     return (
         F.when(
             ~semantics.isin(0, 1, 2),
-            fail(F.concat(F.lit("Unsupported input_token_semantics: "), semantics.cast("string")), "bigint"),
+            fail(F.concat(F.lit("Unknown meaning of input tokens: "), semantics.cast("string")), "bigint"),
         )
         .when(included, tokens - cached)
         .otherwise(tokens)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions import usage as U
 
 SIGNATURE = ("created_at", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
-ANY = "*"
+#: Stand for any model, and for proxies whose model is unknown.
+ANY, OPEN = "*", "?"
 
 # Columns the usage totals need; narrower than a whole ledger row.
 USAGE_COLUMNS = (
@@ -27,48 +31,44 @@ def effective_requests(requests: DataFrame, window_s: int = 600) -> DataFrame:
 
     No pairs are formed. Proxies shrink to the first and last time per key and
     time bin, spread to the keys and bins they can cover, and every session row
-    then looks at exactly one key: a proxy in its own bin is within the window,
-    and for a neighbouring bin the nearest time decides.
+    then looks at exactly one key, whose entries are by model: a proxy in its own
+    bin is within the window, and for a neighbouring bin the nearest time decides.
+    The ledger is read for proxies, for session rows and for all others, which pass
+    by untouched.
     """
     source = F.coalesce(F.col("data_source"), F.lit("proxy"))
     model = F.lower(U.model_label(F.col("model")))
     tokens = ["host", "input_tokens", "output_tokens", "cache_read_tokens"]
     bin_of = F.floor(F.col("created_at") / window_s)
 
-    copies = requests.where(F.col("data_source").isin(*U.SESSION_SOURCES))
-    others = requests.where(~F.coalesce(F.col("data_source").isin(*U.SESSION_SOURCES), F.lit(False)))
+    copied = F.coalesce(F.col("data_source").isin(*U.SESSION_SOURCES), F.lit(False))
+    copies, others = requests.where(copied), requests.where(~copied)
     proxies = (
         requests.where((source == "proxy") & U.success())
         .groupBy(*tokens, "app_type", "cache_creation_tokens", model.alias("_model"), bin_of.alias("_bin"))
         .agg(F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
     )
-    # The bin read off the aggregate keeps the join below from moving under it,
-    # so copies of a hot key are combined before any shuffle.
-    proxies = proxies.withColumn("_bin", F.floor(F.col("_first") / window_s))
-    # Only token keys that a session row has in the same or a neighbouring bin matter.
-    around = F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("_bin")
-    proxies = proxies.join(copies.select(*tokens, around).distinct(), [*tokens, "_bin"], "left_semi")
     apps = F.when(
         F.col("app_type") == "claude-desktop", F.array(F.lit("claude-desktop"), F.lit("claude"))
     ).otherwise(F.array("app_type"))
     near = F.array(*[F.struct((F.col("_bin") + d).alias("bin"), F.lit(d).alias("offset")) for d in (-1, 0, 1)])
+    models = F.array_append(F.array("_model", F.lit(ANY)), F.when(F.col("_model") == "unknown", F.lit(OPEN)))
     spread = (
         proxies.withColumn("_app", F.explode(apps))
         .withColumn("_cache", F.explode(F.array(F.col("cache_creation_tokens").cast("string"), F.lit(ANY))))
         .withColumn("_near", F.explode(near))
+        .withColumn("_name", F.explode(F.array_compact(models)))
     )
-    places = [*tokens, "_app", "_cache", F.col("_near.bin").alias("_bin")]
+    keys = [*tokens, "_app", "_cache", "_bin"]
     # A bin placed one later is the earlier neighbour: its last time is nearest.
-    reach = [
-        F.bool_or(F.col("_near.offset") == 0).alias("_inside"),
-        F.max(F.when(F.col("_near.offset") == 1, F.col("_last"))).alias("_before"),
-        F.min(F.when(F.col("_near.offset") == -1, F.col("_first"))).alias("_after"),
-    ]
-    # Both covers share one aggregation of the proxies: a filter on an exploded
-    # column stays above it.
-    named = spread.withColumn("_model", F.explode(F.array(F.col("_model"), F.lit(ANY))))
-    known = named.groupBy(*places, "_model").agg(*reach)
-    unnamed = named.where(F.col("_model") == "unknown").groupBy(*places).agg(*reach)
+    reach = spread.groupBy(*tokens, "_app", "_cache", F.col("_near.bin").alias("_bin"), "_name").agg(
+        F.bool_or(F.col("_near.offset") == 0).alias("inside"),
+        F.max(F.when(F.col("_near.offset") == 1, F.col("_last"))).alias("before"),
+        F.min(F.when(F.col("_near.offset") == -1, F.col("_first"))).alias("after"),
+    )
+    # One entry a model, so a key's map is as long as it has models.
+    entry = F.struct("_name", F.struct("inside", "before", "after").alias("reach"))
+    cover = reach.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_cover"))
 
     no_writes = (F.col("cache_creation_tokens") == 0) & (F.col("data_source") != "session_log")
     keyed = copies.withColumns(
@@ -76,53 +76,51 @@ def effective_requests(requests: DataFrame, window_s: int = 600) -> DataFrame:
             "_app": F.col("app_type"),
             "_cache": F.when(no_writes, F.lit(ANY)).otherwise(F.col("cache_creation_tokens").cast("string")),
             "_bin": bin_of,
-            "_model": F.when(model == "unknown", F.lit(ANY)).otherwise(model),
+            "_name": F.when(model == "unknown", F.lit(ANY)).otherwise(model),
         }
     )
-    keys = [*tokens, "_app", "_cache", "_bin"]
 
-    def uncovered(rows: DataFrame, cover: DataFrame, on: list[str]) -> DataFrame:
-        same = " AND ".join(f"r.{key} = c.{key}" for key in on)
-        near = (
-            f"(c._inside OR coalesce(r.created_at - c._before <= {window_s}, false)"
-            f" OR coalesce(c._after - r.created_at <= {window_s}, false))"
-        )
-        return rows.alias("r").join(cover.alias("c"), F.expr(f"{same} AND {near}"), "left_anti")
+    def covered(name: Column) -> Column:
+        held, at = F.col("_cover")[name], F.col("created_at")
+        tests = [held["inside"], at - held["before"] <= window_s, held["after"] - at <= window_s]
+        return reduce(or_, [F.coalesce(t, F.lit(False)) for t in tests])
 
-    kept = uncovered(uncovered(keyed, known, [*keys, "_model"]), unnamed, keys)
+    judged = keyed.join(cover, keys, "left")
+    kept = judged.where(~(covered(F.col("_name")) | covered(F.lit(OPEN))))
     return others.unionByName(kept.select(*others.columns))
 
 
+def signature() -> Column:
+    """A 64-bit fingerprint of what copies must agree on; a null is a value of its own."""
+    return F.xxhash64(*SIGNATURE, *[F.col(c).isNull() for c in SIGNATURE])
+
+
 def unique_requests(requests: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row per (app, request id) over all hosts; the first host wins.
 
-    A minimum over an ordered struct, so copies collapse before the shuffle. The
-    job stops when copies disagree on time, model or tokens. ``columns`` limits
-    the payload that is carried.
+    Few ids repeat. A hash aggregate of fixed-width buffers finds them; their rows
+    alone collapse by a minimum over an ordered struct, all others pass by with
+    their payload untouched. The job stops when copies disagree on time, model or
+    tokens. ``columns`` limits the payload that is carried.
     """
     keys = ["app_type", "request_id"]
     carried = [c for c in (columns or requests.columns) if c in requests.columns]
     lead = ["host_order", "host", "created_at"]
     order = [*lead, *[c for c in carried if c not in keys and c not in lead]]
-    # A 64-bit fingerprint stands for the signature; equal rows always agree.
-    signature = F.xxhash64(*SIGNATURE)
-    # Grouping sorts by the first key, and a number sorts much faster than an id's text.
-    hashed = F.xxhash64(*keys).alias("_hash")
-    return (
-        requests.groupBy(hashed, *keys)
-        .agg(
-            F.min(F.struct(*order)).alias("_row"),
-            F.min(signature).alias("_least"),
-            F.max(signature).alias("_most"),
-        )
-        .where(
-            U.require(
-                F.col("_least") == F.col("_most"),
-                "Conflicting cross-host request ID; merge stopped for review",
-            )
-        )
+    # Ids are counted by hash; equal hashes of different ids only send a few rows more to the second step.
+    hashed = F.xxhash64(*keys)
+    counted = requests.groupBy(hashed.alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = counted.where("_rows > 1").select("_hash", F.lit(True).alias("_again"))
+    marked = requests.withColumn("_hash", hashed).join(repeated, "_hash", "left")
+    alone = marked.where(F.col("_again").isNull()).select(*keys, *order)
+    copies = (
+        marked.where("_again")
+        .groupBy("_hash", *keys)
+        .agg(F.min(F.struct(*order)).alias("_row"), F.min(signature()).alias("_least"), F.max(signature()).alias("_most"))
+        .where(U.require(F.col("_least") == F.col("_most"), F.concat(F.lit("Hosts disagree about request "), F.col("request_id"))))
         .select(*keys, "_row.*")
     )
+    return alone.unionByName(copies)
 
 
 ROLLUP_SIGNATURE = (

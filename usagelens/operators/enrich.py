@@ -89,7 +89,7 @@ def session_providers(headers: DataFrame) -> DataFrame:
         F.min("model_provider").alias("session_provider"), F.max("model_provider").alias("_most")
     )
     agreed = U.require(
-        F.col("session_provider") == F.col("_most"), "Conflicting providers in duplicate session headers"
+        F.col("session_provider") == F.col("_most"), "Headers of one session name different providers"
     )
     return found.where(agreed).drop("_most")
 

@@ -117,16 +117,16 @@ def timed(requests: DataFrame) -> DataFrame:
 def session_daily(requests: DataFrame) -> DataFrame:
     """Per day, session, model and project: totals, hour map and mergeable rates.
 
-    Hours are summed first, so the map is built from at most 24 rows. Title and
-    project name are those of the latest request.
+    Hours are summed first by a hash aggregate of numbers, so the map is built from
+    at most 24 rows. Title and project name are those of the latest request: the
+    aggregate keeps its time, and only rows of that time are looked at for them.
     """
     rows = timed(requests.where(F.col("session_key").isNotNull())).withColumn(
         "project_key", F.coalesce("project_key", F.lit(""))
     )
-    latest = F.struct("created_at", "request_id")
     by_hour = rows.groupBy(*SESSION_KEYS, "hour").agg(
         *sums(),
-        F.max(F.struct(latest, F.coalesce("session_title", F.lit("")), F.coalesce("project_name", F.lit("")))).alias("_last"),
+        F.max("created_at").alias("_last"),
         F.count("recorded_tps").alias("tps_count"),
         F.sum("recorded_tps").alias("tps_sum"),
         F.max("recorded_tps").alias("tps_max"),
@@ -142,9 +142,15 @@ def session_daily(requests: DataFrame) -> DataFrame:
         F.max("_last").alias("_last"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("hour", "total_tokens")))).alias("hours"),
     )
-    return merged.withColumns(
-        {"session_title": F.col("_last.col2"), "project_name": F.col("_last.col3")}
-    ).drop("_last")
+    # A title that is missing everywhere needs no second look at the rows.
+    named = rows.where(F.col("session_title").isNotNull() | F.col("project_name").isNotNull())
+    named = named.groupBy(*SESSION_KEYS, F.col("created_at").alias("_last")).agg(
+        F.max(F.struct("request_id", F.coalesce("session_title", F.lit("")), F.coalesce("project_name", F.lit("")))).alias("_named")
+    )
+    found = merged.join(named, [*SESSION_KEYS, "_last"], "left")
+    return found.withColumns(
+        {"session_title": F.coalesce(F.col("_named.col2"), F.lit("")), "project_name": F.coalesce(F.col("_named.col3"), F.lit(""))}
+    ).drop("_last", "_named")
 
 
 def response_fact(requests: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def retention_cutoff(now: float) -> int:
 def bucket_bounds(period: int, now: float) -> tuple[int, int, int]:
     """First second, end and width of the 120 buckets of a range."""
     if period not in RANGES:
-        raise ValueError("Unsupported meter history range")
+        raise ValueError("No such history range")
     step = period // BUCKETS
     alignment = min(60, step)
     end = math.floor(now / alignment) * alignment + alignment

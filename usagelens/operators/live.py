@@ -100,9 +100,10 @@ def observed_totals(totals: DataFrame, seconds: DataFrame) -> DataFrame:
     return joined.withColumn("total_tps", F.when(seen, F.coalesce("total_tps", F.lit(0.0))))
 
 
-def top_sessions(sessions: DataFrame, n: int) -> DataFrame:
-    """The busiest session rates; ties by runtime, contributor and second."""
-    return sessions.orderBy(F.col("tps").desc(), "runtime", "contributor", "second").limit(n)
+def ranked_sessions(sessions: DataFrame) -> DataFrame:
+    """Every session rate with its place within the second; ties by runtime and contributor."""
+    order = Window.partitionBy("second").orderBy(F.col("tps").desc(), "runtime", "contributor")
+    return sessions.withColumn("place", F.row_number().over(order))
 
 
 def source_status(heartbeats: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
@@ -203,15 +204,23 @@ def receipt_average(deltas: DataFrame, window_s: int = AVERAGE_S) -> DataFrame:
     )
 
 
-def activity_gaps(trace: DataFrame, samples: DataFrame, now: float, window_s: int = WINDOW_S) -> DataFrame:
-    """Sessions with traced activity up to ``now`` but no usage read at or after it."""
+def activity_gaps(
+    trace: DataFrame, samples: DataFrame, now: float, telemetry: DataFrame | None = None, window_s: int = WINDOW_S
+) -> DataFrame:
+    """Sessions with traced activity up to ``now`` whose output nothing has read at or after it.
+
+    Reading means a sample from the log or from telemetry, not a proxy's elapsed
+    time, or a telemetry event of the session.
+    """
     active = trace.where((F.col("stamp") >= now - 120) & (F.col("stamp") <= now)).groupBy("session_key").agg(
         F.max("stamp").alias("stamp")
     )
-    measured = samples.where((F.col("end") >= now - window_s) & (F.col("end") <= now)).groupBy(
-        F.col("session_key").alias("_session")
-    ).agg(F.max("end").alias("_end"))
-    unread = active.join(measured, (F.col("session_key") == F.col("_session")) & (F.col("_end") >= F.col("stamp")), "left_anti")
+    recent = (F.col("runtime") == "codex") & F.col("basis").isin("native_log", "codex_otel")
+    read = samples.where(recent & F.col("end").between(now - window_s, now)).select("session_key", F.col("end").alias("read"))
+    if telemetry is not None:
+        read = read.unionByName(telemetry.where(F.col("stamp") <= now).select("session_key", F.col("stamp").alias("read")))
+    last = read.groupBy(F.col("session_key").alias("_session")).agg(F.max("read").alias("_read"))
+    unread = active.join(last, (F.col("session_key") == F.col("_session")) & (F.col("_read") >= F.col("stamp")), "left_anti")
     return unread.select("session_key", "stamp", F.lit("awaiting_usage").alias("status"))
 
 
@@ -230,27 +239,45 @@ def proxy_samples(requests: DataFrame, providers: DataFrame) -> DataFrame:
         F.col("host").alias("source"), "request_id", key.alias("event_key"), runtime.alias("runtime"),
         F.coalesce("_name", F.lit("Unresolved provider")).alias("provider"),
         U.clean_label(F.col("model"), 120).alias("model"), "output_tokens",
-        (end - elapsed).alias("start"), end.alias("end"), F.lit("proxy_elapsed").alias("basis"),
+        (end - elapsed).alias("start"), end.alias("end"), F.lit("proxy_elapsed").alias("basis"), "session_id",
     )
 
 
+# Runtimes whose proxy marks session ids that the client gave, and the shortest such id behind the mark.
+MARKED_RUNTIMES, LEAST_MARKED = ("codex", "grokbuild"), 11
+
+
+def trusted_session(proxy: DataFrame, native: DataFrame) -> DataFrame:
+    """Adds ``session_key`` to proxy rows: only of sessions that logs know, or that the client is known to have named."""
+    own = F.col("session_id")
+    usable = U.usable_identity(own).isNotNull() & ~own.eqNullSafe(F.col("request_id")) & ~own.eqNullSafe(F.concat(F.lit("session:"), "request_id"))
+    plain = proxy.withColumn("_candidate", F.when(usable, U.opaque_identity(F.col("runtime"), own)))
+    known = native.where("session_key IS NOT NULL").select("runtime", F.col("session_key").alias("_candidate")).distinct()
+    marked = usable & F.col("runtime").isin(*MARKED_RUNTIMES) & own.startswith(F.concat("runtime", F.lit("_")))
+    marked &= F.length(own) > F.length("runtime") + LEAST_MARKED
+    bare = F.substring(own, F.length("runtime") + 2, F.length(own))
+    seen = plain.join(known.withColumn("_known", F.lit(True)), ["runtime", "_candidate"], "left")
+    key = F.when(F.col("_known"), F.col("_candidate")).when(marked, U.opaque_identity(F.col("runtime"), bare))
+    return seen.withColumn("session_key", key).drop("_candidate", "_known")
+
+
 def link_proxy(native: DataFrame, proxy: DataFrame, codex_native: bool = True) -> DataFrame:
     """Native responses and the proxy rows that add to them, one row per response.
 
     A proxy names the provider of the same native response and supplies an
-    interval only where the log had none. Codex proxies give way to native logs.
+    interval only where the log had none. Its own session counts only where it can
+    be trusted. Codex proxies give way to native logs.
     """
     others = proxy.where(F.col("runtime") != "codex") if codex_native else proxy
-    best = others.groupBy("event_key").agg(
-        F.max(F.struct("output_tokens", "runtime", "provider", "model", "start", "end", "basis")).alias("p")
-    )
+    fields = ["output_tokens", "runtime", "provider", "model", "start", "end", "basis", "session_key"]
+    best = trusted_session(others, native).groupBy("event_key").agg(F.max(F.struct(*fields)).alias("p"))
     joined = native.join(best, "event_key", "full")
     logged = F.col("runtime").isNotNull()
     untimed = F.col("start").isNull()
     provider = F.when(logged & (F.col("provider") != "Provider unreported"), F.col("provider"))
     return joined.select(
         "event_key",
-        "session_key",
+        F.when(logged, F.col("session_key")).otherwise(F.col("p.session_key")).alias("session_key"),
         F.coalesce("runtime", "p.runtime").alias("runtime"),
         F.coalesce(provider, F.col("p.provider"), F.col("provider")).alias("provider"),
         F.when(logged, F.col("model")).otherwise(F.col("p.model")).alias("model"),
@@ -267,7 +294,8 @@ def distinct_pending(pending: DataFrame) -> DataFrame:
     return pending.groupBy("runtime", "session_key", "status").agg(*[F.max(c).alias(c) for c in rest])
 
 
-def ordered_issues(issues: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct issue texts per group in order."""
-    texts = issues.select(*by, "issue").distinct()
-    return texts.groupBy(*by).agg(F.array_sort(F.array_distinct(F.collect_list("issue"))).alias("issues"))
+def ordered_issues(issues: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Distinct issue texts per group, in the order they were first seen."""
+    first = issues.groupBy(*by, "issue").agg(F.min(order).alias("_seen"))
+    listed = F.array_sort(F.collect_list(F.struct("_seen", "issue")))
+    return first.groupBy(*by).agg(F.transform(listed, lambda x: x["issue"]).alias("issues"))

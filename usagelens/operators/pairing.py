@@ -1,11 +1,14 @@
 """Pairing of response boundaries into intervals, by response id or by session order.
 
+Boundaries with one response id belong together. What has no partner of its id
+pairs in the order of its session if that session has boundaries without ids.
+
 Within one pair key, completions cut the events into groups: the starts since the
-last completion belong to the next one. A group has one reliable start when it
-holds a single start, or a request followed only by response starts. Group
-numbers are chunked running counts and groups are plain aggregates, so no session
-is held in one task. Sessions that mix events with and without ids are the
-exception and stream through the sequential rules, stretch by stretch.
+last completion belong to the next one. An open start is forgotten after half an
+hour, so a longer pause cuts, too. A group has one reliable start when it holds a
+single start, or a request followed only by response starts. Group numbers are
+chunked running counts and groups are plain aggregates, so no session is held in
+one task.
 """
 
 from __future__ import annotations
@@ -19,25 +22,25 @@ from usagelens.operators.prefix import previous_within, running_sums
 LATE_S = 5
 MAX_AGE_S = 1800
 CREATED, COMPLETED = "response.created", "response.completed"
-PAIRED = (
-    "session_key string, response_key string, provider string, model string, output_tokens bigint,"
-    " start double, `end` double, received_at double, status string"
-)
 
 
 def sort_events(events: DataFrame) -> DataFrame:
-    """The key events pair under, and an order in which starts come before ends."""
+    """An order in which starts come before ends of the same moment."""
     return events.withColumn("_done", (F.col("kind") == COMPLETED).cast("int"))
 
 
-def _route(events: DataFrame) -> DataFrame:
-    """Mark sessions as keyed by response, by session, or mixed."""
-    uses = events.where("session_key IS NOT NULL").groupBy("session_key").agg(
-        F.bool_or(F.col("response_key").isNotNull()).alias("_with"),
-        F.bool_or(F.col("response_key").isNull()).alias("_without"),
+def _with_pair_key(events: DataFrame) -> DataFrame:
+    """Adds ``pair_key``: the response id where it has a start and an end, else the session if it has events without id."""
+    done = F.col("kind") == COMPLETED
+    whole = events.where("response_key IS NOT NULL").groupBy("response_key").agg(
+        F.bool_or(done).alias("_ended"), F.bool_or(~done).alias("_begun")
     )
-    mixed = uses.where("_with AND _without").select("session_key", F.lit(True).alias("_mixed"))
-    return events.join(mixed, "session_key", "left").withColumn("_mixed", F.coalesce("_mixed", F.lit(False)))
+    whole = whole.where("_ended AND _begun").select("response_key", F.lit(True).alias("_whole"))
+    loose = events.where("response_key IS NULL AND session_key IS NOT NULL").select("session_key", F.lit(True).alias("_loose")).distinct()
+    by_id, by_session = F.concat(F.lit("r:"), F.col("response_key")), F.concat(F.lit("s:"), F.col("session_key"))
+    marked = events.join(whole, "response_key", "left").join(loose, "session_key", "left")
+    key = F.when(F.col("_whole"), by_id).when(F.col("_loose"), by_session).otherwise(by_id)
+    return marked.withColumn("pair_key", key).drop("_whole", "_loose")
 
 
 def _without_repeats(events: DataFrame) -> DataFrame:
@@ -54,13 +57,13 @@ def _without_repeats(events: DataFrame) -> DataFrame:
 
 
 def pair_in_order(events: DataFrame, chunk_s: int = 3600) -> DataFrame:
-    """Pair events that all carry one kind of key (``pair_key``)."""
+    """Pair events under their ``pair_key``."""
     distinct = _without_repeats(sort_events(events))
+    near = previous_within(distinct, ["pair_key"], "stamp", ["_done", "output_tokens"], ["_done"], MAX_AGE_S, max(chunk_s, MAX_AGE_S))
     order = [F.col("stamp"), F.col("_done"), F.coalesce("output_tokens", F.lit(-1))]
-    counted = running_sums(
-        distinct, ["pair_key"], F.floor(F.col("stamp") / chunk_s), order, {"_ends": F.col("_done").cast("bigint")}
-    )
-    group = F.col("_ends") - F.col("_done")
+    steps = {"_ends": F.col("_done").cast("bigint"), "_pauses": F.col("previous").isNull().cast("bigint")}
+    counted = running_sums(near, ["pair_key"], F.floor(F.col("stamp") / chunk_s), order, steps)
+    group = F.struct((F.col("_ends") - F.col("_done")).alias("ends"), F.col("_pauses").alias("pauses"))
     created = F.col("_done") == 0
     opened = F.when(created, F.struct("stamp", "start_origin", "session_key", "provider", "model", "received_at", "response_key"))
     ended = F.when(
@@ -79,7 +82,8 @@ def pair_in_order(events: DataFrame, chunk_s: int = 3600) -> DataFrame:
 def _judged(groups: DataFrame) -> DataFrame:
     done = F.col("c").isNotNull()
     elapsed = F.col("c.stamp") - F.col("s.stamp")
-    timed = F.col("_single") & (elapsed > 0) & (elapsed <= MAX_AGE_S)
+    other = F.coalesce(F.col("s.response_key") != F.col("c.response_key"), F.lit(False))
+    timed = F.col("_single") & (elapsed > 0) & (elapsed <= MAX_AGE_S) & ~other
     same = F.col("s.session_key").eqNullSafe(F.col("c.session_key"))
     status = (
         F.when(~done & F.col("_single"), "awaiting_usage")
@@ -105,37 +109,13 @@ def _judged(groups: DataFrame) -> DataFrame:
 
 def pair_responses(events: DataFrame, chunk_s: int = 3600) -> DataFrame:
     """One row per completion and per open start, with its interval and status."""
-    routed = _route(events)
     nobody = F.col("session_key").isNull() & F.col("response_key").isNull()
-    lost = routed.where(nobody).select(
+    lost = events.where(nobody).select(
         "session_key", "response_key", "provider", "model", "output_tokens",
         F.lit(None).cast("double").alias("start"), F.col("stamp").alias("end"), "received_at",
         F.lit("ambiguous_identity").alias("status"),
     )
-    key = F.coalesce(F.concat(F.lit("r:"), F.col("response_key")), F.concat(F.lit("s:"), F.col("session_key")))
-    plain = routed.where(~nobody & ~F.col("_mixed")).withColumn("pair_key", key)
-    return pair_in_order(plain, chunk_s).unionByName(lost).unionByName(pair_mixed(routed.where("_mixed")))
-
-
-def stretches(events: DataFrame) -> DataFrame:
-    """Number the stretches of a session that more than the longest response separates."""
-    near = previous_within(events, ["session_key"], "stamp", ["event_id"], ["kind"], MAX_AGE_S, 4 * MAX_AGE_S)
-    begins = near.withColumn("_begins", F.col("previous").isNull().cast("bigint"))
-    return running_sums(
-        begins, ["session_key"], F.floor(F.col("stamp") / 3600), [F.col("stamp"), F.col("event_id")], {"stretch": F.col("_begins")}
-    ).drop("previous", "_begins")
-
-
-def pair_mixed(events: DataFrame) -> DataFrame:
-    """Sequential pairing per stretch, for sessions with and without response ids.
-
-    Sorted rows stream through each task; no stretch is held in memory.
-    """
-    from usagelens.streaming.pairing import pair_sorted
-
-    rows = stretches(events.drop("_mixed")).withColumn("_done", (F.col("kind") == COMPLETED).cast("int"))
-    placed = rows.repartition("session_key", "stretch")
-    return placed.sortWithinPartitions("session_key", "stretch", "stamp", "_done").mapInPandas(pair_sorted, PAIRED)
+    return pair_in_order(_with_pair_key(events.where(~nobody)), chunk_s).unionByName(lost)
 
 
 def measured_samples(paired: DataFrame) -> DataFrame:

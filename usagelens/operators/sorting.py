@@ -29,9 +29,9 @@ def sort_table(df: DataFrame, column: str, direction: str = "ascending", ties: l
     between equal values.
     """
     if column not in df.columns:
-        raise ValueError("Invalid table sort column")
+        raise ValueError("Cannot sort by this column")
     if direction not in ("ascending", "descending"):
-        raise ValueError("Invalid table sort direction")
+        raise ValueError("Sort direction is neither ascending nor descending")
     kind = df.schema[column].dataType
     value = F.col(column)
     if isinstance(kind, (T.DoubleType, T.FloatType)):

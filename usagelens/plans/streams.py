@@ -2,85 +2,137 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.plans.columns import flat
-from usagelens.plans.report_sql import _b
+from usagelens.plans.report_sql import BASE, _b
 from usagelens.plans.telemetry_sql import telemetry
+from usagelens.session import new_path
 from usagelens.sources import adapters, otlp
 from usagelens.streaming import follow, jobs
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+#: The moment from which streamed rows count, in seconds.
+SINCE, TRACED = 820_000_000, 1_704_200_000
+
 
+def _events(spark: SparkSession, sf: str, max_files: int = 1000) -> DataFrame:
+    return follow.follow_files(spark, f"{sf}/events.parquet", EVENTS, max_files=max_files)
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return follow.follow_files(spark, sf, EVENTS, pattern="events.parquet")
+
+def _journal(spark: SparkSession, sf: str, rows: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    return follow.run_available(rows(_events(spark, sf)), name)
 
 
 def stream_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Outcomes of paired responses from streamed boundary events."""
-    paired = jobs.paired_stream(adapters.telemetry_events(_events(spark, sf)))
-    rows = follow.run_available(paired, "pairs").where("status IN ('measured', 'late', 'empty')")
+    rows = jobs.pairs(_journal(spark, sf, adapters.telemetry_events, "pairs"))
     return rows.groupBy("session_key", "status").agg(
         F.count(F.lit(1)).alias("responses"), F.sum("output_tokens").alias("output_tokens")
     )
 
 
+def _repeated(events: DataFrame) -> DataFrame:
+    """Samples one key a copy, every third twice, every fiftieth ten seconds late."""
+    samples = adapters.samples_of(events)
+    delay = F.when(F.col("output_tokens") % 50 == 0, 10.0).otherwise(0.0)
+    times = F.when(F.col("output_tokens") % 3 == 0, 2).otherwise(1)
+    return samples.withColumns(
+        {
+            "event_key": F.concat("event_key", F.lit("/"), "model"),
+            "sampled_at": F.col("sampled_at") + delay,
+            "received_at": F.col("received_at") + delay,
+            "copy": F.explode(F.sequence(F.lit(1), times)),
+        }
+    ).drop("copy")
+
+
 def stream_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """Rates per second and session, updated as a journal; every third sample comes twice."""
-    samples = adapters.samples_of(_events(spark, sf)).where("model <> 'model-2'").withColumns(
-        {"event_key": F.concat("event_key", F.lit("/"), "model"), "copies": F.when(F.col("output_tokens") % 3 == 0, 2).otherwise(1)}
-    )
-    doubled = samples.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
-    journal = follow.run_available(jobs.rate_stream(doubled), "rates", "update")
-    return flat(follow.corrected(journal, ["second", "runtime", "session_key"]))
+    """Rates per second and session, each sample once."""
+    return flat(jobs.rates(_journal(spark, sf, _repeated, "rates"))[0])
+
+
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """What arrived too late for the rates."""
+    return jobs.rates(_journal(spark, sf, _repeated, "late"))[1]
 
 
 def stream_receipts(spark: SparkSession, sf: str) -> DataFrame:
     """Counted output per arrival second after all corrections."""
-    deltas = follow.run_available(jobs.receipt_stream(adapters.samples_of(_events(spark, sf))), "receipts")
-    return deltas.groupBy("second").agg(F.sum("delta").alias("output_tokens"))
+    return jobs.receipts(_journal(spark, sf, adapters.samples_of, "receipts"))
 
 
 def stream_otlp(spark: SparkSession, sf: str) -> DataFrame:
     """Flattened packets of a stream, counted by kind."""
-    packets = adapters.packets_of(_events(spark, sf))
-    events = otlp.response_events(otlp.flatten_otlp(packets))
-    rows = follow.run_available(events.select("session_key", "kind", "start_origin", "output_tokens"), "otlp")
+
+    def flattened(events: DataFrame) -> DataFrame:
+        found = otlp.response_events(otlp.flatten_otlp(adapters.packets_of(events)))
+        return found.select("session_key", "kind", "start_origin", "output_tokens")
+
+    rows = _journal(spark, sf, flattened, "otlp")
     return rows.groupBy("kind", "start_origin").agg(
         F.count(F.lit(1)).alias("events"), F.sum("output_tokens").alias("output_tokens")
     )
 
 
+def stream_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Output per day and app of ledger rows that land as files; each request once over all hosts."""
+    landed = new_path(spark, "landed-requests")
+    adapters.requests(spark, sf).write.parquet(landed)
+    rows = jobs.minutes(follow.run_available(follow.follow_requests(spark, landed, SINCE), "minutes"))
+    day = (F.floor(F.col("minute") / 86400) * 86400).alias("day")
+    return rows.groupBy(day, "app_type").agg(F.sum("output_tokens").alias("output_tokens"), F.sum("requests").alias("requests"))
+
+
+def stream_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """Last traced activity of sessions, from a trace table that lands as files."""
+    landed = new_path(spark, "landed-trace")
+    adapters.trace(spark, sf).write.parquet(landed)
+    rows = follow.run_available(follow.follow_trace(spark, landed, float(TRACED)), "trace")
+    return flat(rows.groupBy("session_key").agg(F.max("stamp").alias("stamp"), F.count(F.lit(1)).alias("events")))
+
+
 QUERIES = {
     "stream_pairs": stream_pairs,
     "stream_rate": stream_rate,
+    "stream_late": stream_late,
     "stream_receipts": stream_receipts,
     "stream_otlp": stream_otlp,
+    "stream_minutes": stream_minutes,
+    "stream_trace": stream_trace,
 }
 
+_ONCE = """single AS (
+  SELECT *, start + (received_at - sampled_at) AS a, "end" + (received_at - sampled_at) AS b,
+    received_at + CASE WHEN output_tokens % 50 = 0 THEN 10 ELSE 0 END - "end" > 5 AS late FROM samples),
+"""
+
 ORACLES = {
     "stream_pairs": telemetry(
         f"""SELECT session_key, status, {_b('count(*)', 'responses')}, {_b('sum(output_tokens)', 'output_tokens')}
-        FROM paired WHERE status IN ('measured', 'late', 'empty') GROUP BY ALL"""
+        FROM paired GROUP BY ALL"""
     ),
     "stream_rate": telemetry(
         """SELECT second, runtime, session_key, round(sum(output_tokens * (least(b, second) - greatest(a, second - 5)) / (b - a) / 5), 6)
-        AS tps FROM (
-          SELECT *, unnest(range(CAST(floor(a) AS BIGINT) + 1, CAST(ceil(b + 5) AS BIGINT))) AS second FROM (
-            SELECT *, start + (received_at - sampled_at) AS a, "end" + (received_at - sampled_at) AS b
-            FROM samples WHERE model <> 'model-2'))
-        WHERE least(b, second) - greatest(a, second - 5) > 0 GROUP BY ALL"""
+        AS tps FROM (SELECT *, unnest(range(CAST(floor(a) AS BIGINT) + 1, CAST(ceil(b + 5) AS BIGINT))) AS second FROM single WHERE NOT late)
+        WHERE least(b, second) - greatest(a, second - 5) > 0 GROUP BY ALL""",
+        _ONCE,
     ),
-    "stream_receipts": telemetry(
-        f"""SELECT second, {_b('sum(CASE WHEN excluded THEN 0 ELSE delta END)', 'output_tokens')} FROM (
-          SELECT CAST(floor(received_at) AS BIGINT) AS second, *,
-            output_tokens - coalesce(max(output_tokens) OVER (PARTITION BY event_key ORDER BY received_at, output_tokens
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS delta,
-            min(output_tokens) OVER (PARTITION BY event_key) <> max(output_tokens) OVER (PARTITION BY event_key) AS excluded
-          FROM samples) WHERE delta > 0 GROUP BY 1"""
+    "stream_late": telemetry(
+        f"SELECT runtime, {_b('count(*)', 'responses')}, {_b('sum(output_tokens)', 'output_tokens')} FROM single WHERE late GROUP BY 1", _ONCE
     ),
+    "stream_receipts": telemetry("SELECT second, output_tokens, excluded FROM received"),
+    "stream_minutes": "WITH " + BASE.rstrip().rstrip(",") + f"""
+SELECT CAST(floor(created_at / 86400) * 86400 AS BIGINT) AS day, app_type, {_b('sum(output_tokens)', 'output_tokens')}, {_b('count(*)', 'requests')}
+FROM (SELECT app_type, request_id, min(created_at) AS created_at, min(output_tokens) AS output_tokens FROM ledger
+  WHERE created_at >= {SINCE} AND coalesce(data_source, 'proxy') = 'proxy' AND status_code BETWEEN 200 AND 299 GROUP BY 1, 2) GROUP BY ALL""",
+    "stream_trace": f"""
+SELECT sha256('["codex","t' || (user_id % 40) || '"]') AS session_key, round(max(stamp), 6) AS stamp, {_b('count(*)', 'events')}
+FROM (SELECT *, epoch_us(ts) // 1000000 + (event_id % 1000) / 1000.0::DOUBLE AS stamp FROM events)
+WHERE event_type IN ('view', 'click', 'purchase') AND user_id % 40 <> 0 AND event_id % 23 <> 0 AND stamp >= {TRACED} GROUP BY ALL""",
     "stream_otlp": telemetry(
         f"""SELECT CASE WHEN event_type = 'purchase' THEN 'response.completed' ELSE 'response.created' END AS kind,
         CASE WHEN event_type = 'click' THEN 'request' ELSE 'response' END AS start_origin, {_b('count(*)', 'events')},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.functions import usage as U
 from usagelens.operators import live, pairing, quality
 from usagelens.plans.columns import flat
 from usagelens.sources import adapters, otlp
@@ -54,7 +55,7 @@ def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def busiest_sessions(spark: SparkSession, sf: str) -> DataFrame:
     rows = live.session_rates(_cells(spark, sf)).withColumn("tps", F.round("tps", 6))
-    return live.top_sessions(rows, 20)
+    return live.ranked_sessions(rows)
 
 
 def canonical_responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,25 +100,29 @@ def source_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def activity_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions active at a moment whose usage had not been read by then."""
-    trace = adapters.table(spark, sf, "events").where("event_type = 'view'").selectExpr(
-        "concat('s', user_id % 60) AS session_key", "(unix_millis(CAST(ts AS TIMESTAMP)) div 600) / 1000D AS stamp"
+    """Sessions active at a moment whose usage had not been read by then; sign-ups stand for telemetry."""
+    events = adapters.table(spark, sf, "events").selectExpr(
+        "event_type", "concat('s', user_id % 60) AS session_key", "(unix_millis(CAST(ts AS TIMESTAMP)) div 600) / 1000D AS stamp"
     )
-    return flat(live.activity_gaps(trace, adapters.response_samples(spark, sf), float(NOW)))
+    trace, telemetry = events.where("event_type <> 'signup'"), events.where("event_type = 'signup'")
+    return flat(live.activity_gaps(trace, adapters.response_samples(spark, sf), float(NOW), telemetry))
 
 
 def proxy_link(spark: SparkSession, sf: str) -> DataFrame:
     """Proxy rows joined to native responses of the messages they answer."""
-    proxy = live.proxy_samples(adapters.requests(spark, sf).where("host <> 'h9'"), adapters.providers(spark, sf))
+    proxy = live.proxy_samples(adapters.requests(spark, sf), adapters.providers(spark, sf))
     logged = proxy.where((F.col("runtime") == "claude") & F.col("request_id").startswith("session:"))
-    native = logged.groupBy("event_key").agg(F.min("output_tokens").alias("output_tokens"), F.min("end").alias("end")).select(
-        "event_key", F.lit("s").alias("session_key"), F.lit("claude").alias("runtime"),
+    native = logged.groupBy("event_key").agg(
+        F.min("output_tokens").alias("output_tokens"), F.min("end").alias("end"), F.max("session_id").alias("session_id")
+    ).select(
+        "event_key", F.when(F.col("session_id").isNotNull(), U.opaque_identity(F.lit("claude"), F.col("session_id"))).alias("session_key"),
+        F.lit("claude").alias("runtime"),
         F.lit("Provider unreported").alias("provider"), F.lit("native").alias("model"), "output_tokens",
         F.when(F.col("output_tokens") % 2 == 0, F.col("end") - 2).alias("start"), "end", F.lit("native_log").alias("basis"),
     )
-    linked = live.link_proxy(native, proxy.drop("request_id"))
+    linked = live.link_proxy(native, proxy)
     return linked.groupBy("runtime", "provider", "basis", "status").agg(
-        F.count(F.lit(1)).alias("responses"), F.sum("output_tokens").alias("output_tokens")
+        F.count(F.lit(1)).alias("responses"), F.sum("output_tokens").alias("output_tokens"), F.count("session_key").alias("with_session")
     )
 
 

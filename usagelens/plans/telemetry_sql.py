@@ -9,34 +9,53 @@ LAST, NOW = 2844432, 2842000
 CTES = """
 ev AS (SELECT *, epoch_us(ts) // 600000 AS ms FROM events),
 tele AS (
-  SELECT 'u' || user_id AS session_key,
-    CASE WHEN user_id % 3 = 0 THEN 'r' || user_id || '-' || (ms // 60000) END AS response_key,
-    CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS done, CAST(ms AS DOUBLE) / 1000 AS stamp,
-    CAST(ms AS DOUBLE) / 1000 + event_id % 8 AS received_at,
+  SELECT *, CAST(sm AS DOUBLE) / 1000 AS stamp, CAST(sm AS DOUBLE) / 1000 + event_id % 8 AS received_at,
+    CASE WHEN event_id % 101 = 0 OR (event_type = 'click' AND user_id % 3 = 0 AND event_id % 5 = 0) THEN NULL ELSE 'u' || user_id END AS session_key,
+    CASE WHEN event_id % 101 <> 0 AND user_id % 3 = 0 AND {IDS} THEN 'r' || user_id || '-' || (sm // 60000) END AS response_key,
+    CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS done,
+    CASE WHEN event_type = 'click' THEN 'request' ELSE 'response' END AS start_origin,
     CASE WHEN event_type = 'purchase' THEN CAST(round(value * 10) AS BIGINT) END AS output_tokens,
     'prov-' || (user_id % 4) AS provider, 'model-' || (user_id % 9) AS model
-  FROM ev WHERE event_type IN ('view', 'purchase')),
-keyed AS (SELECT *, coalesce('r:' || response_key, 's:' || session_key) AS pair_key FROM tele),
+  FROM (SELECT *, ms * CASE WHEN user_id % 10 = 3 THEN 40 ELSE 1 END AS sm FROM ev)),
+whole AS (
+  SELECT response_key FROM tele WHERE response_key IS NOT NULL GROUP BY 1 HAVING min(done) = 0 AND max(done) = 1),
+loose AS (SELECT DISTINCT session_key FROM tele WHERE response_key IS NULL AND session_key IS NOT NULL),
+keyed AS (
+  SELECT t.*, CASE WHEN w.response_key IS NOT NULL THEN 'r:' || t.response_key WHEN l.session_key IS NOT NULL THEN 's:' || t.session_key
+    ELSE 'r:' || t.response_key END AS pair_key
+  FROM tele t LEFT JOIN whole w ON w.response_key = t.response_key LEFT JOIN loose l ON l.session_key = t.session_key
+  WHERE t.session_key IS NOT NULL OR t.response_key IS NOT NULL),
 once AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
     PARTITION BY pair_key, done, CASE WHEN done = 1 AND response_key IS NOT NULL THEN NULL ELSE stamp END,
       CASE WHEN done = 1 AND response_key IS NULL THEN coalesce(output_tokens, -1) END
-    ORDER BY stamp, received_at, output_tokens) AS rn FROM keyed) WHERE rn = 1),
+    ORDER BY stamp, start_origin, received_at, output_tokens NULLS FIRST) AS rn FROM keyed) WHERE rn = 1),
+paused AS (
+  SELECT *, CASE WHEN stamp - lag(stamp) OVER w <= 1800 THEN 0 ELSE 1 END AS pause FROM once
+  WINDOW w AS (PARTITION BY pair_key ORDER BY stamp, done, coalesce(output_tokens, -1))),
 grouped AS (
-  SELECT *, sum(done) OVER (PARTITION BY pair_key ORDER BY stamp, done, coalesce(output_tokens, -1)
-    ROWS UNBOUNDED PRECEDING) - done AS g FROM once),
+  SELECT *, sum(done) OVER w - done AS g, sum(pause) OVER w AS p FROM paused
+  WINDOW w AS (PARTITION BY pair_key ORDER BY stamp, done, coalesce(output_tokens, -1) ROWS UNBOUNDED PRECEDING)),
 groups AS (
-  SELECT pair_key, g, min(session_key) AS session_key, min(response_key) AS response_key, min(provider) AS provider,
-    min(model) AS model, min(stamp) FILTER (WHERE done = 0) AS s, count(*) FILTER (WHERE done = 0) AS starts,
-    max(stamp) FILTER (WHERE done = 1) AS c, max(output_tokens) AS output_tokens,
-    max(received_at) FILTER (WHERE done = 1) AS received_at
-  FROM grouped GROUP BY ALL),
+  SELECT pair_key, min({{'stamp': stamp, 'origin': start_origin, 'session': session_key, 'provider': provider, 'model': model,
+      'received': received_at, 'response': response_key}}) FILTER (WHERE done = 0) AS s,
+    max({{'stamp': stamp, 'tokens': output_tokens, 'session': session_key, 'response': response_key, 'provider': provider,
+      'model': model, 'received': received_at}}) FILTER (WHERE done = 1) AS c,
+    count(*) FILTER (WHERE done = 0) AS starts, count(*) FILTER (WHERE done = 0 AND start_origin = 'request') AS requests
+  FROM grouped GROUP BY pair_key, g, p),
 paired AS (
-  SELECT session_key, response_key, provider, model, output_tokens,
-    CASE WHEN status IN ('measured', 'late') THEN s END AS start, coalesce(c, s) AS "end", status
-  FROM (SELECT *, CASE WHEN c IS NULL AND starts = 1 THEN 'awaiting_usage' WHEN c IS NULL THEN 'missing_timing'
-    WHEN output_tokens = 0 THEN 'empty' WHEN starts <> 1 OR c <= s OR c - s > 1800 THEN 'missing_timing'
-    WHEN c < received_at - 5 THEN 'late' ELSE 'measured' END AS status FROM groups)),
+  SELECT coalesce(c.session, s.session) AS session_key, coalesce(c.response, s.response) AS response_key,
+    coalesce(c.provider, s.provider) AS provider, coalesce(c.model, s.model) AS model, c.tokens AS output_tokens,
+    CASE WHEN status IN ('measured', 'late') THEN s.stamp END AS start, coalesce(c.stamp, s.stamp) AS "end", status
+  FROM (SELECT *, CASE
+      WHEN c IS NULL THEN CASE WHEN single THEN 'awaiting_usage' ELSE 'missing_timing' END
+      WHEN c.tokens IS NULL THEN 'awaiting_usage' WHEN c.tokens = 0 THEN 'empty'
+      WHEN NOT single OR c.stamp <= s.stamp OR c.stamp - s.stamp > 1800 OR coalesce(s.response <> c.response, false) THEN 'missing_timing'
+      WHEN s.session IS DISTINCT FROM c.session THEN 'ambiguous_identity'
+      WHEN c.stamp < c.received - 5 THEN 'late' ELSE 'measured' END AS status
+    FROM (SELECT *, starts = 1 OR (starts > 1 AND s.origin = 'request' AND requests = 1) AS single FROM groups))
+  UNION ALL SELECT NULL, NULL, provider, model, output_tokens, NULL, stamp, 'ambiguous_identity' FROM tele
+  WHERE session_key IS NULL AND response_key IS NULL),
 samples AS (
   SELECT 'src' || ((user_id + copy) % 3) AS source, (user_id + copy) % 3 AS source_order, 'e' || event_id AS event_key,
     CASE WHEN user_id % 17 = 0 OR copy = 2 THEN NULL ELSE 's' || (user_id % 60) END AS session_key,
@@ -89,8 +108,10 @@ watched AS (
 """
 
 
-def telemetry(tail: str, ctes: str = "") -> str:
-    return "WITH " + (CTES + ctes).rstrip().rstrip(",") + "\n" + tail
+def telemetry(tail: str, ctes: str = "", ids: str = "true") -> str:
+    """``tail`` over the shared tables; ``ids`` says which events keep their response id."""
+    shared = CTES.replace("{IDS}", ids).replace("{{", "{").replace("}}", "}")
+    return "WITH " + (shared + ctes).rstrip().rstrip(",") + "\n" + tail
 
 
 KIND = "CASE event_type WHEN 'view' THEN 'response.created' WHEN 'purchase' THEN 'response.completed' ELSE 'response.created' END"
@@ -126,6 +147,11 @@ ORACLES = {
         """SELECT status, CAST(count(*) AS BIGINT) AS responses, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
         FROM paired GROUP BY 1"""
     ),
+    "mixed_pairs": telemetry(
+        """SELECT status, CAST(count(*) AS BIGINT) AS responses, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
+        FROM paired GROUP BY 1""",
+        ids="event_id % 2 = 1",
+    ),
     "live_rate": telemetry(
         """SELECT second, round(sum(tps), 6) AS total_tps, CAST(count(session_key) AS BIGINT) AS contributing_sessions,
         bool_or(session_key IS NULL) AS unattributed,
@@ -134,8 +160,8 @@ ORACLES = {
     ),
     "live_sessions": telemetry("SELECT second, runtime, contributor, session_key, round(tps, 6) AS tps FROM rates"),
     "busiest_sessions": telemetry(
-        """SELECT second, runtime, contributor, session_key, round(tps, 6) AS tps FROM rates
-        ORDER BY round(tps, 6) DESC, runtime, contributor, second LIMIT 20"""
+        """SELECT second, runtime, contributor, session_key, round(tps, 6) AS tps,
+        CAST(row_number() OVER (PARTITION BY second ORDER BY round(tps, 6) DESC, runtime, contributor) AS INT) AS place FROM rates"""
     ),
     "canonical_responses": telemetry(
         "SELECT event_key, source, session_key, basis, model, output_tokens, conflict FROM canon"
@@ -163,24 +189,32 @@ ORACLES = {
     "activity_gaps": telemetry(
         f"""SELECT session_key, round(stamp, 6) AS stamp, 'awaiting_usage' AS status FROM (
           SELECT 's' || (user_id % 60) AS session_key, max(CAST(ms AS DOUBLE) / 1000) AS stamp FROM ev
-          WHERE event_type = 'view' AND CAST(ms AS DOUBLE) / 1000 BETWEEN {NOW} - 120 AND {NOW} GROUP BY 1) a
-        WHERE NOT EXISTS (SELECT 1 FROM samples s WHERE s.session_key = a.session_key
-          AND s."end" BETWEEN {NOW} - 5 AND {NOW} AND s."end" >= a.stamp)"""
+          WHERE event_type <> 'signup' AND CAST(ms AS DOUBLE) / 1000 BETWEEN {NOW} - 120 AND {NOW} GROUP BY 1) a
+        WHERE NOT EXISTS (SELECT 1 FROM samples s WHERE s.session_key = a.session_key AND runtime = 'codex'
+            AND basis IN ('native_log', 'codex_otel') AND s."end" BETWEEN {NOW} - 5 AND {NOW} AND s."end" >= a.stamp)
+          AND NOT EXISTS (SELECT 1 FROM ev WHERE event_type = 'signup' AND 's' || (user_id % 60) = a.session_key
+            AND CAST(ms AS DOUBLE) / 1000 BETWEEN a.stamp AND {NOW})"""
     ),
     "proxy_link": "WITH " + BASE + """
 px AS (
-  SELECT request_id, CASE WHEN app_type LIKE 'claude%' THEN 'claude' ELSE app_type END AS runtime,
-    coalesce(provider_name, 'Unresolved provider') AS provider, output_tokens, CAST(created_at AS DOUBLE) AS e,
+  SELECT request_id, session_id, CASE WHEN app_type LIKE 'claude%' THEN 'claude' ELSE app_type END AS runtime,
+    coalesce(provider_name, 'Unresolved provider') AS provider, output_tokens, CAST(created_at AS DOUBLE) AS e, host,
     coalesce(CASE WHEN duration_ms > 0 THEN duration_ms END, CASE WHEN latency_ms > 0 THEN latency_ms END) AS d
   FROM ledger r LEFT JOIN provs p USING (provider_id)
-  WHERE host <> 'h9' AND coalesce(data_source, 'proxy') = 'proxy' AND status_code BETWEEN 200 AND 299 AND output_tokens > 0)
-SELECT runtime, provider, basis, status, CAST(count(*) AS BIGINT) AS responses, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
+  WHERE coalesce(data_source, 'proxy') = 'proxy' AND status_code BETWEEN 200 AND 299 AND output_tokens > 0),
+one AS (
+  SELECT request_id, runtime, starts_with(request_id, 'session:') AND runtime = 'claude' AS native,
+    max(output_tokens) AS output_tokens, max(provider) AS provider, max(d) AS d, max(session_id) AS session_id FROM px GROUP BY 1, 2, 3),
+known AS (SELECT DISTINCT session_id FROM one WHERE native AND session_id IS NOT NULL)
+SELECT runtime, provider, basis, status, CAST(count(*) AS BIGINT) AS responses, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(count(session) AS BIGINT) AS with_session
 FROM (SELECT *, CASE WHEN native AND output_tokens % 2 = 0 THEN 'native_log' ELSE 'proxy_elapsed' END AS basis,
+    CASE WHEN native OR (runtime = 'claude' AND session_id IN (SELECT session_id FROM known)) THEN session_id END AS session,
     CASE WHEN (native AND output_tokens % 2 = 0) OR d IS NOT NULL THEN 'measured' ELSE 'missing_timing' END AS status
-  FROM (SELECT *, starts_with(request_id, 'session:') AS native FROM px WHERE runtime <> 'codex')) GROUP BY ALL""",
+  FROM one WHERE runtime <> 'codex') GROUP BY ALL""",
     "pending_sessions": telemetry(
-        """SELECT DISTINCT 'codex' AS runtime, session_key, provider, model, status FROM paired
-        WHERE status IN ('awaiting_usage', 'missing_timing')"""
+        """SELECT 'codex' AS runtime, session_key, max(provider) AS provider, max(model) AS model, status FROM paired
+        WHERE status IN ('awaiting_usage', 'missing_timing', 'ambiguous_identity') GROUP BY session_key, status"""
     ),
     "broken_samples": telemetry(
         """SELECT 'output_tokens' AS rule, CAST(count(*) AS BIGINT) AS rows FROM samples WHERE model = 'model-2'

@@ -244,34 +244,44 @@ def conversation_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response boundaries from the event table, compressed to about 72 minutes.
 
-    A third of the sessions carry response ids. Every eighth export is late.
+    Views and sign-ups start responses, clicks send requests, purchases and errors
+    end them, errors without a count. A third of the sessions carry response ids.
+    Every eighth export is late; a tenth of the sessions run on a slower clock, so
+    that starts expire; some requests name no session, and a few events nothing.
     """
     return telemetry_events(table(spark, sf_dir, "events"))
 
 
 def telemetry_events(events: DataFrame) -> DataFrame:
-    kinds = events.where("event_type IN ('view', 'purchase')").selectExpr(
-        "event_id",
-        "CAST(user_id AS STRING) AS session_id",
-        "IF(event_type = 'view', 'response.created', 'response.completed') AS kind",
-        "unix_millis(CAST(ts AS TIMESTAMP)) div 600 AS stamp_ms",
-        "IF(event_type = 'purchase', CAST(round(value * 10) AS BIGINT), NULL) AS output_tokens",
-        "user_id",
+    timed = events.selectExpr(
+        "event_id", "user_id", "event_type", "value",
+        "(unix_millis(CAST(ts AS TIMESTAMP)) div 600) * IF(user_id % 10 = 3, 40, 1) AS stamp_ms",
     )
-    return kinds.selectExpr(
+    return timed.selectExpr(
         "event_id",
-        "concat('u', session_id) AS session_key",
-        "IF(user_id % 3 = 0, concat('r', session_id, '-', stamp_ms div 60000), NULL) AS response_key",
-        "kind",
-        "'response' AS start_origin",
+        "IF(event_id % 101 = 0 OR (event_type = 'click' AND user_id % 3 = 0 AND event_id % 5 = 0), NULL, concat('u', user_id)) AS session_key",
+        "IF(event_id % 101 <> 0 AND user_id % 3 = 0, concat('r', user_id, '-', stamp_ms div 60000), NULL) AS response_key",
+        "IF(event_type IN ('purchase', 'error'), 'response.completed', 'response.created') AS kind",
+        "IF(event_type = 'click', 'request', 'response') AS start_origin",
         "stamp_ms / 1000D AS stamp",
         "stamp_ms / 1000D + event_id % 8 AS received_at",
-        "output_tokens",
+        "IF(event_type = 'purchase', CAST(round(value * 10) AS BIGINT), NULL) AS output_tokens",
         "concat('prov-', user_id % 4) AS provider",
         "concat('model-', user_id % 9) AS model",
     )
 
 
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace table: which sessions were read from, with other targets, unnamed threads and broken fractions."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id",
+        "unix_micros(CAST(ts AS TIMESTAMP)) div 1000000 AS ts",
+        "IF(event_id % 23 = 0, 2000000000L, event_id % 1000 * 1000000L) AS ts_nanos",
+        "IF(event_type IN ('view', 'click', 'purchase'), 'codex_core::stream_events_utils', 'other') AS target",
+        "IF(user_id % 40 = 0, 'none', concat('t', user_id % 40)) AS thread_id",
+    )
+
+
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log events of kind A from conversation turns: user is input, assistant output.
 

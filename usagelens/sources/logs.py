@@ -16,34 +16,37 @@ from usagelens.operators.prefix import running_sums
 
 
 def read_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Every line of every matching file below the paths, numbered from 0 in its file."""
+    """Every line of every matching file below the paths, numbered from 0 in its file.
+
+    ``ended`` is false for a file's last line if no line break follows it yet.
+    """
     text = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(list(paths))
     ).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("place"),
         "value",
     )
     # Lines of one split are read in order by one task; splits are ordered by their offset.
-    numbered = running_sums(text, ["file"], F.col("block"), [F.col("place")], {"upto": F.lit(1).cast("bigint")})
-    return numbered.select("file", (F.col("upto") - 1).alias("ordinal"), "value")
+    # A line's bytes and its break add up to the file's size, but for a break that is not there yet.
+    counts = {"upto": F.lit(1).cast("bigint"), "bytes": F.octet_length("value") + F.lit(1).cast("bigint")}
+    numbered = running_sums(text, ["file"], F.col("block"), [F.col("place")], counts)
+    return numbered.select("file", (F.col("upto") - 1).alias("ordinal"), (F.col("bytes") <= F.col("size")).alias("ended"), "value")
 
 
 def read_records(spark: SparkSession, *paths: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Parsed lines. A last line that does not parse is a torn tail and dropped;
-    any other stops the job."""
+    """Parsed lines. A last line that still lacks its line break may be torn and is
+    dropped if it does not parse; any other such line stops the job."""
     lines = read_lines(spark, *paths, pattern=pattern).where(F.trim("value") != "")
-    ends = lines.groupBy(F.col("file").alias("_file")).agg(F.max("ordinal").alias("_last"))
-    judged = lines.join(ends, F.col("file") == F.col("_file"), "left")
     # One expression, so that no filter can drop a bad line before it is judged.
     keep = (
         F.when(F.try_parse_json("value").isNotNull(), F.lit(True))
-        .when(F.col("ordinal") == F.col("_last"), F.lit(False))
-        .otherwise(U.fail(F.concat(F.lit("Malformed record in "), F.col("file"))))
+        .when(~F.col("ended"), F.lit(False))
+        .otherwise(U.fail(F.concat(F.lit("Line is no JSON in "), F.col("file"))))
     )
-    whole = judged.where(keep)
-    return whole.select("file", "ordinal", F.from_json("value", schema).alias("r"))
+    return lines.where(keep).select("file", "ordinal", F.from_json("value", schema).alias("r"))
 
 
 def file_session(file: Column) -> Column:

@@ -38,7 +38,7 @@ def conform(df: DataFrame, schema: str, name: str) -> DataFrame:
     wanted = schemas.columns(schema)
     missing = sorted(set(wanted) - set(df.columns) - set(schemas.OPTIONAL))
     if missing:
-        raise ValueError(f"Unsupported schema: {name} missing {', '.join(missing)}")
+        raise ValueError(f"Table {name} lacks {', '.join(missing)}")
     kinds = {part.split()[0]: part.split(maxsplit=1)[1] for part in _fields(schema)}
     return df.select(
         *[

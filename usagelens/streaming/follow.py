@@ -1,16 +1,19 @@
-"""Streams over landed files, and results kept as correctable journals.
+"""Streams over landed files, kept as journals.
 
-A source reads each file once; what was there before the query's start can be
-left out by its event time, so nothing is replayed. ``max_files`` is the
-back-pressure.
+A stream only takes rows over: each micro-batch appends what it read to a journal
+in the shared folder, under its own number, so that a retried batch replaces
+itself. Nothing is dropped on the way, whatever order files arrive in and however
+many a batch takes. What a journal means - repeats, late rows, pairs, rates - is
+worked out by the batch operators over it, so it does not depend on the batches.
+``max_files`` is the back-pressure.
+
+Journals and progress folders belong to the caller: a running service names and
+keeps them; those of ``run_available`` may go when its result has been used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import Any
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens import schemas
@@ -18,28 +21,23 @@ from usagelens.functions import usage as U
 from usagelens.operators.history import latest_per_key
 from usagelens.session import new_path
 
-JSON_STATE = "state string"
-
 
-def follow_files(
-    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", max_files: int = 1000, pattern: str | None = None
-) -> DataFrame:
-    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path)
+def follow_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
+    """Rows of a file, or of a folder's files as they land."""
+    # A stream takes a plain path for a folder; a pattern that only this path matches may be a file.
+    path = f"{path[:-1]}[{path[-1]}]" if path[-1:].isalnum() else path
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
 
 
-def follow_requests(spark: SparkSession, path: str, started_at: int, fmt: str = "parquet") -> DataFrame:
-    """New successful proxy rows since the start, each request once."""
-    rows = follow_files(spark, path, "host string, " + schemas.REQUESTS, fmt)
-    live = rows.where(
+def follow_requests(spark: SparkSession, path: str, started_at: int, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
+    """New successful proxy rows since the start; repeats are left to ``first_arrivals``."""
+    rows = follow_files(spark, path, "host string, " + schemas.REQUESTS, fmt, max_files)
+    return rows.where(
         (F.col("created_at") >= started_at)
         & (F.coalesce("data_source", F.lit("proxy")) == "proxy")
         & U.success()
         & U.usable_identity(F.col("request_id")).isNotNull()
     )
-    return once(live.withColumn("event_time", F.timestamp_seconds("created_at")), "event_time", ["app_type", "request_id"], "60 seconds")
 
 
 def follow_trace(spark: SparkSession, path: str, started_at: float, max_files: int = 100) -> DataFrame:
@@ -54,62 +52,46 @@ def follow_trace(spark: SparkSession, path: str, started_at: float, max_files: i
     )
 
 
-def once(df: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
-    """The first row per key while the watermark remembers it."""
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def split_late(samples: DataFrame, limit_s: float = 5.0) -> tuple[DataFrame, DataFrame]:
-    """Samples in time, and those whose end was older than the limit on arrival.
-
-    Split before any watermark, which would drop late rows without a trace.
-    """
-    late = F.col("received_at") - F.col("end") > limit_s
-    return samples.where(~late), samples.where(late)
+def append_available(stream: DataFrame, journal: str, progress: str) -> None:
+    """Append what is there now to a journal; the next call goes on from there."""
+    spark = stream.sparkSession
+    # An empty part first, so that a stream without files reads as an empty table.
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{journal}/batch=-1")
 
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{journal}/batch={number}")
 
-def with_state(events: DataFrame, key: Column, handler: Callable, output: str, arrival: str = "received_at", delay: str = "1 hour") -> DataFrame:
-    """Run a keyed handler whose state is JSON text and expires after a pause.
+    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query.awaitTermination()
 
-    The watermark follows arrival, not event time, so that late output reaches
-    the handler and is counted there.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    keyed = events.withColumns({"state_key": key, "arrived": F.timestamp_seconds(arrival)}).withWatermark("arrived", delay)
-    return keyed.groupBy("state_key").applyInPandasWithState(
-        handler, output, JSON_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+def read_journal(spark: SparkSession, journal: str, like: DataFrame) -> DataFrame:
+    """The journal's rows with the number of the batch that brought them."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+    return spark.read.schema(f"{kinds}, batch int").option("basePath", journal).parquet(journal)
 
 
-def keep_until(state: Any, text: str, last_s: float, ttl_s: float) -> None:
-    """Store state and let it expire ``ttl_s`` after the last arrival."""
-    state.update((text,))
-    state.setTimeoutTimestamp(int(max((last_s + ttl_s) * 1000, state.getCurrentWatermarkMs() + 1)))
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is there and read the journal back."""
+    journal = new_path(stream.sparkSession, name)
+    append_available(stream, journal, new_path(stream.sparkSession, name + "-progress"))
+    return read_journal(stream.sparkSession, journal, stream)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there, append each batch to a journal and read it back.
+def first_arrivals(journal: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """One row per key, the first to arrive; of several at one time the smallest by its other columns.
 
-    Every row carries its batch number, so that later batches correct earlier ones.
+    Batch numbers do not count, so the choice is the same however files were cut.
     """
-    spark = stream.sparkSession
-    out, progress = new_path(spark, name), new_path(spark, name + "-progress")
+    rest = [c for c in journal.columns if c not in (*keys, arrival, "batch")]
+    rows = journal.groupBy(*keys).agg(F.min(F.struct(arrival, *rest)).alias("_row"))
+    return rows.select(*keys, "_row.*").select(*[c for c in journal.columns if c != "batch"])
 
-    def append(batch: DataFrame, number: int) -> None:
-        # A retried batch replaces its own folder.
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(append)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return spark.read.schema(f"{kinds}, batch int").option("basePath", out).parquet(out)
+
+def split_late(samples: DataFrame, limit_s: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Samples in time, and those whose end was older than the limit on arrival."""
+    late = F.col("received_at") - F.col("end") > limit_s
+    return samples.where(~late), samples.where(late)
 
 
 def corrected(journal: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Live computations as streaming queries."""
+"""Live computations over journals of streamed rows.
+
+Each is a batch operator over the journal, so a run over one file a batch and a run
+over all files at once give the same rows. A running service limits the journal to
+the part that can still change: 30 minutes for pairs, 10 for receipts.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +12,29 @@ from pyspark.sql import functions as F
 
 from usagelens.operators import live, pairing
 from usagelens.streaming import follow
-from usagelens.streaming.pairing import pair_session
-from usagelens.streaming.receipts import DELTAS, count_response
 
 
-def paired_stream(events: DataFrame) -> DataFrame:
-    """Response intervals from boundary events, one state per session."""
-    key = F.coalesce(F.concat(F.lit("s:"), F.col("session_key")), F.concat(F.lit("r:"), F.col("response_key")))
-    known = events.where(key.isNotNull())
-    return follow.with_state(known, key, pair_session, pairing.PAIRED)
+def pairs(events: DataFrame) -> DataFrame:
+    """Outcomes of boundary events; events without any identity are outcomes, too."""
+    return pairing.pair_responses(events.drop("batch"))
 
 
-def rate_stream(samples: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Tokens per second over the trailing window, updated as responses arrive."""
-    timed = live.rebased(samples).withColumn("event_time", F.timestamp_seconds("end"))
-    distinct = follow.once(timed, "event_time", ["event_key"], delay)
-    cells = live.rate_cells(distinct).withColumn("cell_time", F.timestamp_seconds("second"))
-    return cells.groupBy(F.window("cell_time", "1 second").alias("cell"), "runtime", "session_key").agg(
-        F.sum("tps").alias("tps")
-    ).select(F.unix_seconds("cell.start").alias("second"), "runtime", "session_key", "tps")
+def rates(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tokens per second over the trailing window, what arrived too late for it), each sample once."""
+    in_time, late = follow.split_late(follow.first_arrivals(samples, ["event_key"], "received_at"))
+    cells = live.rate_cells(live.rebased(in_time))
+    rated = cells.groupBy("second", "runtime", "session_key").agg(F.sum("tps").alias("tps"))
+    return rated, late.groupBy("runtime").agg(F.count(F.lit(1)).alias("responses"), F.sum("output_tokens").alias("output_tokens"))
 
 
-def receipt_stream(samples: DataFrame) -> DataFrame:
-    """Signed output deltas per arrival second; sums over them are the receipts."""
-    return follow.with_state(samples, F.col("event_key"), count_response, DELTAS)
+def receipts(samples: DataFrame) -> DataFrame:
+    """Counted output per arrival second; what copies finally disagree about does not count."""
+    return live.receipt_seconds(live.receipt_deltas(samples.drop("batch")))
 
 
-def minute_stream(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def minutes(requests: DataFrame) -> DataFrame:
     """Output tokens per minute and app of streamed ledger rows, each request once."""
-    timed = requests.withColumn("event_time", F.timestamp_seconds("created_at"))
-    distinct = follow.once(timed, "event_time", ["app_type", "request_id"], delay)
-    return distinct.groupBy(F.window("event_time", "1 minute").alias("cell"), "app_type").agg(
+    once = follow.first_arrivals(requests, ["app_type", "request_id"], "created_at")
+    return once.groupBy((F.floor(F.col("created_at") / 60) * 60).alias("minute"), "app_type").agg(
         F.sum("output_tokens").alias("output_tokens"), F.count(F.lit(1)).alias("requests")
-    ).select(F.unix_seconds("cell.start").alias("minute"), "app_type", "output_tokens", "requests")
+    )
