@@ -73,9 +73,9 @@ def test_bit_sliced_comparison(runs):
     got = simhash.close_pairs(v, keys, 2)
     assert smallest(range(len(v)), got) == expected
     assert len(got) == sum(expected[i] != i for i in expected)
-    stars = simhash.close_pairs(v, keys, 2, stars=True)
-    assert {i for p in stars for i in p} == {i for p in near for i in p}
-    assert len(stars) <= 4 * len(v)
+    nearest = simhash.close_pairs(v, keys, 2, nearest=True)
+    assert {i for p in nearest for i in p} == {i for p in near for i in p}
+    assert set(nearest) <= set(near) and len(nearest) <= simhash.NEAREST * len(v)
 
 
 def test_links_with_hot_keys(spark, monkeypatch):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Stands for a null doc_id where ids are compared; such rows sort last.
 NO_ID = 2**63 - 1
+#: Rows that are turned into Python objects together.
+TOGETHER = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,33 +35,17 @@ def id_back(column: str = "_id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias("doc_id")
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """Bytes of all texts; sizes buckets, never results."""
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
-def buckets_for(total_bytes: int, each: int, least: int = 64) -> int:
-    """How many buckets keep each near ``each`` bytes."""
-    return max(least, -(-total_bytes // each))
-
-
-def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
-    """The column's texts one by one; null is empty."""
-    for value in batch.column(column):
-        yield value.as_py() or ""
-
-
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     return [v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """A mapInArrow function from one over a single batch."""
+    """A mapInArrow function from one over a few rows; results of Python objects stay small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield make(batch)
+            for at in range(0, batch.num_rows, TOGETHER):
+                yield make(batch.slice(at, TOGETHER))
 
     return run

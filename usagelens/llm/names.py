@@ -51,18 +51,17 @@ def _powers(factor: int, n: int) -> np.ndarray:
 class Rolling:
     """Hashes of substrings of a sequence of 64-bit symbols, for one of two factors."""
 
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    #: By factor: powers and inverse powers, the longest so far.
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, symbols: np.ndarray, lane: int = 0):
         n = len(symbols) + 1
-        size = 1 << max(16, (n - 1).bit_length())
-        if (lane, size) not in self.tables:
-            factor = _FACTORS[lane]
+        made = self.tables.get(lane)
+        if made is None or len(made[0]) < n:
+            factor, size = _FACTORS[lane], 1 << max(16, (n - 1).bit_length())
             made = _powers(factor, size), _powers(pow(factor, -1, 1 << 64), size)
             if size <= 1 << 21:
-                self.tables[lane, size] = made
-        else:
-            made = self.tables[lane, size]
+                self.tables[lane] = made
         up, self.down = made
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(symbols * up[: n - 1], out=self.sums[1:])

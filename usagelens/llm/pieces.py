@@ -11,8 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Parts that one generation of a worker's memory holds, about; there are two.
-REMEMBERED = 700_000
+#: Parts that one generation of a worker's memory holds, about, unless given; there are two.
+REMEMBERED = 200_000
 #: Longer parts are not remembered.
 LONGEST = 64
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm.common import NO_ID, id_back, keyed, per_batch, raw_texts
 from usagelens.llm.components import components
-from usagelens.llm.names import Rolling
+from usagelens.llm.names import Rolling, mix
 from usagelens.llm.words import bounds
 from usagelens.session import materialize
 
 BITS, SEED = 64, 42
 #: Fingerprints of one key beyond which it is dealt by further bits.
 HOT, SAMPLED = 4096, 16
+#: Hot keys that are broadcast at most, 12 bytes each; more are joined by a shuffle.
+BROADCAST = 50_000
 #: Fingerprints that are compared side by side, and of which blocks are left together.
 LANES = 1 << 12
-#: Nearest rows that a row is linked to where links are candidates.
-NEAREST = 3
+#: Nearest rows that a row is linked to under a key where links are candidates, and classes of partners over all keys.
+NEAREST, CLASSES = 4, 4
 
 
 def simhash(raw: bytes, width: int) -> int:
@@ -146,11 +149,8 @@ class _Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def close_pairs(values: np.ndarray, keys: np.ndarray, radius: int, stars: bool = False) -> list[tuple[int, int]]:
-    """Links (places) that span what is connected within each run of equal keys.
-
-    With ``stars``, links to the middle and to the nearest instead.
-    """
+def close_pairs(values: np.ndarray, keys: np.ndarray, radius: int, nearest: bool = False) -> list[tuple[int, int]]:
+    """Links (places) that span what is connected within each run of equal keys; with ``nearest``, links to the nearest."""
     n = len(values)
     new = np.ones(n, bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -176,16 +176,16 @@ def close_pairs(values: np.ndarray, keys: np.ndarray, radius: int, stars: bool =
         for low in range(start, start + size, LANES):
             block = values[low : min(low + LANES, start + size)]
             planes = _planes(block)
-            for i in range(start, start + size if stars else low + len(block)):
+            for i in range(start, start + size if nearest else low + len(block)):
                 flips = np.where(values[i] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1), full, np.uint64(0))
                 hit = low + np.flatnonzero(_lanes(_within(planes, flips, radius), len(block)))
                 for j in hit[hit > i].tolist():
                     union.join(i, j)
-                if stars:
+                if nearest:
                     hit = hit[hit != i]
                     hit = hit[np.argsort(np.bitwise_count(values[hit] ^ values[i]), kind="stable")[:NEAREST]]
                     met.append((np.full(len(hit), i), hit))
-    if not stars:
+    if not nearest:
         return [(root, i) for i in range(n) if (root := union.find(i)) != i]
     if not met:
         return []
@@ -194,17 +194,7 @@ def close_pairs(values: np.ndarray, keys: np.ndarray, radius: int, stars: bool =
     a, b = a[order], b[order]
     first = np.flatnonzero(np.diff(a, prepend=-1))
     near = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < NEAREST
-    out = set(zip(a[near].tolist(), b[near].tolist(), strict=True))
-    groups: dict[int, list[int]] = {}
-    for i in np.unique(a).tolist():
-        groups.setdefault(union.find(i), []).append(i)
-    for members in groups.values():
-        mine = values[members]
-        ones = np.unpackbits(mine.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-        middle = np.packbits(2 * ones > len(mine), bitorder="little").view(np.uint64)[0]
-        centre = members[int(np.argmin(np.bitwise_count(mine ^ middle)))]
-        out |= {(centre, i) for i in members if i != centre}
-    return sorted({(min(p), max(p)) for p in out})
+    return sorted({(min(p), max(p)) for p in zip(a[near].tolist(), b[near].tolist(), strict=True)})
 
 
 # --- dealing ----------------------------------------------------------------
@@ -235,79 +225,118 @@ def _kinds(blocks: int, agree: int) -> list[tuple[list[int], list[int]]]:
     return out
 
 
-LINKS_DDL = "u long, v long"
+LINKS_DDL = "u long, v long, apart int"
+_DEALT = "rep long, fp long, key long"
+#: The lowest bits of a key say which choice of blocks it is.
+_KIND = np.uint64(0xFF)
 
 
-def links(distinct: DataFrame, radius: int = 2, blocks: int | None = None, agree: int = 2, stars: bool = False) -> DataFrame:
-    """Links u, v of rows (rep, fp), spanning all that are close and meet under a key.
+def links(distinct: DataFrame, radius: int = 2, blocks: int | None = None, agree: int = 2, nearest: bool = False) -> DataFrame:
+    """Links u, v of rows (rep, fp) that are close and meet under a key, with how many bits they are apart.
 
     Keys are choices of ``agree`` of ``blocks`` blocks, ``radius + agree`` blocks
-    unless given; all pairs that differ in ``blocks - agree`` bits meet. With
-    ``stars``, links are candidates for a check of their own: each row's links to the
-    row in the middle of what it hangs together with, and to its ``NEAREST`` rows.
+    unless given; all pairs that differ in ``blocks - agree`` bits meet. Links span
+    what is connected; with ``nearest`` they go from each row to its ``NEAREST``
+    rows under each key, for a check of their own.
     """
     blocks = radius + agree if blocks is None else blocks
-    if blocks * 4 > BITS or blocks < agree:
-        raise ValueError("Keys of this radius would have too few bits")
+    if blocks * 4 > BITS or blocks < agree or comb(blocks, agree) > 1 << 8:
+        raise ValueError("Keys of this radius would have too few bits or be too many")
     kinds = _kinds(blocks, agree)
     further = [_groups(rest, blocks - agree + 1) for _, rest in kinds]
 
+    def named(kind: int, *parts: np.ndarray) -> np.ndarray:
+        """One number for a key; were two keys to share one, more rows would be compared."""
+        found = np.full(len(parts[0]), kind + 1, np.uint64)
+        for part in parts:
+            found = mix(found * np.uint64(0x9E3779B97F4A7C15) + part)
+        return found & ~_KIND | np.uint64(kind)
+
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         rep, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "fp"))
-        keys = np.concatenate([_bits_of(fp.view(np.uint64), own) for own, _ in kinds]).view(np.int64)
-        kind = np.repeat(np.arange(len(kinds), dtype=np.int32), len(rep))
-        columns = [np.tile(rep, len(kinds)), np.tile(fp, len(kinds)), kind, keys]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "fp", "kind", "key"])
+        keys = np.concatenate([named(k, _bits_of(fp.view(np.uint64), own)) for k, (own, _) in enumerate(kinds)])
+        columns = [np.tile(rep, len(kinds)), np.tile(fp, len(kinds)), keys.view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "fp", "key"])
 
     def deal_further(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rep, fp, kind, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "fp", "kind", "key"))
+        rep, fp, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "fp", "key"))
+        kind = (key.view(np.uint64) & _KIND).astype(np.int64)
         parts = []
         for k in np.unique(kind).tolist():
             at = np.flatnonzero(kind == k)
             for part, places in enumerate(further[k]):
-                sub = _bits_of(fp[at].view(np.uint64), places).view(np.int64)
-                parts.append((rep[at], fp[at], kind[at], key[at], np.full(len(at), part + 1, np.int32), sub))
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "fp", "kind", "key", "part", "sub"])
+                sub = _bits_of(fp[at].view(np.uint64), places)
+                parts.append((rep[at], fp[at], named(k, key[at].view(np.uint64), np.full(len(at), part, np.uint64), sub).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["rep", "fp", "key"])
 
-    dealt = distinct.select("rep", "fp").mapInArrow(per_batch(deal), "rep long, fp long, kind int, key long")
+    rows = distinct.select("rep", "fp")
+    dealt = rows.mapInArrow(per_batch(deal), _DEALT)
     # Which keys are hot is read off one row in SAMPLED; that steers work, not results.
-    some = distinct.where(F.pmod(F.xxhash64("rep", "fp"), F.lit(SAMPLED)) == 0).select("rep", "fp")
-    counts = some.mapInArrow(per_batch(deal), "rep long, fp long, kind int, key long").groupBy("kind", "key").count()
-    hot = materialize(counts.where(F.col("count") > HOT // SAMPLED).select("kind", "key"), "simhash_hot")
-    cool = dealt.join(hot, ["kind", "key"], "left_anti").select("rep", "fp", "kind", "key", F.lit(0).alias("part"), F.lit(0).cast("long").alias("sub"))
-    spread = dealt.join(hot, ["kind", "key"], "left_semi").select("rep", "fp", "kind", "key")
-    groups = cool.union(spread.mapInArrow(per_batch(deal_further), "rep long, fp long, kind int, key long, part int, sub long"))
+    some = rows.where(F.pmod(F.xxhash64("rep", "fp"), F.lit(SAMPLED)) == 0).mapInArrow(per_batch(deal), _DEALT)
+    counts = some.groupBy("key").count().where(F.col("count") > HOT // SAMPLED)
+    hot = materialize(counts.select("key"), "simhash_hot")
+    many = hot.count()
+    groups = dealt
+    if many:
+        side = F.broadcast(hot) if many <= BROADCAST else hot
+        spread = dealt.join(side, "key", "left_semi").select("rep", "fp", "key").mapInArrow(per_batch(deal_further), _DEALT)
+        groups = dealt.join(side, "key", "left_anti").select("rep", "fp", "key").union(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rep", "fp", "kind", "key", "part", "sub"]
         held: list[np.ndarray] | None = None
 
         def compare(columns: list[np.ndarray]) -> pa.RecordBatch | None:
-            rep, fp = columns[0], columns[1].view(np.uint64)
-            new = np.ones(len(rep), bool)
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[2:]])
-            found = close_pairs(fp, np.cumsum(new), radius, stars)
+            rep, fp, key = columns[0], columns[1].view(np.uint64), columns[2]
+            found = close_pairs(fp, key, radius, nearest)
             if not found:
                 return None
-            u, v = (rep[list(side)] for side in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            i, j = (list(side) for side in zip(*found, strict=True))
+            apart = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j]), pa.array(apart)], ["u", "v", "apart"])
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "fp", "key")]
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
             # The last key may go on in the next batch.
-            same = np.logical_and.reduce([c == c[-1] for c in columns[2:]])
-            stop = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            stop = int(np.searchsorted(columns[2], columns[2][-1]))
             held = [c[stop:] for c in columns]
             if stop and (out := compare([c[:stop] for c in columns])) is not None:
                 yield out
         if held is not None and len(held[0]) and (out := compare(held)) is not None:
             yield out
 
-    order = ["kind", "key", "part", "sub"]
-    return groups.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, LINKS_DDL)
+    return groups.repartition("key").sortWithinPartitions("key").mapInArrow(run, LINKS_DDL)
+
+
+def likeliest_links(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of candidate pairs u, v, those whose sketches may be ``similarity`` alike, each node's best in each of ``CLASSES`` classes of partners.
+
+    Sketches are estimates: a pair is left out that lies four standard deviations
+    below, fewer bins allowing for more.
+
+    A minimum per node and class, so that a node with very many candidates is
+    combined before the shuffle; the best of all is always among them.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("a", "b"))
+        held, same = (a != 255) | (b != 255), (a == b) & (a != 255)
+        bins = np.maximum(held.sum(axis=1), 1)
+        likely = same.sum(axis=1) / bins
+        likely[~held.any(axis=1)] = 1.0
+        keep = likely >= similarity - 4 * np.sqrt(similarity * (1 - similarity) / bins)
+        columns = [batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep)), pa.array(likely[keep])]
+        return pa.RecordBatch.from_arrays(columns, ["u", "v", "likely"])
+
+    sketches = nodes.select("rep", "sketch")
+    both = pairs.join(sketches.select(F.col("rep").alias("u"), F.col("sketch").alias("a")), "u")
+    both = both.join(sketches.select(F.col("rep").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
+    found = both.mapInArrow(per_batch(run), "u long, v long, likely double")
+    ends = F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("other")), F.struct(F.col("v").alias("n"), F.col("u").alias("other")))
+    sides = found.select("likely", F.inline(ends))
+    best = sides.groupBy("n", F.pmod(F.xxhash64("other"), F.lit(CLASSES)).alias("class")).agg(F.min(F.struct(-F.col("likely"), "other")).alias("_b"))
+    return best.select(F.least("n", "_b.other").alias("u"), F.greatest("n", "_b.other").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -333,6 +362,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 LONG_WORD = 4
 #: Candidates differ in at most ``FAR`` bits and agree in ``AGREE`` of ``BLOCKS`` blocks: all up to 7 bits, most beyond.
 FAR, BLOCKS, AGREE = 12, 10, 3
+#: Bins of a sketch.
+SKETCH = 128
 
 
 def word_simhash(raw: bytes) -> int:
@@ -358,6 +389,19 @@ def shingle_set(raw: bytes, width: int) -> bytes:
     return np.unique((found >> np.uint64(32)).astype("<u4")).tobytes()
 
 
+def sketch(shingles: bytes) -> bytes:
+    """The smallest hash in each of ``SKETCH`` bins, in a byte; 255 for an empty bin."""
+    hashes = np.frombuffer(shingles, "<u4")
+    out = np.full(SKETCH, 255, np.uint8)
+    # Each byte is the lowest of its bin's hashes by its other bits, folded.
+    mixed = mix(hashes.astype(np.uint64) + np.uint64(1))
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    place = (mixed & np.uint64(SKETCH - 1)).astype(np.int64)
+    np.minimum.at(least, place, mixed)
+    out[np.unique(place)] = (least[np.unique(place)] >> np.uint64(20)) % np.uint64(255)
+    return out.tobytes()
+
+
 def _alike(a: bytes, b: bytes) -> float:
     """The share of common shingles."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
@@ -385,22 +429,25 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
         raws = raw_texts(batch)
         found = np.fromiter(map(word_simhash, raws), np.uint64, len(raws))
         digests = pa.array([hashlib.md5(r, usedforsecurity=False).digest() for r in raws], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("_order"), pa.array(found.view(np.int64)), digests], ["_order", "fp", "digest"])
+        sketches = pa.array([sketch(shingle_set(r, width)) for r in raws], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("_order"), pa.array(found.view(np.int64)), digests, sketches], ["_order", "fp", "digest", "sketch"])
 
     rows = docs.select(order.alias("_order"), text.alias("text"))
-    found = materialize(rows.mapInArrow(per_batch(prints), "_order long, fp long, digest binary"), "copies")
+    found = materialize(rows.mapInArrow(per_batch(prints), "_order long, fp long, digest binary, sketch binary"), "copies")
     # Exact copies are one node, the smallest.
-    nodes = found.groupBy("digest").agg(F.min("_order").alias("rep"), F.min("fp").alias("fp"))
+    nodes = found.groupBy("digest").agg(F.min("_order").alias("rep"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
     exact = found.join(nodes.select("digest", "rep"), "digest").select("_order", "rep").distinct()
-    exact, nodes = materialize(exact, "copies_exact"), materialize(nodes.select("rep", "fp").distinct(), "copies_nodes")
-    pairs = materialize(links(nodes, FAR, BLOCKS, AGREE, stars=True).where("u != v").distinct(), "copies_pairs")
+    exact, nodes = materialize(exact, "copies_exact"), materialize(nodes.select("rep", "fp", "sketch"), "copies_nodes")
+    near = links(nodes.select("rep", "fp"), FAR, BLOCKS, AGREE, nearest=True).select("u", "v").where("u != v").distinct()
+    pairs = materialize(likeliest_links(near, nodes, similarity), "copies_pairs")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = pa.array([shingle_set(r, width) for r in raw_texts(batch)], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("_order"), held], ["_order", "set"])
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("_order")).distinct()
-    shingles = rows.join(wanted, "_order", "left_semi").mapInArrow(per_batch(sets), "_order long, set binary")
+    # Texts are joined by a sort merge at every size; a side that Spark may broadcast when small would not stay small.
+    shingles = rows.join(wanted.hint("merge"), "_order", "left_semi").mapInArrow(per_batch(sets), "_order long, set binary")
     shingles = materialize(shingles.dropDuplicates(["_order"]), "copies_shingles")
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -410,8 +457,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
 
     both = pairs.join(shingles.select(F.col("_order").alias("u"), F.col("set").alias("a")), "u")
     both = both.join(shingles.select(F.col("_order").alias("v"), F.col("set").alias("b")), "v")
-    member = components(both.select("u", "v", "a", "b").mapInArrow(per_batch(judge), LINKS_DDL))
+    member = components(both.select("u", "v", "a", "b").mapInArrow(per_batch(judge), "u long, v long"))
     # Goes: an exact copy of a smaller document, or a member of a group that is not its smallest.
     gone = exact.where("_order != rep").select("_order").union(member.select(F.col("node").alias("_order"))).distinct()
     marked = docs.select(F.struct("*").alias("_all"), order.alias("_order"))
-    return marked.join(gone, "_order", "left_anti").select("_all.*")
+    return marked.join(gone.hint("merge"), "_order", "left_anti").select("_all.*")

@@ -37,6 +37,8 @@ from usagelens.llm.common import NO_ID, id_back, keyed
 
 #: Ids of a block, about.
 BLOCK = 1 << 16
+#: Parts that a worker remembers, see ``pieces.Memory``.
+REMEMBERED = 700_000
 #: Documents, and words, that are encoded together.
 TOGETHER, JOINED = 512, 200
 
@@ -75,7 +77,7 @@ class Encoder:
         pattern = self.library.pre_tokenizer
         # Only where the pattern splits a word from punctuation may they be encoded apart.
         self.apart = [w for w, _ in pattern.pre_tokenize_str(" a,")] == ["\u0120a", ","] if pattern else False
-        self.parts, self.words = pieces.Memory(), pieces.Memory(pieces.REMEMBERED // 2)
+        self.parts, self.words = pieces.Memory(REMEMBERED), pieces.Memory(REMEMBERED // 2)
         self.rests: dict[str, bytes] = {}
         self.leads = np.zeros(self.size, bool)
         self.leads[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -111,7 +113,7 @@ class Encoder:
         missing = self.words.unknown(set(split.values()))
         self.words.young |= self._learn_words([*missing])
         held, rests = self.words.young, self.rests
-        if len(rests) > pieces.REMEMBERED // 8:
+        if len(rests) > REMEMBERED // 8:
             rests.clear()
         rests |= self._learn([*{k[len(w) :] for k, w in split.items()}.difference(rests)])
         learned = self._learn([*{pieces.part(k) for k in new if k not in split}])

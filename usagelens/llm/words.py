@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from usagelens.llm.common import TOGETHER, raw_texts
+
 #: Bytes that are looked at together.
-SLICE = 1 << 20
+SLICE = (1 << 20) - 8192
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,6 +42,8 @@ def bounds(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def row_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch and their texts; null is empty."""
-    raws = [v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist()]
-    for at, stop in slices(raws):
-        yield batch.slice(at, stop - at), raws[at:stop]
+    for start in range(0, batch.num_rows, TOGETHER):
+        part = batch.slice(start, TOGETHER)
+        raws = raw_texts(part, column)
+        for at, stop in slices(raws):
+            yield part.slice(at, stop - at), raws[at:stop]
