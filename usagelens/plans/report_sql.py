@@ -74,8 +74,8 @@ rollups AS (
   SELECT * FROM rb UNION ALL
   SELECT * REPLACE ('h9' AS host, 9 AS host_order) FROM rb WHERE input_tokens % 11 = 0),
 provs AS (
-  SELECT 'p' || (s_suppkey % 4) AS provider_id, n_name AS provider_name
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey BETWEEN 1 AND 3),
+  SELECT 'p' || (s_suppkey % 4) AS provider_id, min(n_name) AS provider_name
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
 usage_in AS (
   SELECT host, app_type, provider_id, session_provider, model, 'request' AS grain, 1 AS n,
     CAST(make_timestamp(created_at * 1000000) AS DATE) AS date,

@@ -76,8 +76,8 @@ def receipt_average(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ticks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = adapters.readings(spark, sf).where("series = 'm0'")
-    return rows.select("series", F.col("wall").alias("tick"), F.lit(True).alias("fresh"), "status")
+    rows = adapters.readings(spark, sf)
+    return rows.select(F.lit("all").alias("series"), F.col("wall").alias("tick"), F.lit(True).alias("fresh"), "status")
 
 
 def finished_bins(spark: SparkSession, sf: str) -> DataFrame:

@@ -99,7 +99,7 @@ received AS (
 ticks AS (
   SELECT tick, previous, status FROM (
     SELECT CAST(ms AS DOUBLE) / 1000 AS tick, CASE WHEN event_type = 'signup' THEN 'partial' ELSE 'complete' END AS status,
-      lag(CAST(ms AS DOUBLE) / 1000) OVER (ORDER BY ms) AS previous FROM ev WHERE user_id % 3 = 0)
+      lag(CAST(ms AS DOUBLE) / 1000) OVER (ORDER BY ms) AS previous FROM ev)
   WHERE tick - previous <= 2.5),
 watched AS (
   SELECT second, bool_or(status <> 'complete') AS partial FROM (

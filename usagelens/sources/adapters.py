@@ -158,8 +158,8 @@ def rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named providers p1 to p3 for every host and app; p4 stays unresolved."""
-    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 3")
+    """Named providers p0 to p3 for every host and app; p4 stays unresolved."""
+    suppliers = table(spark, sf_dir, "supplier")
     nations = table(spark, sf_dir, "nation")
     return suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.explode(F.array(*[F.lit(h) for h in ("h0", "h1", "h2", "h9")])).alias("host"),
@@ -218,8 +218,8 @@ def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant messages with their conversation; some appear in two of them."""
-    return table(spark, sf_dir, "lineitem").where("l_suppkey % 4 = 1 AND l_partkey % 3 = 0").selectExpr(
-        f"concat('m', {LINE_ID}) AS message_id",
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"concat(IF(l_suppkey % 4 = 1 AND l_partkey % 3 = 0, 'm', 'x'), {LINE_ID}) AS message_id",
         "explode(IF(l_partkey % 6 = 0, array(concat('c', l_orderkey % 700), concat('c', l_orderkey % 700 + 1)),"
         " array(concat('c', l_orderkey % 700)))) AS session_id",
     )
