@@ -87,6 +87,11 @@ class Windows:
         return at, Names(first, buckets, second)
 
 
+def _spread(chosen: np.ndarray) -> np.ndarray:
+    """Chosen sub-windows have small hashes; mixed again, they fall in all buckets alike."""
+    return mix(chosen + np.uint64(1))
+
+
 def _own(chunk: Chunk, flags: np.ndarray, buckets: int) -> tuple:
     return chunk.number % buckets, chunk.number, OWN, names.bits(flags)
 
@@ -113,14 +118,14 @@ def _send(table: pa.Table, got: dict, length: int, before: int | None, size: int
     candidates = _candidates(w, got)
     if before is not None and candidates.any():
         h, low, chosen = w.level(before, candidates)
-        asked = Names(h[chosen], buckets)
+        asked = Names(_spread(h[chosen]), buckets)
         repeated = asked.answers(got.get(names.FILTER, {}))[asked.inverse]
         candidates = w.surviving(before, candidates, repeated, h, low, chosen)
     rows = [_own(chunk, candidates, buckets)]
     if candidates.any():
         if size is not None:
             h, _, chosen = w.level(size, candidates)
-            rows += Names(h[chosen], buckets).filter_rows(chunk.number)
+            rows += Names(_spread(h[chosen]), buckets).filter_rows(chunk.number)
         else:
             at, asked = w.whole(candidates, buckets)
             owner = np.searchsorted(w.stops, at[asked.first], side="right")

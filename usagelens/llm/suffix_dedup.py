@@ -89,7 +89,8 @@ def segments(raws: list[bytes], length: int, gram: int) -> Segments:
             inside = (anchor - low).astype(np.uint64)
             first = mix(one(low, high + length) + inside)
             second = (two(low, high + length) >> np.uint64(32)).astype(np.uint32)
-            parts.append((np.full(len(low), number), low + at, high + at, anchor + at, h[anchor], first, second))
+            # Anchors have small hashes; mixed again, they fall in all buckets alike.
+            parts.append((np.full(len(low), number), low + at, high + at, anchor + at, mix(h[anchor] + np.uint64(1)), first, second))
     if not parts:
         none = np.zeros(0, np.int64)
         return Segments(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32))
