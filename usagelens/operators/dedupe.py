@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from usagelens.functions import usage as U
 
 SIGNATURE = ("created_at", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
-#: Stand for any model, and for proxies whose model is unknown.
-ANY, OPEN = "*", "?"
 
 # Columns the usage totals need; narrower than a whole ledger row.
 USAGE_COLUMNS = (
@@ -29,12 +27,11 @@ def effective_requests(requests: DataFrame, window_s: int = 600) -> DataFrame:
     did not record them, models agree or one is unknown, and the times differ by
     at most ``window_s``. A null model counts as unknown.
 
-    No pairs are formed. Proxies shrink to the first and last time per key and
-    time bin, spread to the keys and bins they can cover, and every session row
-    then looks at exactly one key, whose entries are by model: a proxy in its own
-    bin is within the window, and for a neighbouring bin the nearest time decides.
-    The ledger is read for proxies, for session rows and for all others, which pass
-    by untouched.
+    Proxies shrink to the first and last time per key and time bin; what is left
+    of a key differs in app, cache writes and model only, of which there are few. A
+    session row meets those of its own bin and the neighbours', in which the nearest
+    time decides. The ledger is read for proxies, for session rows and for all
+    others, which pass by untouched.
     """
     source = F.coalesce(F.col("data_source"), F.lit("proxy"))
     model = F.lower(U.model_label(F.col("model")))
@@ -45,48 +42,25 @@ def effective_requests(requests: DataFrame, window_s: int = 600) -> DataFrame:
     copies, others = requests.where(copied), requests.where(~copied)
     proxies = (
         requests.where((source == "proxy") & U.success())
-        .groupBy(*tokens, "app_type", "cache_creation_tokens", model.alias("_model"), bin_of.alias("_bin"))
-        .agg(F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
+        .groupBy(*tokens, F.col("app_type").alias("p_app"), F.col("cache_creation_tokens").alias("p_cache"), model.alias("p_model"), bin_of.alias("p_bin"))
+        .agg(F.min("created_at").alias("p_first"), F.max("created_at").alias("p_last"))
     )
-    apps = F.when(
-        F.col("app_type") == "claude-desktop", F.array(F.lit("claude-desktop"), F.lit("claude"))
-    ).otherwise(F.array("app_type"))
-    near = F.array(*[F.struct((F.col("_bin") + d).alias("bin"), F.lit(d).alias("offset")) for d in (-1, 0, 1)])
-    models = F.array_append(F.array("_model", F.lit(ANY)), F.when(F.col("_model") == "unknown", F.lit(OPEN)))
-    spread = (
-        proxies.withColumn("_app", F.explode(apps))
-        .withColumn("_cache", F.explode(F.array(F.col("cache_creation_tokens").cast("string"), F.lit(ANY))))
-        .withColumn("_near", F.explode(near))
-        .withColumn("_name", F.explode(F.array_compact(models)))
-    )
-    keys = [*tokens, "_app", "_cache", "_bin"]
-    # A bin placed one later is the earlier neighbour: its last time is nearest.
-    reach = spread.groupBy(*tokens, "_app", "_cache", F.col("_near.bin").alias("_bin"), "_name").agg(
-        F.bool_or(F.col("_near.offset") == 0).alias("inside"),
-        F.max(F.when(F.col("_near.offset") == 1, F.col("_last"))).alias("before"),
-        F.min(F.when(F.col("_near.offset") == -1, F.col("_first"))).alias("after"),
-    )
-    # One entry a model, so a key's map is as long as it has models.
-    entry = F.struct("_name", F.struct("inside", "before", "after").alias("reach"))
-    cover = reach.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_cover"))
+    near = F.array(*[F.struct((F.col("p_bin") + d).alias("_bin"), F.lit(d).alias("p_offset")) for d in (-1, 0, 1)])
+    cover = proxies.select(*tokens, "p_app", "p_cache", "p_model", "p_first", "p_last", F.inline(near))
 
+    named = copies.withColumns({"_bin": bin_of, "_name": model})
+    app = (F.col("app_type") == F.col("p_app")) | ((F.col("app_type") == "claude") & (F.col("p_app") == "claude-desktop"))
     no_writes = (F.col("cache_creation_tokens") == 0) & (F.col("data_source") != "session_log")
-    keyed = copies.withColumns(
-        {
-            "_app": F.col("app_type"),
-            "_cache": F.when(no_writes, F.lit(ANY)).otherwise(F.col("cache_creation_tokens").cast("string")),
-            "_bin": bin_of,
-            "_name": F.when(model == "unknown", F.lit(ANY)).otherwise(model),
-        }
+    writes = no_writes | (F.col("cache_creation_tokens") == F.col("p_cache"))
+    models = (F.col("_name") == F.col("p_model")) | (F.col("_name") == "unknown") | (F.col("p_model") == "unknown")
+    # A bin placed one later is the earlier neighbour: its last time is nearest.
+    time = (
+        F.when(F.col("p_offset") == 0, True)
+        .when(F.col("p_offset") == 1, F.col("created_at") - F.col("p_last") <= window_s)
+        .otherwise(F.col("p_first") - F.col("created_at") <= window_s)
     )
-
-    def covered(name: Column) -> Column:
-        held, at = F.col("_cover")[name], F.col("created_at")
-        tests = [held["inside"], at - held["before"] <= window_s, held["after"] - at <= window_s]
-        return reduce(or_, [F.coalesce(t, F.lit(False)) for t in tests])
-
-    judged = keyed.join(cover, keys, "left")
-    kept = judged.where(~(covered(F.col("_name")) | covered(F.lit(OPEN))))
+    same = reduce(and_, [F.col(f"r.{k}") == F.col(f"c.{k}") for k in (*tokens, "_bin")])
+    kept = named.alias("r").join(cover.alias("c"), same & app & writes & models & time, "left_anti")
     return others.unionByName(kept.select(*others.columns))
 
 
@@ -98,29 +72,25 @@ def signature() -> Column:
 def unique_requests(requests: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row per (app, request id) over all hosts; the first host wins.
 
-    Few ids repeat. A hash aggregate of fixed-width buffers finds them; their rows
-    alone collapse by a minimum over an ordered struct, all others pass by with
-    their payload untouched. The job stops when copies disagree on time, model or
+    One shuffle and one sort, by a hash of the id first, find the first row of each
+    id and whether its copies agree; the job stops when they differ in time, model or
     tokens. ``columns`` limits the payload that is carried.
     """
     keys = ["app_type", "request_id"]
     carried = [c for c in (columns or requests.columns) if c in requests.columns]
     lead = ["host_order", "host", "created_at"]
     order = [*lead, *[c for c in carried if c not in keys and c not in lead]]
-    # Ids are counted by hash; equal hashes of different ids only send a few rows more to the second step.
-    hashed = F.xxhash64(*keys)
-    counted = requests.groupBy(hashed.alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
-    repeated = counted.where("_rows > 1").select("_hash", F.lit(True).alias("_again"))
-    marked = requests.withColumn("_hash", hashed).join(repeated, "_hash", "left")
-    alone = marked.where(F.col("_again").isNull()).select(*keys, *order)
-    copies = (
-        marked.where("_again")
-        .groupBy("_hash", *keys)
-        .agg(F.min(F.struct(*order)).alias("_row"), F.min(signature()).alias("_least"), F.max(signature()).alias("_most"))
-        .where(U.require(F.col("_least") == F.col("_most"), F.concat(F.lit("Hosts disagree about request "), F.col("request_id"))))
-        .select(*keys, "_row.*")
+    copies = Window.partitionBy("_hash", *keys)
+    rows = requests.select(*keys, *order, F.xxhash64(*keys).alias("_hash"), signature().alias("_signature"))
+    marked = rows.withColumns(
+        {
+            "_place": F.row_number().over(copies.orderBy(*order)),
+            "_least": F.min("_signature").over(copies),
+            "_most": F.max("_signature").over(copies),
+        }
     )
-    return alone.unionByName(copies)
+    agreed = U.require(F.col("_least") == F.col("_most"), F.concat(F.lit("Hosts disagree about request "), F.col("request_id")))
+    return marked.where((F.col("_place") == 1) & agreed).select(*keys, *order)
 
 
 ROLLUP_SIGNATURE = (
