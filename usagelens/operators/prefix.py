@@ -70,16 +70,16 @@ def previous_within(
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles of a positive column per group.
 
-    Equal values are counted first. Groups are then cut by the value's binary
-    order of magnitude in 1/256 steps; the chunk counts say which chunks hold
-    the wanted ranks, and only those are ordered. No task sees a whole group.
+    Groups are cut by the value's binary order of magnitude in 1/256 steps; the
+    chunk counts say which chunks hold the wanted ranks, and only of those equal
+    values are counted and ordered. No task sees a whole group.
     """
     if not keys:
         one = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, points)
         return one.drop("_all")
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    chunked = counted.withColumn("_chunk", F.floor(F.log2(F.col(value)) * 256).cast("int"))
-    sizes = chunked.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_size"))
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    chunked = known.withColumn("_chunk", F.floor(F.log2(F.col(value)) * 256).cast("int"))
+    sizes = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     by_group = Window.partitionBy(*keys)
     placed = sizes.withColumns(
         {
@@ -98,7 +98,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
     targets = placed.where(wanted).select(
         *[F.col(k).alias(f"_key_{k}") for k in [*keys, "_chunk"]], "_total", "_from"
     )
-    near = chunked.join(targets, same_keys([*keys, "_chunk"])).drop(*[f"_key_{k}" for k in [*keys, "_chunk"]])
+    near = chunked.join(targets, same_keys([*keys, "_chunk"])).groupBy(*keys, "_chunk", value, "_total", "_from").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
     along = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("_end", F.col("_from") + F.sum("_n").over(along))
 

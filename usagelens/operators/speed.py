@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from usagelens.functions import usage as U
 from usagelens.functions.dates import speed_window, weekday
 from usagelens.operators.prefix import exact_percentiles, same_keys
+from usagelens.session import materialize
 
 # Grouping dimensions as columns of the response fact.
 DIMENSIONS = {
@@ -38,6 +39,8 @@ def response_stats(
         U.finite_positive(F.col("first_token_ms")).alias("_latency"),
         native.alias("_native"),
     )
+    # Read once for sums and twice a percentile: a narrow table, written once.
+    rows = materialize(rows, "speed") if not approximate else rows
 
     def described(column: str, name: str) -> list[Column]:
         shown = [
