@@ -38,7 +38,7 @@ from usagelens.llm.common import NO_ID, id_back, keyed
 #: Ids of a block, about.
 BLOCK = 1 << 16
 #: Parts that a worker remembers, see ``pieces.Memory``.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 #: Documents, and words, that are encoded together.
 TOGETHER, JOINED = 512, 200
 
@@ -171,7 +171,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
             yield close()
 
     rows = keyed(docs).repartitionByRange("_id").sortWithinPartitions("_id", "_row").drop("_row")
-    rows.mapInArrow(run, BLOCKS_DDL).write.option("compression", "zstd").parquet(folder)
+    # Payloads never repeat, so a dictionary of them would only be built to be thrown away.
+    written = rows.mapInArrow(run, BLOCKS_DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false")
+    written.parquet(folder)
 
 
 def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
