@@ -131,8 +131,18 @@ def history_10_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return flat(history.history_buckets(_minutes(spark, sf), 600, EVENT_NOW, fine_rates, fine_counts))
 
 
-def history_3_hours(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(history.history_buckets(_minutes(spark, sf), 10800, EVENT_NOW))
+#: The ranges that have no finer readings here, by name.
+LONGER = {
+    "1_hour": 3600, "3_hours": 10800, "6_hours": 21600, "12_hours": 43200, "1_day": 86400, "3_days": 259200, "7_days": 604800,
+    "14_days": 1209600, "28_days": 2419200,
+}
+
+
+def _range(period: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return flat(history.history_buckets(_minutes(spark, sf), period, EVENT_NOW))
+
+    return run
 
 
 def _receipts(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +183,7 @@ QUERIES = {
     "usage_upsert_partial": _upsert(True),
     "rate_integral": rate_integral,
     "history_10_minutes": history_10_minutes,
-    "history_3_hours": history_3_hours,
+    **{f"history_{name}": _range(period) for name, period in LONGER.items()},
     "receipts_120": receipts_120,
     "journal_latest": journal_latest,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from usagelens.plans.history import LONGER
 from usagelens.plans.report_sql import _b, usage
 from usagelens.plans.telemetry_sql import telemetry
 
@@ -157,7 +158,11 @@ ORACLES = {
         MINUTES + _integral(60, "mins"),
     ),
     "history_10_minutes": _history(2841425, 2842025, 5, 2842020, True),
-    "history_3_hours": _history(2831280, 2842080, 90, 2842020, False),
+    # Ends lie on the bucket's width, at most a minute; the 120 buckets reach back from there.
+    **{
+        f"history_{name}": _history(2842020 + min(60, period // 120) - period, 2842020 + min(60, period // 120), period // 120, 2842020, False)
+        for name, period in LONGER.items()
+    },
     "receipts_120": telemetry(
         """SELECT 'all' AS series, g AS start, round(tokens, 6) AS output_tokens, round(tokens / 5, 6) AS receipt_tps,
         round(coalesce(observed, 0), 6) AS observed_seconds, coalesce(coarse, false) AS coarse_receipts,
