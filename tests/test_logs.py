@@ -236,3 +236,11 @@ def test_header_scan(spark, tmp_path):
     assert [(h.session_id, h.model_provider, h.cwd) for h in header] == [(SID, "acme", "/w/P")]
     wanted = spark.createDataFrame([("nobody",)], "session_id string")
     assert logs.only_sessions(records, wanted).count() == 0
+
+
+def test_desktop_titles(spark, tmp_path):
+    talks = [{"cliSessionId": "a", "title": "Plan", "originCwd": "/w/one", "cwd": "/w/two"}, {"cliSessionId": "b", "title": "Notes", "cwd": "/w/two"}, {"title": "Nobody"}]
+    for n, talk in enumerate(talks):
+        (tmp_path / f"talk-{n}.json").write_text(json.dumps(talk, indent=1))
+    got = sorted(map(tuple, logs.desktop_titles(spark, str(tmp_path)).collect()))
+    assert got == [("a", "Plan", "/w/one"), ("b", "Notes", "/w/two")]

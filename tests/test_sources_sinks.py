@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from tests import rows as R
 from tests.test_history import covered, day_rows, machines
 from usagelens import schemas, sinks
 from usagelens.functions import usage as U
-from usagelens.operators import archive, facts, reports
+from usagelens.operators import facts, reports
 from usagelens.session import new_path, shared_dir
 from usagelens.sources import logs, saved, usage
 
@@ -154,3 +155,9 @@ def test_queries_agree_with_sql(spark, name):
 
     ok, note = compare(spark, connect(SF), SF, name)
     assert ok, note
+
+
+def test_only_the_newest_state_file_counts(spark, tmp_path):
+    for name, threads in (("state_2.json", [("kept", "old name"), ("gone", "left behind")]), ("state_11.json", [("kept", "new name")])):
+        (tmp_path / name).write_text("\n".join(json.dumps({"id": i, "name": n, "cwd": "/w", "source": None}) for i, n in threads))
+    assert [(r.id, r.name, r.version) for r in logs.read_threads(spark, str(tmp_path), "json").collect()] == [("kept", "new name", 11)]

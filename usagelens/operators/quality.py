@@ -41,15 +41,6 @@ def minute_rules() -> Rules:
     return {**rules, "minute": F.col("minute") % 60 == 0, "tokens": _count("tokens")}
 
 
-def receipt_rules() -> Rules:
-    return {
-        "minute": F.col("minute") % 60 == 0,
-        "output_tokens": _count("output_tokens"),
-        "observed_s": finite(F.col("observed_s")) & F.col("observed_s").between(0, 60),
-        "partial_s": finite(F.col("partial_s")) & F.col("partial_s").between(0, 60),
-    }
-
-
 def sample_rules() -> Rules:
     start, end = F.col("start"), F.col("end")
     return {

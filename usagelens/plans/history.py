@@ -52,6 +52,13 @@ def archive_merge(spark: SparkSession, sf: str) -> DataFrame:
     return flat(archive.merge_archive(fresh, covered, archive.selected(saved, hosts)))
 
 
+def archive_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Archived usage as the hourly view shows it, per host and day."""
+    fresh, covered, hosts, saved = _collection(spark, sf)
+    rows = archive.archived_hours(archive.merge_archive(fresh, covered, archive.selected(saved, hosts)))
+    return rows.groupBy("date", "hour", "host").agg(F.sum("tokens").alias("tokens"))
+
+
 def archive_next(spark: SparkSession, sf: str) -> DataFrame:
     fresh, covered, hosts, saved = _collection(spark, sf)
     entries = archive.next_archive(fresh, covered, hosts.where("host <> 'h2'"), saved)
@@ -173,6 +180,7 @@ def journal_latest(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "archive_rows": archive_rows,
     "archive_merge": archive_merge,
+    "archive_hours": archive_hours,
     "archive_next": archive_next,
     "archive_changed_days": archive_changed_days,
     "stale_fallback": stale_fallback,

@@ -121,6 +121,11 @@ ORACLES = {
         WHERE source_identity <> 'old'""",
         ARCHIVE,
     ),
+    "archive_hours": usage(
+        """SELECT date, 'Unknown hour' AS hour, host, CAST(sum(tokens) AS BIGINT) AS tokens
+        FROM saved s ANTI JOIN covered USING (date, host) WHERE source_identity <> 'old' GROUP BY ALL""",
+        ARCHIVE,
+    ),
     "archive_next": usage("SELECT * FROM entries", ARCHIVE),
     "archive_changed_days": usage(
         """SELECT DISTINCT date FROM ((SELECT * FROM entries EXCEPT SELECT date, host, source_identity, app, model, tokens,

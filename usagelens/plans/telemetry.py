@@ -28,6 +28,12 @@ def otlp_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return flat(rows.select("session_key", "response_key", "model", "output_tokens", "start", "end", "status"))
 
 
+def otlp_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """What measured pairs give to the live rate."""
+    rows = pairing.measured_samples(pairing.pair_responses(adapters.telemetry(spark, sf)))
+    return rows.groupBy("session_key", "basis").agg(F.count(F.lit(1)).alias("responses"), F.sum("output_tokens").alias("output_tokens"))
+
+
 def late_output(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.status_counts(pairing.pair_responses(adapters.telemetry(spark, sf)))
 
@@ -150,6 +156,7 @@ QUERIES = {
     "otlp_flatten": otlp_flatten,
     "otlp_counts": otlp_counts,
     "otlp_pairs": otlp_pairs,
+    "otlp_samples": otlp_samples,
     "late_output": late_output,
     "mixed_pairs": mixed_pairs,
     "live_rate": live_rate,

@@ -143,6 +143,10 @@ ORACLES = {
         """SELECT session_key, response_key, model, output_tokens, round(start, 6) AS start, round("end", 6) AS "end", status
         FROM paired"""
     ),
+    "otlp_samples": telemetry(
+        """SELECT session_key, 'codex_otel' AS basis, CAST(count(*) AS BIGINT) AS responses, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
+        FROM paired WHERE status = 'measured' GROUP BY 1"""
+    ),
     "late_output": telemetry(
         """SELECT status, CAST(count(*) AS BIGINT) AS responses, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
         FROM paired GROUP BY 1"""

@@ -243,7 +243,7 @@ def desktop_titles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_threads(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Thread state files; the number ending a file's name is its version."""
+    """Threads of the newest state file; the number ending a file's name is its version."""
     rows = spark.read.format(fmt).option("recursiveFileLookup", "true").load(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.[^.]+(?:\.[^.]+)*$", 1)
     version = F.coalesce(stem.try_cast("bigint"), F.lit(-1))
@@ -253,10 +253,12 @@ def read_threads(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
         return F.col(name).cast("string") if name in have else F.lit(None).cast("string")
 
     parent = F.get_json_object(text("source"), "$.subagent.thread_spawn.parent_thread_id")
-    return rows.select(
+    threads = rows.select(
         F.col("id").cast("string").alias("id"), text("name").alias("name"), text("cwd").alias("cwd"), parent.alias("parent_id"),
         version.alias("version"),
     )
+    # What an older file held and the newest does not is gone.
+    return threads.where(F.col("version") == threads.agg(F.max("version")).scalar())
 
 
 def read_session_index(spark: SparkSession, path: str) -> DataFrame:
