@@ -124,6 +124,49 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in groups.items() if i == c)
 
 
+def left(rows):
+    """The smallest of each group at 0.8, by brute force."""
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = smallest(sets, links)
+    return sorted(i for i, c in groups.items() if i == c)
+
+
+def test_sub_clusters_of_one_group_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 16)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    monkeypatch.setattr(simhash, "ALL_PAIRS", 8)
+    r = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = data.words(300 + g, 150, 5000).split()
+        for c in range(20):
+            original = list(base)
+            for _ in range(2):
+                original[r.randrange(len(base))] = f"own{r.randrange(10**6)}"
+            for _ in range(10):
+                new = list(original)
+                new[r.randrange(len(base))] = f"edit{r.randrange(10**6)}"
+                rows.append((len(rows), " ".join(new)))
+    assert sorted(x.doc_id for x in simhash.drop_near_copies(data.docs(spark, rows)).collect()) == left(rows)
+
+
+def test_tails_and_replaced_blocks_at_the_threshold(spark):
+    rows = []
+    for k in range(120):
+        base = data.words(500 + k, 200, 5000).split()
+        size = 34 + k % 14
+        other = data.words(5000 + k, size, 5000).split()
+        at = 10 + k % 90
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + other if k % 2 else base[:at] + other[: size // 2] + base[at + size // 2 :]))]
+    expected = left(rows)
+    assert 120 < len(expected) < 240
+    assert sorted(x.doc_id for x in simhash.drop_near_copies(data.docs(spark, rows)).collect()) == expected
+
+
 def test_near_copy_edges(spark):
     kept = simhash.drop_near_copies(data.docs(spark)).collect()
     ids = [r.doc_id for r in kept]

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -309,14 +310,11 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int | None = None, agree
     return groups.repartition("key").sortWithinPartitions("key").mapInArrow(run, LINKS_DDL)
 
 
-def likeliest_links(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of candidate pairs u, v, those whose sketches may be ``similarity`` alike, each node's best in each of ``CLASSES`` classes of partners.
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of candidate pairs u, v, those whose sketches may be ``similarity`` alike, with the estimate.
 
     Sketches are estimates: a pair is left out that lies four standard deviations
     below, fewer bins allowing for more.
-
-    A minimum per node and class, so that a node with very many candidates is
-    combined before the shuffle; the best of all is always among them.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -332,7 +330,16 @@ def likeliest_links(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Da
     sketches = nodes.select("rep", "sketch")
     both = pairs.join(sketches.select(F.col("rep").alias("u"), F.col("sketch").alias("a")), "u")
     both = both.join(sketches.select(F.col("rep").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
-    found = both.mapInArrow(per_batch(run), "u long, v long, likely double")
+    return both.mapInArrow(per_batch(run), "u long, v long, likely double")
+
+
+def likeliest_links(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of the likely pairs, each node's best in each of ``CLASSES`` classes of partners.
+
+    A minimum per node and class, so that a node with very many candidates is
+    combined before the shuffle; the best of all is always among them.
+    """
+    found = likely_pairs(pairs, nodes, similarity)
     ends = F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("other")), F.struct(F.col("v").alias("n"), F.col("u").alias("other")))
     sides = found.select("likely", F.inline(ends))
     best = sides.groupBy("n", F.pmod(F.xxhash64("other"), F.lit(CLASSES)).alias("class")).agg(F.min(F.struct(-F.col("likely"), "other")).alias("_b"))
@@ -360,7 +367,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 
 #: Words of fewer bytes are in every text and say little about which it is.
 LONG_WORD = 4
-#: Candidates differ in at most ``FAR`` bits and agree in ``AGREE`` of ``BLOCKS`` blocks: all up to 7 bits, most beyond.
+#: A first pass: pairs that differ in at most ``FAR`` bits and agree in ``AGREE`` of ``BLOCKS`` blocks, all up to 7 bits, most beyond.
 FAR, BLOCKS, AGREE = 12, 10, 3
 #: Bins of a sketch.
 SKETCH = 128
@@ -413,51 +420,272 @@ def _alike(a: bytes, b: bytes) -> float:
     return common / (len(both) - common)
 
 
+# Pairs beyond the fingerprints' reach, complete at the similarity: of two sets that are alike, the first shingles of one global
+# order (rarest first, as many as may be missing and one more) have one in common.
+
+#: Shingles that come last in the order, and rows under a key beyond which its pairs are not judged at once.
+COMMON, ALL_PAIRS = 100_000, 32
+#: Rows of a cell that are compared side by side; keys with more are dealt to several cells.
+CELL = 1024
+#: Of the lowest bits of 64 bins, one in ten differs at 0.8 and half in strangers; 20 are over five standard deviations off.
+BIN_BITS = 20
+
+
+def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, class) of the shingles that most texts hold, read off one text in SAMPLED; any choice gives the same links."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(shingle_set(r, width), "<u4") for r in raw_texts(batch)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, "<u4")]).astype(np.int64))], ["h"])
+
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(per_batch(run), "h long")
+    top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count")).limit(COMMON).toArrow()
+    h, n = top.column("h").to_numpy().astype(np.uint32), top.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], np.log2(n[order].astype(np.float64)).astype(np.uint64) + np.uint64(1)
+
+
+def prefix(shingles: bytes, similarity: float, known: np.ndarray, rank: np.ndarray) -> bytes:
+    """The set's first shingles, one of which every set of that similarity has among its own first; a set of none has one name of its own."""
+    hashes = np.frombuffer(shingles, "<u4")
+    if not len(hashes):
+        return np.zeros(1, "<u4").tobytes()
+    place = np.zeros(len(hashes), np.uint64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        place = np.where(known[at] == hashes, rank[at], np.uint64(0))
+    order = (place << np.uint64(58)) | (mix(hashes.astype(np.uint64) + np.uint64(1)) >> np.uint64(6))
+    count = int(len(hashes) * (1 - similarity) + 1e-6) + 1
+    return hashes[np.argsort(order, kind="stable")[:count]].tobytes()
+
+
+def bin_bits(sketched: bytes) -> int:
+    """The lowest bits of the first 64 bins as a signed number."""
+    return int(np.packbits(np.frombuffer(sketched, np.uint8)[:64] & 1, bitorder="little").view(np.int64)[0])
+
+
+_KEYED = "key long, cell long, side int, rep long, n int, bits long, comp long"
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """A row per node (rep, n, bits, prefix, comp) and shingle of its prefix."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(p, "<u4") for p in batch.column("prefix").to_pylist()]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        key = np.concatenate([*sets, np.zeros(0, "<u4")]).astype(np.int64)
+        none = np.zeros(len(key), np.int64)
+        rest = [batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("rep", "n", "bits", "comp")]
+        columns = [key, none, none.astype(np.int32), *rest]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cell", "side", "rep", "n", "bits", "comp"])
+
+    return nodes.select("rep", "n", "bits", "prefix", "comp").mapInArrow(per_batch(run), _KEYED)
+
+
+def _cell_pairs(columns: dict[str, np.ndarray], similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs in one cell that may be alike and are in two components; each row's nearest, or with ``every`` all."""
+    n, comp, side = (columns[c] for c in ("n", "comp", "side"))
+    bits = columns["bits"].view(np.uint64)
+    left, right = [], []
+    for low in range(0, len(n), CELL):
+        i = np.arange(low, min(low + CELL, len(n)))
+        best, where = np.full(len(i), 255, np.uint8), np.zeros(len(i), np.int64)
+        for from_ in range(low if every else 0, len(n), CELL):
+            j = np.arange(from_, min(from_ + CELL, len(n)))
+            apart = np.bitwise_count(bits[i][:, None] ^ bits[j][None, :])
+            fits = (comp[i][:, None] != comp[j][None, :]) & (apart <= BIN_BITS)
+            # Sides 1 and 2 of a cell meet each other only.
+            fits &= (side[i][:, None] == 0) | (side[i][:, None] != side[j][None, :])
+            small, large = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
+            fits &= small >= similarity * large - 1e-6
+            if every:
+                a, b = np.nonzero(fits)
+                left.append(i[a])
+                right.append(j[b])
+            else:
+                apart = np.where(fits, apart, 255).astype(np.uint8)
+                at = apart.argmin(axis=1)
+                found = apart[np.arange(len(i)), at]
+                where, best = np.where(found < best, j[at], where), np.minimum(best, found)
+        if not every:
+            left.append(i[best < 255])
+            right.append(where[best < 255])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _pairs_under(cells: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """Pairs u, v that meet in a cell; a row (key, null) for each key whose pairs are not all among them."""
+    names = ["key", "cell", "side", "rep", "n", "bits", "comp"]
+
+    def pairs(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(held["key"]), bool)
+        new[1:] = (held["key"][1:] != held["key"][:-1]) | (held["cell"][1:] != held["cell"][:-1])
+        starts = np.flatnonzero(new)
+        stops = np.append(starts[1:], len(new))
+        u, v, wide, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (u, v))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            ends = pa.array(both[1].tolist() + [None] * len(wide), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[0], np.array(wide, np.int64)]).astype(np.int64)), ends], ["u", "v"])
+
+        for a, b in zip(starts[stops - starts > 1].tolist(), stops[stops - starts > 1].tolist(), strict=True):
+            part = {c: x[a:b] for c, x in held.items()}
+            small = b - a <= ALL_PAIRS and part["cell"][0] == 0
+            i, j = _cell_pairs(part, similarity, every or small)
+            u.append(part["rep"][i])
+            v.append(part["rep"][j])
+            size += len(i)
+            if not every and not small:
+                wide.append(part["key"][0])
+            if size > 1 << 18:
+                yield out()
+                u, v, wide, size = [], [], [], 0
+        yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+            if held is not None:
+                columns = {c: np.concatenate([held[c], columns[c]]) for c in names}
+            # The last cell may go on in the next batch.
+            other = (columns["key"] != columns["key"][-1:]) | (columns["cell"] != columns["cell"][-1:])
+            stop = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            held = {c: x[stop:] for c, x in columns.items()}
+            if stop:
+                yield from pairs({c: x[:stop] for c, x in columns.items()})
+        if held is not None and len(held["key"]):
+            yield from pairs(held)
+
+    dealt = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _salted(rows: DataFrame, hot: DataFrame, turn: int) -> DataFrame:
+    """Rows under hot keys dealt to cells of about ``CELL`` rows, other cells in every turn."""
+    side = F.broadcast(hot) if hot.count() <= BROADCAST else hot
+    cells = F.greatest(F.lit(1), F.floor(F.col("_rows") / CELL))
+    named = rows.drop("cell").join(side, "key", "left")
+    cell = F.when(F.col("_rows").isNotNull(), 1 + F.pmod(F.xxhash64("rep", "key", F.lit(turn)), cells)).otherwise(F.lit(0))
+    return named.withColumn("cell", cell.cast("long")).drop("_rows")
+
+
+def _all_cells(rows: DataFrame) -> DataFrame:
+    """Rows dealt so that all pairs of two components under a key meet once at least.
+
+    Rows of the key's largest component meet the others only, which are sent to all
+    cells; so one large component beside few rows is dealt about once.
+    """
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.sum("_c").alias("_all"), F.count("*").alias("_k")).where("_k > 1")
+    keys = keys.select("key", F.col("_m.comp").alias("_main"), F.ceil(F.col("_m._c") / CELL).alias("_gm"), F.ceil((F.col("_all") - F.col("_m._c")) / CELL).alias("_gr"))
+    own = rows.drop("cell", "side").join(keys, "key")
+    own = own.withColumn("_at", F.pmod(F.xxhash64("rep"), F.when(F.col("comp") == F.col("_main"), F.col("_gm")).otherwise(F.col("_gr"))))
+    # Cells are numbered 1 + main group * (groups of the rest) + group, and below 0 for two groups of the rest.
+    steps = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    main = steps(F.col("_gr"), lambda k: F.struct((1 + F.col("_at") * F.col("_gr") + k).alias("cell"), F.lit(1).alias("side")))
+    rest = steps(F.col("_gm"), lambda k: F.struct((1 + k * F.col("_gr") + F.col("_at")).alias("cell"), F.lit(2).alias("side")))
+    pair = lambda k: -1 - (F.least("_at", k) * F.col("_gr") + F.greatest("_at", k))
+    among = steps(F.col("_gr"), lambda k: F.struct(pair(k).alias("cell"), F.when(k == F.col("_at"), 0).when(k > F.col("_at"), 1).otherwise(2).alias("side")))
+    cells = F.when(F.col("comp") == F.col("_main"), main).otherwise(F.concat(rest, among))
+    return own.select("key", "rep", "n", "bits", "comp", F.inline(cells))
+
+
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The documents, all columns, one of each group of near copies.
 
-    Candidates come from fingerprints of longer words, which few edits move little;
-    a link is a pair whose word shingles agree to ``similarity`` (common ones among
-    all). Of a group of linked documents the one with the smallest doc_id stays;
-    rows without doc_id come after all others. Rows that share a doc_id stay or go
-    together.
+    A link is a pair whose word shingles agree to ``similarity`` (common ones among
+    all). Candidates come from fingerprints of longer words, which few edits move
+    little, and from shared rare shingles, of which every such pair has one. Rounds
+    link nodes to their nearest in other components until one adds no link; then
+    every pair that still is in two components is judged. Of a group of linked
+    documents the one with the smallest doc_id stays; rows without doc_id come after
+    all others. Rows that share a doc_id stay or go together.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID - (1 << 62)) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    rows = docs.select(order.alias("_order"), text.alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
         raws = raw_texts(batch)
         found = np.fromiter(map(word_simhash, raws), np.uint64, len(raws))
         digests = pa.array([hashlib.md5(r, usedforsecurity=False).digest() for r in raws], pa.binary())
-        sketches = pa.array([sketch(shingle_set(r, width)) for r in raws], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("_order"), pa.array(found.view(np.int64)), digests, sketches], ["_order", "fp", "digest", "sketch"])
-
-    rows = docs.select(order.alias("_order"), text.alias("text"))
-    found = materialize(rows.mapInArrow(per_batch(prints), "_order long, fp long, digest binary, sketch binary"), "copies")
+        sets = [shingle_set(r, width) for r in raws]
+        sketches = [sketch(s) for s in sets]
+        firsts = pa.array([prefix(s, similarity, *common.value) for s in sets], pa.binary())
+        rest = [pa.array([len(s) // 4 for s in sets], pa.int32()), pa.array(map(bin_bits, sketches), pa.int64()), firsts]
+        columns = [batch.column("_order"), pa.array(found.view(np.int64)), digests, pa.array(sketches, pa.binary()), *rest]
+        return pa.RecordBatch.from_arrays(columns, ["_order", "fp", "digest", "sketch", "n", "bits", "prefix"])
+
+    ddl = "_order long, fp long, digest binary, sketch binary, n int, bits long, prefix binary"
+    found = materialize(rows.mapInArrow(per_batch(prints), ddl), "copies")
     # Exact copies are one node, the smallest.
-    nodes = found.groupBy("digest").agg(F.min("_order").alias("rep"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    held = ["fp", "sketch", "n", "bits", "prefix"]
+    nodes = found.groupBy("digest").agg(F.min("_order").alias("rep"), *[F.min(c).alias(c) for c in held])
     exact = found.join(nodes.select("digest", "rep"), "digest").select("_order", "rep").distinct()
-    exact, nodes = materialize(exact, "copies_exact"), materialize(nodes.select("rep", "fp", "sketch"), "copies_nodes")
-    near = links(nodes.select("rep", "fp"), FAR, BLOCKS, AGREE, nearest=True).select("u", "v").where("u != v").distinct()
-    pairs = materialize(likeliest_links(near, nodes, similarity), "copies_pairs")
+    exact, nodes = materialize(exact, "copies_exact"), materialize(nodes.select("rep", *held), "copies_nodes")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = pa.array([shingle_set(r, width) for r in raw_texts(batch)], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("_order"), held], ["_order", "set"])
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("_order")).distinct()
-    # Texts are joined by a sort merge at every size; a side that Spark may broadcast when small would not stay small.
-    shingles = rows.join(wanted.hint("merge"), "_order", "left_semi").mapInArrow(per_batch(sets), "_order long, set binary")
-    shingles = materialize(shingles.dropDuplicates(["_order"]), "copies_shingles")
-
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         alike = [_alike(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
         keep = pa.array(np.array(alike, np.float64) >= similarity)
         return pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
-    both = pairs.join(shingles.select(F.col("_order").alias("u"), F.col("set").alias("a")), "u")
-    both = both.join(shingles.select(F.col("_order").alias("v"), F.col("set").alias("b")), "v")
-    member = components(both.select("u", "v", "a", "b").mapInArrow(per_batch(judge), "u long, v long"))
+    known: list[DataFrame] = []
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are links."""
+        pairs = materialize(pairs, "copies_pairs")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("_order")).distinct()
+        for held in known:
+            wanted = wanted.join(held.select("_order"), "_order", "left_anti")
+        if not known or not wanted.isEmpty():
+            # Texts are joined by a sort merge at every size; a side that Spark may broadcast when small would not stay small.
+            shingles = rows.join(wanted.hint("merge"), "_order", "left_semi").mapInArrow(per_batch(sets), "_order long, set binary")
+            known.append(materialize(shingles.dropDuplicates(["_order"]), "copies_shingles"))
+        shingles = reduce(DataFrame.union, known)
+        both = pairs.join(shingles.select(F.col("_order").alias("u"), F.col("set").alias("a")), "u")
+        both = both.join(shingles.select(F.col("_order").alias("v"), F.col("set").alias("b")), "v")
+        return materialize(both.select("u", "v", "a", "b").mapInArrow(per_batch(judge), "u long, v long"), "copies_links")
+
+    def labelled(member: DataFrame | None) -> DataFrame:
+        """The nodes' prefixes, a row a shingle, with the nodes' components."""
+        if member is None:
+            return _keyed(nodes.withColumn("comp", F.col("rep")))
+        named = nodes.join(member, nodes["rep"] == member["node"], "left")
+        return _keyed(named.withColumn("comp", F.coalesce("component", "rep")))
+
+    some = _keyed(nodes.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).withColumn("comp", F.col("rep")))
+    # Which keys are hot only steers work: all pairs of two components under a key that is hot or wide are judged in the end.
+    hot = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("_rows")).where(F.col("_rows") > 2 * CELL)
+    hot = materialize(hot, "copies_hot")
+    near = links(nodes.select("rep", "fp"), FAR, BLOCKS, AGREE, nearest=True).select("u", "v").where("u != v").distinct()
+    met = materialize(_pairs_under(_salted(labelled(None), hot, 0), similarity, False), "copies_met")
+    wide = materialize(met.where("v is null").select(F.col("u").alias("key")).union(hot.select("key")).distinct(), "copies_wide")
+    first = likely_pairs(met.where("v is not null").distinct(), nodes, similarity).select("u", "v")
+    linked = alike(likeliest_links(near, nodes, similarity).union(first).distinct())
+    member = components(linked)
+    if not wide.isEmpty():
+        side = F.broadcast(wide) if wide.count() <= BROADCAST else wide
+        turn, more = 1, True
+        while more:
+            cells = _salted(labelled(member).join(side, "key", "left_semi"), hot, turn)
+            met = _pairs_under(cells, similarity, False).where("v is not null").distinct()
+            found_links = alike(likely_pairs(met, nodes, similarity).select("u", "v"))
+            more, turn = not found_links.isEmpty(), turn + 1
+            if more:
+                member = components(member.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found_links))
+        rest = _all_cells(labelled(member).join(side, "key", "left_semi"))
+        met = _pairs_under(rest, similarity, True).where("v is not null").distinct()
+        last = alike(likely_pairs(met, nodes, similarity).select("u", "v"))
+        if not last.isEmpty():
+            member = components(member.select(F.col("node").alias("u"), F.col("component").alias("v")).union(last))
     # Goes: an exact copy of a smaller document, or a member of a group that is not its smallest.
     gone = exact.where("_order != rep").select("_order").union(member.select(F.col("node").alias("_order"))).distinct()
     marked = docs.select(F.struct("*").alias("_all"), order.alias("_order"))
