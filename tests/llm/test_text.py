@@ -158,6 +158,12 @@ def test_slots_must_agree(spark):
     assert set(leaks(spark, [(1, same), (2, mixed)], item)) == {(1, 1)}
 
 
+def test_items_of_many_placeholders_are_found_word_for_word(spark):
+    item = [(1, "Which number comes next 2 4 8 16 32 64 128")]
+    found = leaks(spark, [(1, "Puzzle: " + item[0][1] + " ?"), (2, "Which number comes next 3 6 9 12 15 18 21")], item)
+    assert set(found) == {(1, 1)} and found[1, 1].exact_words == 11
+
+
 def test_leak_edges(spark):
     assert leaks(spark, data.texts()) == {}
     assert leaks(spark, []) == {} and leaks(spark, [(1, ITEMS[0][1])], []) == {}

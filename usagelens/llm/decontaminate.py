@@ -1,10 +1,13 @@
 """Operator 9: benchmark decontamination by template windows.
 
-Words become canonical: numbers, units behind a number and names (a capital word
-inside a sentence) turn into typed placeholders, others into their lower-case
-core. Windows of ``WINDOW`` canonical words of documents and benchmark items are
-joined by hash, so a question asked again with other numbers or names still meets
-its item. The slots then decide: along one alignment of document and item, every
+Words become canonical: numbers, units behind a number and names turn into typed
+placeholders, others into their lower-case core. Windows of ``WINDOW`` canonical
+words of documents and benchmark items are joined by hash, so a question asked again
+with other numbers or names still meets its item.
+
+A window is read in two ways, each joined with the same reading of the items: word
+for word, and with capital words inside a sentence as names. The reading with
+placeholders needs ``LITERAL`` of its words without. The slots then decide: along one alignment of document and item, every
 value of the item must stand for one value of the document and the other way
 round. Windows of an alignment that fails count only where they repeat the item
 word for word. Items shorter than a window have one window of their own length.
@@ -109,36 +112,45 @@ class Canonical:
         behind = lambda flags: np.concatenate([[False], flags[:-1]])[: len(flags)]
         opens = first | behind(ends)
         unit = _among(self.hashes, _UNITS) & behind(number) & ~first & ~number
-        name = _LARGE[head] & (size > 1) & (small[self.stop] - small[self.start] == size - 1) & ~opens & ~number & ~unit
-        for value, mask in zip(_SLOTS, (number, unit, name), strict=True):
-            self.hashes[mask] = value
-        self.slot = number | unit | name
-        self.rolling = Rolling(self.hashes)
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, place in it, hash) of each window with enough literal words."""
+        capital = _LARGE[head] & (size > 1) & (small[self.stop] - small[self.start] == size - 1) & ~number & ~unit
+        # By reading: the words' hashes and which are placeholders.
+        self.slot, self.rolling = [np.zeros(len(starts), bool)], [Rolling(self.hashes)]
+        for name in (capital & ~opens,):
+            hashes = self.hashes.copy()
+            for value, mask in zip(_SLOTS, (number, unit, name), strict=True):
+                hashes[mask] = value
+            self.slot.append(number | unit | name)
+            self.rolling.append(Rolling(hashes))
+
+    def windows(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(reading, text, place in it, hash) of all windows word for word, and with placeholders where these are some and not too many."""
         n = len(self.hashes) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        found = self.rolling.windows(size)
-        slots = _before(self.slot)
+            return
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[:n]
         fits = np.arange(n) + size <= self.stops[owner]
-        fits &= slots[size : size + n] - slots[:n] <= size * (1 - LITERAL)
-        at = np.flatnonzero(fits)
-        return owner[at], at - (self.stops - self.sizes)[owner[at]], found[at]
-
-    def slots_of(self, text: int, place: int, size: int) -> list[str]:
+        for reading, (slot, rolling) in enumerate(zip(self.slot, self.rolling, strict=True)):
+            at = fits
+            if reading:
+                slots = _before(slot)
+                held = slots[size : size + n] - slots[:n]
+                at = fits & (held > 0) & (held <= size * (1 - LITERAL))
+            at = np.flatnonzero(at)
+            found = rolling(at, at + size)
+            yield reading, owner[at], at - (self.stops - self.sizes)[owner[at]], found
+
+    def slots_of(self, reading: int, text: int, place: int, size: int) -> list[str]:
         """The values of the window's placeholders, in order."""
         at = int(self.stops[text] - self.sizes[text]) + place
-        return [self.low[self.start[k] : self.stop[k]].tobytes().decode("utf-8", "replace") for k in range(at, at + size) if self.slot[k]]
+        slot = self.slot[reading]
+        return [self.low[self.start[k] : self.stop[k]].tobytes().decode("utf-8", "replace") for k in range(at, at + size) if slot[k]]
 
 
 ROWS = pa.schema([
-    ("_id", pa.int64()), ("_row", pa.int64()), ("place", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()),
+    ("_id", pa.int64()), ("_row", pa.int64()), ("reading", pa.int32()), ("place", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()),
     ("slots", pa.list_(pa.string())), ("n_words", pa.int64()),
 ])
-ROWS_DDL = "_id long, _row long, place long, size int, hash long, slots array<string>, n_words long"
+ROWS_DDL = "_id long, _row long, reading int, place long, size int, hash long, slots array<string>, n_words long"
 
 
 def _rows(batch: pa.RecordBatch, sizes: list[int], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -146,8 +158,7 @@ def _rows(batch: pa.RecordBatch, sizes: list[int], bits: np.ndarray | None) -> I
     for part, raws in row_slices(batch):
         text = Canonical(raws)
         ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_row"))
-        for size in sizes:
-            owner, place, found = text.windows(size)
+        for size, (reading, owner, place, found) in ((size, w) for size in sizes for w in text.windows(size)):
             if bits is None:
                 keep = np.minimum(text.sizes, WINDOW)[owner] == size
             else:
@@ -155,8 +166,9 @@ def _rows(batch: pa.RecordBatch, sizes: list[int], bits: np.ndarray | None) -> I
                 keep = (bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) > 0
             owner, place, found = owner[keep], place[keep], found[keep]
             if len(owner):
-                slots = [text.slots_of(t, p, size) for t, p in zip(owner.tolist(), place.tolist(), strict=True)]
-                columns = [ids[owner], rows[owner], place, np.full(len(owner), size), found.view(np.int64), slots, text.sizes[owner]]
+                slots = [text.slots_of(reading, t, p, size) for t, p in zip(owner.tolist(), place.tolist(), strict=True)]
+                sized, read = np.full(len(owner), size), np.full(len(owner), reading)
+                columns = [ids[owner], rows[owner], read, place, sized, found.view(np.int64), slots, text.sizes[owner]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROWS, strict=True)], schema=ROWS)
 
 
@@ -197,13 +209,13 @@ def _found(docs: DataFrame, items: DataFrame, cover: int) -> DataFrame:
 
     theirs = keyed(docs).mapInArrow(run, ROWS_DDL)
     b = mine.select(
-        F.col("_id").alias("_item"), F.col("_row").alias("_item_row"), F.col("place").alias("_at"), "size", "hash",
+        F.col("_id").alias("_item"), F.col("_row").alias("_item_row"), F.col("place").alias("_at"), "reading", "size", "hash",
         F.col("slots").alias("_values"), F.col("n_words").alias("_item_words"),
     )
-    met = theirs.drop("n_words").join(b, ["hash", "size"]).where(F.size("slots") == F.size("_values"))
+    met = theirs.drop("n_words").join(b, ["hash", "size", "reading"]).where(F.size("slots") == F.size("_values"))
     met = met.withColumn("_line", F.col("place") - F.col("_at"))
-    line = ["_id", "_row", "_item", "_item_row", "_line"]
-    # One row per alignment and pair of values; a value with two partners breaks the alignment.
+    line = ["_id", "_row", "_item", "_item_row", "_line", "reading"]
+    # One row per alignment, reading and pair of values; a value with two partners breaks the alignment.
     pairs = met.select(*line, F.explode(F.arrays_zip("slots", "_values")).alias("_p")).select(*line, "_p.slots", "_p._values").distinct()
     sides = [
         pairs.groupBy(*line, side).count().where("count > 1").select(*line) for side in ("slots", "_values")
