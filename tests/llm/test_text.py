@@ -158,6 +158,21 @@ def test_slots_must_agree(spark):
     assert set(leaks(spark, [(1, same), (2, mixed)], item)) == {(1, 1)}
 
 
+def test_names_do_not_depend_on_the_words_before(spark):
+    items = [
+        (1, "What is the capital of France?"),
+        (2, "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have now?"),
+        (3, "Photosynthesis turns light into what kind of stored energy?"),
+    ]
+    rows = [
+        (1, "Quiz\nWhat is the capital of France?"), (2, "Quiz\nWhat is the capital of Spain?"),
+        (3, "Ann has 3 apples. Ann buys 5 more. How many apples does Ann have now?"), (4, "Ann has 3 apples. Bob buys 5 more. How many apples does Eve have now?"),
+        (5, "Quiz, Photosynthesis turns light into what kind of stored energy?"), (6, "Paris is the capital of France."),
+        (7, "quiz: what is the capital of france"),
+    ]
+    assert set(leaks(spark, rows, items)) == {(1, 1), (2, 1), (3, 2), (5, 3), (7, 1)}
+
+
 def test_items_of_many_placeholders_are_found_word_for_word(spark):
     item = [(1, "Which number comes next 2 4 8 16 32 64 128")]
     found = leaks(spark, [(1, "Puzzle: " + item[0][1] + " ?"), (2, "Which number comes next 3 6 9 12 15 18 21")], item)

@@ -5,9 +5,10 @@ placeholders, others into their lower-case core. Windows of ``WINDOW`` canonical
 words of documents and benchmark items are joined by hash, so a question asked again
 with other numbers or names still meets its item.
 
-A window is read in two ways, each joined with the same reading of the items: word
-for word, and with capital words inside a sentence as names. The reading with
-placeholders needs ``LITERAL`` of its words without. The slots then decide: along one alignment of document and item, every
+A window is read in three ways, each joined with the same reading of the items: word
+for word; with capital words inside a sentence as names; and with all capital words
+but common ``OPENERS`` as names, whatever stands before them. The readings with
+placeholders need ``LITERAL`` of their words without. The slots then decide: along one alignment of document and item, every
 value of the item must stand for one value of the document and the other way
 round. Windows of an alignment that fails count only where they repeat the item
 word for word. Items shorter than a window have one window of their own length.
@@ -47,6 +48,13 @@ UNITS = frozenset(
     b"pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks "
     b"month months year years percent dollar dollars euro euros cent cents degree degrees mph kph watt watts volt volts".split()
 )
+#: Words that often open a sentence and are no names, fixed values.
+OPENERS = frozenset(
+    b"what which who whom whose when where why how if is are was were do does did can could will would should has have had the a an this that "
+    b"these those there it its he she they we you his her their our your my in on at of for from to by with as and or but not no after before "
+    b"during each every all some any many most both let given suppose assume find calculate compute determine solve consider choose select "
+    b"explain describe name write then".split()
+)
 NUMBER_WORDS = frozenset(b"two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
 
@@ -70,7 +78,7 @@ def _hash(word: bytes) -> np.uint64:
     return Rolling(np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1))(np.array([0]), np.array([len(word)]))[0]
 
 
-_UNITS, _NUMBERS = (np.sort(np.array([_hash(w) for w in words], np.uint64)) for words in (UNITS, NUMBER_WORDS))
+_UNITS, _NUMBERS, _OPENERS = (np.sort(np.array([_hash(w) for w in words], np.uint64)) for words in (UNITS, NUMBER_WORDS, OPENERS))
 #: Hashes that stand for numbers, units and names.
 _SLOTS = [_hash(name) for name in (b"<number>", b"<unit>", b"<name>")]
 
@@ -115,7 +123,7 @@ class Canonical:
         capital = _LARGE[head] & (size > 1) & (small[self.stop] - small[self.start] == size - 1) & ~number & ~unit
         # By reading: the words' hashes and which are placeholders.
         self.slot, self.rolling = [np.zeros(len(starts), bool)], [Rolling(self.hashes)]
-        for name in (capital & ~opens,):
+        for name in (capital & ~opens, capital & ~_among(self.hashes, _OPENERS)):
             hashes = self.hashes.copy()
             for value, mask in zip(_SLOTS, (number, unit, name), strict=True):
                 hashes[mask] = value
