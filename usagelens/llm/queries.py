@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.llm import bpe, chat, decontaminate, fingerprints, licenses, quality, simhash, substring_dedup, suffix_dedup, token_files
+from usagelens.llm import bpe, chat, decontaminate, fingerprints, lexical, licenses, manifest, mixing, quality, simhash
+from usagelens.llm import substring_dedup, suffix_dedup, token_files
 from usagelens.llm.common import table
 from usagelens.session import materialize, new_path
 
@@ -63,6 +64,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_turns(materialize(chat.format_turns(turns), "chat")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The auditor finds n_chars one higher in every seventh document or so.
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    found = {"n_chars": F.col("n_chars") + F.when(touched, 1).otherwise(0)}
+    return manifest.audit(spark, manifest.write_manifest(docs, new_path(spark, "manifest"), found))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -74,6 +91,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +147,87 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '([<\\[])(\\\\*)(\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|/?s>|/?INST\\]|/?SYS>)', '\\1\\\\\\2\\3', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
 """,
+    # DuckDB has no crc32: the eight steps of a byte make its table, a fold over the digits of doc_id the checksum.
+    "op11_merkle_manifest": """
+WITH RECURSIVE bytes AS (
+  SELECT b, list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(b)
+),
+crc AS (SELECT list(v ORDER BY b) AS crc_table FROM bytes),
+docs AS (
+  SELECT *, coalesce('=' || lang, '') AS tree,
+    xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295) % 7 = 0 AS touched
+  FROM documents, crc
+),
+hashed AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(n::VARCHAR) || ':' || n, '-') || tail) AS found
+  FROM (
+    SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+      n_chars + CASE WHEN touched THEN 1 ELSE 0 END AS n
+    FROM docs
+  )
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM hashed
+),
+nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 2, n
+),
+tops AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+over_nodes AS (
+  SELECT 0 AS level, pos, n, h FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM over_nodes WHERE n > 1 GROUP BY level, pos // 2, n
+),
+steps AS (
+  SELECT d.tree, d.pos, s.level, m.h, (d.pos >> s.level) & 1 AS side
+  FROM placed d JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) s USING (tree)
+  LEFT JOIN nodes m ON m.tree = d.tree AND m.level = s.level AND m.pos = xor(d.pos >> s.level, 1)
+  UNION ALL
+  SELECT d.tree, d.pos, 100 + s.level, m.h, (t.pos >> s.level) & 1
+  FROM placed d JOIN tops t USING (tree) CROSS JOIN (SELECT DISTINCT level FROM over_nodes WHERE n > 1) s
+  LEFT JOIN over_nodes m ON m.level = s.level AND m.pos = xor(t.pos >> s.level, 1)
+),
+ways AS (
+  SELECT tree, pos, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256,
+    list({'h': coalesce(h, ''), 'side': side} ORDER BY level) AS way
+  FROM steps GROUP BY tree, pos
+),
+told AS (
+  SELECT p.doc_id, p.leaf, p.found, t.h AS subroot, r.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, coalesce(way, []) AS way
+  FROM placed p LEFT JOIN ways USING (tree, pos) JOIN tops t USING (tree) CROSS JOIN (SELECT h FROM over_nodes WHERE n = 1) r
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM (
+  SELECT *, list_reduce([{'h': found, 'side': 0}] || list_transform(way, lambda x: {'h': x.h, 'side': x.side::INT}),
+    lambda a, x: {'h': sha256(CASE WHEN x.side = 1 THEN x.h || a.h ELSE a.h || x.h END), 'side': 0}).h AS folded_root
+  FROM told
+)
+""",
+    "op12_ranked_search": r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+),
+held AS (SELECT doc_id, len(t) AS n, row_number() OVER () AS k, t FROM docs WHERE len(t) > 0),
+sums AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM held),
+places AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM held) GROUP BY ALL),
+items AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM places, sums GROUP BY term),
+scored AS (
+  SELECT item_id, i.text, k, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items i JOIN places USING (term) JOIN weights USING (term) JOIN held USING (k), sums GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored JOIN held USING (k) WHERE score > 0 QUALIFY rank <= 50
+""".replace("\\\\", "\\"),
 }
