@@ -50,7 +50,7 @@ def _without_repeats(events: DataFrame) -> DataFrame:
     tokens = F.when(keyed & F.col("response_key").isNull(), F.coalesce("output_tokens", F.lit(-1)))
     fields = ["stamp", "start_origin", "received_at", "output_tokens", "session_key", "response_key", "provider", "model"]
     return (
-        events.groupBy("pair_key", "_done", repeat.alias("_at"), tokens.alias("_tokens"))
+        events.groupBy("pair_key", "_done", repeat.alias("_at"), tokens.alias("_tokens"), F.when(keyed, F.col("response_key")).alias("_id"))
         .agg(F.min(F.struct(*fields)).alias("e"))
         .select("pair_key", "_done", "e.*")
     )

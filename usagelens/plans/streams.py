@@ -12,7 +12,7 @@ from usagelens.plans.report_sql import BASE, _b
 from usagelens.plans.telemetry_sql import telemetry
 from usagelens.session import new_path
 from usagelens.sources import adapters, otlp
-from usagelens.streaming import follow, jobs
+from usagelens.streaming import follow, jobs, pairing_state, receipts_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: The moment from which streamed rows count, in seconds.
@@ -95,7 +95,68 @@ def stream_trace(spark: SparkSession, sf: str) -> DataFrame:
     return flat(rows.groupBy("session_key").agg(F.max("stamp").alias("stamp"), F.count(F.lit(1)).alias("events")))
 
 
+def _landed_boundaries(spark: SparkSession, sf: str) -> str:
+    """Boundary events as files, and a heartbeat two hours after the last of them."""
+    events = adapters.telemetry_events(adapters.table(spark, sf, "events")).drop("event_id")
+    events = events.withColumn("response_key", F.when(F.col("session_key").isNotNull(), F.col("response_key")))
+    landed = new_path(spark, "landed-boundaries")
+    events.write.parquet(landed)
+    later = (F.max(F.greatest("stamp", "received_at")) + 7200).alias("received_at")
+    beat = events.agg(later).where("received_at IS NOT NULL").withColumn("kind", F.lit(pairing_state.HEARTBEAT))
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in events.schema.fields if f.name not in beat.columns}
+    beat.withColumns(rest).select(*events.columns).write.mode("append").parquet(landed)
+    return landed
+
+
+def stream_pair_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of boundaries paired in state by conversation, open ones reported by timers."""
+    kinds = "session_key string, response_key string, kind string, start_origin string, stamp double, received_at double, output_tokens bigint, provider string, model string"
+    rows = follow.follow_files(spark, _landed_boundaries(spark, sf), kinds)
+    paired = follow.run_available(pairing_state.pair_stream(rows), "pair-state").drop("batch")
+    return flat(paired.select("session_key", "response_key", "provider", "model", "output_tokens", "start", "end", "status"))
+
+
+def _changes(spark: SparkSession, sf: str, samples: DataFrame) -> str:
+    """The journal of signed changes of counted output."""
+    standing, changes = new_path(spark, "standing"), new_path(spark, "changes")
+    stands = receipts_state.follow_authority(samples)
+    follow.append_available(stands, standing, new_path(spark, "standing-progress"))
+    credited = receipts_state.follow_credits(follow.follow_journal(standing, stands))
+    follow.append_available(credited, changes, new_path(spark, "changes-progress"))
+    return changes
+
+
+def stream_credits(spark: SparkSession, sf: str) -> DataFrame:
+    """Counted output per arrival second, summed from signed changes."""
+    changes = _changes(spark, sf, adapters.samples_of(_events(spark, sf)))
+    return receipts_state.second_totals(spark.read.parquet(changes))
+
+
+def stream_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest total of each second, from the feed of corrections."""
+    changes = follow.follow_journal(_changes(spark, sf, adapters.samples_of(_events(spark, sf))), spark.createDataFrame([], receipts_state.CHANGE))
+    feed = follow.run_available(receipts_state.follow_seconds(changes), "corrections", "update")
+    return follow.corrected(feed, ["second"]).where("arrivals > 0").select("second", "output_tokens", "excluded")
+
+
+def stream_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Output per app of streamed ledger rows, repeats found in bounded state; what fell behind is counted apart."""
+    landed = new_path(spark, "landed-requests")
+    adapters.requests(spark, sf).write.parquet(landed)
+    keys = ["app_type", "request_id"]
+    rows = follow.follow_requests(spark, landed, SINCE).select(*keys, "created_at", "output_tokens")
+    journal = follow.run_available(rows, "polled").drop("batch")
+    once = follow.run_available(follow.first_within(rows, keys, "created_at", "30 minutes"), "once").drop("batch")
+    behind = follow.left_behind(journal, once, keys)
+    counted = once.withColumn("behind", F.lit(False)).unionByName(behind.withColumn("behind", F.lit(True)))
+    return counted.groupBy("app_type", "behind").agg(F.count(F.lit(1)).alias("requests"))
+
+
 QUERIES = {
+    "stream_pair_state": stream_pair_state,
+    "stream_credits": stream_credits,
+    "stream_corrections": stream_corrections,
+    "stream_once": stream_once,
     "stream_pairs": stream_pairs,
     "stream_rate": stream_rate,
     "stream_late": stream_late,
@@ -111,6 +172,15 @@ _ONCE = """single AS (
 """
 
 ORACLES = {
+    "stream_pair_state": telemetry(
+        """SELECT session_key, response_key, provider, model, output_tokens, round(start, 6) AS start, round("end", 6) AS "end", status FROM paired""",
+        ids="NOT (event_type = 'click' AND event_id % 5 = 0)",
+    ),
+    "stream_credits": telemetry("SELECT second, output_tokens, excluded FROM received"),
+    "stream_corrections": telemetry("SELECT second, output_tokens, excluded FROM received"),
+    "stream_once": "WITH " + BASE.rstrip().rstrip(",") + f"""
+SELECT app_type, false AS behind, {_b('count(DISTINCT request_id)', 'requests')} FROM ledger
+WHERE created_at >= {SINCE} AND coalesce(data_source, 'proxy') = 'proxy' AND status_code BETWEEN 200 AND 299 GROUP BY 1""",
     "stream_pairs": telemetry(
         f"""SELECT session_key, status, {_b('count(*)', 'responses')}, {_b('sum(output_tokens)', 'output_tokens')}
         FROM paired GROUP BY ALL"""

@@ -28,7 +28,7 @@ keyed AS (
 once AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
     PARTITION BY pair_key, done, CASE WHEN done = 1 AND response_key IS NOT NULL THEN NULL ELSE stamp END,
-      CASE WHEN done = 1 AND response_key IS NULL THEN coalesce(output_tokens, -1) END
+      CASE WHEN done = 1 AND response_key IS NULL THEN coalesce(output_tokens, -1) END, CASE WHEN done = 1 THEN response_key END
     ORDER BY stamp, start_origin, received_at, output_tokens NULLS FIRST) AS rn FROM keyed) WHERE rn = 1),
 paused AS (
   SELECT *, CASE WHEN stamp - lag(stamp) OVER w <= 1800 THEN 0 ELSE 1 END AS pause FROM once

@@ -52,8 +52,12 @@ def follow_trace(spark: SparkSession, path: str, started_at: float, max_files: i
     )
 
 
-def append_available(stream: DataFrame, journal: str, progress: str) -> None:
-    """Append what is there now to a journal; the next call goes on from there."""
+def append_available(stream: DataFrame, journal: str, progress: str, mode: str = "append") -> list:
+    """Append what is there now to a journal; the next call goes on from there. Returns the progress of its batches.
+
+    In ``update`` mode each batch holds the new values of the keys it changed, and
+    ``corrected`` reads the newest of each.
+    """
     spark = stream.sparkSession
     # An empty part first, so that a stream without files reads as an empty table.
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{journal}/batch=-1")
@@ -61,8 +65,11 @@ def append_available(stream: DataFrame, journal: str, progress: str) -> None:
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{journal}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    )
     query.awaitTermination()
+    return query.recentProgress
 
 
 def read_journal(spark: SparkSession, journal: str, like: DataFrame) -> DataFrame:
@@ -71,13 +78,36 @@ def read_journal(spark: SparkSession, journal: str, like: DataFrame) -> DataFram
     return spark.read.schema(f"{kinds}, batch int").option("basePath", journal).parquet(journal)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there and read the journal back."""
     journal = new_path(stream.sparkSession, name)
-    append_available(stream, journal, new_path(stream.sparkSession, name + "-progress"))
+    append_available(stream, journal, new_path(stream.sparkSession, name + "-progress"), mode)
     return read_journal(stream.sparkSession, journal, stream)
 
 
+def follow_journal(journal: str, like: DataFrame, max_files: int = 1000) -> DataFrame:
+    """A journal as the input of another stream: each batch's rows once."""
+    spark = like.sparkSession
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+    rows = spark.readStream.schema(f"{kinds}, batch int").option("basePath", journal).option("maxFilesPerTrigger", max_files)
+    return rows.parquet(journal).drop("batch")
+
+
+def first_within(requests: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """The first row of each key, with state for keys of the last ``delay`` only.
+
+    Repeats further apart than that, and rows that come later than that, are not told
+    from the rest here: ``left_behind`` finds them in the journal of all rows.
+    """
+    timed = requests.withColumn("_clock", F.timestamp_seconds(time)).withWatermark("_clock", delay)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_clock")
+
+
+def left_behind(journal: DataFrame, once: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a journal whose key no first row has: they fell behind the watermark."""
+    return journal.join(once.select(*keys).distinct(), keys, "left_anti")
+
+
 def first_arrivals(journal: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """One row per key, the first to arrive; of several at one time the smallest by its other columns.
 
