@@ -188,19 +188,22 @@ def _ranked_pass(docs: DataFrame, queries: list[tuple[int | None, list[bytes]]],
     numbers = [[vocabulary[t] for t in held] for _, held in queries]
     # Null where no document has a term: then nothing is scored.
     length = F.lit(50) + F.expr(f"(50 * n * {n_docs}L) div {max(n_terms, 1)}L")
+    keys = ["hash", "m", "bag"]
     members = found.where(F.length("bag") > 0).select("_id", "bag", length.alias("m")).withColumn("hash", F.xxhash64("bag", "m"))
     # Grouped by hash, bag and m: rows meet by hash and agree in full.
-    classes = members.groupBy("hash", "m", "bag").agg(F.min("_id").alias("_first"), F.count("*").alias("members"))
+    classes = members.groupBy(*keys).agg(F.min("_id").alias("_first"), F.count("*").alias("members"))
     best = classes.mapInArrow(
         _best(lambda: Scorer(numbers, weights), len(queries), top), "query int, score long, _first long, m long, bag binary, members long"
     ).withColumn("hash", F.xxhash64("bag", "m"))
     better = [F.col("score").desc(), F.col("_first"), F.col("hash")]
     best = materialize(_smallest(best, ["query"], better, F.pmod("hash", F.lit(PARTS)), top).drop("_at"), "best")
-    several = best.where("members > 1").select("hash", "m", "bag").distinct()
-    opened = members.join(several, ["hash", "m", "bag"]).select("hash", "m", "bag", "_id")
-    opened = _smallest(opened, ["hash", "m", "bag"], [F.col("_id")], F.pmod(F.xxhash64("_id"), F.lit(PARTS)), top).drop("_at")
+    # Each part of an opened class is joined in a task of its own.
+    part = F.pmod(F.xxhash64("_id"), F.lit(PARTS))
+    several = best.where("members > 1").select(*keys).distinct().withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    opened = members.withColumn("_part", part).join(several, [*keys, "_part"]).select(*keys, "_part", "_id")
+    opened = _smallest(opened, keys, [F.col("_id")], F.col("_part"), top).drop("_at")
     rows = best.where("members = 1").select("query", "score", F.col("_first").alias("_id"))
-    rows = rows.unionByName(best.where("members > 1").join(opened, ["hash", "m", "bag"]).select("query", "score", "_id"))
+    rows = rows.unionByName(best.where("members > 1").join(opened, keys).select("query", "score", "_id"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("_id")))
     rows = rows.withColumn("rank", place).where(F.col("rank") <= top)
     names = docs.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(queries)], "query int, item_id long")
