@@ -11,6 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+
 #: Parts that one generation of a worker's memory holds, about, unless given; there are two.
 REMEMBERED = 200_000
 #: Longer parts are not remembered.
@@ -49,6 +52,34 @@ def keys(text: str) -> list[str]:
     return out
 
 
+def has_blanks(text: str) -> bool:
+    """Whether white space stands side by side anywhere."""
+    return _BLANKS.search(text) is not None
+
+
+def plain_parts(raws: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Parts of texts without white space side by side, each its number among the different ones, and the parts of each text.
+
+    A part starts at a space, at a line break and behind it, and where a text starts.
+    """
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    ends = np.cumsum([len(r) for r in raws])
+    line = data == 0x0A
+    starts = line | (data == 0x20)
+    starts[1:] |= line[:-1]
+    starts[ends[ends < len(data)]] = True
+    starts[:1] = True
+    at = np.flatnonzero(starts)
+    offsets = np.append(at, len(data)).astype(np.int32)
+    parts = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return parts.dictionary_encode(), np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+def key_of(part: bytes) -> str:
+    """The key of a part."""
+    return part[1:].decode() if part[:1] == b" " else FIRST + part.decode()
+
+
 def part(key: str) -> str:
     """The part of a key; all parts of a text, joined, give the text again."""
     return key[1:] if key.startswith(FIRST) else " " + key
@@ -90,6 +121,20 @@ class Memory:
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
 
+    def each(self, parts: list[str], learn: Callable[[set[str]], dict[str, bytes]]) -> list[bytes]:
+        """The ids of each of different parts."""
+        self.turn()
+        found = list(map(self.young.get, parts))
+        gap = [i for i, ids in enumerate(found) if ids is None]
+        old = self.old
+        now = {p: old[p] for i in gap if (p := parts[i]) in old}
+        if len(now) < len(gap):
+            now |= learn({parts[i] for i in gap}.difference(now))
+        for i in gap:
+            found[i] = now[parts[i]]
+        self.young.update([(p, ids) for p, ids in now.items() if len(p) <= LONGEST])
+        return found
+
     def looked_up(self, cut: list[list[str]], learn: Callable[[set[str]], dict[str, bytes]]) -> list[bytes]:
         """The ids of each list of parts; ``learn`` finds those that are not remembered."""
         self.turn()

@@ -5,6 +5,7 @@ documents of about ``BLOCK`` ids:
 
     shard, block     place of the block; shards follow the ids of documents
     first            ids of the shard before this block
+    first_id, last_id  its smallest and largest document
     doc_ids          documents of the block, ascending
     counts           ids of each document
     offsets          byte in ``payload`` where each document starts, and the end
@@ -39,8 +40,8 @@ from usagelens.llm.common import NO_ID, id_back, keyed
 BLOCK = 1 << 16
 #: Parts that a worker remembers, see ``pieces.Memory``.
 REMEMBERED = 1_000_000
-#: Documents, and words, that are encoded together.
-TOGETHER, JOINED = 512, 200
+#: Documents, words, and bytes of text, that are encoded together.
+TOGETHER, JOINED, BYTES = 2048, 200, 4 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -98,14 +99,47 @@ class Encoder:
         return {p: array(self.code, e.ids).tobytes() for p, e in zip(new, found, strict=True)}
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of ``kind``."""
-        special = self.special
+        """Ids of each text as little-endian unsigned integers of ``kind``.
+
+        Texts that hold no special token and no white space side by side are cut all
+        at once, and each different part is looked up once.
+        """
+        plain = [i for i, t in enumerate(texts) if not pieces.has_blanks(t) and not any(s in t for s in self.special)]
+        rest = sorted(set(range(len(texts))).difference(plain))
+        out: list[bytes] = [b""] * len(texts)
+        raws = [texts[i].encode() for i in plain]
+        at, size = 0, 0
+        for k, raw in enumerate(raws):
+            size += len(raw)
+            if size >= BYTES or k + 1 == len(raws):
+                for i, ids in zip(plain[at : k + 1], self._plain(raws[at : k + 1]), strict=True):
+                    out[i] = ids
+                at, size = k + 1, 0
         cut = [
-            pieces.keys(t) if not any(s in t for s in special)
-            else [k for s, marked in pieces.special_split(t, special) for k in ([pieces.FIRST + s] if marked else pieces.keys(s))]
-            for t in texts
-        ]
-        return self.parts.looked_up(cut, self._learn_parts)
+            [k for s, marked in pieces.special_split(texts[i], self.special) for k in ([pieces.FIRST + s] if marked else pieces.keys(s))]
+            for i in rest
+        ]
+        for i, ids in zip(rest, self.parts.looked_up(cut, self._learn_parts), strict=True):
+            out[i] = ids
+        return out
+
+    def _plain(self, raws: list[bytes]) -> list[bytes]:
+        parts, held = pieces.plain_parts(raws)
+        if not len(parts):
+            return [b""] * len(raws)
+        found = self.parts.each([pieces.key_of(p) for p in parts.dictionary.to_pylist()], self._learn_parts)
+        ids = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // ids.itemsize
+        which = parts.indices.to_numpy()
+        counts = sizes[which]
+        stops = np.cumsum(counts, dtype=np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[which] - (stops - counts)
+        places = np.repeat(shift, counts)
+        places += np.arange(stops[-1], dtype=np.int32)
+        whole = ids[places]
+        # Where each text ends among the ids: with its last part.
+        ends = np.append(0, stops)[np.cumsum(held)]
+        return [whole[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
 
     def _learn_parts(self, new: set[str]) -> dict[str, bytes]:
         """Ids of parts by key: of their words and endings where the pattern cuts them apart."""
@@ -129,10 +163,10 @@ def encoder(path: str) -> Encoder:
 
 
 BLOCKS = pa.schema([
-    ("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    ("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("bits", pa.int32()), ("payload", pa.binary()),
 ])
-BLOCKS_DDL = "shard int, block long, first long, doc_ids array<long>, counts array<long>, offsets array<long>, bits int, payload binary"
+BLOCKS_DDL = "shard int, block long, first long, first_id long, last_id long, doc_ids array<long>, counts array<long>, offsets array<long>, bits int, payload binary"
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
@@ -150,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
 
         def close() -> pa.RecordBatch:
             offsets = np.cumsum([0, *map(len, packed)]).tolist()
-            row = [shard, block, first, ids, counts, offsets, bits, b"".join(packed)]
+            row = [shard, block, first, ids[0], ids[-1], ids, counts, offsets, bits, b"".join(packed)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
         held = 0
@@ -209,7 +243,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def read_document(spark: SparkSession, folder: str, doc_id: int | None) -> list[np.ndarray]:
     """Random access: the ids of each row with this doc_id."""
     wanted = NO_ID if doc_id is None else doc_id
-    rows = read_blocks(spark, folder).where(F.array_contains("doc_ids", F.lit(wanted))).orderBy("shard", "block").collect()
+    # The range of a block is in the files' statistics, so that only blocks that may hold the document are read.
+    near = (F.col("first_id") <= wanted) & (F.col("last_id") >= wanted)
+    rows = read_blocks(spark, folder).where(near).orderBy("shard", "block").collect()
     return [
         unpack(bytes(r.payload[r.offsets[k] : r.offsets[k + 1]]), r.bits, r.counts[k])
         for r in rows
