@@ -226,3 +226,42 @@ def test_levels_shrink_and_labels_differ():
     heads = np.array([1, 2, 1, 3, 2, 5, 7, 1], np.uint64)
     labels = fingerprints._labels(heads, np.array([0]))
     assert (labels[1:] != labels[:-1]).all() and labels.max() < 6
+
+
+def test_a_full_cell_is_compared_in_bounded_memory():
+    """2,048 rows that are all alike give two million pairs, handed on block by block."""
+    import tracemalloc
+
+    rows = 2048
+    columns = {"n": np.full(rows, 90), "side": np.zeros(rows, np.int64), "bits": np.zeros(rows, np.int64), "comp": np.arange(rows)}
+    columns = {c: x.astype(np.int64) for c, x in columns.items()}
+    tracemalloc.start()
+    found = 0
+    for i, j in simhash._cell_pairs(columns, 0.8, True):
+        assert len(i) <= simhash.ROWS * simhash.CELL and (i != j).all()
+        found += int((i < j).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == rows * (rows - 1) // 2
+    assert peak < 16 << 20
+
+
+def test_blocks_of_a_cell_give_every_pair_and_each_nearest():
+    r = np.random.default_rng(5)
+    rows = 700
+    columns = {
+        "n": r.integers(60, 120, rows), "side": r.integers(1, 3, rows), "bits": r.integers(0, 1 << 12, rows), "comp": r.integers(0, 40, rows)
+    }
+    columns = {c: x.astype(np.int64) for c, x in columns.items()}
+    n, side, bits, comp = (columns[c].tolist() for c in ("n", "side", "bits", "comp"))
+    fits = {
+        (i, j) for i in range(rows) for j in range(rows)
+        if comp[i] != comp[j] and side[i] != side[j] and (bits[i] ^ bits[j]).bit_count() <= simhash.BIN_BITS and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])
+    }
+    every = {(min(a, b), max(a, b)) for i, j in simhash._cell_pairs(columns, 0.8, True) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert every == {(i, j) for i, j in fits if i < j}
+    nearest = {a: b for i, j in simhash._cell_pairs(columns, 0.8, False) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert nearest.keys() == {i for i, _ in fits}
+    for i, j in nearest.items():
+        assert (i, j) in fits
+        assert (bits[i] ^ bits[j]).bit_count() == min((bits[i] ^ bits[k]).bit_count() for a, k in fits if a == i)

@@ -427,6 +427,8 @@ def _alike(a: bytes, b: bytes) -> float:
 COMMON, ALL_PAIRS = 100_000, 32
 #: Rows of a cell that are compared side by side; keys with more are dealt to several cells.
 CELL = 1024
+#: Rows of a block that are compared with so many, and pairs that a task hands on together.
+ROWS, HANDED = 128, 1 << 16
 #: Of the lowest bits of 64 bins, one in ten differs at 0.8 and half in strangers; 20 are over five standard deviations off.
 BIN_BITS = 20
 
@@ -482,13 +484,12 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("rep", "n", "bits", "prefix", "comp").mapInArrow(per_batch(run), _KEYED)
 
 
-def _cell_pairs(columns: dict[str, np.ndarray], similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs in one cell that may be alike and are in two components; each row's nearest, or with ``every`` all."""
+def _cell_pairs(columns: dict[str, np.ndarray], similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs in one cell that may be alike and are in two components, block by block; each row's nearest, or with ``every`` all."""
     n, comp, side = (columns[c] for c in ("n", "comp", "side"))
     bits = columns["bits"].view(np.uint64)
-    left, right = [], []
-    for low in range(0, len(n), CELL):
-        i = np.arange(low, min(low + CELL, len(n)))
+    for low in range(0, len(n), ROWS):
+        i = np.arange(low, min(low + ROWS, len(n)))
         best, where = np.full(len(i), 255, np.uint8), np.zeros(len(i), np.int64)
         for from_ in range(low if every else 0, len(n), CELL):
             j = np.arange(from_, min(from_ + CELL, len(n)))
@@ -496,21 +497,19 @@ def _cell_pairs(columns: dict[str, np.ndarray], similarity: float, every: bool)
             fits = (comp[i][:, None] != comp[j][None, :]) & (apart <= BIN_BITS)
             # Sides 1 and 2 of a cell meet each other only.
             fits &= (side[i][:, None] == 0) | (side[i][:, None] != side[j][None, :])
-            small, large = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
-            fits &= small >= similarity * large - 1e-6
+            # The smaller set must be large enough beside the larger one, whichever that is.
+            fits &= n[i][:, None] >= similarity * n[j][None, :] - 1e-6
+            fits &= n[j][None, :] >= similarity * n[i][:, None] - 1e-6
             if every:
                 a, b = np.nonzero(fits)
-                left.append(i[a])
-                right.append(j[b])
+                yield i[a], j[b]
             else:
                 apart = np.where(fits, apart, 255).astype(np.uint8)
                 at = apart.argmin(axis=1)
                 found = apart[np.arange(len(i)), at]
                 where, best = np.where(found < best, j[at], where), np.minimum(best, found)
         if not every:
-            left.append(i[best < 255])
-            right.append(where[best < 255])
-    return np.concatenate(left), np.concatenate(right)
+            yield i[best < 255], where[best < 255]
 
 
 def _pairs_under(cells: DataFrame, similarity: float, every: bool) -> DataFrame:
@@ -525,23 +524,25 @@ def _pairs_under(cells: DataFrame, similarity: float, every: bool) -> DataFrame:
         u, v, wide, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
+            """Pairs, smaller node first, and the wide keys; pairs may repeat."""
             a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (u, v))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            ends = pa.array(both[1].tolist() + [None] * len(wide), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[0], np.array(wide, np.int64)]).astype(np.int64)), ends], ["u", "v"])
+            none = np.arange(len(a) + len(wide)) >= len(a)
+            left = np.concatenate([np.minimum(a, b), np.array(wide, np.int64)])
+            right = np.concatenate([np.maximum(a, b), np.zeros(len(wide), np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right, mask=none)], ["u", "v"])
 
         for a, b in zip(starts[stops - starts > 1].tolist(), stops[stops - starts > 1].tolist(), strict=True):
             part = {c: x[a:b] for c, x in held.items()}
             small = b - a <= ALL_PAIRS and part["cell"][0] == 0
-            i, j = _cell_pairs(part, similarity, every or small)
-            u.append(part["rep"][i])
-            v.append(part["rep"][j])
-            size += len(i)
             if not every and not small:
                 wide.append(part["key"][0])
-            if size > 1 << 18:
-                yield out()
-                u, v, wide, size = [], [], [], 0
+            for i, j in _cell_pairs(part, similarity, every or small):
+                u.append(part["rep"][i])
+                v.append(part["rep"][j])
+                size += len(i)
+                if size > HANDED:
+                    yield out()
+                    u, v, wide, size = [], [], [], 0
         yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
