@@ -91,6 +91,12 @@ def test_first_host_keeps_a_copied_request(spark):
     assert result == {"r": "one", "other": "one"}
 
 
+def test_copies_are_combined_before_they_are_shuffled(spark):
+    """No window over ids: a part of the aggregate runs on either side of the exchange."""
+    plan = dedupe.unique_requests(R.requests(spark, {}, {"host": "two", "host_order": 1}))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min" in plan
+
+
 def test_conflicting_copies_fail(spark):
     df = R.requests(spark, {}, {"host": "two", "host_order": 1, "output_tokens": 32})
     with pytest.raises(PySparkException, match="Hosts disagree about request"):

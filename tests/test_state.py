@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from usagelens import schemas
 from usagelens.operators import live, pairing
 from usagelens.session import new_path
-from usagelens.streaming import follow, pairing_state, receipts_state
+from usagelens.sources import logs
+from usagelens.streaming import follow, log_state, pairing_state, receipts_state
 
 BOUNDARY = (
     "session_key string, response_key string, kind string, start_origin string, stamp double, received_at double, "
@@ -224,3 +228,71 @@ def test_repeats_are_found_in_bounded_state_and_the_late_kept_apart(spark):
     assert [tuple(r) for r in behind.collect()] == [("a", "late", 1000, 1)]
     assert max(s["numRowsTotal"] for p in progress for s in p["stateOperators"]) <= 30
     assert sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]) >= 1
+
+
+def log_lines(seed, count, inherited):
+    """A log of kind A with every sort of line: turns, tools, records and their mirrors, repeated counters, other threads."""
+    r = random.Random(seed)
+    sid = f"00000000-0000-0000-0000-{seed:012d}"
+    header = {"id": sid, "model_provider": r.choice(["acme", None]), "subagent_history_start_ordinal": inherited}
+    lines = [{"type": "session_meta", "timestamp": "2026-01-01T00:00:00Z", "payload": header}]
+    at, total = 0.0, 0
+    for _ in range(count):
+        at += r.choice([0.0, 0.25, 1.0, 2.0])
+        use = {"input_tokens": 1, "output_tokens": r.choice([0, 5, 6]), "cached_input_tokens": r.choice([None, 2])}
+        total += r.choice([0, 0, 7])
+        call = r.choice("xyz")
+        kind, payload = r.choice(
+            [
+                ("event_msg", {"type": "task_started"}), ("event_msg", {"type": "task_complete"}), ("compacted", {}),
+                *[("response_item", {"type": "message", "role": "user"})] * 3, *[("response_item", {"type": "message", "role": "assistant"})] * 4,
+                *[("response_item", {"type": "function_call", "call_id": call})] * 2, *[("response_item", {"type": "function_call_output", "call_id": call})] * 3,
+                *[("token_usage_record", {"usage": use, "thread_id": r.choice([None, sid, "other"]), "response_id": r.choice([None, f"r{total}"])})] * 3,
+                *[("event_msg", {"type": "token_count", "info": {"last_token_usage": use, "total_token_usage": r.choice([None, {"total_tokens": total}])}})] * 4,
+                ("turn_context", {"model": r.choice(["m-1", "m-2", None])}), ("other", {}),
+            ]
+        )
+        stamp = (dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=at)).isoformat()
+        lines.append({"type": kind, "timestamp": stamp, "payload": payload})
+    return sid, lines
+
+
+def sample_rows(df):
+    names = ["event_key", "session_key", "runtime", "provider", "model", "output_tokens", "start", "end", "basis", "status"]
+    return sorted(map(str, map(tuple, df.select(*names).collect())))
+
+
+def test_logs_cut_anywhere_give_the_samples_of_the_whole(spark, tmp_path):
+    """Batches that end at every line of a log, in the middle of turns and between a record and its mirror."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for seed, inherited in ((1, 0), (2, 9), (3, 0), (4, 0)):
+        sid, lines = log_lines(seed, 160, inherited)
+        (folder / f"log-{sid}.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    (folder / "log-without-header.jsonl").write_text(json.dumps({"type": "compacted", "payload": {}}) + "\n")
+    records = logs.read_records(spark, str(folder), schema=schemas.LOG_A)
+    expected = sample_rows(logs.native_samples_a(logs.log_a_events(records, live=True)))
+    assert len(expected) > 40 and any("missing_timing" in x for x in expected) and any("measured" in x for x in expected)
+
+    # The walk itself, stopped and taken up again behind every line: its state goes through the types it is stored in.
+    columns = log_state.RESPONSE.replace(" string", "").replace(" bigint", "").replace(" double", "").split(", ")
+    walked = []
+    lines = logs.line_events_a(records).orderBy("file", "ordinal").collect()
+    for name in sorted({x.file for x in lines}):
+        state, calls = tuple(log_state._NEW[f] for f in log_state._FIELDS), {}
+        for x in (x for x in lines if x.file == name):
+            w, calls = dict(zip(log_state._FIELDS, state, strict=True)), dict(calls)
+            found = log_state.step(w, calls, x.asDict())
+            assert log_state.step(dict(w), dict(calls), x.asDict()) is None  # seen already
+            state = tuple(w[f] for f in log_state._FIELDS)
+            if found is not None and found[5]:
+                walked.append(dict(zip(columns, found, strict=True)))
+    assert len(walked) == len(expected)
+
+    # As a stream: batches of ten and more lines of every log, the last of them read twice.
+    landed = new_path(spark, "lines")
+    for low, high in ((0, 10), (10, 11), (11, 73), (73, 74), (74, 1000), (120, 1000)):
+        records.where(F.col("ordinal").between(low, high - 1)).coalesce(1).write.mode("append").parquet(landed)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
+    stream = log_state.follow_samples(follow.follow_files(spark, landed, kinds, max_files=1))
+    assert sample_rows(follow.run_available(stream, "samples")) == expected

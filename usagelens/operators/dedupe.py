@@ -72,25 +72,22 @@ def signature() -> Column:
 def unique_requests(requests: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row per (app, request id) over all hosts; the first host wins.
 
-    One shuffle and one sort, by a hash of the id first, find the first row of each
-    id and whether its copies agree; the job stops when they differ in time, model or
+    The first row of an id is a minimum over a struct, and whether its copies agree
+    a minimum and a maximum of their signatures, so copies are combined before the
+    shuffle and no task holds an id's rows. A hash of the id leads the key: rows are
+    then sorted by a number. The job stops when copies differ in time, model or
     tokens. ``columns`` limits the payload that is carried.
     """
     keys = ["app_type", "request_id"]
     carried = [c for c in (columns or requests.columns) if c in requests.columns]
     lead = ["host_order", "host", "created_at"]
     order = [*lead, *[c for c in carried if c not in keys and c not in lead]]
-    copies = Window.partitionBy("_hash", *keys)
-    rows = requests.select(*keys, *order, F.xxhash64(*keys).alias("_hash"), signature().alias("_signature"))
-    marked = rows.withColumns(
-        {
-            "_place": F.row_number().over(copies.orderBy(*order)),
-            "_least": F.min("_signature").over(copies),
-            "_most": F.max("_signature").over(copies),
-        }
+    rows = requests.select(F.xxhash64(*keys).alias("_hash"), *keys, F.struct(*order).alias("_row"), signature().alias("_signature"))
+    first = rows.groupBy("_hash", *keys).agg(
+        F.min("_row").alias("_row"), F.min("_signature").alias("_least"), F.max("_signature").alias("_most")
     )
     agreed = U.require(F.col("_least") == F.col("_most"), F.concat(F.lit("Hosts disagree about request "), F.col("request_id")))
-    return marked.where((F.col("_place") == 1) & agreed).select(*keys, *order)
+    return first.where(agreed).select(*keys, "_row.*")
 
 
 ROLLUP_SIGNATURE = (

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.plans.columns import flat
+from usagelens.plans.enrichment_sql import evidence
 from usagelens.plans.report_sql import BASE, _b
 from usagelens.plans.telemetry_sql import telemetry
 from usagelens.session import new_path
 from usagelens.sources import adapters, otlp
-from usagelens.streaming import follow, jobs, pairing_state, receipts_state
+from usagelens.streaming import follow, jobs, log_state, pairing_state, receipts_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: The moment from which streamed rows count, in seconds.
@@ -152,7 +153,24 @@ def stream_once(spark: SparkSession, sf: str) -> DataFrame:
     return counted.groupBy("app_type", "behind").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def stream_log_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Response times of conversation logs whose lines arrive as a stream."""
+    events = adapters.conversation_events(spark, sf)
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    rest = {"total": text, "thread_id": text, "model_provider": text, "inherited_until": number}
+    lines = events.withColumnRenamed("session_id", "file").withColumns({**rest, "session_id": text})
+    first = lines.select("file").distinct().withColumns({f.name: F.lit(None).cast(f.dataType) for f in lines.schema.fields if f.name != "file"})
+    first = first.withColumns({"ordinal": F.lit(-1).cast(lines.schema["ordinal"].dataType), "event": F.lit("header"), "session_id": F.col("file"), "inherited_until": F.lit(-1).cast("bigint")})
+    landed = new_path(spark, "landed-lines")
+    numbered = lines.unionByName(first.select(*lines.columns)).withColumn("ordinal", F.col("ordinal").cast("bigint") + 1)
+    numbered.write.parquet(landed)
+    stream = follow.follow_files(spark, landed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields))
+    found = follow.run_available(log_state.follow_responses(stream), "log-intervals")
+    return flat(found.select("session_id", F.floor("stamp").alias("second"), "output_tokens", ((F.col("end") - F.col("start")) * 1000).alias("duration_ms")))
+
+
 QUERIES = {
+    "stream_log_intervals": stream_log_intervals,
     "stream_pair_state": stream_pair_state,
     "stream_credits": stream_credits,
     "stream_corrections": stream_corrections,
@@ -172,6 +190,9 @@ _ONCE = """single AS (
 """
 
 ORACLES = {
+    "stream_log_intervals": evidence(
+        "SELECT session_id, second, output_tokens, round(duration_ms, 6) AS duration_ms FROM timing"
+    ),
     "stream_pair_state": telemetry(
         """SELECT session_key, response_key, provider, model, output_tokens, round(start, 6) AS start, round("end", 6) AS "end", status FROM paired""",
         ids="NOT (event_type = 'click' AND event_id % 5 = 0)",

@@ -75,19 +75,17 @@ def epoch_s(text: Column) -> Column:
     return F.unix_micros(F.to_timestamp(text)) / 1e6
 
 
-def log_a_events(records: DataFrame, live: bool = False) -> DataFrame:
-    """Ordered events of logs of kind A, one session per file.
-
-    Live reading also skips the copied start of a forked log and usage of other
-    threads.
-    """
+def line_events_a(records: DataFrame) -> DataFrame:
+    """The event that a line of a log of kind A is, from the line alone; ``header`` for its first."""
     kind, typ, payload = F.col("r.type"), F.col("r.payload.type"), "r.payload."
     task = kind == "event_msg"
     item = kind == "response_item"
     role = F.col(payload + "role")
     last = F.col(payload + "info.last_token_usage")
     event = (
-        F.when(task & (typ == "task_started"), "start")
+        F.when((F.col("ordinal") == 0) & (kind == "session_meta"), "header")
+        .when(F.col("ordinal") == 0, F.lit(None))
+        .when(task & (typ == "task_started"), "start")
         .when((task & typ.isin("task_complete", "turn_aborted")) | (kind == "compacted"), "reset")
         .when(item & (typ == "message") & (role == "user"), "input")
         .when(item & typ.isin("function_call_output", "custom_tool_call_output"), "result")
@@ -97,26 +95,39 @@ def log_a_events(records: DataFrame, live: bool = False) -> DataFrame:
         .when(task & (typ == "token_count") & last.isNotNull(), "count")
         .when(kind == "turn_context", "context")
     )
-    headers = session_headers(records).select("file", "session_id", "model_provider", "inherited_until")
     use = F.when(kind == "token_usage_record", F.col(payload + "usage")).otherwise(last)
-    total = F.col(payload + "info.total_token_usage")
-    rows = records.join(headers, "file").where((F.col("ordinal") > 0) & event.isNotNull())
-    if live:
-        thread = F.col(payload + "thread_id")
-        rows = rows.where(
-            (F.col("ordinal") > F.col("inherited_until"))
-            & ((kind != "token_usage_record") | thread.isNull() | (thread == F.col("session_id")))
-        )
-    events = rows.select(
-        "file", "session_id", "ordinal", epoch_s(F.col("r.timestamp")).alias("stamp"), event.alias("event"),
+    header = event == "header"
+    return records.where(event.isNotNull()).select(
+        "file", "ordinal", epoch_s(F.col("r.timestamp")).alias("stamp"), event.alias("event"),
         F.when(event.isin("call", "result"), F.col(payload + "call_id")).alias("call_id"),
         F.when(event == "context", F.col(payload + "model")).alias("model"),
         F.when(event == "usage", F.col(payload + "response_id")).alias("response_id"),
         F.when(event.isin("usage", "count"), use["input_tokens"]).alias("input_tokens"),
         F.when(event.isin("usage", "count"), use["output_tokens"]).alias("output_tokens"),
         F.when(event.isin("usage", "count"), F.coalesce(use["cached_input_tokens"], F.lit(0))).alias("cached_input_tokens"),
-        F.when(event == "count", F.to_json(total)).alias("total"),
-        U.clean_label(F.col("model_provider"), 120, "Provider unreported").alias("provider"),
+        F.when(event == "count", F.to_json(F.col(payload + "info.total_token_usage"))).alias("total"),
+        F.when(event == "usage", F.col(payload + "thread_id")).alias("thread_id"),
+        F.when(header, F.col(payload + "id")).alias("session_id"),
+        F.when(header, F.col(payload + "model_provider")).alias("model_provider"),
+        F.when(header, F.coalesce(payload + "subagent_history_start_ordinal", F.lit(0))).cast("bigint").alias("inherited_until"),
+    )
+
+
+def log_a_events(records: DataFrame, live: bool = False) -> DataFrame:
+    """Ordered events of logs of kind A, one session per file.
+
+    Live reading also skips the copied start of a forked log and usage of other
+    threads.
+    """
+    headers = session_headers(records).select("file", "session_id", "model_provider", "inherited_until")
+    lines = line_events_a(records).where("event <> 'header'").drop("session_id", "model_provider", "inherited_until")
+    rows = lines.join(headers, "file")
+    if live:
+        own = F.col("thread_id").isNull() | (F.col("thread_id") == F.col("session_id"))
+        rows = rows.where((F.col("ordinal") > F.col("inherited_until")) & own)
+    events = rows.select(
+        "file", "session_id", "ordinal", "stamp", "event", "call_id", "model", "response_id", "input_tokens", "output_tokens",
+        "cached_input_tokens", "total", U.clean_label(F.col("model_provider"), 120, "Provider unreported").alias("provider"),
     )
     return _without_repeated_totals(events) if live else events.drop("total")
 
@@ -139,7 +150,11 @@ def native_samples_a(events: DataFrame) -> DataFrame:
     labelled = contexts.withColumn("model", U.clean_label(F.first("model", ignorenulls=True).over(named), 120))
     carried = labelled.select("session_id", "ordinal", "provider")
     rows = intervals.response_intervals(labelled.where("event <> 'context'"), live=True).where("NOT mirror")
-    rows = rows.join(carried, ["session_id", "ordinal"]).where("output_tokens > 0")
+    return keyed_samples_a(rows.join(carried, ["session_id", "ordinal"]).where("output_tokens > 0"))
+
+
+def keyed_samples_a(rows: DataFrame) -> DataFrame:
+    """Samples of reported responses: by response id, else by what the log says of them."""
     named_id = U.usable_identity(F.col("response_id"))
     key = F.when(named_id.isNotNull(), U.opaque_identity(F.lit("codex"), F.lit("response"), named_id)).otherwise(
         U.opaque_identity(
