@@ -239,6 +239,30 @@ def test_mixed_layouts(spark):
     assert len(unknown.collect()) == 4
 
 
+def test_records_that_only_look_like_a_layout_stay_apart(spark):
+    """Names inside other objects, ids and texts of other kinds, names with dots; nulls are of any kind."""
+    strange = [
+        {"id": 1, "prompt": {"response": "hidden"}}, {"id": 1, "a": {"b": {"prompt": "p", "response": "r"}}}, {"id": "abc", "prompt": "p", "response": "r"},
+        {"id": 1, "prompt": ["p"], "response": "r"}, {"id": 1.5, "prompt": "p", "response": "r"}, {"id": 1, "messages.role": "x", "messages[].content": "y"},
+        {"id": 1, "messages": [{"role": "user", "content": "x"}, {"role": "user", "content": 7}]}, {"id": 1 << 70, "prompt": "p", "response": "r"},
+        {"id": 1, "messages": [{"role": "user", "content": {}}]}, {"id": True, "prompt": "p", "response": "r"}, [1], 5,
+    ]
+    texts = [json.dumps(x) for x in strange] + ['{"id": NaN, "prompt": "p", "response": "r"}', "[" * 100_000]
+    plain = [{"id": None, "prompt": None, "response": "r"}, {"id": 9, "messages": [{"role": None, "content": None}, {"role": "gpt", "content": "x"}]}]
+    df = spark.createDataFrame([(x,) for x in texts + [json.dumps(x) for x in plain]], "record string")
+    turns, unknown = chat.canonical_records(df, "record")
+    assert sorted(r.record for r in unknown.collect()) == sorted(texts)
+    got = sorted(map(tuple, turns.collect()), key=str)
+    assert got == [(9, 0, "", ""), (9, 1, "assistant", "x"), (None, 0, "user", ""), (None, 1, "assistant", "r")]
+    deep = unknown.where("record like '%\"b\"%'").first()
+    assert deep.paths == ["a.b.prompt:text", "a.b.response:text", "id:integer"]
+
+
+def test_every_layout_has_fingerprints_of_its_own():
+    marks = [m for layout in chat.LAYOUTS for m in layout.record_fingerprints]
+    assert len(marks) == len(set(marks))
+
+
 def test_chat_edges(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.read_turns(chat.format_turns(chat.canonical_table(empty)))).collect() == []

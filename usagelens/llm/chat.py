@@ -1,10 +1,12 @@
 """Operator 10: chat formatting by schema fingerprint.
 
-A record's fingerprint is the hash of its sorted nested field paths. Each known
-layout is a declarative mapping under its fingerprint: where the conversation's
-id is, and where turns, their roles and their texts are. Records are turned into
-canonical turns by the mapping that their fingerprint selects; records of unknown
-layouts are returned apart with their paths, none is lost.
+A table's fingerprint is the hash of its sorted nested field paths, that of a JSON
+record the hash of its paths at every depth with the kinds of their values. Each
+known layout is a declarative mapping under its fingerprint: where the
+conversation's id is, and where turns, their roles and their texts are. Records are
+turned into canonical turns by the mapping that their fingerprint selects. Records of
+unknown layouts, with values of other kinds than the layout has, or that are no JSON
+are returned apart with their paths; none is lost. A field may be null in any record.
 
 Template, per turn: ``<|im_start|>role``, a line break, the text, ``<|im_end|>``
 and a line break. Control strings inside a text get one backslash behind their
@@ -21,7 +23,9 @@ a conversation of its own. Empty table: no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from itertools import product
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -77,6 +81,13 @@ class Layout:
         inside = f"{self.items}[]." if self.items else ""
         return [self.id, *([self.number] if self.number else []), inside + self.role, inside + self.text]
 
+    @property
+    def record_fingerprints(self) -> list[str]:
+        """Fingerprints of records of this layout: any field may hold nothing but null."""
+        whole = {self.id, self.number}
+        kinds = [(f"{p}:{'integer' if p in whole else 'text'}", f"{p}:null") for p in self.paths]
+        return [fingerprint(list(chosen)) for chosen in product(*kinds)]
+
     def schema(self) -> T.StructType:
         """The record's type, to read it from JSON."""
         field = T.StructField
@@ -138,33 +149,62 @@ def canonical_table(df: DataFrame, mappings: dict[str, Layout] = MAPPINGS) -> Da
     return _turns(df, layout)
 
 
-def with_fingerprint(records: DataFrame, column: str) -> DataFrame:
-    """Adds ``paths`` and ``fingerprint`` of a column of JSON texts, row by row.
+def record_paths(record: str | None) -> list[str] | None:
+    """Sorted paths of a JSON object at every depth, each with the kind of its values; null for what is no JSON object.
 
-    Objects may nest arrays of objects; a text that is no JSON has null paths.
+    Where values of one path differ in kind, each kind counts; null only where no
+    other value is there. Dots, brackets and colons of names stand behind a backslash.
     """
-    kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    # OBJECT<a: ARRAY<OBJECT<b: STRING>>, c: BIGINT> holds an array's fields in brackets of their own.
-    arrays = F.regexp_extract_all(kind, F.lit(r"(`?[^<>:, `]+`?): ARRAY<OBJECT<([^<>]*)>>"), F.lit(0))
-    plain = F.regexp_replace(kind, r"`?[^<>:, `]+`?: ARRAY<OBJECT<[^<>]*>>", "")
-    names = lambda s: F.regexp_extract_all(s, F.lit(r"`?([^<>:, `]+)`?: "), F.lit(1))
-    nested = F.flatten(
-        F.transform(arrays, lambda a: F.transform(F.slice(names(a), F.lit(2), F.size(names(a))), lambda n: F.concat(names(a)[0], F.lit("[]."), n)))
-    )
-    paths = F.array_sort(F.array_distinct(F.concat(names(plain), nested)))
-    out = records.withColumn("paths", paths)
+    try:
+        whole = json.loads(record or "", parse_constant=lambda _: 1 / 0)
+    except (ValueError, ZeroDivisionError, RecursionError):
+        return None
+    if not isinstance(whole, dict):
+        return None
+    found: dict[str, set[str]] = {}
+    left = [("", whole)]
+    while left:
+        at, value = left.pop()
+        if isinstance(value, dict) and value:
+            for name, inner in value.items():
+                name = "".join("\\" + c if c in "\\.[]:" else c for c in name)
+                left.append((f"{at}.{name}" if at else name, inner))
+        elif isinstance(value, list) and value:
+            left += [(at + "[]", inner) for inner in value]
+        else:
+            found.setdefault(at, set()).add(_kind(value))
+    return sorted(f"{at}:{k}" for at, kinds in found.items() for k in (kinds - {"null"} or kinds))
+
+
+def _kind(value: object) -> str:
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int):
+        return "integer" if -(1 << 63) <= value < 1 << 63 else "number"
+    return {dict: "object", list: "array", str: "text", float: "number"}.get(type(value), "null")
+
+
+def with_fingerprint(records: DataFrame, column: str) -> DataFrame:
+    """Adds ``paths`` and ``fingerprint`` of a column of JSON texts, row by row; null for a text that is no JSON object."""
+
+    @F.arrow_udf("array<string>")
+    def paths(values: pa.Array) -> pa.Array:
+        return pa.array([record_paths(v) for v in values.to_pylist()], pa.list_(pa.string()))
+
+    out = records.withColumn("paths", paths(F.col(column)))
     return out.withColumn("fingerprint", F.substring(F.sha2(F.array_join("paths", "\n").cast("binary"), 256), 1, 16))
 
 
-def canonical_records(records: DataFrame, column: str, mappings: dict[str, Layout] = MAPPINGS) -> tuple[DataFrame, DataFrame]:
+def canonical_records(records: DataFrame, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[DataFrame, DataFrame]:
     """(turns, records of unknown layout) of JSON records in mixed layouts."""
     marked = with_fingerprint(records.select(F.col(column).alias("_json")), "_json")
-    turns = None
-    for mark, layout in mappings.items():
-        mine = marked.where(F.col("fingerprint") == mark).select(F.from_json("_json", layout.schema()).alias("_record"))
+    turns, known = None, []
+    for layout in layouts:
+        marks = layout.record_fingerprints
+        mine = marked.where(F.col("fingerprint").isin(marks)).select(F.from_json("_json", layout.schema()).alias("_record"))
         own = _turns(mine, layout, "_record")
-        turns = own if turns is None else turns.unionByName(own)
-    unknown = marked.where(~F.coalesce(F.col("fingerprint").isin(*mappings), F.lit(False)))
+        turns, known = own if turns is None else turns.unionByName(own), known + marks
+    unknown = marked.where(~F.coalesce(F.col("fingerprint").isin(known), F.lit(False)))
     return turns, unknown.select(F.col("_json").alias("record"), "paths", "fingerprint")
 
 
