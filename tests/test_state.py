@@ -13,7 +13,7 @@ from usagelens import schemas
 from usagelens.operators import live, pairing
 from usagelens.session import new_path
 from usagelens.sources import logs
-from usagelens.streaming import follow, log_state, pairing_state, receipts_state
+from usagelens.streaming import follow, log_state, message_state, pairing_state, receipts_state
 
 BOUNDARY = (
     "session_key string, response_key string, kind string, start_origin string, stamp double, received_at double, "
@@ -296,3 +296,41 @@ def test_logs_cut_anywhere_give_the_samples_of_the_whole(spark, tmp_path):
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
     stream = log_state.follow_samples(follow.follow_files(spark, landed, kinds, max_files=1))
     assert sample_rows(follow.run_available(stream, "samples")) == expected
+
+
+def message_lines(seed, count):
+    """A log of kind B: growing messages, tools, failures, stops, a sub-agent, messages without id."""
+    r = random.Random(seed)
+    at, lines, number = 0.0, [], 0
+    for _ in range(count):
+        at += r.choice([0.0, 0.5, 2.0])
+        stamp = (dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=at)).isoformat()
+        line = {"timestamp": stamp, "sessionId": f"talk{seed}", "agentId": r.choice([None, None, None, "helper"])}
+        if r.random() < 0.4:
+            blocks = [{"type": "tool_result", "tool_use_id": c} for c in r.sample("xyz", r.choice([0, 0, 1, 2]))]
+            lines.append(line | {"type": "user", "message": {"content": blocks}})
+            continue
+        number += r.choice([0, 0, 1])
+        blocks = [{"type": "tool_use", "id": c} for c in r.sample("xyz", r.choice([0, 0, 0, 1, 2]))]
+        message = {"content": blocks, "id": r.choice([f"m{seed}-{number}"] * 6 + [None, ""]), "model": r.choice(["c-1", "c-2"])}
+        message["usage"] = {"output_tokens": r.choice([None, 0, 3, 9, 40])}
+        message["stop_reason"] = r.choice([None, None, "end_turn"])
+        lines.append(line | {"type": "assistant", "message": message, "isApiErrorMessage": r.random() < 0.1})
+    return lines
+
+
+def test_growing_messages_cut_anywhere_are_those_of_the_whole(spark, tmp_path):
+    folder = tmp_path / "talks"
+    folder.mkdir()
+    for seed in (1, 2, 3):
+        (folder / f"talk{seed}.jsonl").write_text("\n".join(map(json.dumps, message_lines(seed, 150))) + "\n")
+    records = logs.read_records(spark, str(folder), schema=schemas.LOG_B)
+    expected = sample_rows(logs.native_samples_b(logs.log_b_events(records)))
+    assert len(expected) > 60 and any("missing_timing" in x for x in expected) and any("measured" in x for x in expected)
+    landed = new_path(spark, "lines")
+    for low, high in ((0, 7), (7, 8), (8, 61), (61, 1000), (100, 1000)):
+        records.where(F.col("ordinal").between(low, high - 1)).coalesce(1).write.mode("append").parquet(landed)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
+    stream = message_state.follow_messages(follow.follow_files(spark, landed, kinds, max_files=1))
+    newest = follow.corrected(follow.run_available(stream, "messages"), ["session_id", "message_id"])
+    assert sample_rows(logs.keyed_samples_b(newest)) == expected

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens import schemas
 from usagelens.plans.columns import flat
 from usagelens.plans.enrichment_sql import evidence
 from usagelens.plans.report_sql import BASE, _b
 from usagelens.plans.telemetry_sql import telemetry
 from usagelens.session import new_path
 from usagelens.sources import adapters, otlp
-from usagelens.streaming import follow, jobs, log_state, pairing_state, receipts_state
+from usagelens.streaming import follow, jobs, log_state, message_state, pairing_state, receipts_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: The moment from which streamed rows count, in seconds.
@@ -169,7 +170,33 @@ def stream_log_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return flat(found.select("session_id", F.floor("stamp").alias("second"), "output_tokens", ((F.col("end") - F.col("start")) * 1000).alias("duration_ms")))
 
 
+def stream_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Response times of messages in conversation logs of kind B whose lines arrive as a stream."""
+    turns = adapters.table(spark, sf, "conversations").where("role IN ('user', 'assistant')")
+    second = F.col("conv_id") * 86400 + F.col("turn") * 60 + F.length("text") % 50
+    message = F.struct(
+        F.concat_ws("-", F.lit("m"), "conv_id", "turn").alias("id"), F.lit("c").alias("model"),
+        F.when(F.col("role") == "assistant", F.struct(F.length("text").cast("bigint").alias("output_tokens"))).alias("usage"),
+    )
+    line = F.to_json(
+        F.struct(
+            F.col("role").alias("type"), F.concat(F.lit("conv"), "conv_id").alias("sessionId"), message.alias("message"),
+            F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        )
+    )
+    records = turns.select(
+        F.concat(F.lit("conv"), "conv_id").alias("file"), F.col("turn").cast("bigint").alias("ordinal"), F.from_json(line, schemas.LOG_B).alias("r")
+    )
+    landed = new_path(spark, "landed-talks")
+    records.write.parquet(landed)
+    stream = follow.follow_files(spark, landed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields))
+    found = follow.run_available(message_state.follow_messages(stream), "messages")
+    newest = follow.corrected(found, ["session_id", "message_id"])
+    return flat(newest.select("session_id", "output_tokens", ((F.col("end") - F.col("start")) * 1000).alias("duration_ms")))
+
+
 QUERIES = {
+    "stream_messages": stream_messages,
     "stream_log_intervals": stream_log_intervals,
     "stream_pair_state": stream_pair_state,
     "stream_credits": stream_credits,
@@ -190,6 +217,9 @@ _ONCE = """single AS (
 """
 
 ORACLES = {
+    "stream_messages": evidence(
+        "SELECT session_id, output_tokens, round(duration_ms, 6) AS duration_ms FROM timing WHERE output_tokens > 0"
+    ),
     "stream_log_intervals": evidence(
         "SELECT session_id, second, output_tokens, round(duration_ms, 6) AS duration_ms FROM timing"
     ),

@@ -201,7 +201,11 @@ def log_b_events(records: DataFrame) -> DataFrame:
 
 
 def native_samples_b(events: DataFrame) -> DataFrame:
-    rows = intervals.message_intervals(events)
+    return keyed_samples_b(intervals.message_intervals(events))
+
+
+def keyed_samples_b(rows: DataFrame) -> DataFrame:
+    """Samples of messages, by message id."""
     key = U.opaque_identity(F.lit("claude"), F.lit("response"), F.col("message_id"))
     return _samples(rows.withColumn("event_key", key), "claude")
 
