@@ -75,6 +75,73 @@ def test_labels_of_the_method(text, labels):
     assert licenses.scanner(licenses.TEMPLATES, licenses.LEAST, licenses.COVERED).scan(text.encode())[5] == labels
 
 
+def _scanned(text, templates=licenses.TEMPLATES, covered=licenses.COVERED):
+    return licenses.scanner(templates, licenses.LEAST, covered).scan(text.encode())
+
+
+@pytest.mark.parametrize("distance", range(0, 61, 3))
+def test_a_stray_start_does_not_take_over_a_licence(distance):
+    """The licence keeps its label and its place, whatever fragment of it stands before."""
+    mit = licenses.TEMPLATES[2][1].split()
+    broken = [w for k, word in enumerate(mit) for w in ([word, "zq"] if k % 5 == 4 else [word])]
+    alone = _scanned(" ".join(broken))
+    words = [*mit[:4], *["filler"] * distance, *broken]
+    found = _scanned(" ".join(words))
+    assert alone[5] == found[5] == "mit"
+    assert found[6] >= alone[6] >= licenses.COVERED
+    (span,) = found[7]
+    assert (span["label"], span["end_word"]) == ("mit", len(words))
+    assert span["first_word"] <= 4 + distance and span["covered"] == found[6]
+
+
+def test_every_place_of_a_licence_is_a_span():
+    text = "x released under the mit license y y Released under the MIT License, z licensed under cc by 4.0"
+    spans = [(s["label"], s["first_word"], s["end_word"], s["covered"]) for s in _scanned(text)[7]]
+    # Words from 0; the part of a template that stands there.
+    assert [s for s in spans if s[0] == "mit"] == [("mit", 1, 6, 1.0), ("mit", 8, 13, 1.0)]
+    assert ("cc-by", 14, 20, 1.0) in spans
+    assert _scanned("nothing of that kind")[7] == [] and _scanned("")[7] == []
+
+
+def brute_cover(words, template, least):
+    """Most template words in order, over all ways to put anchors together; anchors cannot be made longer forwards."""
+    anchors = set()
+    for end in range(1, len(words) + 1):
+        fits = [n for n in range(1, end + 1) if any(template[p : p + n] == words[end - n : end] for p in range(len(template) - n + 1))]
+        if fits:
+            anchors.add((end - max(fits), max(fits)))
+    grown = {(a, n) for a, n in anchors if (a, n + 1) not in anchors and n >= least}
+    places = sorted((a, p, n) for a, n in grown for p in range(len(template) - n + 1) if template[p : p + n] == words[a : a + n])
+    best = 0
+
+    def extend(start, text_end, end, covered):
+        nonlocal best
+        best = max(best, covered)
+        for a, p, n in places:
+            if a >= text_end and p >= end and a + n - start <= 2 * len(template):
+                extend(start, a + n, p + n, covered + n)
+
+    for a, p, n in places:
+        if n <= 2 * len(template):
+            extend(a, a + n, p + n, n)
+    return best / len(template)
+
+
+def test_chains_equal_brute_force():
+    r = random.Random(11)
+    template = [f"w{k}" for k in (0, 1, 2, 3, 4, 1, 2, 5, 6, 7, 8, 9)]
+    found = set()
+    for _ in range(250):
+        words = []
+        while len(words) < 40:
+            cut = r.randrange(len(template))
+            words += template[cut : cut + r.randrange(1, 8)] + ["zz"] * r.randrange(0, 6)
+        got = _scanned(" ".join(words), (("own", " ".join(template)),))[6]
+        assert got == pytest.approx(brute_cover(words, template, licenses.LEAST))
+        found.add(got)
+    assert len(found) > 3
+
+
 # --- 2: quality -------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ stream through it and give matching statistics: at each word, how many words tha
 end there stand in some template. Matches that cannot grow and have at least
 ``LEAST`` words are anchors; for each template, anchors that keep their order are
 chained, and the part of the template that the chain covers says how sure the
-label is. Long stretches without two neighbouring template words are passed over
+label is. A chain's words are the span of the licence; all spans come out. Long stretches without two neighbouring template words are passed over
 with numpy, as no match can be there.
 
 Base phrases are counted at every place where their words stand one after the
@@ -15,7 +15,9 @@ row each. Empty table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -152,8 +154,8 @@ class Scanner:
             pairs[s[:-1], s[1:]] = True
         self.pairs = pairs
 
-    def coverage(self, ids: np.ndarray) -> dict[str, float]:
-        """Label -> largest covered part of one of its templates."""
+    def chains(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Template -> (first word, end, covered words) of the chains of its anchors."""
         near = self.pairs[ids[:-1], ids[1:]]
         if not near.any():
             return {}
@@ -167,33 +169,51 @@ class Scanner:
                     continue
                 for number, place in self.automaton.ends[state]:
                     anchors.setdefault(number, []).append((int(start) + end + 1 - length, place + 1 - length, length))
-        best: dict[str, float] = {}
-        for number, found in anchors.items():
-            part = self._chain(sorted(set(found)), self.sizes[number]) / self.sizes[number]
-            best[self.labels[number]] = max(part, best.get(self.labels[number], 0.0))
-        return best
+        return {number: list(self._chain(sorted(set(found)), self.sizes[number])) for number, found in anchors.items()}
 
-    def _chain(self, anchors: list[tuple[int, int, int]], size: int) -> int:
-        """Most template words that anchors in order cover, within twice the template's length of text.
+    def _chain(self, anchors: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, int, int]]:
+        """Chains of anchors in order, within twice the template's length of text.
 
-        ``open`` holds the chains that may still be continued; those that began
-        too far back leave it, so the work follows the template's size.
+        An anchor ends several chains: one that began later may outlive one that
+        covers more, so each keeps all that no other one beats in both. They cover
+        different numbers of words, so there are at most ``size`` of them. Anchors
+        too far back leave, so the work follows the template's size.
         """
-        best, open_chains = 0, []
+        reachable: list[tuple[int, int, list[tuple[int, int]]]] = []
         for at, place, length in anchors:
-            open_chains = [c for c in open_chains if at + length - c[0] <= 2 * size]
-            value, began = length, at
-            for start, text_end, end, covered in open_chains:
-                if text_end <= at and end <= place and covered + length > value:
-                    value, began = covered + length, start
-            open_chains.append((began, at + length, place + length, value))
-            best = max(best, value)
-        return best
-
-    def scan(self, raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
+            stop, reach = at + length, 2 * size
+            reachable = [r for r in reachable if stop - r[2][0][0] <= reach]
+            latest = {length: at}
+            for text_end, end, ways in reachable:
+                if text_end <= at and end <= place:
+                    for began, covered in ways:
+                        if stop - began <= reach:
+                            latest[covered + length] = max(began, latest.get(covered + length, -1))
+            # From the latest start on, each with more words than those before it.
+            ways = []
+            for covered, began in sorted(latest.items(), key=lambda w: (-w[1], -w[0])):
+                if not ways or covered > ways[-1][1]:
+                    ways.append((began, covered))
+            reachable.append((stop, place + length, ways))
+            yield from ((began, stop, covered) for began, covered in ways)
+
+    def spans(self, chains: dict[int, list[tuple[int, int, int]]]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end, covered part) of sure places; those of one template do not overlap, the fullest and shortest first choice."""
+        out = []
+        for number, found in chains.items():
+            size, taken = self.sizes[number], []
+            sure = [c for c in found if c[2] >= self.covered * size]
+            for start, stop, covered in sorted(set(sure), key=lambda c: (-c[2], c[1] - c[0], c[0])):
+                near = bisect.bisect_left(taken, (start, stop))
+                if (near == 0 or taken[near - 1][1] <= start) and (near == len(taken) or stop <= taken[near][0]):
+                    taken.insert(near, (start, stop))
+                    out.append((self.labels[number], start, stop, covered / size))
+        return sorted(set(out), key=lambda s: (s[1], s[2], s[0], s[3]))
+
+    def scan(self, raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float, list[dict]]:
         words = words_of(raw)
         if not words:
-            return 0, 0, None, None, "", "", 0.0
+            return 0, 0, None, None, "", "", 0.0, []
         ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int32, len(words))
         places, base = [], []
         for label, phrase in self.phrases.items():
@@ -203,9 +223,10 @@ class Scanner:
                 if hit.any():
                     places.append(np.flatnonzero(hit))
                     base.append(label)
-        found = self.coverage(ids)
+        chains = self.chains(ids)
+        spans = self.spans(chains)
         starts = np.concatenate(places) if places else None
-        labels = {*base, *(label for label, part in found.items() if part >= self.covered)}
+        labels = {*base, *(label for label, *_ in spans)}
         return (
             len(words),
             0 if starts is None else len(starts),
@@ -213,7 +234,8 @@ class Scanner:
             None if starts is None else int(starts.max()),
             ",".join(sorted(base)),
             ",".join(sorted(labels)),
-            max(found.values(), default=0.0),
+            max((c[2] / self.sizes[number] for number, found in chains.items() for c in found), default=0.0),
+            [dict(zip(SPAN, span, strict=True)) for span in spans],
         )
 
 
@@ -223,16 +245,19 @@ def scanner(templates: tuple, least: int, covered: float) -> Scanner:
     return Scanner(templates, least, covered)
 
 
+SPAN = ("label", "first_word", "end_word", "covered")
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()),
     ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
+    ("spans", pa.list_(pa.struct(list(zip(SPAN, (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True))))),
 ])
 
 
 def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, least: int = LEAST, covered: float = COVERED) -> DataFrame:
-    """Licence labels of each whole text, with the places of base phrases.
+    """Licence labels of each whole text, with the places of base phrases and of licences.
 
-    ``score`` is the largest covered part of any template.
+    ``score`` is the largest covered part of any template; ``spans`` holds the words
+    that each licence found stands on, its end excluded.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -242,4 +267,5 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, least: int = LE
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    schema += ", spans array<struct<label: string, first_word: long, end_word: long, covered: double>>"
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(per_batch(run), schema)
