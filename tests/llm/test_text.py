@@ -257,6 +257,102 @@ def test_leak_edges(spark):
     assert not {1, 2, 3} & set(ids) and ids.count(8) == 2 and ids.count(None) == 2
 
 
+def brute_readings(text):
+    """By reading: the canonical words of a text and the values of its placeholders, None for other words."""
+    raw = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    cores = [re.sub(rb"^[^0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+$", b"", w) or w for w in raw]
+    low = [c.lower() for c in cores]
+    number = [bool(re.fullmatch(rb"[0-9][0-9.,:/]*", c)) or w in decontaminate.NUMBER_WORDS for c, w in zip(cores, low, strict=True)]
+    out = [[(w, None) for w in low], [], []]
+    for k, (core, word) in enumerate(zip(cores, low, strict=True)):
+        unit = k > 0 and number[k - 1] and not number[k] and word in decontaminate.UNITS
+        capital = bool(re.fullmatch(rb"[A-Z][a-z]+", core)) and not number[k] and not unit
+        opens = k == 0 or bool(re.search(rb"[.!?:]$|[.!?:][\"')\]]$", raw[k - 1]))
+        for reading, name in ((1, capital and not opens), (2, capital and word not in decontaminate.OPENERS)):
+            kind = b"<number>" if number[k] else b"<unit>" if unit else b"<name>" if name else None
+            out[reading].append((kind, word) if kind else (word, None))
+    return out
+
+
+def brute_leaks(rows, items):
+    """Every document with every item, window by window."""
+    out = {}
+    for doc_id, text in rows:
+        theirs = brute_readings(text)
+        for item_id, wording in items:
+            mine = brute_readings(wording)
+            n = len(mine[0])
+            size = min(n, decontaminate.WINDOW)
+            lines = {}
+            for reading, (a, b) in enumerate(zip(theirs, mine, strict=True)):
+                for at in range(n - size + 1):
+                    b_window = b[at : at + size]
+                    slots = sum(v is not None for _, v in b_window)
+                    if reading and not 0 < slots <= size * (1 - decontaminate.LITERAL):
+                        continue
+                    for place in range(len(a) - size + 1):
+                        a_window = a[place : place + size]
+                        if [w for w, _ in a_window] == [w for w, _ in b_window] and sum(v is not None for _, v in a_window) == slots:
+                            values = [(x, y) for (_, x), (_, y) in zip(a_window, b_window, strict=True) if x is not None]
+                            lines.setdefault((reading, place - at), []).append((at, values))
+            covered, exact = set(), set()
+            for met in lines.values():
+                pairs = {p for _, values in met for p in values}
+                agree = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+                for at, values in met:
+                    same = all(x == y for x, y in values)
+                    covered |= set(range(at, at + size)) if same or agree else set()
+                    exact |= set(range(at, at + size)) if same else set()
+            if n >= decontaminate.SHORTEST and len(covered) >= min(decontaminate.COVER, n):
+                held = out.get((doc_id, item_id), (0, 0))
+                out[doc_id, item_id] = (max(held[0], len(exact)), max(held[1], len(covered)))
+    return out
+
+
+def _question(r):
+    name, other = r.sample(["Tom", "Ann", "Bob", "Eve"], 2)
+    a, b = r.sample(["2", "3", "four", "10", "7.5"], 2)
+    unit = r.choice(["km", "hours", "dollars", "apples"])
+    return r.choice([
+        f"{name} walks {a} {unit} and then {other} walks {b} {unit} more. How far did {name} walk?",
+        f"What is the name of the town where {name} lived for {a} {unit}?",
+        f"What is the name of the river that {name} saw?",
+        f"Is {a} larger than {b}?", f"{name} has {a} {unit} left", "Which of these words is a verb?", f"Name {a} {b} {a} {b} {a} {b} of them",
+    ])
+
+
+def test_leaks_equal_brute_force(spark):
+    """Many items share wordings, many documents hold several of them, close together and far apart, some twice."""
+    r = random.Random(9)
+    items = [(k, _question(r)) for k in range(40)] + [(40, None), (41, "too short"), (3, "Bob has seven hours left today")]
+    rows = []
+    for k in range(160):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            question = r.choice(items[:40])[1] if r.random() < 0.4 else _question(r)
+            parts += [data.words(r.randrange(99), r.choice([0, 1, 3, 40])), question if r.random() < 0.8 else question[: r.randrange(len(question))]]
+        rows.append((k, r.choice([" ", "\n", ". "]).join(parts)))
+    rows += [rows[0], (1, rows[2][1]), (None, None), (200, "")]
+    found = leaks(spark, rows, items)
+    expected = brute_leaks(rows, items)
+    assert {k: (v.exact_words, v.template_words) for k, v in found.items()} == expected
+    assert len(expected) > 200 and sum(v.reparameterised for v in found.values()) > 20
+
+
+def test_documents_of_the_same_wordings_make_one_class(spark):
+    """A sentence in many documents and items is joined with the items once."""
+    shared = "Which of the following words is the best answer to this question here"
+    items = spark.createDataFrame([(k, f"{shared} {data.words(k, 6)}") for k in range(30)], "item_id long, text string")
+    rows = [(k, f"{data.words(100 + k, 5 + k)} {shared} {data.words(300 + k, 80)} {shared if k % 2 else ''}") for k in range(50)]
+    mine = decontaminate.item_windows(items)
+    windows = decontaminate.item_windows(data.docs(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "item_id"))
+    key = ["hash", "size", "reading"]
+    met = windows.drop("n_words").join(mine.select(*key).distinct(), key, "left_semi")
+    assert met.select("_id").distinct().count() == 50
+    assert decontaminate._classes(met, 30).select("_class").distinct().count() == 1
+    assert len(leaks(spark, rows, [(r.item_id, r.text) for r in items.collect()])) == 50 * 30
+
+
 # --- 10: chat ---------------------------------------------------------------
 
 

@@ -18,7 +18,8 @@ of a shorter one. Items under ``SHORTEST`` words prove nothing and are left out.
 
 Most windows of documents are in no item. A bit table of the items' hashes, of
 fixed size whatever the tables hold, is sent to the tasks and passes every window
-that may match; the exact join follows.
+that may match; the exact join follows. Documents whose matching windows are alike make
+one class, and only one document of a class is joined with the items.
 
 Null texts: empty, no windows. Rows that share an id but not a text are judged
 apart and reported under that id. A null id is reported as null. Repeated rows: one
@@ -31,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from usagelens.llm.common import NO_ID, id_back, keyed
 from usagelens.llm.names import Rolling
 from usagelens.llm.words import bounds, row_slices
+from usagelens.session import materialize
 
 WINDOW, COVER, SHORTEST = 8, 12, 4
 #: Words of a window that must be no placeholders.
@@ -215,14 +217,50 @@ def _found(docs: DataFrame, items: DataFrame, cover: int) -> DataFrame:
         for batch in batches:
             yield from _rows(batch, sizes, bits.value)
 
-    theirs = keyed(docs).mapInArrow(run, ROWS_DDL)
+    theirs = keyed(docs).mapInArrow(run, ROWS_DDL).drop("n_words")
+    key = ["hash", "size", "reading"]
+    theirs = materialize(theirs.join(mine.select(*key).distinct(), key, "left_semi"), "leak-windows")
+    members = _classes(theirs, mine.agg(F.coalesce(F.max("n_words"), F.lit(0))).first()[0])
+    chosen = members.groupBy("_class").agg(F.min(F.struct("_id", "_row")).alias("_first")).select("_class", "_first.*")
+    judged = _judged(theirs.join(chosen, ["_id", "_row"]).drop("_id", "_row"), mine, cover)
+    return members.join(judged, "_class").drop("_class")
+
+
+def _classes(windows: DataFrame, longest: int) -> DataFrame:
+    """_id, _row and class of document rows that every item treats alike.
+
+    An alignment spans no more words than the longest item, so windows further apart
+    never meet in one. What stands between such gaps is a fragment, and a document
+    is to the items the set of its fragments, wherever they stand and however often.
+    A wording that many documents and many items share is so compared once for each
+    set of wordings, not for each document. Sets are told apart by 2 x 64 bits.
+    """
+    row = Window.partitionBy("_id", "_row")
+    along = row.orderBy("place", "reading", "size")
+    gap = F.col("place") - F.lag("place").over(along) > longest
+    cut = windows.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_fragment", F.sum("_gap").over(along))
+    placed = cut.withColumn("_first", F.min("place").over(Window.partitionBy("_id", "_row", "_fragment")))
+    parts = [F.col("place") - F.col("_first"), "reading", "size", "hash", "slots"]
+
+    def name(salt: int, *values) -> Column:
+        # A sum does not depend on order; as decimals no sum overflows.
+        return F.sum(F.xxhash64(F.lit(salt), *values).cast("decimal(20,0)"))
+
+    fragments = placed.groupBy("_id", "_row", "_fragment").agg(name(0, *parts).alias("_a"), name(1, *parts).alias("_b"))
+    fragments = fragments.select("_id", "_row", "_a", "_b").distinct()
+    whole = fragments.groupBy("_id", "_row").agg(name(2, "_a", "_b").alias("a"), name(3, "_a", "_b").alias("b"), F.count("*").alias("n"))
+    return whole.select("_id", "_row", F.struct("a", "b", "n").alias("_class"))
+
+
+def _judged(theirs: DataFrame, mine: DataFrame, cover: int) -> DataFrame:
+    """One row per class of documents, given by one's windows, and item row that leaked into it."""
     b = mine.select(
         F.col("_id").alias("_item"), F.col("_row").alias("_item_row"), F.col("place").alias("_at"), "reading", "size", "hash",
         F.col("slots").alias("_values"), F.col("n_words").alias("_item_words"),
     )
-    met = theirs.drop("n_words").join(b, ["hash", "size", "reading"]).where(F.size("slots") == F.size("_values"))
+    met = theirs.join(b, ["hash", "size", "reading"]).where(F.size("slots") == F.size("_values"))
     met = met.withColumn("_line", F.col("place") - F.col("_at"))
-    line = ["_id", "_row", "_item", "_item_row", "_line", "reading"]
+    line = ["_class", "_item", "_item_row", "_line", "reading"]
     # One row per alignment, reading and pair of values; a value with two partners breaks the alignment.
     pairs = met.select(*line, F.explode(F.arrays_zip("slots", "_values")).alias("_p")).select(*line, "_p.slots", "_p._values").distinct()
     sides = [
@@ -231,9 +269,9 @@ def _found(docs: DataFrame, items: DataFrame, cover: int) -> DataFrame:
     broken = sides[0].union(sides[1]).distinct().withColumn("_broken", F.lit(True))
     judged = met.join(broken, line, "left").withColumn("_same", F.col("slots") == F.col("_values"))
     accepted = judged.where(F.col("_broken").isNull() | F.col("_same"))
-    words = accepted.select("_id", "_row", "_item", "_item_row", "_item_words", "_same", F.explode(F.sequence("_at", F.col("_at") + F.col("size") - 1)).alias("_word"))
-    words = words.groupBy("_id", "_row", "_item", "_item_row", "_item_words", "_word").agg(F.max("_same").alias("_same"))
-    found = words.groupBy("_id", "_row", "_item", "_item_row", "_item_words").agg(
+    words = accepted.select("_class", "_item", "_item_row", "_item_words", "_same", F.explode(F.sequence("_at", F.col("_at") + F.col("size") - 1)).alias("_word"))
+    words = words.groupBy("_class", "_item", "_item_row", "_item_words", "_word").agg(F.max("_same").alias("_same"))
+    found = words.groupBy("_class", "_item", "_item_row", "_item_words").agg(
         F.count("*").alias("template_words"), F.count_if("_same").alias("exact_words")
     )
     return found.where(F.col("template_words") >= F.least(F.lit(cover), F.col("_item_words")))
