@@ -14,7 +14,7 @@ from usagelens.plans.report_sql import BASE, _b
 from usagelens.plans.telemetry_sql import telemetry
 from usagelens.session import new_path
 from usagelens.sources import adapters, otlp
-from usagelens.streaming import follow, jobs, log_state, message_state, pairing_state, receipts_state
+from usagelens.streaming import follow, growing, jobs, log_state, message_state, pairing_state, receipts_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: The moment from which streamed rows count, in seconds.
@@ -195,7 +195,22 @@ def stream_messages(spark: SparkSession, sf: str) -> DataFrame:
     return flat(newest.select("session_id", "output_tokens", ((F.col("end") - F.col("start")) * 1000).alias("duration_ms")))
 
 
+def stream_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of files that are found half as long at first, counted by kind of event."""
+    folder, journal = new_path(spark, "growing"), new_path(spark, "listings")
+    events = adapters.table(spark, sf, "events")
+    lines = events.select("user_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    lines.repartition("user_id").select("value").write.text(folder)
+    found = growing.listing(spark, folder, 1e9, pattern="*.txt")
+    growing.keep_listing(found.withColumn("size", F.floor(F.col("size") / 2)), journal, 0)
+    growing.keep_listing(found.withColumn("scanned_at", F.col("scanned_at") + 5), journal, 1)
+    read = follow.run_available(growing.follow_lines(spark, journal), "lines").drop("batch")
+    rows = growing.records(read, "event_id bigint, event_type string")
+    return rows.groupBy("r.event_type").agg(F.count(F.lit(1)).alias("lines"), F.sum("r.event_id").alias("ids"))
+
+
 QUERIES = {
+    "stream_growing": stream_growing,
     "stream_messages": stream_messages,
     "stream_log_intervals": stream_log_intervals,
     "stream_pair_state": stream_pair_state,
@@ -217,6 +232,7 @@ _ONCE = """single AS (
 """
 
 ORACLES = {
+    "stream_growing": f"SELECT event_type, {_b('count(*)', 'lines')}, {_b('sum(event_id)', 'ids')} FROM events GROUP BY 1",
     "stream_messages": evidence(
         "SELECT session_id, output_tokens, round(duration_ms, 6) AS duration_ms FROM timing WHERE output_tokens > 0"
     ),

@@ -23,10 +23,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from usagelens.operators.live import OTLP_BASIS
-from usagelens.streaming.state import Mapped, arriving, keep_state, plain
+from usagelens.streaming.state import Kept, Mapped, arriving, keep_state, plain
 
 #: Fixed value: seconds after which a response or session that was not seen is forgotten.
 KEEP_S = 600
@@ -48,33 +47,11 @@ def _identity(report: tuple) -> str:
     return "\x1f".join(map(repr, report))
 
 
-class _Kept(StatefulProcessor):
-    """State of one key that goes when the key was not seen for ``KEEP_S``."""
+class Authority(Kept):
+    """One session: whether telemetry speaks for it, and the reports let through before it did."""
 
     def __init__(self, keep_s: float = KEEP_S):
-        self.keep_s = keep_s
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "at double")
-
-    def saw(self, at: float) -> None:
-        at = max(at, self.seen.get()[0]) if self.seen.exists() else at
-        self.seen.update((at,))
-        self.handle.registerTimer(int((at + self.keep_s) * 1000) + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.seen.exists() and (self.seen.get()[0] + self.keep_s) * 1000 < timerValues.getCurrentWatermarkInMs():
-            self.seen.clear()
-            self.forget()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
-class Authority(_Kept):
-    """One session: whether telemetry speaks for it, and the reports let through before it did."""
+        super().__init__(keep_s)
 
     def init(self, handle) -> None:
         super().init(handle)
@@ -134,9 +111,12 @@ def credits(reports: list[tuple]) -> dict[int, tuple[int, int, int]]:
     return out
 
 
-class Credits(_Kept):
+class Credits(Kept):
     """One response: the reports that stand, and what was last said of each second."""
 
+    def __init__(self, keep_s: float = KEEP_S):
+        super().__init__(keep_s)
+
     def init(self, handle) -> None:
         super().init(handle)
         self.reports = handle.getMapState("reports", "identity string", REPORT + ", copies int")

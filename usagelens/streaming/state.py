@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,3 +45,28 @@ class Mapped:
 def plain(rows: Iterable) -> Iterator[dict]:
     for row in rows:
         yield row.asDict()
+
+
+class Kept(StatefulProcessor):
+    """State of one key that goes when the key was not seen for ``keep_s`` seconds."""
+
+    def __init__(self, keep_s: float):
+        self.keep_s = keep_s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "at double")
+
+    def saw(self, at: float) -> None:
+        at = max(at, self.seen.get()[0]) if self.seen.exists() else at
+        self.seen.update((at,))
+        self.handle.registerTimer(int((at + self.keep_s) * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.seen.exists() and (self.seen.get()[0] + self.keep_s) * 1000 < timerValues.getCurrentWatermarkInMs():
+            self.seen.clear()
+            self.forget()
+        yield from ()
+
+    def close(self) -> None:
+        pass
