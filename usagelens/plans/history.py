@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.operators import archive, facts, history, live
 from usagelens.plans.columns import flat
 from usagelens.plans.usage import Usage
+from usagelens.session import materialize
 from usagelens.sources import adapters
 
 # The moment usage history is read at: noon of 30 June 1998.
@@ -112,6 +115,29 @@ def _upsert(partial: bool):
     return run
 
 
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    """Day-only counts per host over all rollups."""
+    return facts.day_only_usage(Usage(spark, sf).rollup_rows, F.lit("1900-01-01").cast("date"), ["host"])
+
+
+def _upsert_days(partial: bool):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Days known of host h0 after a report of host h1 from 1995 on."""
+        days = _days(spark, sf)
+        old, new = (days.where(F.col("host") == h).select("date", "tokens") for h in ("h0", "h1"))
+        begin, end = F.lit("1995-01-01").cast("date"), F.lit("1998-06-30").cast("date")
+        return history.upsert_days(old, new.where(F.col("date") >= begin), begin, end, partial)
+
+    return run
+
+
+def history_untimed(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens without time of day inside each range, by its length."""
+    days = materialize(_days(spark, sf).groupBy("date").agg(F.sum("tokens").alias("tokens")), "days")
+    rows = [history.untimed_tokens(days, p, NOW).withColumn("period", F.lit(p).cast("bigint")) for p in history.RANGES]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def rate_integral(spark: SparkSession, sf: str) -> DataFrame:
     return flat(history.integrate_rates(adapters.readings(spark, sf)))
 
@@ -189,6 +215,9 @@ QUERIES = {
     "day_only_usage": day_only_usage,
     "usage_upsert_full": _upsert(False),
     "usage_upsert_partial": _upsert(True),
+    "days_upsert_full": _upsert_days(False),
+    "days_upsert_partial": _upsert_days(True),
+    "history_untimed": history_untimed,
     "rate_integral": rate_integral,
     "history_10_minutes": history_10_minutes,
     **{f"history_{name}": _range(period) for name, period in LONGER.items()},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from usagelens.operators.history import RANGES
 from usagelens.plans.history import LONGER
 from usagelens.plans.report_sql import _b, usage
 from usagelens.plans.telemetry_sql import telemetry
@@ -77,6 +78,27 @@ def _upsert(tokens: str, partial: str) -> str:
     )
 
 
+def _upsert_days(tokens: str) -> str:
+    days = f"SELECT date, {_b('sum(total_tokens)', 'tokens')} FROM daily WHERE grain = 'rollup'"
+    return usage(
+        f"""SELECT coalesce(o.date, n.date) AS date, CAST({tokens} AS BIGINT) AS tokens
+        FROM ({days} AND host = 'h0' GROUP BY 1) o FULL JOIN ({days} AND host = 'h1' AND date >= DATE '1995-01-01' GROUP BY 1) n ON n.date = o.date"""
+    )
+
+
+def _untimed() -> str:
+    # A range begins 120 buckets before the first whole minute, or bucket, after the moment.
+    parts = []
+    for period in RANGES:
+        align = min(60, period // 120)
+        begin = NOW // align * align + align - period
+        parts.append(
+            f"""SELECT CAST({period} AS BIGINT) AS period, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS day_only_tokens FROM daily
+            WHERE grain = 'rollup' AND {DAY} * 86400 >= {begin} AND {DAY} * 86400 + 86400 <= {NOW}"""
+        )
+    return usage(" UNION ALL ".join(parts))
+
+
 def _history(begin: int, end: int, step: int, now: int, fine: bool) -> str:
     hasfine = "EXISTS (SELECT 1 FROM fine f WHERE f.series = m.series AND f.minute // 60 * 60 = m.minute)" if fine else "false"
     share = f"(least(minute + 60, g + {step}) - greatest(minute, g)) / 60.0::DOUBLE"
@@ -156,6 +178,11 @@ ORACLES = {
     "usage_upsert_partial": _upsert(
         "greatest(coalesce(o.tokens, 0), g.n)", "CASE WHEN o.slot IS NOT NULL AND g.n <= o.tokens THEN false ELSE true END"
     ),
+    "days_upsert_full": _upsert_days(
+        "coalesce(n.tokens, CASE WHEN o.date >= DATE '1995-01-01' AND o.date < DATE '1998-06-30' THEN 0 ELSE o.tokens END)"
+    ),
+    "days_upsert_partial": _upsert_days("greatest(o.tokens, n.tokens)"),
+    "history_untimed": _untimed(),
     "rate_integral": telemetry(
         """SELECT series, minute, round(total_integral, 6) AS total_integral, round(total_covered_s, 6) AS total_covered_s,
         round(average_integral, 6) AS average_integral, round(average_covered_s, 6) AS average_covered_s,

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from usagelens import schemas
 from usagelens.plans.columns import flat
 from usagelens.plans.enrichment_sql import evidence
+from usagelens.plans.history_sql import COUNTS
 from usagelens.plans.report_sql import BASE, _b
 from usagelens.plans.telemetry_sql import telemetry
 from usagelens.session import new_path
 from usagelens.sources import adapters, otlp
-from usagelens.streaming import follow, growing, jobs, log_state, message_state, pairing_state, receipts_state
+from usagelens.streaming import follow, growing, jobs, log_state, message_state, pairing_state, receipts_state, usage_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: The moment from which streamed rows count, in seconds.
@@ -209,7 +210,34 @@ def stream_growing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("r.event_type").agg(F.count(F.lit(1)).alias("lines"), F.sum("r.event_id").alias("ids"))
 
 
+#: Ranges that two later reports of the usage query cover.
+RAISED, RESTATED = (2842260, 2844480), (2843400, 2843820)
+
+
+def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Minute counts after three reports: meter 0 whole, a partial one of meter 1, a whole one of meter 2; the last arrives first."""
+    tokens = adapters.minute_tokens(spark, sf).withColumnRenamed("slot", "at")
+    ends = tokens.where("series = 'm0'").agg(F.min("at").alias("begin"), (F.max("at") + 60).alias("end"))
+    landed = new_path(spark, "landed-reports")
+    for meter, partial in ((2, False), (1, True), (0, False)):
+        low, high = [(None, None), RAISED, RESTATED][meter]
+        span = ends if meter == 0 else spark.range(1).select(F.lit(low).cast("bigint").alias("begin"), F.lit(high).cast("bigint").alias("end"))
+        own = tokens.where(F.col("series") == f"m{meter}")
+        counts = (own if meter == 0 else own.where(F.col("at").between(low, high - 1))).select(F.lit("slot").alias("kind"), "at", "tokens")
+        heads = span.select(F.lit("report").alias("kind"), "begin", "end")
+        rows = heads.unionByName(counts, allowMissingColumns=True).withColumns(
+            {
+                "series": F.lit("all"), "sequence": F.lit(meter).cast("bigint"), "partial": F.lit(partial), "available": F.lit(True),
+                "collected_at": F.lit(2845000.0),
+            }
+        )
+        rows.where("kind = 'slot' OR begin IS NOT NULL").write.mode("append").parquet(landed)
+    found = follow.run_available(usage_state.follow_usage(follow.follow_files(spark, landed, usage_state.REPORT, max_files=2)), "usage")
+    return usage_state.known_usage(found).where("kind = 'slot'").select(F.col("at").alias("slot"), "tokens", "partial")
+
+
 QUERIES = {
+    "stream_usage": stream_usage,
     "stream_growing": stream_growing,
     "stream_messages": stream_messages,
     "stream_log_intervals": stream_log_intervals,
@@ -232,6 +260,17 @@ _ONCE = """single AS (
 """
 
 ORACLES = {
+    "stream_usage": telemetry(
+        f"""SELECT slot, CASE WHEN slot >= {RESTATED[0]} AND slot < {RESTATED[1]} THEN c WHEN slot >= {RAISED[0]} AND slot < {RAISED[1]}
+          THEN greatest(a, b) ELSE a END AS tokens,
+          slot >= {RAISED[0]} AND slot < {RAISED[1]} AND (slot < {RESTATED[0]} OR slot >= {RESTATED[1]}) AND b > a AS partial
+        FROM (SELECT g.slot, coalesce(m0.tokens, 0) AS a, coalesce(m1.tokens, 0) AS b, coalesce(m2.tokens, 0) AS c FROM (
+            SELECT unnest(range((SELECT min(slot) FROM mtok WHERE series = 'm0'), (SELECT max(slot) + 60 FROM mtok WHERE series = 'm0'), 60)) AS slot
+            UNION SELECT unnest(range({RAISED[0]}, {RAISED[1]}, 60)) UNION SELECT unnest(range({RESTATED[0]}, {RESTATED[1]}, 60))) g
+          LEFT JOIN mtok m0 ON m0.slot = g.slot AND m0.series = 'm0' LEFT JOIN mtok m1 ON m1.slot = g.slot AND m1.series = 'm1'
+          LEFT JOIN mtok m2 ON m2.slot = g.slot AND m2.series = 'm2')""",
+        COUNTS,
+    ),
     "stream_growing": f"SELECT event_type, {_b('count(*)', 'lines')}, {_b('sum(event_id)', 'ids')} FROM events GROUP BY 1",
     "stream_messages": evidence(
         "SELECT session_id, output_tokens, round(duration_ms, 6) AS duration_ms FROM timing WHERE output_tokens > 0"

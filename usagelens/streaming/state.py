@@ -58,7 +58,8 @@ class Kept(StatefulProcessor):
         self.seen = handle.getValueState("seen", "at double")
 
     def saw(self, at: float) -> None:
-        at = max(at, self.seen.get()[0]) if self.seen.exists() else at
+        if self.seen.exists() and at <= self.seen.get()[0]:
+            return  # its timer is set
         self.seen.update((at,))
         self.handle.registerTimer(int((at + self.keep_s) * 1000) + 1)
 
