@@ -15,7 +15,7 @@ from usagelens.plans.report_sql import BASE, _b
 from usagelens.plans.telemetry_sql import telemetry
 from usagelens.session import new_path
 from usagelens.sources import adapters, otlp
-from usagelens.streaming import follow, growing, jobs, log_state, message_state, pairing_state, receipts_state, usage_state
+from usagelens.streaming import average_state, follow, growing, jobs, log_state, message_state, pairing_state, receipts_state, usage_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: The moment from which streamed rows count, in seconds.
@@ -236,7 +236,25 @@ def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
     return usage_state.known_usage(found).where("kind = 'slot'").select(F.col("at").alias("slot"), "tokens", "partial")
 
 
+def stream_average(spark: SparkSession, sf: str) -> DataFrame:
+    """Average over the trailing 300 seconds of what each meter received, by second."""
+    landed, sums = new_path(spark, "landed-arrivals"), new_path(spark, "sums")
+    arrivals = adapters.table(spark, sf, "events").where("event_type = 'purchase'").selectExpr(
+        "concat('m', user_id % 3) AS series", "(unix_millis(CAST(ts AS TIMESTAMP)) div 600) / 1000.0D AS received_at",
+        "CAST(round(value * 10) AS BIGINT) AS tokens",
+    )
+    arrivals.write.parquet(landed)
+    beat = arrivals.agg((F.max("received_at") + 7200).alias("received_at")).where("received_at IS NOT NULL")
+    beat.select(F.lit("").alias("series"), "received_at", F.lit(None).cast("bigint").alias("tokens")).write.mode("append").parquet(landed)
+    rows = follow.follow_files(spark, landed, "series string, received_at double, tokens bigint")
+    follow.append_available(rows, sums, new_path(spark, "sums-progress"), reduce=average_state.by_second)
+    seconds = follow.follow_journal(sums, average_state.by_second(arrivals))
+    found = follow.run_available(average_state.follow_average(seconds), "averages")
+    return flat(average_state.averages(found).where("output_tokens > 0"))
+
+
 QUERIES = {
+    "stream_average": stream_average,
     "stream_usage": stream_usage,
     "stream_growing": stream_growing,
     "stream_messages": stream_messages,
@@ -260,6 +278,12 @@ _ONCE = """single AS (
 """
 
 ORACLES = {
+    "stream_average": telemetry(
+        """SELECT series, second, CAST(sum(tokens) AS BIGINT) AS output_tokens, round(sum(tokens) / 300.0::DOUBLE, 6) AS average_tps FROM (
+        SELECT 'm' || (user_id % 3) AS series, CAST(round(value * 10) AS BIGINT) AS tokens,
+          unnest(range(CAST(ceil(ms / 1000.0::DOUBLE) AS BIGINT), ms // 1000 + 301)) AS second
+        FROM ev WHERE event_type = 'purchase') GROUP BY 1, 2 HAVING sum(tokens) > 0"""
+    ),
     "stream_usage": telemetry(
         f"""SELECT slot, CASE WHEN slot >= {RESTATED[0]} AND slot < {RESTATED[1]} THEN c WHEN slot >= {RAISED[0]} AND slot < {RAISED[1]}
           THEN greatest(a, b) ELSE a END AS tokens,

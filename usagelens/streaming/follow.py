@@ -13,6 +13,8 @@ keeps them; those of ``run_available`` may go when its result has been used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,18 +54,21 @@ def follow_trace(spark: SparkSession, path: str, started_at: float, max_files: i
     )
 
 
-def append_available(stream: DataFrame, journal: str, progress: str, mode: str = "append") -> list:
+def append_available(
+    stream: DataFrame, journal: str, progress: str, mode: str = "append", reduce: Callable[[DataFrame], DataFrame] | None = None
+) -> list:
     """Append what is there now to a journal; the next call goes on from there. Returns the progress of its batches.
 
-    In ``update`` mode each batch holds the new values of the keys it changed, and
+    ``reduce`` makes a batch's rows fewer before they are written. In ``update`` mode each batch holds the new values of the keys it changed, and
     ``corrected`` reads the newest of each.
     """
     spark = stream.sparkSession
     # An empty part first, so that a stream without files reads as an empty table.
-    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{journal}/batch=-1")
+    empty = spark.createDataFrame([], stream.schema)
+    (reduce(empty) if reduce else empty).write.mode("overwrite").parquet(f"{journal}/batch=-1")
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{journal}/batch={number}")
+        (reduce(batch) if reduce else batch).write.mode("overwrite").parquet(f"{journal}/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start()
