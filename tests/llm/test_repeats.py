@@ -7,7 +7,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import data
 from usagelens.llm import names, substring_dedup, suffix_dedup
@@ -149,3 +151,50 @@ def test_names_ask_every_bucket():
         assert n.answers(got[names.FILTER]).tolist() == repeated
         assert n.answers(got[names.EXACT], 0).tolist() == repeated
         assert n.answers(got[names.EXACT], 1).tolist() == earlier
+
+
+@pytest.mark.parametrize(("fan", "hops"), [(6, 2), (3, 4)])
+def test_repeats_over_relays(spark, monkeypatch, fan, hops):
+    monkeypatch.setattr(names, "FAN", fan)
+    assert names.Tree.over(32).hops == hops
+    rows = copied(20, data.words(11, 300).split()) + data.texts()[:8]
+    got = substring_dedup.remove_repeats(data.docs(spark, rows)).select("doc_id", "n_words", "n_removed", "text").collect()
+    monkeypatch.setattr(names, "FAN", 4096)
+    plain = substring_dedup.remove_repeats(data.docs(spark, rows)).select("doc_id", "n_words", "n_removed", "text").collect()
+    same(got, list(map(tuple, plain)))
+    rows = copied(40, data.words(12, 60).split())
+    monkeypatch.setattr(names, "FAN", fan)
+    got = substring_dedup.remove_repeats(data.docs(spark, rows), 12, 3).select("doc_id", "n_words", "n_removed", "text").collect()
+    same(got, brute_words(rows, 12))
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(data.docs(spark, rows), 40, 10)).collect()
+    same(got, brute_bytes(rows, 40))
+
+
+def test_tree_reaches_every_bucket():
+    for places in (32, 4096, 4097, 125_000, 12_500_000, 16_777_217):
+        tree = names.Tree.over(places)
+        assert tree.fan <= names.FAN and tree.fan**tree.hops >= places and (tree.hops == 1 or (tree.fan - 1) ** tree.hops < places)
+
+
+def test_messages_grow_as_the_texts_do(spark, monkeypatch):
+    """Four times the texts, of which every chunk has names in every range, take four times the rows, not sixteen."""
+    monkeypatch.setattr(names, "FAN", 8)
+
+    def asking(tree):
+        def ask(table):
+            held = names.Names(table.column("name").to_numpy().view(np.uint64), tree)
+            return names.message(list(held.filter_rows(table.column("chunk")[0].as_py())))
+
+        return ask
+
+    sent = []
+    for places in (64, 256):
+        tree = names.Tree.over(places)
+        rows = spark.range(places * 400).select((F.col("id") % places).cast("int").alias("chunk"), F.xxhash64("id").alias("name"))
+        messages = rows.groupBy("chunk").applyInArrow(asking(tree), names.DDL)
+        assert messages.count() <= places * tree.fan
+        answers = names.ask(messages, tree=tree)
+        found = answers.select("bucket", "chunk", "kind").collect()
+        assert len(found) == len(set(found)) == messages.count() and {r.kind for r in found} == {names.FILTER}
+        sent.append((messages.count(), tree.hops))
+    assert [hops for _, hops in sent] == [2, 3] and sent[1][0] < 5 * sent[0][0]

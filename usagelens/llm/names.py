@@ -7,6 +7,12 @@ per chunk. A bucket puts the messages side by side and answers each with bits, i
 the message's own order, that the chunk reads back when it sees its texts again.
 Documents are shuffled once; the passes over a chunk read the same shuffle files.
 
+A message to every bucket is a square of rows. Beyond ``FAN`` buckets names go by
+hops: a chunk sends to ``fan`` relays, each of which holds one range of hashes of
+``fan`` chunks, puts equal names together and deals the rest to ``fan`` narrower
+ranges, as a chunk would; answers come back the same way. So a row stays as large as
+it is at ``FAN`` buckets, and rows grow as the texts do.
+
 Rows of messages and answers: bucket, chunk, kind, payload.
 """
 
@@ -21,11 +27,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from usagelens.llm.common import NO_ID
+from usagelens.session import materialize
 
 #: Bytes of text in a chunk and of messages in a bucket, about.
 CHUNK, BUCKET = 8 << 20, 8 << 20
-#: Kinds of rows: kept by the chunk for itself; hashes of 32 bits that only leave out what is unique; whole names.
-OWN, FILTER, EXACT = 0, 1, 2
+#: Messages of a chunk at most; more buckets are reached over relays.
+FAN = 4096
+#: Kinds of rows: kept by the chunk for itself; hashes of 32 bits that only leave out what is unique; whole names;
+#: hashes of 64 bits on their way to a relay, which come back as answers to a FILTER.
+OWN, FILTER, EXACT, WIDE = 0, 1, 2, 9
 DDL = "bucket int, chunk int, kind int, payload binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -106,6 +116,39 @@ def sizes(docs: DataFrame) -> tuple[int, int, int]:
     return count, max(32, -(-total // CHUNK)), max(32, -(-total // BUCKET))
 
 
+@dataclass(frozen=True)
+class Tree:
+    """``hops`` from a chunk to a bucket, each to one of ``fan`` parts of the range the hop before led to.
+
+    A place after ``k`` hops is (chunks or relays of one group, range of hashes), as one
+    number: group * fan ** k + range. Chunks are places after no hop.
+    """
+
+    fan: int
+    hops: int = 1
+
+    @staticmethod
+    def over(places: int) -> Tree:
+        """The fewest hops that reach so many buckets from as many chunks."""
+        hops, fan = 1, places
+        while fan > FAN:
+            hops += 1
+            fan = round(places ** (1 / hops))
+            fan += fan**hops < places
+        return Tree(fan, hops)
+
+    def part(self, hashes: np.ndarray, hop: int) -> np.ndarray:
+        """Which of the parts of its range a name goes to in a hop."""
+        ranges = np.uint64(self.fan ** (hop + 1))
+        return ((hashes >> np.uint64(32)) * ranges >> np.uint64(32)).astype(np.int64) % self.fan
+
+    def onward(self, hop: int) -> Column:
+        """The place that the part of a row, ``bucket``, is for the row's sender, ``chunk``."""
+        ranges, fan = F.lit(self.fan**hop), F.lit(self.fan)
+        group = F.floor(F.col("chunk") / (ranges * fan))
+        return (group * ranges * fan + F.pmod("chunk", ranges) * fan + F.col("bucket")).cast("int")
+
+
 @dataclass
 class Chunk:
     """The texts of one chunk in order of document."""
@@ -140,13 +183,15 @@ def flags(payload: bytes, count: int, start: int = 0) -> np.ndarray:
 
 
 class Names:
-    """Distinct names of a chunk, sorted, and which bucket each falls in.
+    """Distinct names of a chunk or relay, sorted, and which bucket or part each falls in.
 
     ``second`` adds 32 bits to the hash. ``inverse`` is each string's place among the
     names, ``first`` the place of each name's first string.
     """
 
-    def __init__(self, hashes: np.ndarray, buckets: int, second: np.ndarray | None = None):
+    def __init__(self, hashes: np.ndarray, buckets: int | Tree, second: np.ndarray | None = None, hop: int = 0):
+        tree = buckets if isinstance(buckets, Tree) else Tree(buckets)
+        self.wide = hop + 1 < tree.hops
         order = np.argsort(hashes, kind="stable") if second is None else np.lexsort((second, hashes))
         h = hashes[order]
         new = np.ones(len(h), bool)
@@ -160,14 +205,13 @@ class Names:
         self.multi = np.diff(np.append(at, len(h))) > 1
         self.inverse = np.empty(len(h), np.int64)
         self.inverse[order] = np.cumsum(new) - 1
-        place = (self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        self.buckets, self.starts = np.unique(place.astype(np.int64), return_index=True)
+        self.buckets, self.starts = np.unique(tree.part(self.hashes, hop), return_index=True)
         self.stops = np.append(self.starts[1:], [len(at)] * bool(len(at)))
 
     def filter_rows(self, chunk: int, kind: int = FILTER) -> Iterator[tuple]:
+        width, kind = (np.uint64, WIDE) if self.wide else (np.uint32, kind)
         for b, i, j in zip(self.buckets.tolist(), self.starts, self.stops, strict=True):
-            low = self.hashes[i:j].astype(np.uint32)
-            yield b, chunk, kind, low.tobytes() + bits(self.multi[i:j])
+            yield b, chunk, kind, self.hashes[i:j].astype(width).tobytes() + bits(self.multi[i:j])
 
     def exact_rows(self, chunk: int, order: np.ndarray, kind: int = EXACT) -> Iterator[tuple]:
         """``order`` ranks the names among the same names of other chunks."""
@@ -203,25 +247,27 @@ def _filter(payloads: list[bytes]) -> list[bytes]:
     return [bits(part) for part in np.split(found, cuts)]
 
 
-def _filter_count(size: int) -> int:
-    """Entries of a payload of 4 bytes and a bit each."""
-    n = size * 8 // 33
-    while 4 * n + -(-n // 8) > size:
+def _filter_count(size: int, width: int = 4) -> int:
+    """Entries of a payload of some bytes and a bit each."""
+    n = size * 8 // (8 * width + 1)
+    while width * n + -(-n // 8) > size:
         n -= 1
     return n
 
 
+def _read_exact(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, their second parts, ranks, whether a name stands there more than once)."""
+    n, base, wide = np.frombuffer(payload, "<i8", 3).tolist()
+    rank = np.frombuffer(payload, "<u8" if wide else "<u4", n, 24 + 12 * n).astype(np.int64) + base
+    multi = flags(payload[24 + (20 if wide else 16) * n :], n)
+    return np.frombuffer(payload, "<u8", n, 24), np.frombuffer(payload, "<u4", n, 24 + 8 * n), rank, multi
+
+
 def _exact(payloads: list[bytes]) -> list[bytes]:
     """Two blocks of flags: the name occurs twice at least; it occurs in a place of lower order."""
-    first, second, rank, found, counts = [], [], [], [], []
-    for p in payloads:
-        n, base, wide = np.frombuffer(p, "<i8", 3).tolist()
-        first.append(np.frombuffer(p, "<u8", n, 24))
-        second.append(np.frombuffer(p, "<u4", n, 24 + 8 * n))
-        rank.append(np.frombuffer(p, "<u8" if wide else "<u4", n, 24 + 12 * n).astype(np.int64) + base)
-        found.append(flags(p[24 + (20 if wide else 16) * n :], n))
-        counts.append(n)
-    h, s, r, multi = (np.concatenate(x) for x in (first, second, rank, found))
+    read = [_read_exact(p) for p in payloads]
+    counts = [len(part[0]) for part in read]
+    h, s, r, multi = (np.concatenate(x) for x in zip(*read, strict=True))
     order = np.lexsort((s, h))
     h, s = h[order], s[order]
     new = np.ones(len(h), bool)
@@ -247,9 +293,88 @@ def answer(table: pa.Table, more: dict[int, Callable[[list[bytes]], list[bytes]]
     return message(out)
 
 
-def ask(messages: DataFrame, more: dict[int, Callable[[list[bytes]], list[bytes]]] | None = None) -> DataFrame:
-    """The answers to all messages."""
-    return messages.groupBy("bucket").applyInArrow(lambda table: answer(table, more), DDL)
+# --- relays -----------------------------------------------------------------
+
+
+class Relay:
+    """The names of one kind that a group of chunks, or of relays before, sent to one range.
+
+    ``senders`` are (chunk, names) in the order of the payloads, ``rank`` the lowest of each name.
+    """
+
+    def __init__(self, rows: list[tuple], kind: int, tree: Tree, hop: int):
+        mine = sorted((c, p) for _, c, k, p in rows if k == kind)
+        self.kind, payloads = kind, [p for _, p in mine]
+        if kind == WIDE:
+            counts = [_filter_count(len(p), 8) for p in payloads]
+            hashes = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(payloads, counts, strict=True)])
+            multi = np.concatenate([flags(p[8 * n :], n) for p, n in zip(payloads, counts, strict=True)])
+            second, self.ranks = None, np.zeros(len(hashes), np.int64)
+        else:
+            read = [_read_exact(p) for p in payloads]
+            counts = [len(part[0]) for part in read]
+            hashes, second, self.ranks, multi = (np.concatenate(x) for x in zip(*read, strict=True))
+        self.senders = list(zip((c for c, _ in mine), counts, strict=True))
+        self.names = Names(hashes, tree, second, hop)
+        at = self.names.inverse
+        self.names.multi |= np.bincount(at, multi, len(self.names.hashes)) > 0
+        self.rank = np.full(len(self.names.hashes), np.iinfo(np.int64).max)
+        np.minimum.at(self.rank, at, self.ranks)
+
+    def rows(self, place: int) -> Iterator[tuple]:
+        return self.names.filter_rows(place) if self.kind == WIDE else self.names.exact_rows(place, self.rank)
+
+    def back(self, place: int, got: dict[int, bytes]) -> Iterator[tuple]:
+        """What each sender asked, from the answers to what the relay asked."""
+        at, stop = self.names.inverse, 0
+        repeated = self.names.answers(got)[at]
+        earlier = None if self.kind == WIDE else self.names.answers(got, 1)[at] | (self.ranks > self.rank[at])
+        for chunk, count in self.senders:
+            start, stop = stop, stop + count
+            if self.kind == WIDE:
+                yield place, chunk, FILTER, bits(repeated[start:stop])
+            else:
+                yield place, chunk, EXACT, bits(repeated[start:stop]) + bits(earlier[start:stop])
+
+
+def _relays(table: pa.Table, tree: Tree, hop: int) -> list[Relay]:
+    rows = list(zip(*(table.column(c).to_pylist() for c in SCHEMA.names), strict=True))
+    return [Relay(rows, kind, tree, hop) for kind in sorted({r[2] for r in rows})]
+
+
+def _forward(table: pa.Table, tree: Tree, hop: int) -> pa.Table:
+    place = table.column("bucket")[0].as_py()
+    return message([row for relay in _relays(table, tree, hop) for row in relay.rows(place)])
+
+
+def _backward(table: pa.Table, got: pa.Table, tree: Tree, hop: int) -> pa.Table:
+    place, answers = table.column("bucket")[0].as_py(), replies(got)
+    relays = _relays(table, tree, hop)
+    return message([row for r in relays for row in r.back(place, answers[FILTER if r.kind == WIDE else EXACT])])
+
+
+def _over_relays(messages: DataFrame, tree: Tree, hop: int) -> DataFrame:
+    """The answers to what the places after ``hop`` hops ask."""
+    routed = messages.withColumn("bucket", tree.onward(hop))
+    if hop + 1 == tree.hops:
+        answers = routed.groupBy("bucket").applyInArrow(lambda table: answer(table), DDL)
+    else:
+        sent = routed.groupBy("bucket").applyInArrow(lambda table: _forward(table, tree, hop + 1), DDL)
+        sent = sent if hop + 2 == tree.hops else materialize(sent, "relayed")
+        got = _over_relays(sent, tree, hop + 1).groupBy("chunk")
+        answers = routed.groupBy("bucket").cogroup(got).applyInArrow(lambda table, g: _backward(table, g, tree, hop + 1), DDL)
+    return answers.withColumn("bucket", F.pmod("bucket", F.lit(tree.fan)))
+
+
+def ask(
+    messages: DataFrame, more: dict[int, Callable[[list[bytes]], list[bytes]]] | None = None, tree: Tree | None = None
+) -> DataFrame:
+    """The answers to all messages; names go over the relays of ``tree``, other kinds straight to their bucket."""
+    if tree is None or tree.hops == 1:
+        return messages.groupBy("bucket").applyInArrow(lambda table: answer(table, more), DDL)
+    messages = materialize(messages, "messages")
+    relayed = F.col("kind").isin(WIDE, EXACT)
+    return ask(messages.where(~relayed), more).union(_over_relays(messages.where(relayed), tree, 0))
 
 
 def replies(table: pa.Table) -> dict[int, dict[int, bytes]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm import names
-from usagelens.llm.names import OWN, Chunk, Names, Rolling, mix
+from usagelens.llm.names import OWN, Chunk, Names, Rolling, Tree, mix
 from usagelens.llm.words import bounds, slices
 
 LENGTH, START = 20, 5
@@ -79,12 +79,12 @@ class Windows:
             out |= (h[t : t + n] == low) & good[t : t + n]
         return out & candidates
 
-    def whole(self, candidates: np.ndarray, buckets: int) -> tuple[np.ndarray, Names]:
+    def whole(self, candidates: np.ndarray, tree: Tree) -> tuple[np.ndarray, Names]:
         """Places and names of whole candidate windows."""
         at = np.flatnonzero(candidates)
         first = self.rolling(at, at + self.length)
         second = (Rolling(mix(self.words), 1)(at, at + self.length) >> np.uint64(32)).astype(np.uint32)
-        return at, Names(first, buckets, second)
+        return at, Names(first, tree, second)
 
 
 def _spread(chosen: np.ndarray) -> np.ndarray:
@@ -92,8 +92,8 @@ def _spread(chosen: np.ndarray) -> np.ndarray:
     return mix(chosen + np.uint64(1))
 
 
-def _own(chunk: Chunk, flags: np.ndarray, buckets: int) -> tuple:
-    return chunk.number % buckets, chunk.number, OWN, names.bits(flags)
+def _own(chunk: Chunk, flags: np.ndarray, tree: Tree) -> tuple:
+    return chunk.number % tree.fan, chunk.number, OWN, names.bits(flags)
 
 
 def _candidates(w: Windows, got: dict) -> np.ndarray:
@@ -109,7 +109,7 @@ def _levels(length: int, start: int) -> list[int]:
     return out
 
 
-def _send(table: pa.Table, got: dict, length: int, before: int | None, size: int | None, buckets: int) -> pa.Table:
+def _send(table: pa.Table, got: dict, length: int, before: int | None, size: int | None, tree: Tree) -> pa.Table:
     """One pass: reads the answers of level ``before`` and asks about level ``size``, or whole windows."""
     if not table.num_rows:
         return names.message([])
@@ -118,30 +118,30 @@ def _send(table: pa.Table, got: dict, length: int, before: int | None, size: int
     candidates = _candidates(w, got)
     if before is not None and candidates.any():
         h, low, chosen = w.level(before, candidates)
-        asked = Names(_spread(h[chosen]), buckets)
+        asked = Names(_spread(h[chosen]), tree)
         repeated = asked.answers(got.get(names.FILTER, {}))[asked.inverse]
         candidates = w.surviving(before, candidates, repeated, h, low, chosen)
-    rows = [_own(chunk, candidates, buckets)]
+    rows = [_own(chunk, candidates, tree)]
     if candidates.any():
         if size is not None:
             h, _, chosen = w.level(size, candidates)
-            rows += Names(_spread(h[chosen]), buckets).filter_rows(chunk.number)
+            rows += Names(_spread(h[chosen]), tree).filter_rows(chunk.number)
         else:
-            at, asked = w.whole(candidates, buckets)
+            at, asked = w.whole(candidates, tree)
             owner = np.searchsorted(w.stops, at[asked.first], side="right")
             rows += asked.exact_rows(chunk.number, chunk.order[owner])
     return names.message(rows)
 
 
-def _sender(length: int, before: int | None, size: int | None, buckets: int) -> Callable:
-    return lambda table, got: _send(table, got, length, before, size, buckets)
+def _sender(length: int, before: int | None, size: int | None, tree: Tree) -> Callable:
+    return lambda table, got: _send(table, got, length, before, size, tree)
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 KEPT_DDL = "doc_id long, n_words long, n_removed long, text string"
 
 
-def _cut(table: pa.Table, got: dict, length: int, buckets: int) -> pa.Table:
+def _cut(table: pa.Table, got: dict, length: int, tree: Tree) -> pa.Table:
     """The last pass: takes repeated words out."""
     if not table.num_rows:
         return KEPT.empty_table()
@@ -150,7 +150,7 @@ def _cut(table: pa.Table, got: dict, length: int, buckets: int) -> pa.Table:
     candidates = _candidates(w, got)
     drop = np.zeros(len(w.words) + 1, np.int32)
     if candidates.any():
-        at, asked = w.whole(candidates, buckets)
+        at, asked = w.whole(candidates, tree)
         later = np.ones(len(at), bool)
         later[asked.first] = asked.answers(got.get(names.EXACT, {}), 1)
         np.add.at(drop, at[later], 1)
@@ -170,13 +170,13 @@ def _cut(table: pa.Table, got: dict, length: int, buckets: int) -> pa.Table:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by one space, of every document."""
     _, chunks, buckets = names.sizes(docs)
-    rows = names.dealt(docs, chunks)
+    rows, tree = names.dealt(docs, chunks), Tree.over(max(chunks, buckets))
     levels = _levels(length, start)
     answers = None
     for before, size in zip([None, *levels], [*levels, None], strict=True):
-        answers = names.ask(names.passed(rows, answers, _sender(length, before, size, buckets), names.DDL))
+        answers = names.ask(names.passed(rows, answers, _sender(length, before, size, tree), names.DDL), tree=tree)
 
-    return names.passed(rows, answers, lambda table, got: _cut(table, got, length, buckets), KEPT_DDL)
+    return names.passed(rows, answers, lambda table, got: _cut(table, got, length, tree), KEPT_DDL)
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from usagelens.llm import names
-from usagelens.llm.names import EXACT, FILTER, OWN, Chunk, Names, Rolling, mix
+from usagelens.llm.names import EXACT, FILTER, OWN, Chunk, Names, Rolling, Tree, mix
 
 LENGTH, GRAM = 400, 64
 #: Windows of a text that are looked at together, a power of 2.
@@ -240,22 +240,22 @@ def _suffix_answer(payloads: list[bytes], length: int, gram: int) -> list[bytes]
 class Pass:
     """What every pass over a chunk works out anew from its texts."""
 
-    def __init__(self, table: pa.Table, length: int, gram: int, buckets: int, ranges: Ranges, whole: bool):
+    def __init__(self, table: pa.Table, length: int, gram: int, tree: Tree, ranges: Ranges, whole: bool):
         self.whole = whole
         self.chunk = Chunk.of(table)
-        self.length, self.gram, self.buckets, self.ranges = length, gram, buckets, ranges
+        self.length, self.gram, self.tree, self.ranges = length, gram, tree, ranges
         self.s = segments(self.chunk.raws, length, gram)
 
     def ask_names(self) -> pa.Table:
         number = self.chunk.number
-        whole = Names(self.s.first, self.buckets, self.s.second)
-        rows = list(Names(self.s.gram, self.buckets).filter_rows(number))
+        whole = Names(self.s.first, self.tree, self.s.second)
+        rows = list(Names(self.s.gram, self.tree).filter_rows(number))
         rows += whole.exact_rows(number, np.full(len(whole.hashes), number))
-        return names.message(rows) if rows else names.message([(number % self.buckets, number, OWN, b"")])
+        return names.message(rows) if rows else names.message([(number % self.tree.fan, number, OWN, b"")])
 
     def read_names(self, got: dict) -> tuple[np.ndarray, np.ndarray]:
         """(segments that are repeated as a whole, segments whose suffixes are sent)."""
-        grams, whole = Names(self.s.gram, self.buckets), Names(self.s.first, self.buckets, self.s.second)
+        grams, whole = Names(self.s.gram, self.tree), Names(self.s.first, self.tree, self.s.second)
         if not len(self.s.gram):
             return np.zeros(0, bool), np.zeros(0, bool)
         some = grams.answers(got[FILTER])[grams.inverse]
@@ -293,14 +293,14 @@ class Pass:
             places.append(at)
         if not texts:
             none = np.zeros(0, np.int64)
-            return none, none, Names(none.astype(np.uint64), self.buckets, none.astype(np.uint32))
-        return np.concatenate(texts), np.concatenate(places), Names(np.concatenate(first), self.buckets, np.concatenate(second))
+            return none, none, Names(none.astype(np.uint64), self.tree, none.astype(np.uint32))
+        return np.concatenate(texts), np.concatenate(places), Names(np.concatenate(first), self.tree, np.concatenate(second))
 
     def ask_suffixes(self, got: dict) -> pa.Table:
         s, number = self.s, self.chunk.number
         done, sent = self.read_names(got)
         by, decides = self.suffixes(sent)
-        rows = [(number % self.buckets, number, OWN, names.bits(done) + names.bits(sent))]
+        rows = [(number % self.tree.fan, number, OWN, names.bits(done) + names.bits(sent))]
         for bucket, mine in by.items():
             records = [
                 (int(s.anchor[k] - s.low[k]), int(s.high[k] + self.length - s.anchor[k]), int(s.high[k] - s.low[k] + 1),
@@ -362,20 +362,20 @@ def _removed(docs: DataFrame, length: int, gram: int, whole: bool = False, carry
         raise ValueError("A gram must fit into a window")
     count, chunks, buckets = names.sizes(docs)
     ranges = Ranges(sample_splitters(docs, count, buckets, length, gram), buckets)
-    rows = names.dealt(docs, chunks, carry)
+    rows, tree = names.dealt(docs, chunks, carry), Tree.over(max(chunks, buckets))
 
     def over(step: str):
         def run(table: pa.Table, got: dict) -> pa.Table:
             if not table.num_rows:
                 return (KEPT if step == "cut" else names.SCHEMA).empty_table()
-            p = Pass(table, length, gram, buckets, ranges, whole)
+            p = Pass(table, length, gram, tree, ranges, whole)
             return getattr(p, step)(got) if got else getattr(p, step)()
 
         return run
 
-    answers = names.ask(names.passed(rows, None, over("ask_names"), names.DDL))
+    answers = names.ask(names.passed(rows, None, over("ask_names"), names.DDL), tree=tree)
     sent = names.passed(rows, answers, over("ask_suffixes"), names.DDL)
-    answers = names.ask(sent, {SUFFIX: lambda payloads: _suffix_answer(payloads, length, gram)})
+    answers = names.ask(sent, {SUFFIX: lambda payloads: _suffix_answer(payloads, length, gram)}, tree)
     schema = StructType.fromDDL(KEPT_DDL)
     if carry is not None:
         schema = schema.add(rows.schema["_carry"])
