@@ -69,6 +69,21 @@ def session_titles(custom: DataFrame) -> DataFrame:
     return named.where(F.col("title") == F.col("_most")).drop("_most")
 
 
+def conversation_titles(custom: DataFrame, files: DataFrame, desktop: DataFrame) -> DataFrame:
+    """One title per conversation, and where it was saved: ``desktop``, ``file`` or ``log``.
+
+    The desktop app's title wins where all its copies agree, then that of the
+    conversation's own file (of several the last by path), then the log's.
+    """
+    own = files.where(~_blank(F.col("title"))).groupBy("session_id").agg(F.max_by("title", F.struct("file", "title")).alias("title"))
+    told = None
+    for rank, (source, titles) in enumerate((("log", custom.where(~_blank(F.col("title")))), ("file", own), ("desktop", session_titles(desktop)))):
+        part = titles.select("session_id", F.struct(F.lit(rank).alias("rank"), "title", F.lit(source).alias("source")).alias("t"))
+        told = part if told is None else told.unionByName(part)
+    best = told.where("session_id IS NOT NULL").groupBy("session_id").agg(F.max("t").alias("t"))
+    return best.select("session_id", "t.title", "t.source")
+
+
 def session_projects(dirs: DataFrame) -> DataFrame:
     """The one project each session was seen in; key null where there were several."""
     known = with_project(dirs.select("session_id", "cwd").distinct(), "cwd").where("project_key IS NOT NULL")

@@ -242,46 +242,69 @@ def custom_titles(records: DataFrame) -> DataFrame:
     return titled.groupBy(F.col("r.sessionId").alias("session_id")).agg(F.max_by("r.customTitle", "ordinal").alias("title"))
 
 
+def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Small files below a path, one row each: file, value."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def titles_of_files(files: DataFrame) -> DataFrame:
+    """Titles of files that each lie in the folder of their conversation."""
+    title = F.from_json("value", "customTitle string")["customTitle"]
+    return files.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("session_id"), title.alias("title"), "file").where(
+        F.trim("title") != ""
+    )
+
+
 def title_files(spark: SparkSession, path: str) -> DataFrame:
     """Titles kept one per file in the conversation's folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "custom-title.json").schema(
-        "customTitle string"
-    ).json(path, multiLine=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    return files.select(folder.alias("session_id"), F.col("customTitle").alias("title")).where(F.trim("title") != "")
+    return titles_of_files(read_files(spark, path, "custom-title.json"))
+
+
+def titles_of_desktop(files: DataFrame) -> DataFrame:
+    """Titles and directories of files that each describe one conversation; what is no object describes none."""
+    talk = files.select(F.from_json("value", "cliSessionId string, title string, originCwd string, cwd string").alias("t"))
+    directory = F.coalesce(F.nullif(F.col("t.originCwd"), F.lit("")), "t.cwd")
+    return talk.select(F.col("t.cliSessionId").alias("session_id"), "t.title", directory.alias("cwd")).where("session_id IS NOT NULL")
 
 
 def desktop_titles(spark: SparkSession, path: str) -> DataFrame:
     """Titles and directories the desktop app keeps, one file per conversation."""
-    return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-        .schema("cliSessionId string, title string, originCwd string, cwd string").json(path, multiLine=True)
-        .select(F.col("cliSessionId").alias("session_id"), "title", F.coalesce("originCwd", "cwd").alias("cwd"))
-        .where("session_id IS NOT NULL")
-    )
+    return titles_of_desktop(read_files(spark, path, "*.json"))
+
+
+def newest_state(spark: SparkSession, path: str, pattern: str = "*") -> tuple[int, str] | None:
+    """(version, path) of the state table whose name ends in the greatest number; of equal ones the last by name.
+
+    A table is a file, or a folder of part files. Files are listed and not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    state = F.regexp_replace("path", r"/part-[^/]*$", "")
+    number = F.regexp_extract(state, r"_(\d+)(?:\.[^/]*)?$", 1).try_cast("bigint")
+    newest = files.agg(F.max(F.struct(F.coalesce(number, F.lit(-1)).alias("version"), state.alias("path"))).alias("s")).first().s
+    return None if newest is None else (newest.version, newest.path)
 
 
 def read_threads(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Threads of the newest state file; the number ending a file's name is its version."""
-    rows = spark.read.format(fmt).option("recursiveFileLookup", "true").load(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.[^.]+(?:\.[^.]+)*$", 1)
-    version = F.coalesce(stem.try_cast("bigint"), F.lit(-1))
+    """Threads of the newest state table; older ones are not opened, and what only they hold is gone."""
+    newest = newest_state(spark, path)
+    if newest is None:
+        return spark.createDataFrame([], "id string, name string, cwd string, parent_id string, version bigint")
+    rows = spark.read.format(fmt).load(newest[1])
     have = set(rows.columns)
 
     def text(name: str) -> Column:
         return F.col(name).cast("string") if name in have else F.lit(None).cast("string")
 
     parent = F.get_json_object(text("source"), "$.subagent.thread_spawn.parent_thread_id")
-    threads = rows.select(
-        F.col("id").cast("string").alias("id"), text("name").alias("name"), text("cwd").alias("cwd"), parent.alias("parent_id"),
-        version.alias("version"),
+    return rows.select(
+        text("id").alias("id"), text("name").alias("name"), text("cwd").alias("cwd"),
+        F.nullif(parent, F.lit("")).alias("parent_id"), F.lit(newest[0]).cast("bigint").alias("version"),
     )
-    # What an older file held and the newest does not is gone.
-    return threads.where(F.col("version") == threads.agg(F.max("version")).scalar())
 
 
-def read_session_index(spark: SparkSession, path: str) -> DataFrame:
-    lines = read_lines(spark, path).where(F.trim("value") != "")
+def read_session_index(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    lines = read_lines(spark, path, pattern=pattern).where(F.trim("value") != "")
     entry = F.from_json("value", "id string, thread_name string")
     return lines.select(entry["id"].alias("id"), entry["thread_name"].alias("thread_name"), "ordinal").where(
         "id IS NOT NULL AND thread_name IS NOT NULL"
