@@ -625,9 +625,9 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     found = materialize(rows.mapInArrow(per_batch(prints), ddl), "copies")
     # Exact copies are one node, the smallest.
     held = ["fp", "sketch", "n", "bits", "prefix"]
-    nodes = found.groupBy("digest").agg(F.min("_order").alias("rep"), *[F.min(c).alias(c) for c in held])
-    exact = found.join(nodes.select("digest", "rep"), "digest").select("_order", "rep").distinct()
-    exact, nodes = materialize(exact, "copies_exact"), materialize(nodes.select("rep", *held), "copies_nodes")
+    kept = found.groupBy("digest").agg(F.min("_order").alias("rep"), *[F.min(c).alias(c) for c in held])
+    kept = materialize(kept, "copies_nodes")
+    nodes = kept.select("rep", *held)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = pa.array([shingle_set(r, width) for r in raw_texts(batch)], pa.binary())
@@ -688,6 +688,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
         if not last.isEmpty():
             member = components(member.select(F.col("node").alias("u"), F.col("component").alias("v")).union(last))
     # Goes: an exact copy of a smaller document, or a member of a group that is not its smallest.
-    gone = exact.where("_order != rep").select("_order").union(member.select(F.col("node").alias("_order"))).distinct()
+    # Copies are found by document and digest, so that a text that many documents share is no hot key.
+    exact = found.select("_order", "digest").join(kept.select(F.col("rep").alias("_order"), "digest"), ["_order", "digest"], "left_anti")
+    gone = exact.select("_order").union(member.select(F.col("node").alias("_order"))).distinct()
     marked = docs.select(F.struct("*").alias("_all"), order.alias("_order"))
     return marked.join(gone.hint("merge"), "_order", "left_anti").select("_all.*")
