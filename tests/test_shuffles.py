@@ -1,0 +1,73 @@
+"""How often the large steps deal their rows out, and how often costly expressions are written."""
+
+import pytest
+
+from tests import rows as R
+from usagelens.operators import dedupe, facts, sessions
+from usagelens.sources import otlp
+
+PACKET = (
+    "received_at double, resourceLogs array<struct<resource:struct<attributes:{a}>,scopeLogs:array<struct<scope:struct<attributes:{a}>,"
+    "logRecords:array<struct<timeUnixNano:string,attributes:{a}>>>>>>"
+).format(a=otlp._ITEMS)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plan(df, which="executedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def dealt(df):
+    return plan(df).count("Exchange hashpartitioning")
+
+
+def test_proxies_are_dealt_out_once(no_broadcast):
+    rows = dedupe.effective_requests(R.requests(no_broadcast, {"request_id": "a"}))
+    assert dealt(rows) == 2  # proxies and session rows
+
+
+def test_unique_rows_are_not_sorted_before_they_are_dealt_out(spark):
+    found = plan(dedupe.unique_requests(R.requests(spark, {"request_id": "a"})))
+    assert found.count("Exchange hashpartitioning") == 1
+    assert "Sort" not in found[found.index("Exchange hashpartitioning"):]
+
+
+def test_session_days_and_what_is_summed_from_them_are_dealt_out_once(no_broadcast):
+    rows = facts.request_rows(R.requests(no_broadcast, {"request_id": "a", "session_key": "k"}), R.providers(no_broadcast))
+    held = rows.localCheckpoint()
+    days = facts.session_daily(held)
+    for df in (days, sessions.summarize_sessions(days), sessions.session_by(days, "date"), sessions.component_share(days)):
+        assert dealt(df) == 1
+
+
+@pytest.mark.parametrize("at", [7150, 7199, 7200, 7260])
+@pytest.mark.parametrize(("apart", "left"), [(-601, 2), (-600, 1), (-1, 1), (0, 1), (599, 1), (600, 1), (601, 2)])
+def test_proxies_near_a_stretch_end(spark, at, apart, left):
+    rows = R.requests(
+        spark, {"request_id": "p", "data_source": "proxy", "created_at": at + apart}, {"request_id": "s", "created_at": at},
+    )
+    assert dedupe.effective_requests(rows).count() == left
+
+
+def test_title_is_that_of_the_latest_request_with_one(spark):
+    rows = R.requests(
+        spark,
+        {"request_id": "a", "session_key": "k", "created_at": 100, "session_title": "old", "project_name": "p"},
+        {"request_id": "c", "session_key": "k", "created_at": 200},
+        {"request_id": "b", "session_key": "k", "created_at": 200, "session_title": "new"},
+    )
+    day = facts.session_daily(facts.request_rows(rows, R.providers(spark))).first()
+    assert (day.session_title, day.project_name, day.requests, day.hours) == ("new", "", 3, {"00": day.total_tokens})
+
+
+def test_attribute_maps_are_written_once_a_level(spark):
+    found = otlp.response_events(otlp.flatten_otlp(spark.createDataFrame([], PACKET)))
+    # An inferred filter on the inner array may write a level once more.
+    assert plan(found, "optimizedPlan").count("map_from_arrays") <= 3
