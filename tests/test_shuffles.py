@@ -43,7 +43,7 @@ def test_session_days_and_what_is_summed_from_them_are_dealt_out_once(no_broadca
     rows = facts.request_rows(R.requests(no_broadcast, {"request_id": "a", "session_key": "k"}), R.providers(no_broadcast))
     held = rows.localCheckpoint()
     days = facts.session_daily(held)
-    for df in (days, sessions.summarize_sessions(days), sessions.session_by(days, "date"), sessions.component_share(days)):
+    for df in (days, sessions.summarize_sessions(days), sessions.session_by(days, "date"), sessions.component_share(days), sessions.visible_sessions(days)):
         assert dealt(df) == 1
 
 
@@ -71,3 +71,9 @@ def test_attribute_maps_are_written_once_a_level(spark):
     found = otlp.response_events(otlp.flatten_otlp(spark.createDataFrame([], PACKET)))
     # An inferred filter on the inner array may write a level once more.
     assert plan(found, "optimizedPlan").count("map_from_arrays") <= 3
+
+
+def test_rows_without_a_whole_identity_stay(spark):
+    empty = {"requests": 1, "total_tokens": 0, "cost_usd": "0", "model": "claude-x"}
+    rows = R.sessions(spark, {**empty, "session_key": "a"}, {**empty, "session_key": None}, {**empty, "session_key": "b"}, {"session_key": "b"})
+    assert sorted(str(r.session_key) for r in sessions.visible_sessions(rows).collect()) == ["None", "b", "b"]
