@@ -1,9 +1,12 @@
 """How often the large steps deal their rows out, and how often costly expressions are written."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import rows as R
+from usagelens.functions import usage as U
 from usagelens.operators import dedupe, facts, sessions
+from usagelens.operators.bits import with_bit
 from usagelens.sources import otlp
 
 PACKET = (
@@ -77,3 +80,48 @@ def test_rows_without_a_whole_identity_stay(spark):
     empty = {"requests": 1, "total_tokens": 0, "cost_usd": "0", "model": "claude-x"}
     rows = R.sessions(spark, {**empty, "session_key": "a"}, {**empty, "session_key": None}, {**empty, "session_key": "b"}, {"session_key": "b"})
     assert sorted(str(r.session_key) for r in sessions.visible_sessions(rows).collect()) == ["None", "b", "b"]
+
+
+def test_rows_are_dealt_out_by_session_before_their_keys_and_titles_are_added(no_broadcast):
+    held = R.requests(no_broadcast, {"request_id": "a", "session_id": "k"}, {"request_id": "b", "session_id": None}).localCheckpoint()
+    known = facts.request_rows(facts.deal_sessions(held), R.providers(no_broadcast).limit(0))
+    days = facts.session_daily(known.withColumn("session_key", U.session_key(F.col("session_id"))), dealt=True)
+    found = plan(days)
+    below = found[found.index("Exchange hashpartitioning(host"):]
+    assert found.count("Exchange hashpartitioning(host") == 1
+    assert "AS session_key" not in below.split("Scan")[0].split("\n", 1)[1]
+    assert days.count() == 1
+
+
+REPEATS = [
+    {"request_id": "a", "host": "x"}, {"request_id": "a", "host": "y", "host_order": 1}, {"request_id": "b"}, {"request_id": "c", "session_id": None},
+    {"request_id": None}, {"request_id": None, "host_order": 2}, {"request_id": "a", "app_type": "gemini"},
+]
+
+
+def test_only_ids_that_repeat_are_dealt_out(spark):
+    rows = R.requests(spark, *REPEATS)
+    known = dedupe.repeated_ids(rows)
+    marked = with_bit(rows, known, F.xxhash64(*dedupe.KEYS), "repeated")
+    assert sorted(str(r.request_id) for r in marked.where("repeated").collect()) == ["None", "None", "a", "a"]
+    plain, told = dedupe.unique_requests(rows), dedupe.unique_requests(rows, repeated=known)
+    assert told.columns == plain.columns
+    assert sorted(map(str, told.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_repeated_ids_must_still_agree(spark):
+    rows = R.requests(spark, {"request_id": "a"}, {"request_id": "a", "host": "y", "host_order": 1, "model": "other"})
+    with pytest.raises(Exception, match="Hosts disagree"):
+        dedupe.unique_requests(rows, repeated=dedupe.repeated_ids(rows)).collect()
+
+
+def test_sparse_proxies_cover_the_same_rows(spark):
+    rows = []
+    for i, apart in enumerate((-7000, -601, -600, 0, 600, 601, 7000)):
+        rows.append({"request_id": f"p{i}", "data_source": "proxy", "created_at": 50_000 + apart, "output_tokens": 100 + i})
+        rows.append({"request_id": f"s{i}", "data_source": "codex_session", "created_at": 50_000, "output_tokens": 100 + i})
+    rows.append({"request_id": "far", "data_source": "proxy", "created_at": 50_000, "output_tokens": None})
+    rows.append({"request_id": "null", "data_source": "codex_session", "created_at": 50_000, "output_tokens": None})
+    ledger = R.requests(spark, *rows)
+    left = [sorted(r.request_id for r in dedupe.effective_requests(ledger, sparse=s).collect()) for s in (False, True)]
+    assert left[0] == left[1] and "s3" not in left[0] and "s0" in left[0]
