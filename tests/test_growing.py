@@ -171,3 +171,56 @@ def test_growing_logs_give_the_samples_of_the_whole(spark, tmp_path):
     replaced.write_bytes(("\n".join(map(json.dumps, lines)) + "\n").encode())
     whole = logs.read_records(spark, str(folder), schema=schemas.LOG_A)
     assert got == sample_rows(logs.native_samples_a(logs.log_a_events(whole, live=True))) and len(got) > 30
+
+
+class Ranged(Walk):
+    """The same, by ranges whose lines are read again."""
+
+    def scan(self, first=False, age=0.0):
+        self.clock += 5
+        size = os.stat(self.path).st_size
+        found = {"file": f"file:{self.path}", "size": size, "modified": self.clock - age, "scanned_at": self.clock, "first": first}
+        self.ranges, walk = [], growing._ranges(growing._follow(found, self.place), size)
+        while True:
+            try:
+                self.ranges.append(next(walk).asDict())
+            except StopIteration as end:
+                self.place = end.value
+                return [tuple(line) for r in self.ranges for line in growing._lines_of(r)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("first", [False, True])
+def test_ranges_hold_the_lines_of_the_walk(tmp_path, monkeypatch, seed, first):
+    monkeypatch.setattr(growing, "PIECE", 16)
+    monkeypatch.setattr(growing, "LONGEST", 40)
+    monkeypatch.setattr(growing, "START_BYTES", 60)
+    r = random.Random(seed)
+    path = tmp_path / "a.jsonl"
+    path.write_bytes(b"")
+    plain, ranged = Walk(path), Ranged(path)
+    for k in range(40):
+        parts = [r.choice([b"", b"x" * r.randrange(90), b"\xff\xfe", "ü".encode() * r.randrange(9), b"\0"]) for _ in range(r.randrange(6))]
+        with open(path, "ab") as f:
+            f.write(b"\n".join([*parts, b"" if r.random() < 0.6 else b"torn"]))
+        told = plain.scan(first=first and k == 0)
+        assert [(g, o, live, v) for _, g, o, _, live, v in ranged.scan(first=first and k == 0)] == told
+        assert {f: ranged.place[f] for f in growing._FIELDS if f != "modified"} == {f: plain.place[f] for f in growing._FIELDS if f != "modified"}
+
+
+def test_a_files_state_hands_on_ranges_not_lines(tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_bytes(b"0123456789\n" * 300_000)
+    walk = Ranged(path)
+    assert len(walk.scan()) == 300_000
+    assert len(walk.ranges) <= 4
+
+
+def test_a_file_replaced_behind_the_walk_stops_the_batch(tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_bytes(b"one\ntwo\n")
+    walk = Ranged(path)
+    walk.scan()
+    path.write_bytes(b"one\nTWO\n")
+    with pytest.raises(ValueError, match="replaced"):
+        growing._lines_of(walk.ranges[0])

@@ -2,8 +2,11 @@
 
 A scan lists the files with their lengths; listings are kept as a journal. State by
 file remembers how far it was read, and each listing makes the task that holds the
-file's state read from there to the listed length, in pieces. A batch that comes again
-reads the same bytes, and nothing is read twice otherwise.
+file's state walk from there to the listed length, in pieces. What is handed on by a
+file's state is held until the file is done, so these are ranges of lines, not lines;
+the step behind reads the lines of one range after the other. Bytes are so read twice,
+and again when a batch comes again. A range whose lines are not those walked over stops
+the batch: its file was replaced in between.
 
 - A last line without a break waits until the break is there.
 - A file that is shorter than what was read, or whose bytes before that place (or at
@@ -22,9 +25,11 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterable, Iterator
+from itertools import islice
 from urllib.parse import quote
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +44,11 @@ PIECE, MARK, FORGET_S = 1 << 20, 256, 86400
 
 LISTING = "file string, size bigint, modified double, scanned_at double, first boolean"
 LINE = "file string, generation int, ordinal bigint, place bigint, live boolean, value string"
+#: Lines that follow each other in a file: the first one's number and place, how many, the last byte to look at, and a checksum.
+RANGE = "file string, generation int, ordinal bigint, place bigint, lines bigint, stop bigint, live boolean, sum bigint"
 PLACE = "generation int, offset bigint, ordinal bigint, mark bigint, size bigint, modified double, torn boolean, waits boolean"
 _LINE = Row(*[f.split()[0] for f in LINE.split(", ")])
+_RANGE = Row(*[f.split()[0] for f in RANGE.split(", ")])
 _FIELDS = [f.split()[0] for f in PLACE.split(", ")]
 _NEW = {"generation": 0, "offset": 0, "ordinal": 0, "mark": None, "size": 0, "modified": None, "torn": False, "waits": False}
 
@@ -155,6 +163,54 @@ def _follow(scan: dict, p: dict | None) -> Generator[Row, None, dict]:
         return p | {"mark": _mark(f, p["offset"]), "size": size, "modified": modified}
 
 
+def _summed(line: Row, total: int) -> int:
+    return zlib.crc32(b"\0" if line.value is None else line.value.encode() + b"\n", total)
+
+
+def _ranges(walk: Generator[Row, None, dict], stop: int) -> Generator[Row, None, dict]:
+    """The lines of a walk as ranges of about ``PIECE`` bytes; returns what the walk returns."""
+    first, lines, total = None, 0, 0
+    while True:
+        try:
+            line = next(walk)
+        except StopIteration as end:
+            if first:
+                yield _RANGE(*first, lines, stop, live, total)
+            return end.value
+        # The first line of a history stands alone: what follows it may be far behind.
+        apart = first and (
+            line.place - first[3] >= PIECE or (line.generation, line.live) != (first[1], live) or (not live and first[3] == 0)
+        )
+        if apart:
+            yield _RANGE(*first, lines, stop, live, total)
+        if apart or not first:
+            first, lines, total, live = (line.file, line.generation, line.ordinal, line.place), 0, 0, line.live
+        lines += 1
+        total = _summed(line, total)
+
+
+def _lines_of(r: dict) -> list[Row]:
+    """The lines of one range, read again."""
+    p = {"generation": r["generation"], "ordinal": r["ordinal"], "offset": r["place"], "torn": False}
+    with _opened(r["file"]) as f:
+        found = list(islice(_read(f, r["file"], p, min(r["stop"], f.size()), r["live"]), r["lines"]))
+    total = 0
+    for line in found:
+        total = _summed(line, total)
+    if (len(found), total) != (r["lines"], r["sum"]):
+        raise ValueError(f"File was replaced while it was read: {r['file']}")
+    return found
+
+
+def _read_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in LINE.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+    for batch in batches:
+        for r in batch.to_pylist():
+            columns = zip(*_lines_of(r), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
 class Tail(Kept):
     """One file: how far it was read, and how to know it again."""
 
@@ -172,7 +228,7 @@ class Tail(Kept):
         scans = sorted(plain(rows), key=lambda s: s["scanned_at"])
         place = dict(zip(_FIELDS, self.place.get(), strict=True)) if self.place.exists() else None
         for scan in scans:
-            place = yield from _follow(scan, place)
+            place = yield from _ranges(_follow(scan, place), scan["size"])
         self.place.update(tuple(place[f] for f in _FIELDS))
         self.saw(scans[-1]["scanned_at"])
 
@@ -182,9 +238,10 @@ def follow_lines(spark: SparkSession, journal: str, max_files: int = 1000) -> Da
     keep_state(spark)
     listed = follow_journal(journal, spark.createDataFrame([], LISTING), max_files)
     rows = arriving(listed, "scanned_at", "1 hour").withColumn("log", F.col("file"))
-    return rows.groupBy("log").transformWithState(
-        statefulProcessor=Tail(), outputStructType=LINE, outputMode="Append", timeMode="EventTime"
+    ranges = rows.groupBy("log").transformWithState(
+        statefulProcessor=Tail(), outputStructType=RANGE, outputMode="Append", timeMode="EventTime"
     )
+    return ranges.mapInArrow(_read_ranges, LINE)
 
 
 def _bad() -> Column:
