@@ -7,6 +7,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from usagelens import schemas
@@ -334,3 +335,63 @@ def test_growing_messages_cut_anywhere_are_those_of_the_whole(spark, tmp_path):
     stream = message_state.follow_messages(follow.follow_files(spark, landed, kinds, max_files=1))
     newest = follow.corrected(follow.run_available(stream, "messages"), ["session_id", "message_id"])
     assert sample_rows(logs.keyed_samples_b(newest)) == expected
+
+
+class Lists:
+    """State of one group without a stream: lists by name, and how often they were called."""
+
+    def __init__(self):
+        self.lists, self.calls, self.timers = {}, 0, []
+
+    def getListState(self, name, schema):
+        owner = self
+
+        class State:
+            def get(self):
+                owner.calls += 1
+                return iter(list(owner.lists.get(name, [])))
+
+            def put(self, values):
+                owner.calls += 1
+                owner.lists[name] = list(values)
+
+            def clear(self):
+                owner.calls += 1
+                owner.lists[name] = []
+
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_responses_of_a_group_share_their_calls_of_state():
+    handle, step = Lists(), receipts_state.Credits(600)
+    step.init(handle)
+    rows = [Row(*receipts_state.FIELDS, "stands", "told_at")(*report(f"e{k}", 10 + k % 7, k + 1), 1, 10.0 + k % 7) for k in range(1000)]
+    assert sum(r.output_tokens for r in step.handleInputRows((0,), iter(rows), None)) == 500_500
+    assert handle.calls <= 7 and len(handle.lists["reports"]) == 1000
+
+
+def test_a_group_forgets_only_what_was_not_seen_for_long():
+    handle, step = Lists(), receipts_state.Credits(600)
+    step.init(handle)
+    fields = Row(*receipts_state.FIELDS, "stands", "told_at")
+    list(step.handleInputRows((0,), iter([fields(*report("a", 10, 1), 1, 10.0), fields(*report(None, 50, 3), 1, 50.0)]), None))
+    assert handle.timers == [610_001]
+    list(step.handleExpiredTimer((0,), Clock(610_000), None))
+    assert {v[0] for v in handle.lists["reports"]} == {"a", None}
+    list(step.handleExpiredTimer((0,), Clock(610_001), None))
+    assert {v[0] for v in handle.lists["reports"]} == {None} and handle.timers[-1] == 650_001
+    assert [(r.event_key, r.output_tokens) for r in step.handleInputRows((0,), iter([fields(*report(None, 60, 5), 1, 60.0)]), None)] == [(None, 2)]
+    list(step.handleExpiredTimer((0,), Clock(10**9), None))
+    assert handle.lists["reports"] == handle.lists["said"] == handle.lists["seen"] == []

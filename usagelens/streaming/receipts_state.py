@@ -13,19 +13,19 @@ keep state; between them stands a journal:
 So the sums of all changes are, after every batch, what ``live.receipt_seconds`` gives
 over the reports so far, as long as reports of one response or session are no
 further apart than ``KEEP_S``. A timer drops what was not touched for so long, by the
-clock of arrivals.
+clock of arrivals. Sessions and responses are many and small, so they share groups.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Generator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from usagelens.operators.live import OTLP_BASIS
-from usagelens.streaming.state import Kept, Mapped, arriving, keep_state, plain
+from usagelens.streaming.state import Shared, arriving, group_of, keep_state
 
 #: Fixed value: seconds after which a response or session that was not seen is forgotten.
 KEEP_S = 600
@@ -47,41 +47,36 @@ def _identity(report: tuple) -> str:
     return "\x1f".join(map(repr, report))
 
 
-class Authority(Kept):
-    """One session: whether telemetry speaks for it, and the reports let through before it did."""
+class Authority(Shared):
+    """By session: whether telemetry speaks for it, and the reports let through before it did."""
+
+    KEY = "session_key"
+    LISTS = {"told": "yes int", "passed": REPORT}
 
     def __init__(self, keep_s: float = KEEP_S):
         super().__init__(keep_s)
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.told = handle.getValueState("told", "yes int")
-        self.passed = handle.getMapState("passed", "identity string", REPORT)
-
-    def forget(self) -> None:
-        self.told.clear()
-        self.passed.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        reports = [tuple(r[f] for f in FIELDS) for r in plain(rows)]
+    def step(self, key, rows, held) -> Generator[Row, None, float]:
+        reports = [tuple(r[f] for f in FIELDS) for r in rows]
         basis, received = FIELDS.index("basis"), FIELDS.index("received_at")
         speaks = [r for r in reports if r[basis] == OTLP_BASIS]
         others = [r for r in reports if r[basis] != OTLP_BASIS]
         now = max(r[received] for r in reports)
-        self.saw(now)
         if speaks:
-            for report in list(self.passed.values()):
+            for report in held["passed"]:
                 yield _STANDING(*report, -1, now)
-            self.passed.clear()
-            self.told.update((1,))
+            held["passed"], held["told"] = [], [(1,)]
         for report in speaks:
             yield _STANDING(*report, 1, now)
-        if not self.told.exists():
+        if not held["told"]:
+            passed = {_identity(report) for report in held["passed"]}
             for report in dict.fromkeys(others):
-                identity = (_identity(report),)
-                if not self.passed.containsKey(identity):
-                    self.passed.updateValue(identity, report)
+                identity = _identity(report)
+                if identity not in passed:
+                    passed.add(identity)
+                    held["passed"].append(report)
                     yield _STANDING(*report, 1, now)
+        return now
 
 
 def credits(reports: list[tuple]) -> dict[int, tuple[int, int, int]]:
@@ -111,43 +106,37 @@ def credits(reports: list[tuple]) -> dict[int, tuple[int, int, int]]:
     return out
 
 
-class Credits(Kept):
-    """One response: the reports that stand, and what was last said of each second."""
+class Credits(Shared):
+    """By response: the reports that stand, and what was last said of each second."""
+
+    KEY = "event_key"
+    LISTS = {"reports": REPORT + ", copies int", "said": "second bigint, output_tokens bigint, arrivals bigint, excluded bigint"}
 
     def __init__(self, keep_s: float = KEEP_S):
         super().__init__(keep_s)
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.reports = handle.getMapState("reports", "identity string", REPORT + ", copies int")
-        self.said = handle.getMapState("said", "second bigint", "output_tokens bigint, arrivals bigint, excluded bigint")
-
-    def forget(self) -> None:
-        self.reports.clear()
-        self.said.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        reports, said = Mapped(self.reports), Mapped(self.said)
+    def step(self, key, rows, held) -> Generator[Row, None, float]:
+        reports = {_identity(v[:-1]): v for v in held["reports"]}
+        said = {second: tuple(v) for second, *v in held["said"]}
         now = 0.0
-        for r in plain(rows):
+        for r in rows:
             now = max(now, r["told_at"])
             report = tuple(r[f] for f in FIELDS)
             identity = _identity(report)
             # A withdrawal may be read before what it takes back; copies then stand at minus one for a while.
-            copies = (reports.now[identity][-1] if identity in reports.now else 0) + r["stands"]
+            copies = (reports[identity][-1] if identity in reports else 0) + r["stands"]
             if copies:
-                reports.now[identity] = (*report, copies)
+                reports[identity] = (*report, copies)
             else:
-                reports.now.pop(identity, None)
-        found = credits([v[:-1] for v in reports.now.values() if v[-1] > 0])
-        for second in sorted(found.keys() | said.now.keys()):
-            new, old = found.get(second, (0, 0, 0)), said.now.get(second, (0, 0, 0))
+                reports.pop(identity, None)
+        found = credits([v[:-1] for v in reports.values() if v[-1] > 0])
+        for second in sorted(found.keys() | said.keys()):
+            new, old = found.get(second, (0, 0, 0)), said.get(second, (0, 0, 0))
             if new != old:
-                yield _CHANGE(key[0], second, *[a - b for a, b in zip(new, old, strict=True)])
-        said.now = found
-        reports.save()
-        said.save()
-        self.saw(now)
+                yield _CHANGE(key, second, *[a - b for a, b in zip(new, old, strict=True)])
+        held["reports"] = list(reports.values())
+        held["said"] = [(second, *v) for second, v in found.items()]
+        return now
 
 
 def follow_authority(samples: DataFrame, keep_s: float = KEEP_S) -> DataFrame:
@@ -155,8 +144,7 @@ def follow_authority(samples: DataFrame, keep_s: float = KEEP_S) -> DataFrame:
     keep_state(samples.sparkSession)
     rows = arriving(samples.select(*FIELDS), "received_at", f"{int(keep_s)} seconds")
     bound = F.coalesce((F.col("runtime") == "codex") & F.col("session_key").isNotNull(), F.lit(False))
-    # Grouped by a copy: the key's own column would be missing from the rows.
-    judged = rows.where(bound).withColumn("session", F.col("session_key")).groupBy("session").transformWithState(
+    judged = rows.where(bound).withColumn("group", group_of(F.col("session_key"))).groupBy("group").transformWithState(
         statefulProcessor=Authority(keep_s), outputStructType=STANDING, outputMode="Append", timeMode="EventTime"
     )
     return judged.unionByName(rows.where(~bound).select(*FIELDS, F.lit(1).alias("stands"), F.col("received_at").alias("told_at")))
@@ -165,8 +153,8 @@ def follow_authority(samples: DataFrame, keep_s: float = KEEP_S) -> DataFrame:
 def follow_credits(standing: DataFrame, keep_s: float = KEEP_S) -> DataFrame:
     """Signed changes of counted output by response and second."""
     keep_state(standing.sparkSession)
-    rows = arriving(standing, "told_at", f"{int(keep_s)} seconds").withColumn("response", F.col("event_key"))
-    return rows.groupBy("response").transformWithState(
+    rows = arriving(standing, "told_at", f"{int(keep_s)} seconds").withColumn("group", group_of(F.col("event_key")))
+    return rows.groupBy("group").transformWithState(
         statefulProcessor=Credits(keep_s), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime"
     )
 
