@@ -13,6 +13,7 @@ import xxhash
 from tests.llm import data
 from usagelens.llm import fingerprints, simhash
 from usagelens.llm.components import components
+from usagelens.session import materialize
 
 
 def smallest(nodes, links):
@@ -99,6 +100,24 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_rounds_over_few_links_write_few_files(spark, monkeypatch):
+    """Each file written forks a process that counts as large as the executor; a round once wrote one for each partition."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "16")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = []
+
+    def counted(*args):
+        files.append(len((out := materialize(*args)).inputFiles()))
+        return out
+
+    monkeypatch.setattr("usagelens.llm.components.materialize", counted)
+    chain = [(i, i + 1) for i in range(1, 60)]
+    found = {r["node"]: r["component"] for r in components(session.createDataFrame(chain, "u long, v long")).collect()}
+    assert found == dict.fromkeys(range(2, 61), 1)
+    assert files[0] > 8 and len(files) > 2 and set(files[1:]) == {1}
+
+
 def test_near_copies_keep_one_of_each_group(spark):
     r = random.Random(4)
     rows = []

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from usagelens.session import materialize
 
+#: Links in a file of a round, by the number of links before it.
+IN_A_FILE = 100_000
+
 
 def _smallest(links: DataFrame) -> DataFrame:
     """u, m: the smallest of u and its neighbours."""
@@ -35,10 +38,10 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable, of every linked node (u, v) but the smallest ones themselves."""
     now = materialize(links.where("u != v").select("u", "v").distinct(), "links")
-    state = None
+    state, count = None, now.count()
     while True:
-        now = materialize(_small_star(_large_star(now)), "links")
+        now = materialize(_small_star(_large_star(now)), "links", 1 + count // IN_A_FILE)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = sums
+        state, count = sums, sums[0]

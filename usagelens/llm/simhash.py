@@ -429,6 +429,8 @@ COMMON, ALL_PAIRS = 100_000, 32
 CELL = 1024
 #: Rows of a block that are compared with so many, and pairs that a task hands on together.
 ROWS, HANDED = 128, 1 << 16
+#: Pairs of sets that a task judges, by the number of pairs, or by that of the round before where it is not known yet.
+JUDGED = 5_000
 #: Of the lowest bits of 64 bins, one in ten differs at 0.8 and half in strangers; 20 are over five standard deviations off.
 BIN_BITS = 20
 
@@ -640,20 +642,23 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
 
     known: list[DataFrame] = []
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are links."""
-        pairs = materialize(pairs, "copies_pairs")
+    def alike(pairs: DataFrame, about: int | None = None) -> tuple[DataFrame, int]:
+        """Those of the pairs that are links, and the number of pairs; ``about`` so many are expected, which steers files only."""
+        pairs = materialize(pairs, "copies_pairs", None if about is None else 1 + about // JUDGED)
+        count = pairs.count()
+        files = 1 + count // JUDGED
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("_order")).distinct()
         for held in known:
             wanted = wanted.join(held.select("_order"), "_order", "left_anti")
         if not known or not wanted.isEmpty():
             # Texts are joined by a sort merge at every size; a side that Spark may broadcast when small would not stay small.
             shingles = rows.join(wanted.hint("merge"), "_order", "left_semi").mapInArrow(per_batch(sets), "_order long, set binary")
-            known.append(materialize(shingles.dropDuplicates(["_order"]), "copies_shingles"))
+            known.append(materialize(shingles.dropDuplicates(["_order"]), "copies_shingles", files))
         shingles = reduce(DataFrame.union, known)
         both = pairs.join(shingles.select(F.col("_order").alias("u"), F.col("set").alias("a")), "u")
         both = both.join(shingles.select(F.col("_order").alias("v"), F.col("set").alias("b")), "v")
-        return materialize(both.select("u", "v", "a", "b").mapInArrow(per_batch(judge), "u long, v long"), "copies_links")
+        found = both.select("u", "v", "a", "b").mapInArrow(per_batch(judge), "u long, v long")
+        return materialize(found, "copies_links", files), count
 
     def labelled(member: DataFrame | None) -> DataFrame:
         """The nodes' prefixes, a row a shingle, with the nodes' components."""
@@ -670,7 +675,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     met = materialize(_pairs_under(_salted(labelled(None), hot, 0), similarity, False), "copies_met")
     wide = materialize(met.where("v is null").select(F.col("u").alias("key")).union(hot.select("key")).distinct(), "copies_wide")
     first = likely_pairs(met.where("v is not null").distinct(), nodes, similarity).select("u", "v")
-    linked = alike(likeliest_links(near, nodes, similarity).union(first).distinct())
+    linked, count = alike(likeliest_links(near, nodes, similarity).union(first).distinct())
     member = components(linked)
     if not wide.isEmpty():
         side = F.broadcast(wide) if wide.count() <= BROADCAST else wide
@@ -678,13 +683,13 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
         while more:
             cells = _salted(labelled(member).join(side, "key", "left_semi"), hot, turn)
             met = _pairs_under(cells, similarity, False).where("v is not null").distinct()
-            found_links = alike(likely_pairs(met, nodes, similarity).select("u", "v"))
+            found_links, count = alike(likely_pairs(met, nodes, similarity).select("u", "v"), count)
             more, turn = not found_links.isEmpty(), turn + 1
             if more:
                 member = components(member.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found_links))
         rest = _all_cells(labelled(member).join(side, "key", "left_semi"))
         met = _pairs_under(rest, similarity, True).where("v is not null").distinct()
-        last = alike(likely_pairs(met, nodes, similarity).select("u", "v"))
+        last, _ = alike(likely_pairs(met, nodes, similarity).select("u", "v"))
         if not last.isEmpty():
             member = components(member.select(F.col("node").alias("u"), F.col("component").alias("v")).union(last))
     # Goes: an exact copy of a smaller document, or a member of a group that is not its smallest.
