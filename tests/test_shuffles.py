@@ -1,12 +1,16 @@
 """How often the large steps deal their rows out, and how often costly expressions are written."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import rows as R
+from tools.check_queries import compare, connect
 from usagelens.functions import usage as U
-from usagelens.operators import dedupe, facts, sessions
+from usagelens.operators import dedupe, facts, reports, sessions
 from usagelens.operators.bits import with_bit
+from usagelens.plans import reports as queries
 from usagelens.sources import otlp
 
 PACKET = (
@@ -125,3 +129,53 @@ def test_sparse_proxies_cover_the_same_rows(spark):
     ledger = R.requests(spark, *rows)
     left = [sorted(r.request_id for r in dedupe.effective_requests(ledger, sparse=s).collect()) for s in (False, True)]
     assert left[0] == left[1] and "s3" not in left[0] and "s0" in left[0]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Lines of a few orders, with all a ledger is made of; some are empty requests, some have no session."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    made = {
+        "lineitem": "id DIV 4 AS l_orderkey, CAST(id % 4 + 1 AS INT) AS l_linenumber, id % 90 AS l_partkey, id % 23 AS l_suppkey,"
+        " CAST(id % 7 + 1 AS DOUBLE) AS l_quantity, CAST(id AS DOUBLE) AS l_extendedprice, date_add(DATE'1998-03-02', CAST(id % 5 AS INT)) AS l_shipdate",
+        "orders": "id AS o_orderkey, id % 40 AS o_custkey, date_add(DATE'1998-03-02', CAST(id % 5 AS INT)) AS o_orderdate, CAST(id AS DOUBLE) AS o_totalprice",
+        "supplier": "id AS s_suppkey, CAST(id % 5 AS INT) AS s_nationkey",
+        "nation": "CAST(id AS INT) AS n_nationkey, concat('N', id) AS n_name",
+    }
+    for name, n in (("lineitem", 4000), ("orders", 1000), ("supplier", 400), ("nation", 5)):
+        spark.range(0, n, 1, 1).createOrReplaceTempView("numbers")
+        spark.sql(f"SELECT {made[name]} FROM numbers").write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.fixture
+def small_broadcast(spark):
+    """What is small by its true size may be sent, not what only its estimate makes large."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_coverage_deals_sessions_out_once(no_broadcast):
+    empty = {"requests": 1, "total_tokens": 0, "cost_usd": "0", "model": "claude-x"}
+    rows = R.sessions(
+        no_broadcast, {**empty, "session_key": "hidden"}, {**empty, "session_key": "both"}, {"session_key": "both", "project_key": ""},
+        {"session_key": "c", "project_key": None}, {"session_key": "d"},
+    ).localCheckpoint()
+    daily = R.usage(no_broadcast, ("2026-01-01", "m", 900, "0"), ("2026-01-02", "m", 50, "0")).localCheckpoint()
+    found = reports.coverage(daily, sessions.judged_sessions(rows))
+    assert dealt(found) == 1 and plan(found).count("Window") == 1
+    assert found.first().asDict() == {
+        "all_tokens": 950, "session_tokens": 300, "session_requests": 7, "project_tokens": 100, "hidden_requests": 1,
+        "tokens_without_session": 650, "requests_without_session": 0, "tokens_without_project": 850,
+    }
+
+
+def test_coverage_moves_rows_to_their_session_as_they_are(small_broadcast, tables):
+    found = plan(queries.coverage(small_broadcast, tables))
+    of_names = re.findall(r"Exchange hashpartitioning\((?:host#\d+, provider_id|_key#)", found)
+    assert not of_names  # neither names nor evidence deal the ledger out
+    assert found.count("REPARTITION_BY_NUM") == 1  # the session rows
+    same, note = compare(small_broadcast, connect(tables), tables, "coverage")
+    assert same, note
