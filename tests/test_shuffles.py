@@ -10,7 +10,7 @@ from tools.check_queries import compare, connect
 from usagelens.functions import usage as U
 from usagelens.operators import dedupe, facts, reports, sessions
 from usagelens.operators.bits import with_bit
-from usagelens.plans import reports as queries
+from usagelens.plans import enrichment, reports as queries
 from usagelens.sources import otlp
 
 PACKET = (
@@ -179,3 +179,12 @@ def test_coverage_moves_rows_to_their_session_as_they_are(small_broadcast, table
     assert found.count("REPARTITION_BY_NUM") == 1  # the session rows
     same, note = compare(small_broadcast, connect(tables), tables, "coverage")
     assert same, note
+
+
+def test_messages_and_requests_are_dealt_out_by_id_only(small_broadcast, tables):
+    found = plan(enrichment.project_agreement(small_broadcast, tables))
+    keys = re.findall(r"Exchange hashpartitioning\((.*?)#", found)
+    assert keys == ["request_id", "request_id"]  # Claude's requests and the messages; what is known of sessions is sent
+    for name in ("project_agreement", "message_link", "session_title_join", "provider_header", "enrichment_audit"):
+        same, note = compare(small_broadcast, connect(tables), tables, name)
+        assert same, (name, note)
